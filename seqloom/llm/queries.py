@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat
+from . import bpe, chat, lsm_dedup, simhash
 from .common import read_table
 
 
@@ -38,5 +38,23 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_prefix_target_chat": op1_prefix_target_chat, "op10_tree_bpe": op10_tree_bpe}
-SQL = {"op1_prefix_target_chat": OP1_SQL}
+def op3_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm_dedup.dedup_digests(read_table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+  doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
+"""
+
+
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digests(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_simhash_components": op9_simhash_components, "op3_lsm_exact_dedup": op3_lsm_exact_dedup, "op1_prefix_target_chat": op1_prefix_target_chat, "op10_tree_bpe": op10_tree_bpe}
+SQL = {"op3_lsm_exact_dedup": OP3_SQL, "op1_prefix_target_chat": OP1_SQL}
