@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lsm_dedup, simhash
+from . import bpe, chat, lsm_dedup, rlz, simhash, warc
 from .common import read_table
 
 
@@ -56,5 +56,43 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash_components": op9_simhash_components, "op3_lsm_exact_dedup": op3_lsm_exact_dedup, "op1_prefix_target_chat": op1_prefix_target_chat, "op10_tree_bpe": op10_tree_bpe}
-SQL = {"op3_lsm_exact_dedup": OP3_SQL, "op1_prefix_target_chat": OP1_SQL}
+def op7_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.without_repeats(read_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), p AS (
+  SELECT r, i, list_slice(w, i, i + 34) AS win FROM d, unnest(range(1, greatest(len(w) - 33, 1))) AS u(i)
+), k AS (
+  SELECT r, i, md5(array_to_string(win, ' ')) AS h FROM p
+), c AS (
+  SELECT r, list(i) AS ats FROM k WHERE h IN (SELECT h FROM k GROUP BY h HAVING count(*) > 1) GROUP BY r
+), g AS (
+  SELECT r, list_distinct(flatten(list_transform(ats, lambda a: range(a, a + 35)))) AS gone FROM c
+), o AS (
+  SELECT d.doc_id, d.w, coalesce(g.gone, []) AS gone FROM d LEFT JOIN g USING (r)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]), ' ')) AS kept_sha256
+FROM o
+"""
+
+
+def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digests(read_table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = """
+WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+w AS (SELECT page_id, strlen(html) AS n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS keep FROM t)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> keep THEN keep END AS refers_to
+FROM w
+"""
+
+
+QUERIES = {"op7_rlz_substring_dedup": op7_rlz_substring_dedup, "op8_warc_segments": op8_warc_segments, "op9_simhash_components": op9_simhash_components, "op3_lsm_exact_dedup": op3_lsm_exact_dedup, "op1_prefix_target_chat": op1_prefix_target_chat, "op10_tree_bpe": op10_tree_bpe}
+SQL = {"op7_rlz_substring_dedup": OP7_SQL, "op8_warc_segments": OP8_SQL, "op3_lsm_exact_dedup": OP3_SQL, "op1_prefix_target_chat": OP1_SQL}
