@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lsm_dedup, rlz, simhash, warc
+from . import bpe, cgk, chat, license_scan, lsm_dedup, rlz, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -94,5 +94,28 @@ FROM w
 """
 
 
-QUERIES = {"op7_rlz_substring_dedup": op7_rlz_substring_dedup, "op8_warc_segments": op8_warc_segments, "op9_simhash_components": op9_simhash_components, "op3_lsm_exact_dedup": op3_lsm_exact_dedup, "op1_prefix_target_chat": op1_prefix_target_chat, "op10_tree_bpe": op10_tree_bpe}
-SQL = {"op7_rlz_substring_dedup": OP7_SQL, "op8_warc_segments": OP8_SQL, "op3_lsm_exact_dedup": OP3_SQL, "op1_prefix_target_chat": OP1_SQL}
+def op6_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("tag")
+
+
+def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cgk.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("tag")
+
+
+def op5_minhash_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(read_table(spark, sf_dir, "documents"))
+
+
+_all = [
+    op1_prefix_target_chat,
+    op3_lsm_exact_dedup,
+    op4_cgk_decontamination,
+    op5_minhash_license_scan,
+    op6_noisy_channel_toxicity,
+    op7_rlz_substring_dedup,
+    op8_warc_segments,
+    op9_simhash_components,
+    op10_tree_bpe,
+]
+QUERIES = {f.__name__: f for f in _all}
+SQL = {"op1_prefix_target_chat": OP1_SQL, "op3_lsm_exact_dedup": OP3_SQL, "op7_rlz_substring_dedup": OP7_SQL, "op8_warc_segments": OP8_SQL}
