@@ -25,10 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import only, slices, text_bytes
-from .lsm_dedup import tags
+from .common import only, slices, stored, text_bytes
+from .lsm_dedup import tags, without_rows
 from .words import LOWER, U64, mix, spans, word_hashes
 
 DISTANCE = 0.2
@@ -237,7 +236,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, tar
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    from .lsm_dedup import without_rows
-
-    gone = leaks(docs, benchmark, **options).select("doc_id", "tag").distinct().withColumn("repeat", F.lit(False))
-    return without_rows(docs, gone)
+    return without_rows(docs, stored(leaks(docs, benchmark, **options).select("doc_id", "tag"), "leaks"))

@@ -230,17 +230,19 @@ def dedup_digests(docs: DataFrame, **options) -> DataFrame:
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with all their columns; one row of each group, also of repeated rows."""
-    gone = exact_dedup(docs, **options).where(~F.col("kept")).select("doc_id", "tag", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("repeat"))
-    return without_rows(docs, stored(gone, "gone"))
+    decided = exact_dedup(docs, **options).where(~F.col("kept")).select("doc_id", "tag", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("same_id"))
+    gone = stored(decided, "gone")
+    return without_rows(docs, gone.where("not same_id"), gone.where("same_id"))
 
 
-def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows of gone (doc_id, tag, repeat); of rows marked repeat (of one doc_id and text) one stays."""
+def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose doc_id and tag (xxhash64 of the text) are in gone; of those in repeated one row stays."""
     tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
-    match = tagged["doc_id"].eqNullSafe(F.col("_gone_id")) & (tagged["_tag"] == F.col("_gone_tag"))
-    named = gone.select(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag"), "repeat").distinct()
-    left = tagged.join(named.where(~F.col("repeat")).drop("repeat"), match, "left_anti")
-    marked = left.join(named.where("repeat"), match, "left").drop("_gone_tag", "_gone_id")
-    once = Window.partitionBy("doc_id", "_tag").orderBy(F.lit(0))
-    single = marked.where("repeat").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    return marked.where("repeat is null").unionByName(single).drop("_tag", "repeat")
+    match = tagged["doc_id"].eqNullSafe(F.col("_id")) & (tagged["_tag"] == F.col("_of"))
+    named = lambda x: x.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of")).distinct()
+    left = tagged.join(named(gone), match, "left_anti")
+    if repeated is not None and not repeated.isEmpty():
+        marked = left.join(named(repeated), match, "left")
+        order = F.row_number().over(Window.partitionBy("doc_id", "_tag").orderBy(F.lit(0)))
+        left = marked.withColumn("_n", order).where("_of is null or _n = 1").drop("_n", "_id", "_of")
+    return left.drop("_tag")

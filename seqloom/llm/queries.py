@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cgk, chat, license_scan, lsm_dedup, rlz, simhash, toxicity, warc
+from . import bpe, cgk, chat, license_scan, lsm_dedup, rlz, simhash, style_tree, toxicity, warc
 from .common import read_table
 
 
@@ -106,8 +106,13 @@ def op5_minhash_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op2_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(read_table(spark, sf_dir, "pages"))
+
+
 _all = [
     op1_prefix_target_chat,
+    op2_style_tree_text,
     op3_lsm_exact_dedup,
     op4_cgk_decontamination,
     op5_minhash_license_scan,

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, slices, stored
-from .lsm_dedup import tags
+from .lsm_dedup import tags, without_rows
 
 RADIUS = 2
 SHINGLE = 3
@@ -183,3 +183,14 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, t
 def simhash_digests(docs: DataFrame, **options) -> DataFrame:
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return near_groups(docs, **options).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs of which one of each group stays (the smallest doc_id), with all their columns."""
+    rows = stored(near_groups(docs, **options), "near")
+    one = rows.groupBy("doc_id", "tag", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag"))
+    heads = rows.groupBy("component_id").agg(best.alias("best")).select(F.col("component_id").alias("_c"), "best")
+    judged = one.join(heads, F.col("component_id").eqNullSafe(F.col("_c"))).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tag") == F.col("best.tag")))
+    judged = stored(judged.where("not stays or n > 1").select("doc_id", "tag", "stays"), "judged")
+    return without_rows(docs, judged.where("not stays"), judged.where("stays"))

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, slices
-from .lsm_dedup import tags
+from .common import only, slices, stored
+from .lsm_dedup import tags, without_rows
 
 #: Most labelled documents that the fit reads (expected number: they are drawn by hash).
 SAMPLE = 20_000
@@ -280,3 +280,8 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = scores(docs, learnt(docs, labels))
     return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "tag")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+    return without_rows(docs, stored(toxicity(docs, labels, threshold).where("predicted = 1").select("doc_id", "tag"), "toxic"))
