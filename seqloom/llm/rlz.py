@@ -7,11 +7,16 @@ duplicate spans. A greedy factor hides repeats that begin inside it and end beyo
 borders is looked up as well; the spans are then exactly the words of windows that start at two places or more.
 
 1. Count anchors over all documents (map-side first). Those that stand at several places go into a bit map of fixed size.
-2. Read the documents again. Windows whose anchor may stand elsewhere are candidates; documents without any are done.
-3. Count candidate windows by 96 bits of hash, map-side first; join the repeated ones back (skewed windows are split by
-   adaptive execution), which gives each document's factors; cut the words they cover.
+2. Read the documents again. Consecutive windows with one anchor are a block. Blocks whose anchor may stand elsewhere are
+   candidates; documents without any are done.
+3. Count blocks by 96 bits of hash, map-side first. Blocks that occur twice or more lie inside factors: all their windows
+   repeat. The other blocks are where factors begin and end.
+4. At these borders single windows are compared: those of each border block with those of one copy of every distinct
+   block with the same anchor (counted by 96 bits of hash again).
+5. Cut the words that repeated blocks and border windows cover.
 
-No step brings the occurrences of one window together in a task: counts are pre-aggregated, joins are by window.
+No step brings the occurrences of one block or window together in a task: counts are pre-aggregated, and what is joined
+back can be split by adaptive execution.
 
 Defined cases: null text has no words; documents under 35 words keep all; repeated rows are places of their own, so
 their windows repeat; overlapping windows of one document count as different places; other columns are not read.
@@ -29,13 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_map, in_bit_map, only, slices, stored, text_bytes
-from .words import sliding, spans, window_hashes, word_hashes
+from .words import BASES, mix, powers, sliding, spans, window_hashes, word_hashes
 
 WINDOW = 35
 GRAM = 12
 MAP_BITS = 27
 
 
+def range_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """A hash of the words from each start to each end."""
+    up, down = powers(len(words) + 1, BASES[which])
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def _windows(buf: np.ndarray, off: np.ndarray, window: int) -> tuple:
     starts, ends, first = spans(buf, off)
     n = max(0, len(starts) - window + 1)
@@ -73,11 +86,36 @@ def anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return only(docs, "text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
-CANDIDATES = "row long, doc_id long, n_words long, sha string, text binary, h1 array<long>, h2 array<int>, at array<int>"
+CANDIDATES = "row long, doc_id long, n_words long, sha string, text binary, blocks array<struct<anchor long, b1 long, b2 int, at int, n int, places int>>"
+BLOCK = pa.struct([("anchor", pa.int64()), ("b1", pa.int64()), ("b2", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("places", pa.int32())])
+
+
+def _high(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def candidates(docs: DataFrame, held, window: int, gram: int, all_texts: bool = False) -> DataFrame:
-    """A row for each document: its candidate windows with hashes and its text, or its digest if there are none (or both)."""
+    """A row for each document: its candidate blocks with hashes and its text, or its digest if there are none (or both)."""
+    width = window - gram + 1
+
+    def blocks_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Where candidate blocks begin, and their columns but for the place in the document."""
+        words = word_hashes(buf, starts, ends)
+        least, _ = anchors(words, valid, window, gram)
+        begins = valid & np.r_[True, (least[1:] != least[:-1]) | ~valid[:-1]]
+        at = np.flatnonzero(begins)
+        over = np.flatnonzero(valid & np.r_[(least[1:] != least[:-1]) | ~valid[1:], True])
+        some = in_bit_map(held.value, least[at])
+        at, n = at[some], (over - at + 1)[some]
+        grams = window_hashes(words, gram) | np.uint64(1)
+        size = n + width - 1
+        owner = np.repeat(np.arange(len(at)), size)
+        where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at, size)
+        places = np.bincount(owner[grams[where] == least[at][owner]], minlength=len(at))
+        end = at + n + window - 1
+        b1 = range_hashes(words, at, end, 0)
+        b2 = range_hashes(word_hashes(buf, starts, ends, 1), at, end, 1)
+        return at, [least[at].view(np.int64), b1.view(np.int64), _high(b2), n.astype(np.int32), places.astype(np.int32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -86,14 +124,8 @@ def candidates(docs: DataFrame, held, window: int, gram: int, all_texts: bool =
                 rows = part.num_rows
                 buf, off = text_bytes(part.column("text"))
                 starts, ends, first, valid = _windows(buf, off, window)
-                at = np.empty(0, np.int64)
-                h1 = h2 = np.empty(0, np.uint64)
-                if valid.any():
-                    words = word_hashes(buf, starts, ends)
-                    least, _ = anchors(words, valid, window, gram)
-                    at = np.flatnonzero(valid & in_bit_map(held.value, least))
-                    h1 = window_hashes(words, window)[at]
-                    h2 = window_hashes(word_hashes(buf, starts, ends, 1), window, 1)[at]
+                none = np.empty(0, np.int64)
+                at, cols = blocks_of(buf, starts, ends, valid) if valid.any() else (none, [none, none, none.astype(np.int32), none.astype(np.int32), none.astype(np.int32)])
                 bounds = np.searchsorted(at, first)
                 some = np.diff(bounds) > 0
                 data = buf.tobytes()
@@ -103,22 +135,56 @@ def candidates(docs: DataFrame, held, window: int, gram: int, all_texts: bool =
                     sha.append(None if some[i] else hashlib.sha256(b" ".join(own.split())).hexdigest())
                     text.append(own if some[i] or all_texts else None)
                 local = at - first[np.searchsorted(first, at, "right") - 1] if len(at) else at
-                place = pa.array(bounds.astype(np.int32))
-                lists = [pa.ListArray.from_arrays(place, pa.array(x)) for x in (h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), local.astype(np.int32))]
+                anchor, b1, b2, n, places = cols
+                structs = pa.StructArray.from_arrays([pa.array(x) for x in (anchor, b1, b2, local.astype(np.int32), n, places)], fields=list(BLOCK))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + rows)), part.column("doc_id").cast(pa.int64()), pa.array(np.diff(first)), pa.array(sha, pa.string()), pa.array(text, pa.binary()), *lists],
-                    names=["row", "doc_id", "n_words", "sha", "text", "h1", "h2", "at"],
+                    [
+                        pa.array(np.arange(row, row + rows)),
+                        part.column("doc_id").cast(pa.int64()),
+                        pa.array(np.diff(first)),
+                        pa.array(sha, pa.string()),
+                        pa.array(text, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), structs),
+                    ],
+                    names=["row", "doc_id", "n_words", "sha", "text", "blocks"],
                 )
                 row += rows
 
     return only(docs, "doc_id", "text").mapInArrow(run, CANDIDATES)
 
 
-def factor_spans(at: np.ndarray, window: int, n_words: int) -> np.ndarray:
-    """Which words the windows at these places cover."""
+def border_windows(texts: DataFrame, parts: DataFrame, window: int) -> DataFrame:
+    """row, at, border, h1, h2: every window of the blocks in parts (row, at, n, border)."""
+    listed = parts.groupBy("row").agg(F.collect_list(F.struct("at", "n", "border")).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                buf, off = text_bytes(part.column("text").cast(pa.string()))
+                starts, ends, first = spans(buf, off)
+                lists = part.column("parts")
+                owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
+                values = lists.flatten()
+                at, n = (np.asarray(values.field(k)).astype(np.int64) for k in ("at", "n"))
+                border = np.asarray(values.field("border").cast(pa.int8())) > 0
+                which = np.repeat(np.arange(len(at)), n)
+                local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at[which]
+                place = local + first[owner[which]]
+                h1 = window_hashes(word_hashes(buf, starts, ends), window)[place]
+                h2 = window_hashes(word_hashes(buf, starts, ends, 1), window, 1)[place]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row").take(pa.array(owner[which])), pa.array(local.astype(np.int32)), pa.array(border[which]), pa.array(h1.view(np.int64)), pa.array(_high(h2))],
+                    names=["row", "at", "border", "h1", "h2"],
+                )
+
+    return texts.select("row", "text").join(listed, "row").mapInArrow(run, "row long, at int, border boolean, h1 long, h2 int")
+
+
+def covered(starts: np.ndarray, counts: np.ndarray, window: int, n_words: int) -> np.ndarray:
+    """Which words are covered by ``counts`` consecutive windows from each start."""
     edge = np.zeros(n_words + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + counts + window - 1, -1)
     return np.cumsum(edge[:n_words]) > 0
 
 
@@ -128,18 +194,29 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
     held = docs.sparkSession.sparkContext.broadcast(bit_map(repeated, "anchor", MAP_BITS))
     table = stored(candidates(docs, held, window, gram, with_text), "candidates")
     open_ = table.where("text is not null")
-    places = open_.select("row", F.inline(F.arrays_zip("h1", "h2", "at")))
-    counts = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    found = places.join(counts, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_list("at").alias("at"))
+    key = ["anchor", "b1", "b2", "n"]
+    blocks = open_.select("row", F.inline("blocks"))
+    distinct = stored(blocks.groupBy(*key, "places").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("one")), "blocks")
+    # anchors with a block that occurs once, and with places elsewhere too
+    shared = distinct.groupBy("anchor").agg(F.sum("places").alias("places"), F.min("times").alias("least")).where("places > 1 and least = 1").select("anchor")
+    parts = distinct.join(shared, "anchor", "left_semi").select("one.row", "one.at", "n", (F.col("times") == 1).alias("border"))
+    windows = stored(border_windows(open_, parts, window), "windows")
+    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    at_borders = windows.where("border").join(twice, ["h1", "h2"], "left_semi").select("row", "at", F.lit(1).alias("n"))
+    inside = blocks.join(distinct.where("times > 1").select(*key), key, "left_semi").select("row", "at", "n")
+    found = inside.unionByName(at_borders).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas, kept = [], [], []
-            for text, at, n in zip(batch.column("text"), batch.column("at"), batch.column("n_words").to_pylist()):
+            for text, parts, n in zip(batch.column("text"), batch.column("parts"), batch.column("n_words").to_pylist()):
                 words = text.as_buffer().to_pybytes().split()
-                gone = factor_spans(np.asarray(at.values) if at.is_valid else np.empty(0, np.int64), window, n)
-                left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                removed.append(int(gone.sum()))
+                if parts.is_valid:
+                    at, many = (np.asarray(parts.values.field(k)).astype(np.int64) for k in ("at", "n"))
+                    gone = covered(at, many, window, n)
+                    words = [words[i] for i in np.flatnonzero(~gone).tolist()]
+                left = b" ".join(words)
+                removed.append(n - len(words))
                 shas.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays(
