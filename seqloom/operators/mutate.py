@@ -66,7 +66,7 @@ def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None,
     if mode == "sequential" and mutation_rate is not None:
         raise ValueError("mutation_rate is random only")
     pool = as_pool(pool)
-    n, k = pool.region_length(region), num_mutations
+    n, k = pool.molecular_length(region), num_mutations
     if n is not None and k is not None and k > n:
         raise ValueError(f"{k} mutations in {n} positions")
     masks = _masks(allowed_chars, n) if allowed_chars is not None else None
@@ -108,7 +108,7 @@ def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None,
         out, wts, muts = seq, [], []
         allowed = F.array(*map(F.lit, masks)) if masks else None
         for p, d in zip(positions, alternatives):
-            place = F.element_at(places, p + 1) + 1
+            place = F.get(places, p) + 1
             wt = seq.substr(place, F.lit(1))
             choice = F.replace(F.element_at(allowed, p + 1) if masks else F.lit("ACGT"), F.upper(wt), F.lit("")).substr((d + 1).cast("int"), F.lit(1))
             mut = F.when(wt == F.lower(wt), F.lower(choice)).otherwise(choice)
@@ -145,7 +145,7 @@ def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None,
 
     op = Operation([pool], factory="mutagenize", mode=mode, num_states=total if mode == "sequential" else num_states, natural=natural, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, draw=draw, cards={"positions": "array<int>", "wt_chars": "array<string>", "mut_chars": "array<string>"})
     op.style = style
-    return make(op, n, name, pool.regions, kind=pool.kind)
+    return make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
 
 
 def shuffle_seq(pool: Pool | str, region=None, style: str | None = None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None, remove_tags: bool | None = None) -> Pool:

@@ -77,7 +77,7 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
         raise ValueError(f"mutation_type must be one of {sorted(VALID_MUTATION_TYPES)}")
     if mode == "sequential" and mutation_type not in UNIFORM_MUTATION_TYPES:
         raise ValueError(f"sequential mode takes one of {sorted(UNIFORM_MUTATION_TYPES)}")
-    length = pool.region_length(region)
+    length = pool.molecular_length(region)
     if length is None:
         raise ValueError("a reading frame needs a known length")
     frame = _frame(pool, region, frame)
@@ -104,7 +104,7 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
         for r, d in zip(ranks, picks):
             c = F.element_at(where, r + 1)
             first = F.lit(length - skip) - (c + 1) * 3 if reverse else c * 3 + skip
-            spots = [F.element_at(places, (first + j + 1).cast("int")) + 1 for j in range(3)]
+            spots = [F.get(places, (first + j).cast("int")) + 1 for j in range(3)]
             read = F.upper(F.concat(*[seq.substr(p, F.lit(1)) for p in spots]))
             wt = reverse_complement_column(read) if reverse else read
             own = options[wt]
@@ -139,7 +139,7 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
     cards = {"codon_positions": "array<int>", "wt_codons": "array<string>", "mut_codons": "array<string>", "wt_aas": "array<string>", "mut_aas": "array<string>"}
     op = Operation([pool], factory="mutagenize_orf", mode=mode, num_states=natural if mode == "sequential" else num_states, natural=natural, prefix=prefix, iter_order=iter_order, region=region, build=build, draw=draw, cards=cards)
     op.style = style
-    return make(op, length, name, pool.regions, kind=pool.kind)
+    return make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
 
 
 def translate(pool: Pool | str, region=None, frame: int | None = None, include_stop: bool = True, preserve_codon_styles: bool = True, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:

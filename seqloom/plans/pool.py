@@ -12,9 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.codons import CodonTable
-from ..functions.dna import strip_tags
+from ..functions.dna import VALID_CHARS, strip_tags
 from . import states as st
-from .tags import find_all_regions, parts, tagged
+from .tags import find_all_regions, parts, tagged, validate_single_region
 
 #: Most states that one sequential operation may have.
 MAX_STATES = 1_000_000
@@ -337,6 +337,17 @@ class Pool:
             raise ValueError(f"pool {self.name} has no region {region!r}")
         return self.session.regions[region].seq_length if region in self.session.regions else None
 
+    def molecular_length(self, region: str | Sequence[int] | None) -> int | None:
+        """How many bases: counted where the sequence is a constant, else its length (taken to be free of gaps)."""
+        if self.template is None:
+            return self.region_length(region)
+        text = self.template
+        if isinstance(region, str):
+            text = validate_single_region(text, region).content
+        elif region is not None:
+            text = text[region[0] : region[1]]
+        return sum(c in VALID_CHARS for c in strip_tags(text))
+
     def __add__(self, other: Pool) -> Pool:
         return self.stack_with(other)
 
