@@ -31,7 +31,7 @@ from .lsm_dedup import tags, without_rows
 
 #: Most labelled documents that the fit reads (expected number: they are drawn by hash).
 SAMPLE = 20_000
-FEATURES = 3000
+FEATURES = 1000
 THRESHOLD = 0.3
 CACHE = 400_000
 
@@ -193,7 +193,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return only(docs, "doc_id", "text").join(F.broadcast(one), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def fitted(rows: list[np.ndarray], y: np.ndarray, n: int, ridge: float = 0.3, steps: int = 400) -> tuple[np.ndarray, float]:
+def fitted(rows: list[np.ndarray], y: np.ndarray, n: int, ridge: float = 0.1, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression over binary features, by accelerated gradient steps."""
     index = np.concatenate(rows) if rows else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
