@@ -27,17 +27,35 @@ from .operators.orf import annotate_orf, mutagenize_orf, reverse_translate, styl
 from .operators.regions import annotate_region, apply_at_region, extract_region, insert_tags, region_multiscan, region_scan, remove_tags, replace_region
 from .operators.scans import deletion_multiscan, deletion_scan, insertion_multiscan, insertion_scan, mutagenize_scan, replacement_multiscan, replacement_scan, shuffle_scan, subseq_scan
 from .operators.state_ops import filter, filter_complexity, filter_dust, filter_gc, filter_homopolymer, filter_restriction_sites, filter_seq, repeat, sample, stack, state_shuffle, state_slice, sync
+from .plans import states
 from .plans.pool import Operation, OrfRegion, Pool, Region, Session, get_session, init
 from .plans.runner import generate_library
 from .plans.states import Manager, State
 from .sources.sinks import plan_tree, print_dag, print_library, print_named_colors, to_df, to_file
 from .sources.sources import from_fasta, from_iupac, from_motif, from_seq, from_seqs, from_table, get_kmers, materialize
 
+__version__ = "0.1.0"
 Party, get_active_party = Session, get_session
 DnaPool = ProteinPool = Pool
 StateManager = Manager
 
 
+class _OfFactory(type):
+    """Classes whose instances are the operations that one factory makes."""
+
+    def __instancecheck__(cls, x: object) -> bool:
+        return isinstance(x, Operation) and x.factory == cls.factory
+
+
+_factories = {
+    "AddPrefixOp": "add_prefix", "FixedOp": "fixed", "FromSeqsOp": "from_seqs", "FromIupacOp": "from_iupac", "FromMotifOp": "from_motif", "GetKmersOp": "get_kmers",
+    "MaterializeOp": "materialize", "MutagenizeOp": "mutagenize", "MutagenizeOrfOp": "mutagenize_orf", "StylizeOrfOp": "stylize_orf", "TranslateOp": "translate",
+    "RecombineOp": "recombine", "SeqShuffleOp": "shuffle_seq", "FilterOp": "filter", "StylizeOp": "stylize", "StackOp": "stack", "RepeatOp": "repeat",
+    "StateSliceOp": "state_slice", "StateShuffleOp": "state_shuffle", "SampleOp": "sample",
+}
+globals().update({name: _OfFactory(name, (), {"factory": factory}) for name, factory in _factories.items()})
+
+
 def clear_pools() -> None:
     get_session().clear_pools()
 

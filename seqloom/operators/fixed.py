@@ -110,10 +110,8 @@ def slice_seq(pool: Pool | str, start: int | None = None, stop: int | None = Non
 
 
 def extract(pool: Pool, region: str | Sequence[int], rc_: bool = False, **options) -> Pool:
-    from ..plans.tags import parts
-
     def build(run, args, s):
-        inside = parts(args[0], region)[1] if isinstance(region, str) else F.substring(args[0], region[0] + 1, region[1] - region[0])
+        inside = run.parts(run.op.parents[0], args[0], region)[1] if isinstance(region, str) else F.substring(args[0], region[0] + 1, region[1] - region[0])
         return reverse_complement_column(strip_tags_column(inside)) if rc_ else inside
 
     op = Operation([pool], factory="extract_region", build=build, **options)

@@ -33,7 +33,13 @@ def unranked(rank: Column, n: int, k: int) -> list[Column]:
     left: Column = F.lit(comb(n, k)).cast("long") - rank  # subsets from this one on
     for r in range(k, 0, -1):
         table = F.array(*[F.lit(comb(x, r)) for x in range(n + 1)]).cast("array<bigint>")
-        x = F.size(F.filter(table, _below(left)))
+        if r == 1:
+            x = left.cast("int")
+        elif r == 2:  # x (x - 1) / 2 >= left, by the square root and a step to either side
+            x = F.ceil((F.sqrt(left * 8 + 1) + 1) / 2).cast("int")
+            x = F.when(x * (x - 1) / 2 < left, x + 1).when((x - 1) * (x - 2) / 2 >= left, x - 1).otherwise(x)
+        else:
+            x = F.size(F.filter(table, _below(left)))
         out.append((F.lit(n) - x).cast("int"))
         # those that begin with later elements are C(x - 1, r); the rest begin with this one
         left = left - F.element_at(table, x)
@@ -69,6 +75,7 @@ def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None,
     n, k = pool.molecular_length(region), num_mutations
     if n is not None and k is not None and k > n:
         raise ValueError(f"{k} mutations in {n} positions")
+    plain = pool.plain and region is None
     masks = _masks(allowed_chars, n) if allowed_chars is not None else None
     open_ = [i for i, m in enumerate(masks) if len(m) > 1] if masks else None
     total, natural, enumerated = None, None, None
@@ -104,11 +111,11 @@ def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None,
                 positions.append(chosen[j])
                 alternatives.append(left % sizes[j])
                 left = F.call_function("div", left, sizes[j].cast("long"))
-        places = run.add(f"_m{op.id}", molecular_positions(seq))
+        places = None if plain else run.add(f"_m{op.id}", molecular_positions(seq))
         out, wts, muts = seq, [], []
         allowed = F.array(*map(F.lit, masks)) if masks else None
         for p, d in zip(positions, alternatives):
-            place = F.get(places, p) + 1
+            place = (p if plain else F.get(places, p)) + 1
             wt = seq.substr(place, F.lit(1))
             choice = F.replace(F.element_at(allowed, p + 1) if masks else F.lit("ACGT"), F.upper(wt), F.lit("")).substr((d + 1).cast("int"), F.lit(1))
             mut = F.when(wt == F.lower(wt), F.lower(choice)).otherwise(choice)
@@ -145,7 +152,9 @@ def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None,
 
     op = Operation([pool], factory="mutagenize", mode=mode, num_states=total if mode == "sequential" else num_states, natural=natural, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, draw=draw, cards={"positions": "array<int>", "wt_chars": "array<string>", "mut_chars": "array<string>"})
     op.style = style
-    return make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
+    out = make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
+    out.plain = pool.plain
+    return out
 
 
 def shuffle_seq(pool: Pool | str, region=None, style: str | None = None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None, remove_tags: bool | None = None) -> Pool:

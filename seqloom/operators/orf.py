@@ -89,6 +89,7 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
     if k is not None and k > len(eligible):
         raise ValueError(f"{k} mutations in {len(eligible)} codons")
     alts = UNIFORM_MUTATION_TYPES.get(mutation_type)
+    plain = pool.plain and region is None
     natural = comb(len(eligible), k) * alts**k if mode == "sequential" else None
 
     def build(run, args, s):
@@ -96,7 +97,7 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
         v = s % natural
         ranks = unranked(div(v, alts**k), len(eligible), k)
         picks = digits(v % alts**k, alts, k)
-        places = run.add(f"_m{op.id}", molecular_positions(seq))
+        places = None if plain else run.add(f"_m{op.id}", molecular_positions(seq))
         options = F.create_map(*[x for c in table.all_codons for x in (F.lit(c), F.array(*map(F.lit, table.get_mutations(c, mutation_type))).cast("array<string>"))])
         names = F.create_map(*[F.lit(x) for c, a in table.codon_to_aa.items() for x in (c, a)])
         where = F.array(*map(F.lit, eligible))
@@ -104,7 +105,7 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
         for r, d in zip(ranks, picks):
             c = F.element_at(where, r + 1)
             first = F.lit(length - skip) - (c + 1) * 3 if reverse else c * 3 + skip
-            spots = [F.get(places, (first + j).cast("int")) + 1 for j in range(3)]
+            spots = [((first + j).cast("int") if plain else F.get(places, (first + j).cast("int"))) + 1 for j in range(3)]
             read = F.upper(F.concat(*[seq.substr(p, F.lit(1)) for p in spots]))
             wt = reverse_complement_column(read) if reverse else read
             own = options[wt]
@@ -154,8 +155,9 @@ def translate(pool: Pool | str, region=None, frame: int | None = None, include_s
     table = pool.session.codon_table
 
     def build(run, args, s):
-        places = molecular_positions(args[0])
-        bases = F.upper(F.array_join(F.transform(places, lambda i: args[0].substr(i + 1, F.lit(1))), ""))
+        bases = F.upper(args[0])
+        if not source.plain:
+            bases = F.upper(F.array_join(F.transform(molecular_positions(args[0]), lambda i: args[0].substr(i + 1, F.lit(1))), ""))
         bases = run.add(f"_m{op.id}", reverse_complement_column(bases) if frame < 0 else bases)
         names = F.create_map(*[F.lit(x) for c, a in table.codon_to_aa.items() for x in (c, a)])
         starts = F.filter(F.sequence(F.lit(off + 1), F.greatest(F.length(bases), F.lit(off + 1)), F.lit(3)), lambda i: i + 2 <= F.length(bases))

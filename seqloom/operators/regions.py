@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement_column, strip_tags_column
 from ..plans.pool import Operation, Pool, as_pool, make
-from ..plans.tags import build_region_tags, get_nontag_positions, literal_prefix, parts, tagged
+from ..plans.tags import build_region_tags, get_nontag_positions, literal_prefix, tagged
 from ..sources.sources import lookup
 from .fixed import clear_tags, extract, rc, stylize
 
@@ -55,7 +55,7 @@ def remove_tags(pool: Pool | str, region_name: str, keep_content: bool = True, i
     length = pool.region_length(region_name)
 
     def build(run, args, s):
-        before, inside, after = parts(args[0], region_name)
+        before, inside, after = run.parts(run.op.parents[0], args[0], region_name)
         return F.concat(before, inside, after) if keep_content else F.concat(before, after)
 
     op = Operation([pool], factory="remove_tags", iter_order=iter_order, prefix=prefix, build=build)
@@ -74,7 +74,7 @@ def replace_region(pool: Pool | str, content_pool: Pool | str, region_name: str,
     old = pool.region_length(region_name)
 
     def build(run, args, s):
-        before, _, after = parts(args[0], region_name)
+        before, _, after = run.parts(run.op.parents[0], args[0], region_name)
         return F.concat(before, reverse_complement_column(strip_tags_column(args[1])) if rc else args[1], after)
 
     op = Operation([pool, content], factory="replace_region", iter_order=iter_order, prefix=prefix, build=build)
@@ -87,7 +87,7 @@ def keep_region(pool: Pool, content: Pool, region_name: str, reverse: bool = Fal
     old = pool.region_length(region_name)
 
     def build(run, args, s):
-        before, _, after = parts(args[0], region_name)
+        before, _, after = run.parts(run.op.parents[0], args[0], region_name)
         return F.concat(before, tagged(region_name, reverse_complement_column(args[1]) if reverse else args[1]), after)
 
     op = Operation([pool, content], factory="replace_keeping_tags", build=build)
@@ -132,7 +132,7 @@ def region_scan(pool: Pool | str, tag_name: str, region_length: int = 0, positio
     inner = pool.regions and (region is None or not isinstance(region, str) or pool.template is None or "<" in _content(pool, region))
     pool.session.register_region(tag_name, region_length)
 
-    def placed(seq: Column, index: Column) -> tuple[Column, dict[str, Column]]:
+    def placed(run, seq: Column, index: Column) -> tuple[Column, dict[str, Column]]:
         site = lookup(sites, index).cast("int") if sites != list(range(len(sites))) else index.cast("int")
         if inner:
             a = literal_prefix(seq, site, True)
@@ -156,10 +156,12 @@ def region_scan(pool: Pool | str, tag_name: str, region_length: int = 0, positio
             "region_content": marked if region_length else F.lit(""),
             "region_seq": tag,
         }
+        if region is None:
+            run.pieces[run.op, tag_name] = (a, content, after)
         return F.concat(a, tag, after), cards
 
     def build(run, args, s):
-        return placed(args[0], s % len(sites))
+        return placed(run, args[0], s % len(sites))
 
     class Scan(Operation):
         def _random(self, run, args, state):
@@ -174,7 +176,7 @@ def region_scan(pool: Pool | str, tag_name: str, region_length: int = 0, positio
             def site_index(index: pd.Series) -> pd.Series:
                 return pd.Series([int(row_generator(seed, op_id, int(s)).integers(0, count)) for s in index])
 
-            return placed(args[0], run.add(f"_u{self.id}", site_index(state if self.from_state else run.row)))
+            return placed(run, args[0], run.add(f"_u{self.id}", site_index(state if self.from_state else run.row)))
 
     keys = {"position_index": "long", "start": "long", "stop": "long", "length": "long", "region_name": "string", "region_content": "string", "region_seq": "string"}
     op = Scan([pool], factory="region_scan", mode=mode, num_states=len(sites) if mode == "sequential" else num_states, natural=len(sites), prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, draw=lambda *_: None, cards=keys)

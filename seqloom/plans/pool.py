@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.codons import CodonTable
 from ..functions.dna import VALID_CHARS, strip_tags
 from . import states as st
-from .tags import find_all_regions, parts, tagged, validate_single_region
+from .tags import find_all_regions, tagged, validate_single_region
 
 #: Most states that one sequential operation may have.
 MAX_STATES = 1_000_000
@@ -253,7 +253,7 @@ class Operation:
         if self.region is None or not args:
             return self.build(run, args, state)
         if isinstance(self.region, str):
-            before, inside, after = parts(args[0], self.region)
+            before, inside, after = run.parts(self.parents[0], args[0], self.region)
         else:
             a, b = self.region
             before, inside, after = F.substring(args[0], 1, a), F.substring(args[0], a + 1, b - a), args[0].substr(F.lit(b + 1), F.length(args[0]))
@@ -298,6 +298,8 @@ class Pool:
         self._name = self.session.claim("pool", name or f"pool[{self.id}]")
         self.state.name = f"{self._name}.state"
         self.seq_length, self.regions, self.kind, self.template = seq_length, dict.fromkeys(regions), kind, template
+        #: whether the sequences are known to be of A, C, G and T alone
+        self.plain = template is not None and not set(template) - VALID_CHARS
         self.cursor, self.seed = 0, None
 
     @property
@@ -328,6 +330,12 @@ class Pool:
     def has_region(self, name: str) -> bool:
         return name in self.regions
 
+    def add_region(self, name: str, seq_length: int | None = None) -> None:
+        """State that the sequences hold a region."""
+        if name not in self.session.regions:
+            self.session.register_region(name, seq_length)
+        self.regions[name] = None
+
     def region_length(self, region: str | Sequence[int] | None) -> int | None:
         if region is None:
             return self.seq_length
@@ -388,7 +396,9 @@ class Pool:
         op.name = self.session.claim("op", f"op[{op.id}]:{op.factory}")
         op.state = st.State(old.state.num_values, f"{op.name}.state", old.state.iter_order)
         state = old.clone_state(op, self) if hasattr(old, "clone_state") else op.make_state()
-        return Pool(op, self.seq_length, name, state, self.regions, self.kind, self.template)
+        out = Pool(op, self.seq_length, name, state, self.regions, self.kind, self.template)
+        out.plain = self.plain
+        return out
 
 
 def as_pool(x: Pool | str) -> Pool:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dna import strip_tags_column
 from . import states as st
 from .pool import Operation, Pool
+from .tags import parts
 
 
 def sorted_operations(pools: Sequence[Pool]) -> list[Operation]:
@@ -45,18 +46,21 @@ class Run:
     """The DataFrame while it is put together."""
 
     def __init__(self, base: DataFrame, pool: Pool, others: Sequence[Pool], seed: int):
-        """``base`` holds the row indices in column id."""
+        """``base`` holds the row indices in column id, and maybe what tables have for them."""
         self.seed, self.pool = seed, pool
         n = pool.state.num_values
         self.row = F.col("_row")
-        self.df = base.select(F.col("id").alias("_row"), (F.col("id") % n if n < 1 << 63 else F.col("id")).alias("_v"))
+        more = [c for c in base.columns if c.startswith("_t")]
+        self.df = base.select(F.col("id").alias("_row"), (F.col("id") % n if n < 1 << 63 else F.col("id")).alias("_v"), *more)
         self.ops = sorted_operations([pool, *others])
         self.pools = all_pools([pool, *others])
         wanted = {o.state for o in self.ops} | {p.state for p in self.pools}
         found = st.columns(pool.state, F.col("_v"))
-        self.df = self.df.select("_row", *[c.cast("long").alias(f"_s{s.id}") for s, c in found.items() if s in wanted])
+        self.df = self.df.select("_row", *more, *[c.cast("long").alias(f"_s{s.id}") for s, c in found.items() if s in wanted])
         self.known = {s for s in found if s in wanted}
         self.cards: dict[Operation, list[str]] = {}
+        #: what stands before, in and after a tag that an operation has just put in
+        self.pieces: dict[tuple[Operation, str], tuple[Column, Column, Column]] = {}
         for op in self.ops:
             self.op = op
             args = [self.seq(p) for p in op.parents]
@@ -65,6 +69,10 @@ class Run:
             self.df = self.df.withColumns({f"_q{op.id}": seq} | {f"_c{op.id}.{k}": F.when(self.state(op.state).isNotNull() & seq.isNotNull(), c) for k, c in shown.items()})
             self.cards[op] = list(shown)
 
+    def parts(self, pool: Pool, seq: Column, region: str) -> tuple[Column, Column, Column]:
+        """What stands before, in and after a region: as it was put in, or by its tags."""
+        return self.pieces.get((pool.operation, region)) or parts(seq, region)
+
     def add(self, name: str, column: Column) -> Column:
         self.df = self.df.withColumn(name, column)
         return F.col(name)
@@ -79,10 +87,40 @@ class Run:
         return F.col(f"`_c{op.id}.{key}`")
 
     def name(self, most: int) -> Column:
-        pieces = [x for op in sorted_operations([self.pool]) for x in op.name_parts(self, self.state(op.state), most)]
+        pieces = []
+        for op in sorted_operations([self.pool]):
+            self.op = op
+            pieces += op.name_parts(self, self.state(op.state), most)
         return F.nullif(F.concat_ws(".", *pieces), F.lit("")) if pieces else F.lit(None).cast("string")
 
 
+#: Most rows that one row of a table is expanded to in place.
+EXPAND = 1_000_000
+#: From how many rows on the table is dealt out anew first, so that all cores expand it.
+DEAL = 8
+
+
+def table_rows(pool: Pool, start: int, count: int, partitions: int | None) -> DataFrame | None:
+    """Row indices from the rows of a table: where a table is the slowest factor and all rows are wanted, each of its
+    rows is expanded where it stands, and nothing is joined."""
+    tables = [op for op in sorted_operations([pool]) if hasattr(op, "table")]
+    if start or count != pool.num_states or len(tables) != 1:
+        return None
+    op, root = tables[0], pool.state
+    slowest = root.parents[-1] if root.kind == "product" else root
+    inner = count // op.rows
+    if op.state not in slowest.group or len(slowest.group) != 2 or slowest.num_values != op.rows or op.state.num_values != op.rows or inner > EXPAND:
+        return None
+    rows = op.columns()
+    if inner >= DEAL:
+        dealt = partitions or rows.sparkSession.sparkContext.defaultParallelism * 2
+        rows = rows.repartitionByRange(dealt, rows.columns[0]).sortWithinPartitions(rows.columns[0])
+    key = F.col(rows.columns[0])
+    if inner == 1:
+        return rows.select("*", key.alias("id"))
+    return rows.select("*", F.explode(F.sequence(key * inner, key * inner + inner - 1)).alias("id"))
+
+
 def generate_library(
     pool: Pool,
     num_seqs: int | None = None,
@@ -116,7 +154,13 @@ def generate_library(
     if seed is not None or pool.seed is None:
         pool.seed = seed or 0
     start = pool.cursor
-    rows = lambda a, n: spark.range(a, a + n, 1, partitions) if partitions else spark.range(a, a + n)
+
+    def rows(a: int, n: int) -> DataFrame:
+        found = table_rows(pool, a, n, partitions) if not aux_pools else None
+        if found is not None:
+            return found
+        return spark.range(a, a + n, 1, partitions) if partitions else spark.range(a, a + n)
+
     shown = lambda a, n: _select(Run(rows(a, n), pool, aux_pools, pool.seed), pool, start + count - 1, report_design_cards, aux_pools, pools_to_report, organize_columns_by)
     if discard_null_seqs:
         df, tried = _first(shown, start, count, pool, max_iterations, min_acceptance_rate, attempts_per_rate_assessment)

@@ -176,6 +176,10 @@ def set_product_order_mode(mode: str) -> None:
     manager().order = mode
 
 
+def get_product_order_mode() -> str:
+    return manager().order
+
+
 def ordered_product(states: Sequence[State], name: str | None = None, iter_order: int | None = None) -> State:
     """A product of the flattened, distinct factors, sorted by iter_order and then by age."""
     flat: dict[State, None] = {}

@@ -26,7 +26,7 @@ def parts(spark: SparkSession, sf_dir: str, seq: str = "s", length: int | None =
     """The parts as a pool; keys are contiguous in this table, so the rank is the key less the first one."""
     table = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(DNA).alias("s"))
     first, rows = table.agg(F.min("p_partkey"), F.count(F.lit(1))).first()
-    return sl.from_table(table.select(F.expr(seq).alias("seq"), (F.col("p_partkey") - first).alias("idx")), index_col="idx", num_rows=rows, seq_length=length, regions=regions)
+    return sl.from_table(table.select(F.expr(seq).alias("seq"), (F.col("p_partkey") - first).alias("idx")), index_col="idx", num_rows=rows, seq_length=length, regions=regions, plain=seq in (DNA, "s") or seq.startswith("substring(s"))
 
 
 def library(build: Callable[[SparkSession, str], Pool], extra: tuple = (), **options) -> Callable[[SparkSession, str], DataFrame]:

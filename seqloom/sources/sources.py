@@ -71,7 +71,7 @@ def from_seqs(seqs: Sequence[str], pool: Pool | str | None = None, region=None,
         return seqs[i], names[i], i
 
     def contributes(run, state):
-        shown = run.card(op, "seq_name") if "seq_name" in run.cards[op] else lookup(names, state % n)
+        shown = run.card(run.op, "seq_name") if "seq_name" in run.cards[run.op] else lookup(names, state % n)
         return [F.when(state.isNotNull(), shown)]
 
     op = Operation(
@@ -101,12 +101,15 @@ class TableOp(Operation):
 
     def __init__(self, table: DataFrame, rows: int, **options):
         self.table, self.rows = table, rows
-        super().__init__([], mode="sequential", build=self._join, cards={"seq_index": "long", "seq_name": "string"}, **options)
+        super().__init__([], mode="sequential", cards={"seq_index": "long", "seq_name": "string"}, **options)
 
-    def _join(self, run, args, s):
+    def columns(self) -> DataFrame:
+        return self.table.select(*[F.col(c).alias(f"_t{self.id}{c[0]}") for c in ("idx", "seq", "name")])
+
+    def build(self, run, args, s):
         key, seq, name = (f"_t{self.id}{x}" for x in "isn")
-        right = self.table.select(F.col("idx").alias(key), F.col("seq").alias(seq), F.col("name").alias(name))
-        run.df = run.df.join(right, s % self.rows == F.col(key), "left")
+        if key not in run.df.columns:
+            run.df = run.df.join(self.columns(), s % self.rows == F.col(key), "left")
         return F.col(seq), {"seq_index": F.col(key), "seq_name": F.col(name)}
 
     def name_parts(self, run, state, most):
@@ -133,8 +136,11 @@ def indexed(df: DataFrame) -> tuple[DataFrame, int]:
     return marked.withColumn("idx", starts[part] + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"), at
 
 
-def from_table(df: DataFrame, seq_col: str = "seq", name_col: str | None = None, index_col: str | None = None, num_rows: int | None = None, seq_length: int | None = None, regions: Sequence[str] = (), prefix: str | None = None, iter_order: int | None = None, num_states: int | None = None, name: str | None = None) -> Pool:
-    """The rows of a DataFrame as sequential states. ``index_col`` holds 0..n-1 where the table has it already."""
+def from_table(df: DataFrame, seq_col: str = "seq", name_col: str | None = None, index_col: str | None = None, num_rows: int | None = None, seq_length: int | None = None, regions: Sequence[str] = (), prefix: str | None = None, iter_order: int | None = None, num_states: int | None = None, name: str | None = None, plain: bool = False) -> Pool:
+    """The rows of a DataFrame as sequential states. ``index_col`` holds 0..n-1 where the table has it already.
+
+    ``plain`` states that sequences are of A, C, G and T alone, which makes for simpler plans.
+    """
     cols = [F.col(seq_col).alias("seq"), (F.col(name_col) if name_col else F.lit(None).cast("string")).alias("name")]
     if index_col is not None:
         table = df.select(*cols, F.col(index_col).cast("long").alias("idx"))
@@ -147,7 +153,9 @@ def from_table(df: DataFrame, seq_col: str = "seq", name_col: str | None = None,
         if r not in get_session().regions:
             get_session().register_region(r, None)
     op = TableOp(table, rows, num_states=num_states or rows, natural=rows, prefix=prefix, iter_order=iter_order)
-    return Pool(op, seq_length, name, regions=regions)
+    out = Pool(op, seq_length, name, regions=regions)
+    out.plain = plain
+    return out
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -255,7 +263,9 @@ def get_kmers(length: int, pool: Pool | str | None = None, region=None, style: s
         return kmer, None, kmer
 
     op = Operation(_within(pool, region), factory="get_kmers", mode=mode, num_states=(num_states or total) if mode == "sequential" else num_states, natural=total, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, draw=draw, cards={"kmer_index": "long", "kmer": "string"})
-    return _styled(make(op, length, name), style)
+    out = make(op, length, name)
+    out.plain = pool is None
+    return _styled(out, style)
 
 
 def materialize(pool: Pool, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, discard_null_seqs: bool = True, max_iterations: int | None = None, min_acceptance_rate: float | None = None, attempts_per_rate_assessment: int = 100, name: str | None = None, prefix: str | None = None, path: str | None = None) -> Pool:

@@ -245,3 +245,39 @@ def test_previews(spark, capsys):
 def test_refusals(bad):
     with pytest.raises(ValueError):
         bad()
+
+
+def test_public_names(spark):
+    pool = sl.mutagenize("ACGT", num_mutations=1)
+    assert isinstance(pool.operation, sl.MutagenizeOp) and not isinstance(pool.operation, sl.StackOp)
+    pool.add_region("r", 2)
+    assert pool.has_region("r") and sl.states.get_product_order_mode() == "first_state_slowest"
+
+
+def test_copies_of_scans_and_tables_are_their_own(spark):
+    scan = sl.deletion_scan("ACGT", 2, mode="sequential")
+    assert seqs(sl.join([scan, scan.deepcopy()])) == [a + b for a in ("--GT", "A--T", "AC--") for b in ("--GT", "A--T", "AC--")]
+    table = spark.createDataFrame([(0, "A"), (1, "C")], "i long, s string")
+    pool = sl.from_table(table, "s", index_col="i")
+    assert sorted(seqs(sl.join([pool, pool.deepcopy()]))) == ["AA", "AC", "CA", "CC"]
+
+
+def test_a_table_is_expanded_in_place(spark):
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(["ACGT", "GGGG", "TTTT"])], "i long, s string")
+    pool = sl.from_table(table, "s", index_col="i", seq_length=4, plain=True).mutagenize(num_mutations=2, mode="sequential")
+    df = sl.generate_library(pool, init_state=0, with_index=True)
+    assert "Join" not in df._jdf.queryExecution().toString()
+    whole = {r["_row"]: r["seq"] for r in df.collect()}
+    some = {r["_row"]: r["seq"] for r in sl.generate_library(pool, num_seqs=30, init_state=50, with_index=True).collect()}
+    assert len(whole) == 162 and some == {i: whole[i] for i in range(50, 80)}
+
+
+@pytest.mark.parametrize("n", [2, 3, 10, 400])
+def test_pairs_are_unranked_exactly(spark, n):
+    from pyspark.sql import functions as F
+
+    from seqloom.operators.mutate import unranked
+
+    total = math.comb(n, 2)
+    rows = spark.range(total).select("id", *[c.alias(x) for c, x in zip(unranked(F.col("id"), n, 2), "ab")]).orderBy("id").collect()
+    assert [(r["a"], r["b"]) for r in rows] == list(itertools.combinations(range(n), 2))
