@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,6 +115,11 @@ def has_homopolymer(seq: str | Column, max_length: int) -> bool | Column:
     return seq.rlike(pattern) if isinstance(seq, Column) else re.search(pattern, seq) is not None
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for a row however often body's inner functions use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _kmers(seq: Column, k: int) -> Column:
     n = F.length(seq)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i <= n - k + 1)
@@ -124,14 +129,18 @@ def _kmers(seq: Column, k: int) -> Column:
 def calc_complexity(seq: str | Column, k_range: Sequence[int] = (1, 2, 3)) -> float | Column:
     """Mean over k of distinct k-mers by the most there can be; 1 where the sequence is too short for all k."""
     if isinstance(seq, Column):
-        u, n = F.upper(seq), F.length(seq)
-        parts, used = [], []
-        for k in k_range:
-            share = F.size(F.array_distinct(_kmers(u, k))) / F.least(n - k + 1, F.lit(4**k))
-            parts.append(F.when(n >= k, share).otherwise(0.0))
-            used.append(F.when(n >= k, 1).otherwise(0))
-        total = sum(used[1:], used[0])
-        return F.when(total > 0, sum(parts[1:], parts[0]) / total).when(seq.isNotNull(), F.lit(1.0))
+
+        def mean(u: Column) -> Column:
+            n = F.length(u)
+            parts, used = [], []
+            for k in k_range:
+                share = F.size(F.array_distinct(_kmers(u, k))) / F.least(n - k + 1, F.lit(4**k))
+                parts.append(F.when(n >= k, share).otherwise(0.0))
+                used.append(F.when(n >= k, 1).otherwise(0))
+            total = sum(used[1:], used[0])
+            return F.when(total > 0, sum(parts[1:], parts[0]) / total).when(u.isNotNull(), F.lit(1.0))
+
+        return let(F.upper(seq), mean)
     u = seq.upper()
     parts = [len({u[i : i + k] for i in range(len(u) - k + 1)}) / min(len(u) - k + 1, 4**k) for k in k_range if len(u) >= k]
     return sum(parts) / len(parts) if parts else 1.0
@@ -140,14 +149,16 @@ def calc_complexity(seq: str | Column, k_range: Sequence[int] = (1, 2, 3)) -> fl
 def calc_dust(seq: str | Column) -> float | Column:
     """Sum of c(c-1)/2 over the counts of triplets, by the length less two; 0 for fewer than three characters."""
     if isinstance(seq, Column):
-        u, n = F.upper(seq), F.length(seq)
-        triplets = _kmers(u, 3)
 
-        def add(total: Column, x: Column) -> Column:
-            c = F.size(F.filter(triplets, lambda y: y == x))
-            return total + c * (c - 1) / 2
+        def score(triplets: Column) -> Column:
+            def add(total: Column, x: Column) -> Column:
+                c = F.size(F.filter(triplets, lambda y: y == x))
+                return total + c * (c - 1) / 2
+
+            return F.aggregate(F.array_distinct(triplets), F.lit(0.0), add) / F.size(triplets)
 
-        return F.when(n >= 3, F.aggregate(F.array_distinct(triplets), F.lit(0.0), add) / (n - 2)).when(seq.isNotNull(), F.lit(0.0))
+        dust = let(F.upper(seq), lambda u: let(_kmers(u, 3), score))
+        return F.when(F.length(seq) >= 3, dust).when(seq.isNotNull(), F.lit(0.0))
     u = seq.upper()
     if len(u) < 3:
         return 0.0

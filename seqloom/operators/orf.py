@@ -8,7 +8,7 @@ from math import comb
 from pyspark.sql import functions as F
 
 from ..functions.codons import UNIFORM_MUTATION_TYPES, VALID_MUTATION_TYPES, CodonTable
-from ..functions.dna import reverse_complement, reverse_complement_column
+from ..functions.dna import reverse_complement, reverse_complement_column, strip_tags_column
 from ..plans.pool import FRAMES, Operation, OrfRegion, Pool, as_pool, get_session, make, regions_in
 from ..plans.tags import molecular_positions
 from .fixed import stylize
@@ -155,13 +155,11 @@ def translate(pool: Pool | str, region=None, frame: int | None = None, include_s
     table = pool.session.codon_table
 
     def build(run, args, s):
-        bases = F.upper(args[0])
-        if not source.plain:
-            bases = F.upper(F.array_join(F.transform(molecular_positions(args[0]), lambda i: args[0].substr(i + 1, F.lit(1))), ""))
-        bases = run.add(f"_m{op.id}", reverse_complement_column(bases) if frame < 0 else bases)
+        bases = F.upper(args[0] if source.plain else F.regexp_replace(strip_tags_column(args[0]), "[^ACGTacgt]", ""))
+        bases = reverse_complement_column(bases) if frame < 0 else bases
         names = F.create_map(*[F.lit(x) for c, a in table.codon_to_aa.items() for x in (c, a)])
-        starts = F.filter(F.sequence(F.lit(off + 1), F.greatest(F.length(bases), F.lit(off + 1)), F.lit(3)), lambda i: i + 2 <= F.length(bases))
-        out = F.array_join(F.transform(starts, lambda i: F.coalesce(names[bases.substr(i, F.lit(3))], F.lit("?"))), "")
+        codons = F.regexp_extract_all(bases.substr(F.lit(off + 1), F.length(bases)), F.lit("(.{3})"), 1)
+        out = F.array_join(F.transform(codons, lambda c: F.coalesce(names[c], F.lit("?"))), "")
         return out if include_stop else F.replace(out, F.lit("*"), F.lit(""))
 
     op = Operation([source], factory="translate", iter_order=iter_order, prefix=prefix, build=build)

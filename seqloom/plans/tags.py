@@ -111,4 +111,5 @@ def outside_tags(seq: Column, f) -> Column:
 def molecular_positions(seq: Column, alphabet: str = "ACGTacgt") -> Column:
     """0-based places of the alphabet's characters outside tags."""
     masked = F.regexp_replace(seq, r"[^<>](?=[^<>]*>)", "#")
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0))), lambda i: F.regexp_like(masked.substr(i + 1, F.lit(1)), F.lit(f"[{re.escape(alphabet)}]")))
+    found = F.transform(F.split(masked, ""), lambda c, i: F.when((c != "") & (F.instr(F.lit(alphabet), c) > 0), i))
+    return F.filter(found, lambda i: i.isNotNull())
