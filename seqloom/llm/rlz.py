@@ -188,23 +188,59 @@ def covered(starts: np.ndarray, counts: np.ndarray, window: int, n_words: int) -
     return np.cumsum(edge[:n_words]) > 0
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row (and kept, the words that stay, joined by one space)."""
+def matches(docs: DataFrame, window: int, gram: int, all_texts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The table of ``candidates``, and row, at, n, source, source_at: n windows from word ``at`` also start at ``source_at`` of row ``source``."""
     repeated = stored(anchor_counts(docs, window, gram), "anchors")
     held = docs.sparkSession.sparkContext.broadcast(bit_map(repeated, "anchor", MAP_BITS))
-    table = stored(candidates(docs, held, window, gram, with_text), "candidates")
+    table = stored(candidates(docs, held, window, gram, all_texts), "candidates")
     open_ = table.where("text is not null")
     key = ["anchor", "b1", "b2", "n"]
     blocks = open_.select("row", F.inline("blocks"))
-    distinct = stored(blocks.groupBy(*key, "places").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("one")), "blocks")
+    distinct = stored(blocks.groupBy(*key, "places").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("one"), F.max(F.struct("row", "at")).alias("other")), "blocks")
     # anchors with a block that occurs once, and with places elsewhere too
     shared = distinct.groupBy("anchor").agg(F.sum("places").alias("places"), F.min("times").alias("least")).where("places > 1 and least = 1").select("anchor")
     parts = distinct.join(shared, "anchor", "left_semi").select("one.row", "one.at", "n", (F.col("times") == 1).alias("border"))
     windows = stored(border_windows(open_, parts, window), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    at_borders = windows.where("border").join(twice, ["h1", "h2"], "left_semi").select("row", "at", F.lit(1).alias("n"))
-    inside = blocks.join(distinct.where("times > 1").select(*key), key, "left_semi").select("row", "at", "n")
-    found = inside.unionByName(at_borders).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
+    places = [F.min(F.struct("row", "at")).alias("one"), F.max(F.struct("row", "at")).alias("other")]
+    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), *places).where("times > 1").drop("times")
+    # the source of a match is the first of the known places, or the last where it is the first itself
+    own = (F.col("one.row") == F.col("row")) & (F.col("one.at") == F.col("at"))
+    source = [F.when(own, F.col(f"other.{x}")).otherwise(F.col(f"one.{x}")).alias(y) for x, y in (("row", "source"), ("at", "source_at"))]
+    at_borders = windows.where("border").join(twice, ["h1", "h2"]).select("row", "at", F.lit(1).alias("n"), *source)
+    inside = blocks.join(distinct.where("times > 1").select(*key, "one", "other"), key).select("row", "at", "n", *source)
+    return table, inside.unionByName(at_borders)
+
+
+def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, start, words, source_doc_id, source_start: the long factors of each document, in words.
+
+    Matches that go on where the one before ends, at the same distance from their source, are one factor: parsing goes on
+    with a source as long as it can. Factors may overlap by less than a window, where a repeat crosses a border.
+    """
+    table, found = matches(docs, window, gram, True)
+
+    def parse(rows: pa.Table) -> pa.Table:
+        order = sorted(rows.to_pylist(), key=lambda r: r["at"])
+        out: list[dict] = []
+        for r in order:
+            last = out[-1] if out else None
+            if last and last["source"] == r["source"] and r["at"] == last["at"] + last["n"] and r["source_at"] - r["at"] == last["source_at"] - last["at"]:
+                last["n"] += r["n"]
+            else:
+                out.append(r)
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in (("row", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_at", pa.int32()))], names=["row", "at", "n", "source", "source_at"])
+
+    parsed = found.groupBy("row").applyInArrow(parse, "row long, at int, n int, source long, source_at int")
+    ids = table.select("row", "doc_id")
+    named = parsed.join(ids, "row").join(ids.select(F.col("row").alias("source"), F.col("doc_id").alias("source_doc_id")), "source")
+    return named.select("doc_id", F.col("at").alias("start"), (F.col("n") + (window - 1)).alias("words"), "source_doc_id", F.col("source_at").alias("source_start"))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row (and kept, the words that stay, joined by one space)."""
+    table, spans_found = matches(docs, window, gram, with_text)
+    open_ = table.where("text is not null")
+    found = spans_found.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

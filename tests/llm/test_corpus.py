@@ -425,3 +425,18 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     got = {r["doc_id"]: r["decoded_sha256"] for r in table.collect()}
     assert got == {i: hashlib.sha256((dict(rows)[i] or "").encode()).hexdigest() for i in seen["byte-level BPE"]}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(got)
+
+
+def test_factors_name_their_sources(spark):
+    rng = random.Random(3)
+    passages = [words(rng.randrange(40, 140), 800 + i) for i in range(4)]
+    rows = [(i, f"{words(rng.randrange(60), i)} {rng.choice(passages)} {words(rng.randrange(60), 50 + i)} {rng.choice(passages)}") for i in range(20)]
+    rows += [(100, "For " * 60), (101, None)]
+    text = {i: (t or "").split() for i, t in rows}
+    covered = defaultdict(set)
+    for f in rlz.factors(docs(spark, rows)).collect():
+        a, b = (text[d][s : s + f["words"]] for d, s in ((f["doc_id"], f["start"]), (f["source_doc_id"], f["source_start"])))
+        assert a == b and len(a) == f["words"] >= 35
+        assert (f["doc_id"], f["start"]) != (f["source_doc_id"], f["source_start"])
+        covered[f["doc_id"]].update(range(f["start"], f["start"] + f["words"]))
+    assert {(d, len(covered[d])) for d in text} == {(d, n) for d, _, n, _ in plain_removal(rows, 35)}
