@@ -134,6 +134,15 @@ class Session:
     def has_region(self, name: str) -> bool:
         return name in self.regions
 
+    def print_graph(self, style: str = "clean") -> None:
+        """The plans of all pools that no other pool uses."""
+        from ..sources.sinks import plan_tree
+
+        used = {q for p in self.pools for q in p.parents}
+        for p in self.pools:
+            if p not in used:
+                print(plan_tree(p, style))
+
     def clear_pools(self) -> None:
         self.__init__()
 

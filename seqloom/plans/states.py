@@ -39,6 +39,15 @@ class Manager:
     def __exit__(self, *_) -> None:
         _active.reset(self._tokens.pop())
 
+    def print_graph(self) -> None:
+        """The states that no other state is made of, as indented trees."""
+        from ..sources.sinks import state_tree
+
+        used = {p for s in self.states for p in s.parents}
+        for s in self.states:
+            if s not in used:
+                print(state_tree(s))
+
     def get_iteration_df(self, state: State, spark: SparkSession | None = None, inactive: object = None) -> DataFrame:
         """One row for each index of ``state``: the values of all its ancestors, in order of creation."""
         spark = spark or SparkSession.getActiveSession()

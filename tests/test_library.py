@@ -281,3 +281,11 @@ def test_pairs_are_unranked_exactly(spark, n):
     total = math.comb(n, 2)
     rows = spark.range(total).select("id", *[c.alias(x) for c, x in zip(unranked(F.col("id"), n, 2), "ab")]).orderBy("id").collect()
     assert [(r["a"], r["b"]) for r in rows] == list(itertools.combinations(range(n), 2))
+
+
+def test_graphs(spark, session, capsys):
+    sl.join([sl.from_seq("A"), "C"])
+    session.print_graph("minimal")
+    session.manager.print_graph()
+    out = capsys.readouterr().out
+    assert out.startswith("pool[2]\n├── pool[0]\n└── pool[1]") and "product" in out
