@@ -130,10 +130,9 @@ def indexed(df: DataFrame) -> tuple[DataFrame, int]:
     for p in sorted(sizes):
         before.append((p, at))
         at += sizes[p]
-    if not before:
-        return marked.withColumn("idx", F.col("_m")).drop("_m"), 0
-    starts = F.create_map(*[F.lit(x) for pair in before for x in pair])
-    return marked.withColumn("idx", starts[part] + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"), at
+    starts = df.sparkSession.createDataFrame(before, "_p long, _start long")  # a row for each partition
+    placed = marked.withColumn("_p", part).join(F.broadcast(starts), "_p")
+    return placed.withColumn("idx", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_start"), at
 
 
 def from_table(df: DataFrame, seq_col: str = "seq", name_col: str | None = None, index_col: str | None = None, num_rows: int | None = None, seq_length: int | None = None, regions: Sequence[str] = (), prefix: str | None = None, iter_order: int | None = None, num_states: int | None = None, name: str | None = None, plain: bool = False) -> Pool:
