@@ -120,5 +120,13 @@ def in_bit_map(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
+def maybe_in(spark: SparkSession, words: np.ndarray, key: Column) -> Column:
+    """The same test as a column: the map is the result of a scalar subquery, looked up by place."""
+    bits = spark.createDataFrame(pa.table({"bits": pa.array([words.view(np.int64)], pa.list_(pa.int64()))})).scalar()
+    slot = key.bitwiseAND(F.lit(len(words) * 64 - 1))
+    word = F.get(bits, F.shiftright(slot, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def salt(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")

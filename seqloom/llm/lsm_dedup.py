@@ -28,12 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_map, in_bit_map, only, salt, slices, stored
+from .common import bit_map, in_bit_map, maybe_in, only, salt, slices, stored
 
 WHITE = b" \t\n\x0b\x0c\r"
 MEMTABLE = 200_000
 SHARD_ROWS = 250_000
 FILTER_BITS = 26
+GONE_BITS = 24
 SALTS = 16
 NO_ID = np.iinfo(np.int64).max
 
@@ -171,7 +172,7 @@ def exact_dedup(docs: DataFrame, key_bytes: int = 16, memtable: int = MEMTABLE)
     """row, doc_id, sha, tag, keep_id, group_size, kept of each row of docs."""
     table = stored(digests(docs), "digests")
     rows = table.count()
-    shard_bits = min(16, max(0, int(np.ceil(np.log2(max(1, rows) / SHARD_ROWS)))) + (4 if rows > 10_000 else 0))
+    shard_bits = min(24, max(0, int(np.ceil(np.log2(max(1, rows) / SHARD_ROWS)))) + (4 if rows > 10_000 else 0))
     filter_bits = int(np.clip(np.ceil(np.log2(10 * max(1, rows) / (1 << shard_bits))), 10, 22))
     groups = stored(compacted(flushed_runs(table, shard_bits, filter_bits, key_bytes, memtable)), "groups")
     key = F.expr(f"rpad(substring(sha, 1, {key_bytes}), 16, X'00')")
@@ -236,11 +237,16 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
-    """docs without the rows whose doc_id and tag (xxhash64 of the text) are in gone; of those in repeated one row stays."""
+    """docs without the rows whose doc_id and tag (xxhash64 of the text) are in gone; of those in repeated one row stays.
+
+    Rows that a bit map of fixed size shows not to be in gone stay where they are; only the others are joined.
+    """
     tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     match = tagged["doc_id"].eqNullSafe(F.col("_id")) & (tagged["_tag"] == F.col("_of"))
     named = lambda x: x.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_of")).distinct()
-    left = tagged.join(named(gone), match, "left_anti")
+    words = bit_map(gone.select(F.xxhash64("doc_id", "tag").alias("k")), "k", GONE_BITS)
+    maybe = maybe_in(docs.sparkSession, words, F.xxhash64(F.col("doc_id").cast("long"), "_tag"))
+    left = tagged.where(~maybe).unionByName(tagged.where(maybe).join(named(gone), match, "left_anti"))
     if repeated is not None and not repeated.isEmpty():
         marked = left.join(named(repeated), match, "left")
         order = F.row_number().over(Window.partitionBy("doc_id", "_tag").orderBy(F.lit(0)))

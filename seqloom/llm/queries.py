@@ -95,7 +95,7 @@ FROM w
 
 
 def op6_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("tag")
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, slices, stored
-from .lsm_dedup import tags, without_rows
+from .common import only, slices
 
 #: Most labelled documents that the fit reads (expected number: they are drawn by hash).
 SAMPLE = 20_000
@@ -260,28 +259,45 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: i
     return {"model": model, "known": known, "weights": weights, "bias": bias}
 
 
+class Scorer:
+    """The scores of texts under a model."""
+
+    def __init__(self, model: dict):
+        self.make = Features(Channel(model["model"]), model["known"])
+        self.weights, self.bias = model["weights"].tolist(), model["bias"]
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        z = [self.bias + sum(self.weights[i] for i in sorted(self.make.of_text(t))) for t in texts]
+        return 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
+
+
 def scores(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, tag, score of each row."""
+    """doc_id, score of each row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        make, weights = Features(Channel(m["model"]), m["known"]), m["weights"].tolist()
+        score = Scorer(held.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                raw = part.column("text").fill_null("")
-                z = [m["bias"] + sum(weights[i] for i in sorted(make.of_text(t))) for t in raw.to_pylist()]
-                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), tags(raw.cast(pa.binary()).to_pylist()), pa.array(score)], names=["doc_id", "tag", "score"])
+                found = score(part.column("text").fill_null("").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(found)], names=["doc_id", "score"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, tag long, score double")
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = scores(docs, learnt(docs, labels))
-    return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "tag")
+    return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
-    return without_rows(docs, stored(toxicity(docs, labels, threshold).where("predicted = 1").select("doc_id", "tag"), "toxic"))
+    """The rows of docs that are not predicted toxic, with all their columns; scored and judged in one pass."""
+    held = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(held.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(score(part.column("text").fill_null("").to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
