@@ -32,7 +32,9 @@ from .common import only, slices
 SAMPLE = 20_000
 FEATURES = 1000
 THRESHOLD = 0.3
-CACHE = 400_000
+#: Written forms kept in each of two generations, and features counted before they are passed on: bounds of a worker's memory.
+CACHE = 40_000
+COUNTED = 100_000
 
 # --- language model -------------------------------------------------------------------------------------------------
 SYMBOLS = 60  # 0: border; 1-26: a-z; 27-58: U+00E0-U+00FF; 59: any other letter
@@ -147,7 +149,9 @@ class Features:
     """Restored words of a text and their features, with a bounded cache of written forms."""
 
     def __init__(self, channel: Channel, known: dict[str, int] | None = None):
-        self.channel, self.known, self.cache = channel, known, {}
+        self.channel, self.known = channel, known
+        self.cache: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def of_words(self, words: list[str]) -> tuple:
         out = set()
@@ -161,15 +165,16 @@ class Features:
     def of_text(self, text: str) -> set:
         low = text.lower()
         out: set = set()
-        cache = self.cache
         for token in set(low.split()):
-            found = cache.get(token)
+            found = self.cache.get(token)
             if found is None:
-                found = self.of_words(self.channel.words(token))
+                found = self.older.get(token)
+                if found is None:
+                    found = self.of_words(self.channel.words(token))
                 if len(token) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[token] = found
+                    if len(self.cache) >= CACHE:
+                        self.cache, self.older = {}, self.cache
+                    self.cache[token] = found
             if found:
                 out.update(found)
         for m in _spaced.finditer(low):
@@ -232,7 +237,7 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: i
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
                 both[y > 0].update(make.of_text(text))
                 seen[y > 0] += 1
-                if len(both[0]) + len(both[1]) > 300_000:
+                if len(both[0]) + len(both[1]) > COUNTED:
                     yield out()
         both[0][""], both[1][""] = seen
         yield out()
