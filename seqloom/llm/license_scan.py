@@ -72,6 +72,7 @@ class Templates:
         self.seeds = np.random.default_rng(seed).integers(1, 1 << 63, BANDS * ROWS).astype(U64)
         self.rows = [(name, s) for name, texts in templates.items() for t in texts if len(s := shingles(item_words(t)))]
         self.sets = [np.unique(s) for _, s in self.rows]
+        self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.empty(0, U64)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.bands: dict[int, dict[int, set[tuple[int, int]]]] = {}
         for n, (_, s) in enumerate(self.rows):
@@ -84,6 +85,11 @@ class Templates:
                     where.setdefault(k, set()).add((n, offset))
         self.sorted = {size: np.array(sorted(x), U64) for size, x in self.bands.items()}
 
+    def places(self, s: np.ndarray) -> np.ndarray:
+        """Where template shingles stand: by a table first, then by the shingles themselves."""
+        near = np.flatnonzero(self.table[(s & U64((1 << TABLE_BITS) - 1)).astype(np.int64)])
+        return near[np.isin(s[near], self.all)]
+
     def signed(self, s: np.ndarray, size: int) -> np.ndarray:
         """The band keys (rows) of every window of ``size`` shingles (columns)."""
         least = [sliding(mix(s ^ seed), size) for seed in self.seeds]
@@ -97,7 +103,7 @@ class Templates:
 
     def search(self, s: np.ndarray) -> list[tuple[str, float, int]]:
         """(license, containment, first shingle) found in the shingles of one text, the best place of each license."""
-        hits = np.flatnonzero(self.table[(s & U64((1 << TABLE_BITS) - 1)).astype(np.int64)])
+        hits = self.places(s)
         best: dict[str, tuple[float, int]] = {}
         if not len(hits):
             return []
@@ -139,8 +145,7 @@ def licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, conta
                 starts, ends, first = spans(buf, off, APART)
                 words = word_hashes(buf, starts, ends)
                 marks = window_hashes(words, SHINGLE) if len(words) >= SHINGLE else np.empty(0, U64)
-                near = np.flatnonzero(index.table[(marks & U64((1 << TABLE_BITS) - 1)).astype(np.int64)])
-                rows = np.unique(np.searchsorted(first, near, "right") - 1)
+                rows = np.unique(np.searchsorted(first, index.places(marks), "right") - 1)
                 short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < SHINGLE))
                 out = []
                 for r in np.union1d(rows, short).tolist():
