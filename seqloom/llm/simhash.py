@@ -19,7 +19,7 @@ give a row; null doc_ids stay rows and count last as representatives; other colu
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,15 +169,19 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("root"))
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, tag, fp, component_id of each row: the smallest doc_id reachable over links."""
-    table = stored(fingerprints(docs, shingle), "fingerprints")
+def placed(table: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of table with component_id, by the links that ``linked`` gives for the classes of equal fp."""
     classes = stored(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), radius, tile))
+    roots = components(linked(classes))
     joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = joined.join(heads, "root").select("fp", "component_id")
-    return table.join(placed, "fp")
+    return table.join(joined.join(heads, "root").select("fp", "component_id"), "fp")
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, tag, fp, component_id of each row: the smallest doc_id reachable over links."""
+    table = stored(fingerprints(docs, shingle), "fingerprints")
+    return placed(table, lambda classes: links(classes.select("fp"), radius, tile))
 
 
 def simhash_digests(docs: DataFrame, **options) -> DataFrame:
@@ -187,7 +191,11 @@ def simhash_digests(docs: DataFrame, **options) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs of which one of each group stays (the smallest doc_id), with all their columns."""
-    rows = stored(near_groups(docs, **options), "near")
+    return keep_one(docs, stored(near_groups(docs, **options), "near"))
+
+
+def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs with one row of each component_id of rows (doc_id, tag, component_id of every row)."""
     one = rows.groupBy("doc_id", "tag", "component_id").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag"))
     heads = rows.groupBy("component_id").agg(best.alias("best")).select(F.col("component_id").alias("_c"), "best")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, cgk, chat, license_scan, lsm_dedup, rlz, simhash, style_tree, toxicity, warc
+from seqloom.llm import bpe, cgk, chat, license_scan, lsm_dedup, near, rlz, simhash, style_tree, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, tag string, key string, hash string"
 
@@ -375,6 +375,39 @@ def test_drop_near_copies(spark):
     assert simhash.drop_near_copies(table.limit(0)).count() == 0
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """Links are exactly the pairs at a Jaccard similarity of 4/5 of five-word shingles, whatever the fingerprints' distance."""
+    rng = random.Random(5)
+    rows = list(CORPUS)
+    for g in range(12):
+        base = words(100 + 20 * g, 900 + g, 5000).split()
+        for c in range(5):
+            edited = list(base)
+            for _ in range(rng.randrange(0, 4 + g // 2)):
+                edited[rng.randrange(len(edited))] = f"new{rng.randrange(10**6)}"
+            rows.append((1000 + 10 * g + c, " ".join(edited)))
+    sets = []
+    for _, text in rows:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").lower().encode())
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+            group = [group[i] if g == group[j] else g for g in group]
+    least = defaultdict(lambda: 10**9)
+    for (i, _), g in zip(rows, group):
+        least[g] = min(least[g], 10**9 if i is None else i)
+    table = docs(spark, rows)
+    got = Counter((r["doc_id"], 10**9 if r["component_id"] is None else r["component_id"]) for r in near.near_groups(table).collect())
+    assert got == Counter((i, least[g]) for (i, _), g in zip(rows, group))
+    assert near.drop_near_copies(table).count() == len(set(group))
+    import corpus_pipeline
+
+    one_word = [(1, words(100, 1, 5000)), (2, words(100, 1, 5000).replace(" ", " changed ", 1))]
+    assert corpus_pipeline.without_near_copies(spark, docs(spark, one_word), "").count() == 1
+    assert near.drop_near_copies(table.limit(0)).count() == 0
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("leaf", [2, 7, 2048])
 def test_tree_encoding_is_the_library_s(leaf):
