@@ -10,6 +10,10 @@ has its own walk and compares a few sampled places; the number of repetitions is
 threshold are found with the target recall. Windows that hold too few words of the class's items cannot be within the
 threshold and are not embedded. Each window that meets an item in some repetition is verified by exact edit distance.
 
+Classes that miss the target with ``MOST_REPETITIONS``, and those of items over ``LONGEST`` words, are searched exactly: an
+item with k edits allowed is cut into k + 1 pieces, of which one is left whole in every passage within the threshold. Each
+place that holds a piece is verified by exact edit distance, so nothing is lost.
+
 Items are taken in blocks of ``BLOCK``, so what is broadcast is bounded; each block is run against all documents.
 
 Defined cases: null texts have no words; items without words are never leaked; items with equal words are found each;
@@ -28,12 +32,14 @@ from pyspark.sql import DataFrame
 
 from .common import only, slices, stored, text_bytes
 from .lsm_dedup import tags, without_rows
-from .words import LOWER, U64, mix, spans, word_hashes
+from .words import LOWER, U64, mix, spans, window_hashes, word_hashes
 
 DISTANCE = 0.2
 RECALL = 0.98
 SAMPLED = 3
 MOST_REPETITIONS = 64
+#: Words from which on a class is searched by pieces; the target is out of reach there, so that it is not simulated.
+LONGEST = 200
 BLOCK = 20_000
 TABLE_BITS = 20
 
@@ -121,6 +127,7 @@ class Index:
         self.counts = [Counter(w.tolist()) for _, w in self.items]
         self.classes = []
         self.table = np.zeros(1 << TABLE_BITS, np.uint64)
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
         at = 0
         while at < len(self.items):
             size = len(self.items[at][1])
@@ -129,9 +136,16 @@ class Index:
             while end < len(self.items) and len(self.items[end][1]) <= limit:
                 end += 1
             own = [w for _, w in self.items[at:end]]
-            curve = simulated_recall(own, size, distance)
-            enough = np.flatnonzero(curve >= target)
-            embedding = Embedding(size, int(enough[0]) + 1 if len(enough) else MOST_REPETITIONS)
+            enough = np.flatnonzero(simulated_recall(own, size, distance) >= target) if len(own[-1]) <= LONGEST else []
+            if not len(enough):
+                for n, w in enumerate(own, at):
+                    parts = int(distance * len(w)) + 1
+                    length = len(w) // parts
+                    grams = window_hashes(w, length)
+                    pieces.setdefault(length, []).extend((int(grams[o]), n, o) for o in (len(w) * j // parts for j in range(parts)))
+                at = end
+                continue
+            embedding = Embedding(size, int(enough[0]) + 1)
             keys, whose, offset = [], [], []
             for n, w in enumerate(own, at):
                 for o in {0, len(w) - size}:
@@ -146,19 +160,50 @@ class Index:
             for w in own:
                 self.table[(w & U64((1 << TABLE_BITS) - 1)).astype(np.int64)] |= U64(1 << (len(self.classes) - 1))
             at = end
+        #: for each length of pieces: their hashes in order, the items they are of and their places in them
+        self.pieces = [(length, *(np.array(x, t) for x, t in zip(zip(*sorted(held)), (U64, np.int64, np.int64)))) for length, held in pieces.items()]
+
+    def by_pieces(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item number, edits, end) for each stretch of places that hold a piece of an item and are within the threshold."""
+        for length, keys, whose, offset in self.pieces:
+            grams = window_hashes(words, length)
+            lo, hi = np.searchsorted(keys, grams), np.searchsorted(keys, grams, "right")
+            p = np.flatnonzero(hi > lo)
+            row = np.searchsorted(first, p, "right") - 1
+            inside = p + length <= first[row + 1]
+            p, row = p[inside], row[inside]
+            starts: dict[tuple[int, int], list[int]] = {}
+            for i, r in zip(p.tolist(), row.tolist()):
+                for k in range(lo[i], hi[i]):
+                    starts.setdefault((r, int(whose[k])), []).append(i - int(offset[k]))
+            for (r, n), at in starts.items():
+                item = self.items[n][1]
+                most = int(self.distance * len(item))
+                at = np.unique(at)
+                for near in np.split(at, np.flatnonzero(np.diff(at) > most) + 1):
+                    a, b = max(int(first[r]), int(near[0]) - most), min(int(first[r + 1]), int(near[-1]) + len(item) + most)
+                    if (Counter(words[a:b].tolist()) & self.counts[n]).total() < len(item) - most:
+                        continue
+                    edits, end = edit_search(item, words[a:b])
+                    if edits <= most:
+                        yield r, n, edits, a + end - int(first[r])
 
     def search(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item number, edits, end) of each leak in rows whose words are words[first[row]:first[row+1]]."""
         marks = self.table[(words & U64((1 << TABLE_BITS) - 1)).astype(np.int64)]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
+        for row, n, *new in self.by_pieces(words, first):
+            best[row, n] = min(best.get((row, n), tuple(new)), tuple(new))
         for c, (size, least, plain, embedding, keys, whose, offset) in enumerate(self.classes):
             own = ((marks >> U64(c)) & U64(1)).astype(np.int64)
+            alone = own.copy()
             if plain:  # a word like the one before it is no match, or an item's word between them is deleted: an edit either way
                 own[1:] &= words[1:] != words[:-1]
             sums = np.concatenate(([0], np.cumsum(own)))
             stop = np.minimum(np.arange(len(words)) + size, np.repeat(first[1:], np.diff(first)))
-            at = np.flatnonzero(sums[stop] - sums[:-1] >= max(1, least))
+            # the word before a window's first is outside of it
+            at = np.flatnonzero(sums[stop] - sums[:-1] + alone - own >= max(1, least))
             for i in range(0, len(at), 1 << 12):
                 part = at[i : i + (1 << 12)]
                 found = embedding.keys(words, part)

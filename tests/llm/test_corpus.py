@@ -184,6 +184,32 @@ def test_items_in_blocks(spark):
     assert len(set(whole) ^ set(parts)) <= 1
 
 
+def test_long_items_at_the_threshold():
+    rng, held, texts = random.Random(2), [], []
+    for n, m in enumerate([150, 250, 500, 500, 700, 1000]):
+        item = words(m, 300 + n, 3000).split()
+        held.append((n, " ".join(item)))
+        edited = list(item)
+        for _ in range(m // 5):
+            i, kind = rng.randrange(len(edited)), rng.randrange(3)
+            edited[i : i + (kind > 0)] = [] if kind == 1 else [f"x{rng.randrange(10**6)}"]
+        texts.append(cgk.item_words(" ".join([words(40, n, 3000), *edited, words(40, n + 9, 3000)])))
+    first = np.cumsum([0, *map(len, texts)])
+    found = cgk.Index(held).search(np.concatenate(texts), first)
+    assert {(r, n) for r, n, *_ in found} >= {(n, n) for n in range(6)}
+    for r, n, edits, end in found:
+        assert (edits, end) == cgk.edit_search(cgk.item_words(held[n][1]), texts[r])
+
+
+def test_the_word_before_a_window_does_not_count():
+    """Row 0 ends with the word that the leak in row 1 begins with."""
+    for seed in range(5):
+        item = [f"a{seed}x{i}" for i in range(10)]
+        texts = [cgk.item_words(t) for t in ("before " + item[0], " ".join([*item[:8], "x", "y", "z"]))]
+        found = cgk.Index([(0, " ".join(item))]).search(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+        assert [(r, n, e) for r, n, e, _ in found] == [(1, 0, 2)]
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------------
 def test_licenses(spark):
     rows = [(i, words(300, i)) for i in range(6)] + [(None, None), (7, "")]
