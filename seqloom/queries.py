@@ -6,6 +6,7 @@ rank times the operator's states plus the state, as later states vary faster.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -226,6 +227,37 @@ add(
 )
 
 
+# --- whole tables and whole texts: the operators above whose SQL is for prefixes or some rows; tests instead of SQL --------
+def _whole_shuffle(spark: SparkSession, sf_dir: str) -> Pool:
+    pool = parts(spark, sf_dir)
+    n = pool.num_states
+    step = next(k for k in range(7, n + 8) if math.gcd(k, n) == 1)
+    return pool.state_shuffle(permutation=[i * step % n for i in range(n)])
+
+
+def _whole_lockstep(spark: SparkSession, sf_dir: str) -> Pool:
+    a = parts(spark, sf_dir)
+    b = sl.join([sl.get_kmers(8, mode="sequential"), sl.get_kmers(8, mode="sequential")])[: a.num_states]
+    sl.sync([a, b])
+    return sl.join([a, b])
+
+
+def _whole_discard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Session():
+        pool = parts(spark, sf_dir).filter_gc(0.5, 1.0)
+        df = sl.generate_library(pool, num_seqs=pool.num_states, discard_null_seqs=True, with_index=True, spark=spark, init_state=0)
+        return df.select(F.col("_row").alias("i"), "seq")
+
+
+add("mutagenize_two_whole", library(lambda s, d: parts(s, d).mutagenize(num_mutations=2, mode="sequential"), extra=(("mutagenize", "positions", "positions"),)))
+add("mutagenize_masked_whole", library(lambda s, d: parts(s, d, "concat('A', s, 'CC')", 35).mutagenize(num_mutations=1, allowed_chars="R" + "N" * 32 + "CY", mode="sequential")))
+add("recombine_whole", library(lambda s, d: sl.recombine(sources=[parts(s, d), "AC" * 16, "GT" * 16], num_breakpoints=1, mode="sequential"), extra=(("recombine", "breakpoints", "breakpoints"), ("recombine", "pool_assignments", "owners"))))
+add("state_shuffle_whole", library(_whole_shuffle))
+add("sync_whole", library(_whole_lockstep))
+add("materialize_whole", library(lambda s, d: parts(s, d).filter_gc(0.5, 1.0).materialize(num_cycles=1).repeat(2)))
+add("discard_null_seqs_whole", _whole_discard)
+
+
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.col("s")
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(DNA).alias("s"))

@@ -289,3 +289,41 @@ def test_graphs(spark, session, capsys):
     session.manager.print_graph()
     out = capsys.readouterr().out
     assert out.startswith("pool[2]\n├── pool[0]\n└── pool[1]") and "product" in out
+
+
+def test_queries_over_whole_tables_and_texts(spark, tmp_path):
+    import hashlib
+    import itertools
+
+    from seqloom.queries import QUERIES
+
+    n = 130
+    spark.range(1, n + 1).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    s = [hashlib.md5(str(k + 1).encode()).hexdigest().translate(str.maketrans("0123456789abcdef", "ACGT" * 4)) for k in range(n)]
+    other = lambda c: "ACGT".replace(c, "")
+    put = lambda t, at, c: t[:at] + c + t[at + 1 :]
+    rich = [(k, t) for k, t in enumerate(s) if sum(t.count(c) for c in "GC") >= 16]
+    assert len(rich) > 50
+    two = [put(put(t, a, x), b, y) for t in s for a, b in itertools.combinations(range(32), 2) for x in other(t[a]) for y in other(t[b])]
+    masked = []
+    for t in s:
+        w = "A" + t + "CC"
+        masked += [put(w, 0, "G")] + [put(w, i, x) for i in range(1, 33) for x in other(w[i])] + [put(w, 34, "T")]
+    mixed = [src[a][:p] + src[b][p:] for t in s for src in [(t, "AC" * 16, "GT" * 16)] for p in range(1, 32) for a in range(3) for b in range(3) if a != b]
+    kmer = lambda k: "".join("ACGT"[k // 4**j % 4] for j in reversed(range(16)))
+    want = {
+        "mutagenize_two_whole": list(enumerate(two)),
+        "mutagenize_masked_whole": list(enumerate(masked)),
+        "recombine_whole": list(enumerate(mixed)),
+        "state_shuffle_whole": [(i, s[i * 7 % n]) for i in range(n)],
+        "sync_whole": [(k, t + kmer(k)) for k, t in enumerate(s)],
+        "materialize_whole": [(2 * j + v, t) for j, (_, t) in enumerate(rich) for v in range(2)],
+        "discard_null_seqs_whole": rich,
+    }
+    wrong = {}
+    for name, rows in want.items():
+        table = QUERIES[name](spark, str(tmp_path)).select("i", "seq").toPandas().sort_values("i")
+        got = list(zip(table["i"].tolist(), table["seq"].tolist()))
+        if got != rows:
+            wrong[name] = (len(got), len(rows), got[:2], rows[:2])
+    assert not wrong, wrong
