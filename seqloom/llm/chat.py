@@ -49,13 +49,14 @@ def format_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         escaped(text).alias("body"),
     )
     rows = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)  # by rows: repeated rows are peers of a range
     placed = one.select(
         "conv_id",
         "block",
         F.row_number().over(rows).alias("at"),
         F.concat("head", "body", F.lit(END)).alias("formatted"),
         F.when(F.col("role") == "assistant", F.struct(F.char_length("head").cast("long").alias("skip"), F.char_length("body").cast("long").alias("chars"))).alias("reply"),
-        (F.sum(F.char_length("head") + F.char_length("body") + len(END)).over(rows)).alias("upto"),
+        (F.sum(F.char_length("head") + F.char_length("body") + len(END)).over(upto)).alias("upto"),
     )
     blocks = (
         placed.groupBy("conv_id", "block")
@@ -71,7 +72,7 @@ def format_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
             F.element_at("turns", -1)["upto"].alias("chars"),
         )
     )
-    before = F.sum("chars").over(Window.partitionBy("conv_id").orderBy("block")) - F.col("chars")
+    before = F.sum("chars").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("chars")
     based = blocks.withColumn("base", before)
     return (
         based.select("conv_id", F.struct("base", "formatted", F.transform("replies", lambda r: F.struct((r["start"] + F.col("base")).alias("start"), r["chars"].alias("chars"))).alias("replies")).alias("b"))
@@ -81,13 +82,32 @@ def format_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def expand_examples(conversations: DataFrame) -> DataFrame:
-    """One row for each assistant turn: conv_id, example, context_chars, reply_chars, reply (escaped), from the formatted text."""
-    turns = F.split("formatted", r"<\|im_end\|>\n")
-    head = START + "assistant\n"
-    replies = F.transform(F.filter(turns, lambda t: F.startswith(t, F.lit(head))), lambda t: F.substr(t, F.lit(len(head) + 1)))
-    return conversations.select("conv_id", F.posexplode(F.arrays_zip(F.col("replies").alias("span"), replies.alias("reply"))).alias("example", "x")).select(
-        "conv_id", "example", F.col("x.span.start").alias("context_chars"), F.col("x.span.chars").alias("reply_chars"), F.col("x.reply").alias("reply")
+def masked(text: Column, spans: Column) -> Column:
+    """array<string>: the stretch of text under each span of the loss mask, in order.
+
+    Spans are cut from about sqrt(n) stretches of as many spans each, so the whole text is walked sqrt(n) times, not n times.
+    """
+    n = F.size(spans)
+    many = F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("int")
+
+    def stretch(own: Column) -> Column:
+        start, last = own[0]["start"], F.element_at(own, -1)
+        whole = F.substr(text, (start + 1).cast("int"), (last["start"] + last["chars"] - start).cast("int"))
+        return F.flatten(F.transform(F.array(whole), lambda w: F.transform(own, lambda s: F.substr(w, (s["start"] - start + 1).cast("int"), s["chars"].cast("int")))))
+
+    groups = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), many), lambda i: F.slice(spans, i, many))
+    return F.flatten(F.transform(F.filter(groups, lambda g: F.size(g) > 0), stretch))
+
+
+def expand_examples(conversations: DataFrame, *columns: str) -> DataFrame:
+    """One row for each assistant turn: conv_id, example, context_chars, reply_chars, reply (escaped), read through the spans.
+
+    A conversation without an assistant gives one row without an example if more ``columns`` are asked for.
+    """
+    explode = F.posexplode_outer if columns else F.posexplode
+    zipped = F.arrays_zip(F.col("replies").alias("span"), masked(F.col("formatted"), F.col("replies")).alias("reply"))
+    return conversations.select("conv_id", *columns, explode(zipped).alias("example", "x")).select(
+        "conv_id", *columns, "example", F.col("x.span.start").alias("context_chars"), F.col("x.span.chars").alias("reply_chars"), F.col("x.reply").alias("reply")
     )
 
 
@@ -117,38 +137,27 @@ def read_turns(formatted: Column) -> Column:
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted texts and the examples: turns, masked text and their digests.
+    """Per conversation, read back from the formatted texts and the examples: turns, text under the loss mask and their digests.
 
-    ``spans_ok`` is true if each example's span in the formatted text is as long as the reply found there.
+    ``spans_ok`` is true if what the spans cut out is what the assistant's turns say, read back by their markers.
     """
-    done = format_conversations(turns)
-    back = done.select(
+    done = format_conversations(turns).withColumn("turns", read_turns(F.col("formatted")))
+    said = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
+    known = done.select(
         "conv_id",
-        F.char_length("formatted").cast("long").alias("formatted_chars"),
-        read_turns(F.col("formatted")).alias("turns"),
         "formatted",
         "replies",
-    )
-    head = START + "assistant\n"
-    parts = F.split("formatted", r"<\|im_end\|>\n")
-    replies = F.transform(F.filter(parts, lambda t: F.startswith(t, F.lit(head))), lambda t: F.substr(t, F.lit(len(head) + 1)))
-    back = back.select(
-        "conv_id",
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.concat(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")), 256).alias("turns_sha256"),
-        "formatted_chars",
-        F.posexplode_outer(F.arrays_zip(F.col("replies").alias("span"), replies.alias("reply"))).alias("example", "x"),
+        F.sha2(F.array_join(said, ""), 256).alias("said_sha256"),
     )
-    reply = unescaped(F.col("x.reply"))
+    kept = ["n_turns", "turns_sha256", "formatted_chars", "said_sha256"]
+    examples = expand_examples(known, *kept)
+    reply = F.when(F.col("example").isNotNull(), F.struct("example", unescaped(F.col("reply")).alias("reply")))
+    loss = F.array_join(F.transform(F.array_sort(F.collect_list(reply)), lambda r: r["reply"]), "")
     return (
-        back.groupBy("conv_id")
-        .agg(
-            F.first("n_turns").alias("n_turns"),
-            F.first("turns_sha256").alias("turns_sha256"),
-            F.first("formatted_chars").alias("formatted_chars"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", reply.alias("reply"))))), lambda r: r["reply"]), "").alias("loss"),
-            F.coalesce(F.bool_and(F.col("x.span.chars") == F.char_length("x.reply")), F.lit(True)).alias("spans_ok"),
-            F.count("example").alias("n_examples"),
-        )
-        .select("conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "spans_ok")
+        examples.groupBy("conv_id")
+        .agg(*[F.first(k).alias(k) for k in kept], loss.alias("loss"), F.count("example").alias("n_examples"))
+        .select("conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", (F.sha2("loss", 256) == F.col("said_sha256")).alias("spans_ok"))
     )
