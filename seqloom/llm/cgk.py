@@ -23,6 +23,7 @@ each; null doc_ids are kept; other columns are not read; empty tables give no ro
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -125,15 +126,14 @@ class Index:
         self.items = [(i, w) for i, t in items if len(w := item_words(t))]
         self.items.sort(key=lambda x: len(x[1]))
         self.counts = [Counter(w.tolist()) for _, w in self.items]
-        self.classes = []
+        self.classes = []  # some twenty at most: sizes up to LONGEST, each a quarter above the one before
         self.table = np.zeros(1 << TABLE_BITS, np.uint64)
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         at = 0
         while at < len(self.items):
             size = len(self.items[at][1])
             end = at
-            limit = size * 1.25 if len(self.classes) < 62 else float("inf")
-            while end < len(self.items) and len(self.items[end][1]) <= limit:
+            while end < len(self.items) and len(self.items[end][1]) <= size * 1.25:
                 end += 1
             own = [w for _, w in self.items[at:end]]
             enough = np.flatnonzero(simulated_recall(own, size, distance) >= target) if len(own[-1]) <= LONGEST else []
@@ -155,8 +155,7 @@ class Index:
             keys = np.array(keys).T
             order = np.argsort(keys, axis=1, kind="stable")
             longest = max(map(len, own))
-            plain = not any((w[1:] == w[:-1]).any() for w in own)
-            self.classes.append((size, size - int(distance * longest), plain, embedding, np.take_along_axis(keys, order, 1), np.array(whose)[order], np.array(offset)[order]))
+            self.classes.append((size, size - int(distance * longest), embedding, np.take_along_axis(keys, order, 1), np.array(whose)[order], np.array(offset)[order]))
             for w in own:
                 self.table[(w & U64((1 << TABLE_BITS) - 1)).astype(np.int64)] |= U64(1 << (len(self.classes) - 1))
             at = end
@@ -188,6 +187,16 @@ class Index:
                     if edits <= most:
                         yield r, n, edits, a + end - int(first[r])
 
+    @staticmethod
+    def possible(words: np.ndarray, first: np.ndarray, size: int, least: int, own: np.ndarray) -> np.ndarray:
+        """Starts of the windows with ``least`` words or more of the class's items (own: 1 for these words).
+
+        Nothing is lost: k edits leave all but k words of an item in a passage, so all but k of a window's are the item's.
+        """
+        sums = np.concatenate(([0], np.cumsum(own)))
+        stop = np.minimum(np.arange(len(words)) + size, np.repeat(first[1:], np.diff(first)))
+        return np.flatnonzero(sums[stop] - sums[:-1] >= max(1, least))
+
     def search(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item number, edits, end) of each leak in rows whose words are words[first[row]:first[row+1]]."""
         marks = self.table[(words & U64((1 << TABLE_BITS) - 1)).astype(np.int64)]
@@ -195,15 +204,8 @@ class Index:
         tried: set[tuple[int, int, int]] = set()
         for row, n, *new in self.by_pieces(words, first):
             best[row, n] = min(best.get((row, n), tuple(new)), tuple(new))
-        for c, (size, least, plain, embedding, keys, whose, offset) in enumerate(self.classes):
-            own = ((marks >> U64(c)) & U64(1)).astype(np.int64)
-            alone = own.copy()
-            if plain:  # a word like the one before it is no match, or an item's word between them is deleted: an edit either way
-                own[1:] &= words[1:] != words[:-1]
-            sums = np.concatenate(([0], np.cumsum(own)))
-            stop = np.minimum(np.arange(len(words)) + size, np.repeat(first[1:], np.diff(first)))
-            # the word before a window's first is outside of it
-            at = np.flatnonzero(sums[stop] - sums[:-1] + alone - own >= max(1, least))
+        for c, (size, least, embedding, keys, whose, offset) in enumerate(self.classes):
+            at = self.possible(words, first, size, least, ((marks >> U64(c)) & U64(1)).astype(np.int64))
             for i in range(0, len(at), 1 << 12):
                 part = at[i : i + (1 << 12)]
                 found = embedding.keys(words, part)
@@ -262,20 +264,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, tar
 
         return only(docs, "doc_id", "text").mapInArrow(run, schema)
 
-    out, held = None, []
-
-    def add() -> None:
-        nonlocal out
-        part = against(spark.sparkContext.broadcast(Index(held, distance, target)))
+    out = None
+    blocks = itertools.batched(((r["item_id"], r["text"]) for r in items), block)
+    last, following = next(blocks, None), next(blocks, None)
+    while last is not None:
+        held = spark.sparkContext.broadcast(Index(list(last), distance, target))
+        part = against(held)
+        if following is not None or out is not None:  # one block is broadcast at a time
+            part = stored(part, "leaks")
+            held.unpersist()
         out = part if out is None else out.unionByName(part)
-
-    for row in items:
-        held.append((row["item_id"], row["text"]))
-        if len(held) == block:
-            add()
-            held = []
-    if held:
-        add()
+        last, following = following, next(blocks, None)
     return out if out is not None else spark.createDataFrame([], schema)
 
 

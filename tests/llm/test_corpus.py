@@ -41,6 +41,10 @@ TURNS = [
     (4, None, "user", "no turn"),
     (4, 3, "a\nb", "line feed in a role"),
     (5, 0, "user", ""),
+    (6, 0, "user", "hi"),
+    (6, 1, "assistant", "same"),
+    (6, 1, "assistant", "same"),
+    (6, 2, "user", "x"),
 ] + [(9, i, ("user", "assistant")[i % 2], f"turn {i} <") for i in range(300)]
 
 
@@ -74,6 +78,27 @@ def test_chat_examples(spark):
     assert chat.chat_digests(table.limit(0)).count() == 0
 
 
+def test_repeated_replies_have_places_of_their_own(spark):
+    """The first of two equal rows must not have its own reply in its context."""
+    table = spark.createDataFrame([t for t in TURNS if t[0] == 6], "conv_id long, turn long, role string, text string")
+    done = chat.format_conversations(table)
+    one, two = sorted(r["context"] for r in chat.with_contexts(done).collect())
+    assert len(one) == 52 and "same" not in one and two == one + "same" + chat.END + chat.START + "assistant\n"
+    assert sorted((r["example"], r["context_chars"], r["reply"]) for r in chat.expand_examples(done).collect()) == [(0, len(one), "same"), (1, len(two), "same")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 101])
+def test_text_under_the_mask(spark, n):
+    rng = random.Random(n)
+    text, spans, at = words(600, n), [], 0
+    for _ in range(n):
+        at += rng.randrange(5)
+        spans.append((at, chars := rng.randrange(12)))
+        at += chars
+    table = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start long, chars long>>")
+    assert table.select(chat.masked(F.col("text"), F.col("spans")).alias("x")).first()["x"] == [text[a : a + k] for a, k in spans]
+
+
 # --- 2 --------------------------------------------------------------------------------------------------------------
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href=/>Menu</a></li></ul></nav><!-- no --><div class='ad'>Buy</div><article><h1>Head &amp; more</h1><p><b>First<br>line<p>Second &lt;b&gt;  part\n x</p></article><div id=comments>Bad</div><aside>Side</aside><form>F</form><footer>&copy; me</footer></body>"
 
@@ -177,6 +202,39 @@ def test_decontamination_against_brute_force(spark):
     assert cgk.leaks(docs(spark, rows), benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [3, 30, 3000])
+def test_the_filter_before_the_walks_loses_nothing(vocabulary):
+    """Windows about every place within the threshold pass, with repeated words and deletions between equal words as well."""
+    rng = random.Random(vocabulary)
+    cases = [("p0 q0 p0 p1 q1 p1 p2 q2 p2 p3 q3 p3 " + " ".join(f"z{i}" for i in range(8)), "p0 p0 p1 p1 p2 p2 p3 p3 " + " ".join(f"z{i}" for i in range(8)))]
+    for n in range(40):
+        item = words(rng.randrange(5, 60), n, vocabulary).split()
+        edited = list(item)
+        for _ in range(len(item) // 5):
+            i, kind = rng.randrange(len(edited)), rng.randrange(3)
+            edited[i : i + (kind > 0)] = [] if kind == 1 else [f"x{rng.randrange(10**6)}"]
+        cases.append((" ".join(item), f"{words(9, n + 50, 10**6)} {' '.join(edited)} {words(9, n + 90, 10**6)}"))
+    for item, text in cases:
+        own, found = cgk.item_words(item), cgk.item_words(text)
+        most = len(own) // 5
+        assert cgk.edit_search(own, found)[0] <= most
+        at = cgk.Index.possible(found, np.array([0, len(found)]), len(own), len(own) - most, np.isin(found, own).astype(np.int64))
+        before = [e for e in range(len(found) + 1) if cgk.edit_search(own, found[e:])[0] <= most]
+        assert at.min(initial=10**9) <= before[-1]  # the last place that a passage within the threshold can begin at
+
+
+def test_deletions_between_equal_words():
+    found = 0
+    for seed in range(40):
+        pairs, end = [(f"p{seed}x{i}", f"q{seed}x{i}") for i in range(4)], [f"z{seed}x{i}" for i in range(8)]
+        item = [w for p, q in pairs for w in (p, q, p)] + end
+        text = cgk.item_words(" ".join(["before it", *(w for p, _ in pairs for w in (p, p)), *end, "and after it"]))
+        got = cgk.Index([(0, " ".join(item))]).search(text, np.array([0, len(text)]))
+        assert [x[:3] for x in got] in ([], [(0, 0, 4)])
+        found += len(got)
+    assert found >= 36
+
+
 def test_items_in_blocks(spark):
     items, rows = planted()
     benchmark = spark.createDataFrame(items, "item_id long, text string")
