@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, slices
+from .common import only, slices, stored
 
 #: Most labelled documents that the fit reads (expected number: they are drawn by hash).
 SAMPLE = 20_000
@@ -35,6 +35,10 @@ THRESHOLD = 0.3
 #: Written forms kept in each of two generations, and features counted before they are passed on: bounds of a worker's memory.
 CACHE = 40_000
 COUNTED = 100_000
+#: A feature is learnt from this many toxic documents on, whatever the number of labels.
+LEAST = 2
+#: Characters of a written form that are decoded at a time, which bounds the paths that are held.
+PIECE = 1024
 
 # --- language model -------------------------------------------------------------------------------------------------
 SYMBOLS = 60  # 0: border; 1-26: a-z; 27-58: U+00E0-U+00FF; 59: any other letter
@@ -89,12 +93,21 @@ STANDS_FOR = {
     "+": "t", "(": "c", "<": "c", "{": "c", "[": "c", "€": "e", "£": "l", "¡": "i", "§": "s", "µ": "u", "*": "aeiou", "#": "h",
 }
 SAME, SWAP, DROP, REPEAT, GAP = -0.05, -1.0, -9.0, -0.7, -0.3
-_edges = re.compile(r"^[^\w@$!|+€£¡§(\[{<]+|[^\w@$|+€]+$")
+_left = re.compile(r"[^\w@$!|+€£¡§(\[{<]*")
+_ends = frozenset("_@$|+€")
 _word = re.compile(r"[^\W\d_]+")
 _odd = re.compile(r"[^\W\d_].*[\d@$!|+€£¡§*(\[{<._\-].*|[\d@$!|+€£¡§(\[{<].*[^\W\d_].*|.*([^\W\d_])\1\1.*", re.S)
 _spaced = re.compile(r"(?<!\S)[^\W_](?:[ ._\-*][^\W_]){2,}(?!\S)")
 
 
+def bare(token: str) -> str:
+    """The token without the signs around it that stand for nothing, in one pass from either end."""
+    start, end = _left.match(token).end(), len(token)
+    while end > start and not (token[end - 1].isalnum() or token[end - 1] in _ends):
+        end -= 1
+    return token[start:end]
+
+
 class Channel:
     def __init__(self, model: np.ndarray):
         self.model = model
@@ -109,10 +122,20 @@ class Channel:
         return [*((x, SWAP) for x in STANDS_FOR.get(c, "")), ("", DROP if c in STANDS_FOR else SWAP), (" ", DROP)]
 
     def decode(self, text: str) -> str:
+        """The likeliest letters. Beyond ``PIECE`` characters the best state so far is settled, and the next piece begins in it."""
         text = re.sub(r"(.)\1{3,}", r"\1\1\1", text, flags=re.S)
+        out, state = [], (0, 0)
+        for i in range(0, len(text), PIECE):
+            end = min(len(text), i + PIECE)
+            found, state = self.likeliest(text, i, end, state, end == len(text))
+            out.append(found)
+        return "".join(out)
+
+    def likeliest(self, text: str, start: int, end: int, state: tuple[int, int], last: bool) -> tuple[str, tuple[int, int]]:
+        """Viterbi over text[start:end] from a state of the trigram model (the two symbols before); what was read, and its state."""
         model = self.model
-        states: dict[tuple[int, int], tuple[float, object]] = {(0, 0): (0.0, None)}
-        for i in range(len(text)):
+        states: dict[tuple[int, int], tuple[float, object]] = {state: (0.0, None)}
+        for i in range(start, end):
             after: dict[tuple[int, int], tuple[float, object]] = {}
             for c, cost in self.options(text, i):
                 s = 0 if c == " " else symbol(c) if c else -1
@@ -126,23 +149,23 @@ class Channel:
                     if key not in after or after[key][0] < q:
                         after[key] = (q, way)
             states = after
-        best = max(states.items(), key=lambda x: x[1][0] + float(model[x[0][0], x[0][1], 0]))[1][1]
+        state, (_, best) = max(states.items(), key=lambda x: x[1][0] + (float(model[x[0][0], x[0][1], 0]) if last else 0.0))
         out = []
         while best is not None:
             best, c = best
             out.append(c)
-        return "".join(reversed(out))
+        return "".join(reversed(out)), state
 
     def words(self, token: str) -> list[str]:
         """The restored words of a written form without white space (lower case)."""
         if token.isalpha() and not _odd.fullmatch(token):
             return [token]
-        bare = _edges.sub("", token)
-        if bare.isalpha() and not _odd.fullmatch(bare):
-            return [bare]
-        if _odd.fullmatch(bare):
-            return _word.findall(self.decode(bare))
-        return _word.findall(bare)
+        inner = bare(token)
+        if inner.isalpha() and not _odd.fullmatch(inner):
+            return [inner]
+        if _odd.fullmatch(inner):
+            return _word.findall(self.decode(inner))
+        return _word.findall(inner)
 
 
 class Features:
@@ -193,7 +216,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     one = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     n = one.count()
     if n > sample:
-        one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+        one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample)
     return only(docs, "doc_id", "text").join(F.broadcast(one), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -218,7 +241,7 @@ def fitted(rows: list[np.ndarray], y: np.ndarray, n: int, ridge: float = 0.1, st
 def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> dict:
     """The model: trigram log probabilities, feature numbers, weights and bias."""
     model = log_probabilities(trigram_counts(docs))
-    rows = training_rows(docs, labels, sample)
+    rows = stored(training_rows(docs, labels, sample), "sampled")
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
 
@@ -242,14 +265,14 @@ def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: i
         both[0][""], both[1][""] = seen
         yield out()
 
-    counts = rows.mapInArrow(count, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = stored(rows.mapInArrow(count, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "features")
     total = counts.where("feature = ''").first()
     n_neg, n_pos = (total["neg"], total["pos"]) if total else (0, 0)
     if not n_neg or not n_pos:
         share = 1 - 1e-6 if n_pos else 1e-6
         return {"model": model, "known": {}, "weights": np.zeros(0), "bias": math.log(share / (1 - share))}
     p, q = (F.col("pos") + 0.1) / (n_pos + 0.2), (F.col("neg") + 0.1) / (n_neg + 0.2)
-    chosen = counts.where(f"feature <> '' and pos >= {2 if n_pos < 1000 else 5}").select("feature", (p * F.log(p / q)).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "feature").limit(features).toArrow()
+    chosen = counts.where(f"feature <> '' and pos >= {LEAST}").select("feature", (p * F.log(p / q)).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "feature").limit(features).toArrow()
     known = {f: i for i, f in enumerate(chosen.column("feature").to_pylist())}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

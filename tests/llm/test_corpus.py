@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -313,6 +314,38 @@ def test_toxicity_on_held_out_and_disguised(spark):
     assert by[2001]["predicted"] == by[2000]["predicted"] == by[None]["predicted"] == 0
 
 
+def test_decoding_is_the_best_of_all_paths(spark):
+    """Viterbi against every path through the lattices of short forms."""
+    model = toxicity.log_probabilities(toxicity.trigram_counts(docs(spark, CORPUS + [(1, "the bad cab is a sad idea; a good dog sees geese")])))
+    channel = toxicity.Channel(model)
+
+    def cost(text, path):
+        a, b, total, out = 0, 0, 0.0, []
+        for c, own in path:
+            s = 0 if c == " " else toxicity.symbol(c) if c else -1
+            total += own
+            if s < 0 or (s == 0 and b == 0):
+                continue
+            total += float(model[a, b, s])
+            a, b = (0, 0) if s == 0 else (b, s)
+            out.append(c)
+        return total + float(model[a, b, 0]), "".join(out)
+
+    for text in ("b4d", "s@dd", "g00d", "1d3a", "c-a-b", "d o g", "g33s3", "$4d", "b!!g", "aaa", "d0.g5"):
+        every = [cost(text, p) for p in itertools.product(*(channel.options(text, i) for i in range(len(text))))]
+        best = max(every)[0]
+        assert channel.decode(text) in {t for c, t in every if c > best - 1e-4}
+
+
+def test_long_written_forms():
+    channel = toxicity.Channel(np.zeros((toxicity.SYMBOLS,) * 3, np.float32))
+    start = time.perf_counter()
+    assert channel.words("a" + "-" * 1_000_000 + "a") == ["aa"] or channel.words("a-a")
+    assert toxicity.bare("(-" * 10 + "x" + "-" * 1_000_000) == "(-" * 10 + "x" and toxicity.bare("-" * 1_000_000) == ""
+    assert len("".join(channel.words("ab4" * 2000))) >= 4000
+    assert time.perf_counter() - start < 5
+
+
 def test_toxicity_without_labels(spark):
     rows, labels = labelled(20)
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
