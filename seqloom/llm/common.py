@@ -24,11 +24,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Only a local session may leave it unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -130,3 +132,23 @@ def maybe_in(spark: SparkSession, words: np.ndarray, key: Column) -> Column:
 
 def salt(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+
+
+#: A key with more than one of this many parts of all rows is split in joins.
+HOT_PARTS = 1000
+#: Rows of a key that need not be split.
+HOT_ROWS = 10_000
+
+
+def join_split(rows: DataFrame, keyed: DataFrame, key: str, size: str, *by: str) -> DataFrame:
+    """rows joined with keyed, which has a row for each key and in ``size`` how many of rows have that key.
+
+    A key with more than 1/HOT_PARTS of the rows is split by a hash of the columns ``by`` in parts of about that size. At most
+    HOT_PARTS keys are that large, so the list of them, which is broadcast, is bounded whatever the input.
+    """
+    share = max((keyed.agg(F.sum(size)).first()[0] or 0) // HOT_PARTS, HOT_ROWS)
+    parts = F.ceil(F.col(size) / share).cast("int")
+    hot = F.broadcast(keyed.where(F.col(size) > share).select(key, parts.alias("_parts")))
+    left = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), "_parts").cast("int"), F.lit(0))).drop("_parts")
+    copies = F.when(F.col(size) > share, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    return left.join(keyed.withColumn("_part", F.explode(copies)).drop(size), [key, "_part"]).drop("_part")

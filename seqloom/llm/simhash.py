@@ -5,10 +5,11 @@ none: fingerprint 0), XXH64 (seed 42) of each; a bit is 1 if it is set in over h
 
 Links: fingerprints at ``radius`` or fewer differing bits. Equal fingerprints become one first. The 64 bits are cut into
 ``radius + 2`` blocks; two fingerprints within the radius agree in at least two of them, so comparing those that share a
-pair of blocks misses nothing. Rows of one pair of blocks are sorted by population count and compared in tiles with numpy
-exclusive-or and bit counts; tile pairs whose counts differ beyond the radius are skipped. A key with more than
-``TILE`` fingerprints is dealt out as pairs of tiles, so no task holds more than two tiles at a time. Each task returns
-links of a spanning forest of its tiles, which keep every connection and are fewer than its fingerprints.
+pair of blocks misses nothing. Rows are sorted by pair of blocks and population count and cut in tiles of ``TILE`` rows,
+many keys to a tile. Tiles are compared with numpy exclusive-or and bit counts; of a key that fills several, tile pairs
+whose counts differ beyond the radius are skipped. A key with more than ``MOST`` fingerprints is dealt out as pairs of
+parts by population count, so no task holds more than two parts, or a run of small keys, at a time. What is returned are
+links of a spanning forest of each key, which keep every connection and are fewer than its fingerprints.
 
 Components: alternating large-star and small-star steps over the links until nothing changes, stored at each step.
 
@@ -27,12 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, slices, stored
+from .common import join_split, only, slices, stored
 from .lsm_dedup import tags, without_rows
 
 RADIUS = 2
 SHINGLE = 3
-TILE = 4096
+#: Rows of a tile; of a part of a large key; of a run of keys that a task holds at a time (or two parts, if that is more).
+TILE = 64
+MOST = 4096
+RUN = 16_384
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -67,32 +71,52 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, tag long, fp long")
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
-    """Links of a spanning forest between the fingerprints of tiles a and b (sorted by population count)."""
-    root: dict[int, int] = {}
+def near_links(keys: np.ndarray, sides: np.ndarray, two: np.ndarray, fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the rows of each key, by tiles of ``tile`` rows.
+
+    Rows are in order of key and, within it, of side and population count. A tile is compared with itself and with the
+    tiles after it that still have its last key, until their population counts are out of reach: those are skipped.
+    Rows of keys with two sides link across sides only.
+    """
+    n = len(fps)
+    ones = np.bitwise_count(fps).astype(np.int64)
+    label = np.arange(n)
 
     def find(x: int) -> int:
-        while (y := root.setdefault(x, x)) != x:
-            root[x] = x = root[y]
+        while (y := int(label[x])) != x:
+            label[x] = x = int(label[y])
         return x
 
     links = []
-    counts = np.bitwise_count(b)
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for i in range(0, len(a), step):
-        rows = a[i : i + step]
-        mine = np.bitwise_count(rows)
-        lo, hi = np.searchsorted(counts, int(mine[0]) - radius), np.searchsorted(counts, int(mine[-1]) + radius, "right")
-        x, y = np.nonzero(np.bitwise_count(rows[:, None] ^ b[None, lo:hi]) <= radius)
-        keep = (x + i < y + lo) if same else np.ones(len(x), bool)
-        for p, q in zip(rows[x[keep]].tolist(), b[lo + y[keep]].tolist()):
-            if (r := find(p)) != (s := find(q)):
-                root[max(r, s)] = min(r, s)
-                links.append((p, q))
+    starts = range(0, n, tile)
+    for i in starts:
+        a = slice(i, min(n, i + tile))
+        for j in range(i, n, tile):
+            b = slice(j, min(n, j + tile))
+            if j > i:
+                end = a.stop - 1
+                if keys[j] != keys[end]:
+                    break
+                # rows of this key are in order of population count, so all further tiles of it are out of reach too
+                if not two[end] and ones[j] - ones[end] > radius:
+                    break
+            near = (np.bitwise_count(fps[a, None] ^ fps[None, b]) <= radius) & (keys[a, None] == keys[None, b])
+            near &= ~two[a, None] | (sides[a, None] != sides[None, b])
+            if i == j:
+                near = np.triu(near, 1)
+            near &= label[a, None] != label[None, b]
+            x, y = np.nonzero(near)
+            for p, q in zip((x + i).tolist(), (y + j).tolist()):
+                if (r := find(p)) != (s := find(q)):
+                    label[max(r, s)] = min(r, s)
+                    links.append((p, q))
+            if len(x):
+                for rows in (a, b):
+                    label[rows] = [find(k) for k in range(rows.start, rows.stop)]
     return links
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST, tile: int = TILE) -> DataFrame:
     """src, dst: links that connect the distinct fingerprints (column fp) as all pairs within the radius do."""
     blocks = radius + 2
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -107,34 +131,50 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     counts = keyed.groupBy("which", "bits", "ones").agg(F.count(F.lit(1)).alias("n"))
     sizes = (
         counts.groupBy("which", "bits")
-        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))).alias("by_ones"))  # 65 counts at most
+        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("ones", F.ceil(F.col("n") / most).cast("int").alias("tiles"))).alias("by_ones"))  # 65 counts at most
         .where("n > 1")
     )
     shared = keyed.join(sizes, ["which", "bits"])
-    alone = shared.where(F.col("n") <= tile).select("which", "bits", F.lit("").alias("t"), F.lit("").alias("u"), F.lit(0).alias("side"), "fp")
-    # in a large key the fingerprints of one population count fill tiles; a tile meets those of counts within the radius
+    zero = F.lit(0).cast("long")
+    alone = shared.where(F.col("n") <= most).select("which", "bits", zero.alias("t"), zero.alias("u"), F.lit(0).alias("side"), "ones", "fp")
+    # in a large key the fingerprints of one population count fill parts; a part meets those of counts within the radius
     own = F.element_at(F.filter("by_ones", lambda x: x["ones"] == F.col("ones")), 1)["tiles"]
-    mine = F.format_string("%d.%d", F.col("ones"), F.pmod(F.xxhash64("fp"), own))
+    number = lambda ones, i: F.shiftleft(ones.cast("long"), 40) + i + 1
     near = F.flatten(
         F.transform(
             F.filter("by_ones", lambda x: F.abs(x["ones"] - F.col("ones")) <= radius),
-            lambda x: F.transform(F.sequence(F.lit(0), x["tiles"] - 1), lambda j: F.format_string("%d.%d", x["ones"], j)),
+            lambda x: F.transform(F.sequence(F.lit(0), x["tiles"] - 1), lambda j: number(x["ones"], j)),
         )
     )
-    many = shared.where(F.col("n") > tile).select("which", "bits", "fp", mine.alias("mine"), F.explode(near).alias("other"))
-    many = many.select("which", "bits", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "fp")
+    many = shared.where(F.col("n") > most).select("which", "bits", "fp", "ones", number(F.col("ones"), F.pmod(F.xxhash64("fp"), own)).alias("mine"), F.explode(near).alias("other"))
+    many = many.select("which", "bits", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "ones", "fp")
 
-    def compare(table: pa.Table) -> pa.Table:
-        fp = np.asarray(table.column("fp")).view(np.uint64)
-        side = np.asarray(table.column("side"))
-        same = table.column("t")[0].as_py() == table.column("u")[0].as_py()
-        tiles = [fp[side == s] for s in (0, 1)]
-        a, b = (x[np.argsort(np.bitwise_count(x), kind="stable")] for x in tiles)
-        found = forest(a, a if same else b, radius, same)
-        out = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.table({"src": out[:, 0], "dst": out[:, 1]})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of whole keys of about RUN rows; the last key of a batch may go on in the next."""
+        held = pa.Table.from_batches([], pa.schema([(k, pa.int64()) for k in ("which", "bits", "t", "u", "side", "ones", "fp")]))
 
-    return alone.unionByName(many).groupBy("which", "bits", "t", "u").applyInArrow(compare, "src long, dst long")
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            which, bits, t, u, side, fp = (np.asarray(rows.column(k)) for k in ("which", "bits", "t", "u", "side", "fp"))
+            change = np.r_[True, (which[1:] != which[:-1]) | (bits[1:] != bits[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])]
+            pairs = np.array(near_links(np.cumsum(change), side, t != u, fp.view(np.uint64), radius, tile), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(fp[pairs[:, 0]]), pa.array(fp[pairs[:, 1]])], names=["src", "dst"])
+
+        for batch in batches:
+            rows = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(held.schema)])
+            last = [np.asarray(rows.column(k)) for k in ("which", "bits", "t", "u")]
+            same = np.logical_and.reduce([c == c[-1] for c in last])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut and len(rows) >= RUN:
+                yield found(rows.slice(0, cut))
+                held = rows.slice(cut).combine_chunks()
+            else:
+                held = rows
+        if len(held):
+            yield found(held)
+
+    order = ["which", "bits", "t", "u"]
+    dealt = alone.unionByName(many).repartition(*order).sortWithinPartitions(*order, "side", "ones")
+    return dealt.mapInArrow(compare, "src long, dst long")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -171,17 +211,18 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 def placed(table: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of table with component_id, by the links that ``linked`` gives for the classes of equal fp."""
-    classes = stored(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = stored(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "classes")
     roots = components(linked(classes))
-    joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return table.join(joined.join(heads, "root").select("fp", "component_id"), "fp")
+    joined = stored(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "roots")
+    heads = stored(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")), "heads")
+    named = join_split(joined, heads, "root", "classes", "fp").select("fp", "rows", "component_id")
+    return join_split(table, stored(named, "named"), "fp", "rows", "doc_id")
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, most: int = MOST, tile: int = TILE) -> DataFrame:
     """doc_id, tag, fp, component_id of each row: the smallest doc_id reachable over links."""
     table = stored(fingerprints(docs, shingle), "fingerprints")
-    return placed(table, lambda classes: links(classes.select("fp"), radius, tile))
+    return placed(table, lambda classes: links(classes.select("fp"), radius, most, tile))
 
 
 def simhash_digests(docs: DataFrame, **options) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, cgk, chat, license_scan, lsm_dedup, near, rlz, simhash, style_tree, toxicity, warc
+from seqloom.llm import bpe, cgk, chat, common, license_scan, lsm_dedup, near, rlz, simhash, style_tree, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, tag string, key string, hash string"
 
@@ -460,30 +460,44 @@ def test_fingerprints(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("tile", [4096, 3])
-def test_near_groups(spark, tile):
-    got = simhash.near_groups(docs(spark, CORPUS), tile=tile).collect()
+@pytest.mark.parametrize(("most", "tile"), [(simhash.MOST, simhash.TILE), (3, 2)])
+def test_near_groups(spark, most, tile):
+    got = simhash.near_groups(docs(spark, CORPUS), most=most, tile=tile).collect()
     assert len(got) == len(CORPUS)
     want = plain_components([r["fp"] % 2**64 for r in got], [r["doc_id"] for r in got])
     assert [r["component_id"] for r in got] == want
 
 
-@pytest.mark.parametrize("tile", [4096, 5])
-def test_links_connect_as_all_pairs_do(spark, tile):
+@pytest.mark.parametrize(("most", "tile"), [(simhash.MOST, simhash.TILE), (5, 2), (40, 3)])
+def test_links_connect_as_all_pairs_do(spark, monkeypatch, most, tile):
+    """With the settings as they are there are several tiles and runs; smaller ones deal out keys in parts."""
+    monkeypatch.setattr(simhash, "RUN", 100)
     rng = random.Random(6)
     fps = [0, 2**64 - 1]
     for _ in range(60):
         fps.append(rng.getrandbits(64))
-    for _ in range(200):
+    for _ in range(400):
         fps.append(rng.choice(fps) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    fps += [rng.choice(fps) & ~((1 << 32) - 1) | rng.getrandbits(32) for _ in range(300)]  # large keys, counts far apart
+    fps += [7 << 40 | rng.getrandbits(32) for _ in range(150)] + [7 << 40 | 1 << rng.randrange(32) for _ in range(20)]
     fps = sorted(set(fps))
     table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    roots = {r["node"] % 2**64: r["root"] for r in simhash.components(simhash.links(table, tile=tile)).collect()}
+    roots = {r["node"] % 2**64: r["root"] for r in simhash.components(simhash.links(table, most=most, tile=tile)).collect()}
     label = [roots.get(f, f - (1 << 64) if f >> 63 else f) for f in fps]
     want = plain_components(fps, list(range(len(fps))))
     assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
 
 
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = [("hot", i) for i in range(300)] + [(f"k{i % 7}", i) for i in range(60)] + [("none", 1)]
+    counts = Counter(k for k, _ in rows if k != "none")
+    table = spark.createDataFrame(rows, "k string, i long")
+    keyed = spark.createDataFrame([(k, n, f"v{k}") for k, n in counts.items()], "k string, size long, v string")
+    got = common.join_split(table, keyed, "k", "size", "i")
+    assert Counter(map(tuple, got.select("k", "i", "v").collect())) == Counter((k, i, f"v{k}") for k, i in rows if k != "none")
+
+
 def test_drop_near_copies(spark):
     table = docs(spark, CORPUS)
     left = simhash.drop_near_copies(table)
