@@ -130,18 +130,14 @@ def maybe_in(spark: SparkSession, words: np.ndarray, key: Column) -> Column:
     return F.call_function("shiftrightunsigned", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def salt(column: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
-
-
 #: A key with more than one of this many parts of all rows is split in joins.
 HOT_PARTS = 1000
 #: Rows of a key that need not be split.
 HOT_ROWS = 10_000
 
 
-def join_split(rows: DataFrame, keyed: DataFrame, key: str, size: str, *by: str) -> DataFrame:
-    """rows joined with keyed, which has a row for each key and in ``size`` how many of rows have that key.
+def join_split(rows: DataFrame, keyed: DataFrame, key: str, size: str, *by: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with keyed, which has a row for each key and in ``size`` how many of rows have that key.
 
     A key with more than 1/HOT_PARTS of the rows is split by a hash of the columns ``by`` in parts of about that size. At most
     HOT_PARTS keys are that large, so the list of them, which is broadcast, is bounded whatever the input.
@@ -151,4 +147,8 @@ def join_split(rows: DataFrame, keyed: DataFrame, key: str, size: str, *by: str)
     hot = F.broadcast(keyed.where(F.col(size) > share).select(key, parts.alias("_parts")))
     left = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), "_parts").cast("int"), F.lit(0))).drop("_parts")
     copies = F.when(F.col(size) > share, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
-    return left.join(keyed.withColumn("_part", F.explode(copies)).drop(size), [key, "_part"]).drop("_part")
+    return left.join(keyed.withColumn("_part", F.explode(copies)).drop(size), [key, "_part"], how).drop("_part")
+
+
+def salt(column: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")

@@ -7,7 +7,8 @@ puts the records in gzip files: its line separator is the empty line that ends a
 
 Reading: files are parsed record by record; continuation records are grouped by origin identifier, ordered by segment
 number, their sum compared with the declared total length, and the chunked framing undone. A revisit takes its payload's
-size from the response it refers to. A segment that is missing or a sum that differs raises an error.
+size from the response it refers to. A file that is cut short, a segment that is missing or a sum that differs raises an
+error, or with ``strict=False`` becomes a row of its own beside what can be read. Files are inflated piece by piece.
 
 Defined cases: null html is an empty payload, null url an empty address; a null page_id is kept and is never preferred
 to a number; repeated rows with the kept page_id and payload are responses each; empty tables give empty archives; other
@@ -27,29 +28,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, salt, scratch_path, slices
+from .common import bit_map, join_split, maybe_in, only, scratch_path, slices, stored
 
 REVISIT_BYTES = 1000
 SEGMENT_CHARS = 16_384
 CHUNK_CHARS = 4096
+#: Records of a file. A record has at most SEGMENT_CHARS characters and a head, so a file has some 260 MB at most before compression.
 FILE_ROWS = 4000
-SALTS = 16
+MAP_BITS = 24
+#: Bytes that are inflated at a time on reading.
+READ = 1 << 20
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
 def decided(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, digest, refers_to (null for responses), revisit."""
+    """page_id, url, html, digest, refers_to (null for responses), revisit.
+
+    Digests alone are shuffled to find those that several pages have. Pages whose payload is small, or whose digest a bit map
+    shows not to be among these, stay where they are; only the others are joined.
+    """
     html = F.coalesce("html", F.lit(""))
-    all_ = only(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), salt(F.col("page_id"), SALTS).alias("salt"))
-    several = (
-        all_.where(F.octet_length("html") >= least)
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("digest", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
+    named = only(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
+    large = F.octet_length("html") >= least
+    several = stored(named.where(large).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    maybe = large & maybe_in(pages.sparkSession, bit_map(several.select(F.xxhash64("digest").alias("k")), "k", MAP_BITS), F.xxhash64("digest"))
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
-    return all_.join(several, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", F.when(revisit, F.col("keep")).alias("refers_to"), revisit.alias("revisit"))
+    alone = named.where(~maybe).withColumn("keep", F.lit(None).cast("long"))
+    met = join_split(named.where(maybe), several, "digest", "n", "page_id", "url", how="left")
+    return alone.unionByName(met).select("page_id", "url", "html", "digest", F.when(revisit, F.col("keep")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def record(fields: list[tuple[str, object]], block: str) -> str:
@@ -100,20 +106,51 @@ def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES, segm
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode().split("\r\n")
+def inflated(data: memoryview) -> Iterator[bytes]:
+    """The content of a gzip file, which may have several members, or of one that is not compressed, about READ bytes at a time."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[i : i + READ]) for i in range(0, len(data), READ))
+        return
+    while len(data):
+        member, at, rest = zlib.decompressobj(31), 0, b""
+        while not member.eof and (at < len(data) or rest):
+            piece = rest or bytes(data[at : at + READ // 16])
+            at += 0 if rest else len(piece)
+            yield member.decompress(piece, READ)
+            rest = member.unconsumed_tail
+        if not member.eof:
+            raise ValueError("a compressed file is cut short")
+        data = data[at - len(member.unused_data) :]
+
+
+def parse(data: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records (fields, block) of an archive's content, of which no more than a record and READ bytes are held."""
+    pieces, held = inflated(memoryview(data)), bytearray()
+
+    def fill(size: int) -> bool:
+        while len(held) < size:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while fill(1):
+        end, seen = held.find(b"\r\n\r\n"), 0
+        while end < 0:
+            seen = max(0, len(held) - 3)
+            if not fill(len(held) + 1):
+                raise ValueError("a record's head is cut short")
+            end = held.find(b"\r\n\r\n", seen)
+        first, *lines = held[:end].decode().split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError("no record where one should begin")
         fields = dict(x.split(": ", 1) for x in lines)
-        size = int(fields["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
-        if len(block) < size or data[at - 4 : at] != b"\r\n\r\n":
+        stop = end + 4 + int(fields["Content-Length"])
+        if not fill(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError("a record is cut short")
-        yield fields, block
+        yield fields, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
 
 
 def http_payload(block: bytes) -> bytes:
@@ -136,28 +173,34 @@ def http_payload(block: bytes) -> bytes:
 RAW = "kind string, origin string, segment int, total long, page_id long, refers_to long, declared string, block binary"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under path, in columns RAW."""
+def read_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Every record of the archives under path, in columns RAW.
+
+    A file that is broken off or malformed raises an error, or with strict=False gives its records up to there and one of kind
+    'damaged' with the file's name as origin and the reason in declared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda f, k: int(f[k]) if k in f else None
         for batch in batches:
-            for content in batch.column("content"):
-                data = content.as_buffer().to_pybytes()
-                if data[:2] == b"\x1f\x8b":
-                    data = zlib.decompress(data, 31)
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 rows, held = [], 0
-                for f, block in parse(data):
-                    kind = f["WARC-Type"]
-                    rows.append((kind, f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), number(f, "WARC-Segment-Number"), number(f, "WARC-Segment-Total-Length"), number(f, "WARC-Page-ID"), number(f, "WARC-Refers-To-Page-ID"), f.get("WARC-Payload-Digest", "sha1:")[5:], block))
-                    held += len(block)
-                    if held > 8 << 20:
-                        yield _batch(rows)
-                        rows, held = [], 0
+                try:
+                    for f, block in parse(memoryview(content.as_buffer())):
+                        kind = f["WARC-Type"]
+                        rows.append((kind, f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), number(f, "WARC-Segment-Number"), number(f, "WARC-Segment-Total-Length"), number(f, "WARC-Page-ID"), number(f, "WARC-Refers-To-Page-ID"), f.get("WARC-Payload-Digest", "sha1:")[5:], block))
+                        held += len(block)
+                        if held > 8 << 20:
+                            yield _batch(rows)
+                            rows, held = [], 0
+                except (ValueError, KeyError, zlib.error) as e:
+                    if strict:
+                        raise
+                    rows.append(("damaged", name, None, None, None, None, str(e), None))
                 if rows:
                     yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     return files.mapInArrow(run, RAW)
 
 
@@ -167,10 +210,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def reassembled(records: DataFrame) -> DataFrame:
-    """One row for each response: segments joined in order of their numbers, the total length verified."""
-    kept = ["kind", "page_id", "refers_to", "declared", "block"]
-    whole = records.where("segment is null").select(*kept)
+def reassembled(records: DataFrame, strict: bool = True) -> DataFrame:
+    """One row for each response, with its blocks in order of segment numbers and the total length verified.
+
+    Where segments are missing or of another length an error is raised, or with strict=False the row is of kind 'damaged'.
+    """
+    kept = ["kind", "page_id", "refers_to", "declared"]
+    whole = records.where("segment is null").select(*kept, F.array("block").alias("blocks"))
     parts = (
         records.where("segment is not null")
         .groupBy("origin")
@@ -179,28 +225,42 @@ def reassembled(records: DataFrame) -> DataFrame:
     first = F.element_at("s", 1)
     sizes = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     complete = (first["kind"] == "response") & (F.element_at("s", -1)["segment"] == F.size("s")) & (F.element_at("s", -1)["total"] == sizes)
-    checked = parts.withColumn("block", F.when(F.coalesce(complete, F.lit(False)), F.unhex(F.array_join(F.transform("s", lambda x: F.hex(x["block"])), ""))).otherwise(F.raise_error(F.concat(F.lit("segments missing or of another length: "), F.col("origin")))))
-    return whole.unionByName(checked.select(first["kind"].alias("kind"), first["page_id"].alias("page_id"), first["refers_to"].alias("refers_to"), first["declared"].alias("declared"), "block"))
+    wrong = F.concat(F.lit("segments missing or of another length: "), F.col("origin"))
+    kind = F.when(F.coalesce(complete, F.lit(False)), first["kind"]).otherwise(F.raise_error(wrong) if strict else F.lit("damaged"))
+    joined = parts.select(kind.alias("kind"), first["page_id"].alias("page_id"), first["refers_to"].alias("refers_to"), F.when(kind == "damaged", wrong).otherwise(first["declared"]).alias("declared"), F.transform("s", lambda x: x["block"]).alias("blocks"))
+    return whole.unionByName(joined)
+
 
+def read_archives(spark: SparkSession, path: str, with_payload: bool = False, strict: bool = True) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (and payload of responses) of each archived page.
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to (and payload of responses) of each archived page."""
+    With strict=False broken files, incomplete segments and payloads that differ from their digest are rows of record_type
+    'damaged', whose payload_digest says what is wrong, and the rest is read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, digest, payload = [], [], []
-            for kind, declared, block in zip(batch.column("kind").to_pylist(), batch.column("declared").to_pylist(), batch.column("block").to_pylist()):
-                body = http_payload(block) if kind == "response" else b""
-                found = hashlib.sha1(body).hexdigest() if kind == "response" else declared
-                if found != declared:
-                    raise ValueError("a payload differs from its digest")
+            kinds, size, digest, payload = [], [], [], []
+            for kind, declared, blocks in zip(batch.column("kind").to_pylist(), batch.column("declared").to_pylist(), batch.column("blocks")):
+                body, found = b"", declared
+                if kind == "response":
+                    try:
+                        body = http_payload(b"".join(b.as_buffer() for b in blocks.values))
+                        found = hashlib.sha1(body).hexdigest()
+                        if found != declared:
+                            raise ValueError("a payload differs from its digest")
+                    except ValueError as e:
+                        if strict:
+                            raise
+                        kind, body, found = "damaged", b"", str(e)
+                kinds.append(kind)
                 size.append(len(body))
                 digest.append(found)
                 payload.append(body if with_payload and kind == "response" else None)
-            cols = [batch.column("page_id"), pa.array(size, pa.int64()), pa.array(digest, pa.string()), batch.column("kind"), batch.column("refers_to"), pa.array(payload, pa.binary())]
+            cols = [batch.column("page_id"), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(kinds, pa.string()), batch.column("refers_to"), pa.array(payload, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    rows = reassembled(read_records(spark, path)).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    rows = reassembled(read_records(spark, path, strict), strict).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     if not with_payload:
         rows = rows.drop("payload")
     return rows
@@ -208,16 +268,14 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 def resolved(rows: DataFrame) -> DataFrame:
     """Revisits take payload_bytes from the response they refer to."""
-    responses = rows.where("record_type = 'response'")
-    revisits = rows.where("record_type = 'revisit'").drop("payload_bytes").withColumn("salt", salt(F.col("page_id"), SALTS))
-    known = (
-        responses.where("page_id is not null")
-        .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
-        .agg(F.first("payload_bytes").alias("payload_bytes"))
-        .join(revisits.select("refers_to", "payload_digest").distinct(), ["refers_to", "payload_digest"])
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    return responses.unionByName(revisits.join(known, ["refers_to", "payload_digest", "salt"]).select(*responses.columns))
+    others, revisits = rows.where("record_type <> 'revisit'"), rows.where("record_type = 'revisit'").drop("payload_bytes")
+    key = F.struct("page_id", "payload_digest")
+    # a page_id may have responses of several payloads, and the same one again
+    sizes = rows.where("record_type = 'response' and page_id is not null").groupBy(key.alias("key")).agg(F.first("payload_bytes").alias("payload_bytes"))
+    wanted = revisits.groupBy(F.struct(F.col("refers_to").alias("page_id"), "payload_digest").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    known = stored(wanted.join(sizes, "key"), "known")
+    keyed = revisits.withColumn("key", F.struct(F.col("refers_to").alias("page_id"), "payload_digest"))
+    return others.unionByName(join_split(keyed, known, "key", "n", "page_id").select(*others.columns))
 
 
 def archive_digests(pages: DataFrame) -> DataFrame:

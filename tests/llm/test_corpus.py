@@ -1,10 +1,12 @@
 """The corpus operators against plain Python on small tables, with nulls, empty and long texts, ties, repeats and odd columns."""
 
+import gzip
 import hashlib
 import itertools
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -422,6 +424,41 @@ def test_a_missing_segment_is_noticed(spark, tmp_path):
         warc.reassembled(records.where("segment is null or segment <> 2")).collect()
 
 
+def test_damaged_archives(spark, tmp_path):
+    """With strict=False a broken file, a lost segment and a wrong payload are rows of their own, and the rest is read."""
+    path = tmp_path / "w"
+    table = spark.createDataFrame([(i, "u", f"page {i} " + "q" * 300) for i in range(40)] + [(50, "u", "r" * 50_000)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(table, f"file://{path}")
+    (file,) = path.glob("*.gz")
+    data = gzip.decompress(file.read_bytes())
+    whole = {r["page_id"]: r["payload_bytes"] for r in warc.read_archives(spark, f"file://{path}", strict=False).collect()}
+    assert len(whole) == 41
+    (path / "half.gz").write_bytes(gzip.compress(data[: len(data) // 9]))
+    (path / "short.gz").write_bytes(gzip.compress(data[:4000])[:-30])
+    (path / "wrong.gz").write_bytes(gzip.compress(data.replace(b"page 7 ", b"page 8 ").replace(b"WARC-Segment-Number: 2", b"WARC-Segment-Number: 7")))
+    with pytest.raises(Exception, match="cut short|missing|differs"):
+        warc.read_archives(spark, f"file://{path}").collect()
+    rows = warc.read_archives(spark, f"file://{path}", strict=False).collect()
+    kinds = Counter(r["record_type"] for r in rows)
+    reasons = {r["payload_digest"].split(":")[0] for r in rows if r["record_type"] == "damaged"}
+    assert {"a payload differs from its digest", "segments missing or of another length"} <= reasons and any("cut short" in x for x in reasons)
+    assert kinds["response"] > 41 + 38 and {r["page_id"] for r in rows if r["record_type"] == "response"} >= set(whole) - {50}
+
+
+def test_large_records_are_inflated_piece_by_piece():
+    rng = random.Random(1)
+    blocks = [rng.randbytes(n) for n in (0, 1, 3_000_000, 1 << 20, 5)]
+    files = [b"".join(f"WARC/1.1\r\nN: {i}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, b in enumerate(blocks))]
+    members = b"".join(gzip.compress(files[0][i : i + 700_001]) for i in range(0, len(files[0]), 700_001))
+    for data in (files[0], gzip.compress(files[0]), members):
+        assert [(f["N"], b) for f, b in warc.parse(data)] == [(str(i), b) for i, b in enumerate(blocks)]
+    bomb = gzip.compress(b"WARC/1.1\r\nContent-Length: 1000\r\n\r\n" + b"z" * 1000 + b"\r\n\r\n" + (b"WARC/1.1\r\nContent-Length: 100000\r\n\r\n" + b"z" * 100_000 + b"\r\n\r\n") * 600)
+    tracemalloc.start()
+    assert sum(len(b) for _, b in warc.parse(bomb)) == 60_001_000
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
 def test_chunks():
     assert warc.http_payload(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\nA;x=1\r\n0123456789\r\n0\r\n\r\n") == b"abc0123456789"
     assert warc.http_payload(b"HTTP/1.1 200 OK\r\n\r\nabc") == b"abc"
