@@ -28,14 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_map, in_bit_map, maybe_in, only, salt, slices, stored
+from .common import bit_map, in_bit_map, join_split, maybe_in, only, slices, stored
 
 WHITE = b" \t\n\x0b\x0c\r"
 MEMTABLE = 200_000
 SHARD_ROWS = 250_000
 FILTER_BITS = 26
 GONE_BITS = 24
-SALTS = 16
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -199,22 +198,20 @@ def exact_dedup(docs: DataFrame, key_bytes: int = 16, memtable: int = MEMTABLE)
                 yield out.filter(may)
 
     found = stored(only(docs, "doc_id", "text").mapInArrow(hits, "row long, doc_id long, n_chars long, sha binary, norm binary, tag long"), "hits").withColumn("key", key)
+    # rows of one digest are many where a text has many copies, so joins on it split such keys
     keepers = (
         found.join(groups, (found["key"] == groups["key"]) & found["doc_id"].eqNullSafe(groups["keep_id"]) & (found["n_chars"] == groups["keep_chars"]))
-        .groupBy(found["key"].alias("key"))
+        .groupBy(found["key"].alias("key"), groups["size"].alias("size"))
         .agg(F.min_by("norm", "row").alias("kept_norm"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     verified = stored(
-        found.withColumn("salt", salt(F.col("row"), SALTS))
-        .join(keepers, ["key", "salt"])
-        .select("row", "doc_id", "n_chars", "sha", "tag", "key", F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other")),
+        join_split(found, stored(keepers, "keepers"), "key", "size", "row").select("row", "doc_id", "n_chars", "sha", "tag", F.struct("key", F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other")).alias("text")),
         "verified",
     )
     best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    final = verified.groupBy("key", "other").agg(F.count(F.lit(1)).alias("size"), F.min(best).alias("best"))
-    copies = verified.alias("v").join(final.alias("f"), (F.col("v.key") == F.col("f.key")) & F.col("v.other").eqNullSafe(F.col("f.other"))).select(
-        "v.row", "v.doc_id", "v.sha", "v.tag", F.col("f.best.doc_id").alias("keep_id"), F.col("f.size").alias("group_size"), (F.col("v.row") == F.col("f.best.row")).alias("kept")
+    final = stored(verified.groupBy("text").agg(F.count(F.lit(1)).alias("group_size"), F.count(F.lit(1)).alias("size"), F.min(best).alias("best")), "final")
+    copies = join_split(verified, final, "text", "size", "row").select(
+        "row", "doc_id", "sha", "tag", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept")
     )
     single = table.join(groups.select("key"), "key", "left_anti").select("row", "doc_id", "sha", "tag", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return single.unionByName(copies)
