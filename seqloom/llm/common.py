@@ -148,7 +148,3 @@ def join_split(rows: DataFrame, keyed: DataFrame, key: str, size: str, *by: str,
     left = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), "_parts").cast("int"), F.lit(0))).drop("_parts")
     copies = F.when(F.col(size) > share, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
     return left.join(keyed.withColumn("_part", F.explode(copies)).drop(size), [key, "_part"], how).drop("_part")
-
-
-def salt(column: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")

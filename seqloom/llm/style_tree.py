@@ -1,20 +1,29 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree. A node is a place in the layout: the path of tags with their classes. Every
-node counts the presentations of its children and the contents of its own text over the host's pages. A node's importance is
-the entropy of its contents (or presentations), scaled to 1 where every page differs; inner nodes mix their own presentation
-with their children's importance. Branches under ``LOW`` are noise (the same on all pages) and are cut from every page.
-
-Entropy alone keeps menus and adverts that differ from page to page, so nodes that name themselves as such (elements like
-nav, footer, aside and form; class, id and role words like ad, menu, comments) have importance 0 beforehand, and a page
-with an article or main element gives the text inside it only, which entropy never cuts: an article copied to many
-pages is content all the same.
-
-Text: character references decoded, white space in a block made one space, trimmed, blocks joined by one space.
-
-Defined cases: null html is an empty page with empty text; a null url is a host of its own; tags left open end with
-their parents; comments, scripts, styles, titles and the like are never text; repeated rows each give a row; hosts with
-fewer than ``PAGES`` pages lose nothing to entropy; other columns are not read.
+The pages of a host are merged into one tree. A node is a place in the layout: the path of tags with their classes (and, for
+layout elements, their number among siblings of that name; levels below ``DEPTH`` count as the one at ``DEPTH``). Over the
+host's pages each node has a distribution of presentations (the sequence of its children) and one of contents (its own text),
+whose entropies are scaled to 1 where every page differs.
+
+* A branch's importance is the larger of its presentation's entropy and the mean entropy of the contents below it, by words.
+  Branches under ``LOW`` say the same on all pages: they are noise and are cut.
+* The deepest branch that has more than half of the host's words and whose presentation's entropy is ``HIGH`` or more is the
+  content: it is laid out anew on each page, and nothing in it is cut by entropy. What stands beside it is noise, be it ever so
+  different from page to page.
+
+Names are a prior where entropy cannot tell. Elements, roles and class or id words for noise (nav, footer, form, ad, cookie,
+comments, ...) have importance 0, as reader comments differ from page to page like an article does. Words that are noise at
+times only (related, share, ...) and ``header`` count outside content. Text in ``article`` and ``main`` is content and is never
+cut by entropy, as an article may be copied to many pages; headings, sections and paragraphs in it are not judged by words.
+
+Text: character references decoded, white space in a block made one space, trimmed, blocks joined by one space. If a page has
+text in content, only that is taken.
+
+Defined cases: null html is an empty page with empty text; pages with a null url have one host in common; tags left open end
+with their parents, and one that is never closed by ``>`` is text; comments, scripts, styles, titles and the like are never
+text; repeated rows each give a row; branches on fewer than ``PAGES`` pages or than ``SHARE`` of the host's (which bounds
+their number by the size of a page) are never cut by entropy; other columns are not read. All steps take time in proportion
+to a page's length.
 """
 
 from __future__ import annotations
@@ -29,27 +38,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, salt, slices, stored
+from .common import join_split, only, slices, stored
 
 LOW = 0.3
+HIGH = 0.5
+MAIN = 0.5
 PAGES = 4
-DECAY = 0.9
-SALTS = 16
+SHARE = 0.02
+DEPTH = 64
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_text = re.compile(r"[^<]+")
+_name = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_unquoted = re.compile(r"[^>\"']*")
 _attribute = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _words = re.compile(r"[a-z]+|[0-9]+", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg object math".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+_ends = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+LAYOUT = frozenset("div section table ul ol dl header aside nav footer form main article".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NOISE_TAGS = frozenset("nav footer aside form button select dialog menu head label input".split())
+CONTENT = frozenset("article main".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p section blockquote figure figcaption pre table".split())
+NOISE_TAGS = frozenset("nav footer aside form button select dialog menu label input".split())
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
-    "masthead cookie cookies consent notice notices alert popup modal overlay comment comments discussion disqus respond share sharing social related recommended "
-    "subscribe subscription newsletter signup login pagination pager toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
+    "cookie cookies consent notice notices popup modal overlay comment comments disqus newsletter signup login pagination pager".split()
 )
+AT_TIMES = frozenset("promo promotion alert discussion respond share sharing social related recommended subscribe subscription toolbar widget".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
 
@@ -58,118 +75,169 @@ def _hash(*parts: object) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "name", "path", "depth", "noise", "main", "children")
+    __slots__ = ("tag", "name", "path", "above", "noise", "main", "children", "numbers")
 
-    def __init__(self, tag: str, name: str, path: int, depth: int, noise: bool, main: bool):
-        self.tag, self.name, self.path, self.depth, self.noise, self.main, self.children = tag, name, path, depth, noise, main, []
+    def __init__(self, tag: str, name: str, path: int, above: tuple[int, ...], noise: bool, main: bool):
+        self.tag, self.name, self.path, self.above, self.noise, self.main, self.children, self.numbers = tag, name, path, above, noise, main, [], {}
 
 
 ROOT = _hash("root")
 
 
-def walk(page: str) -> Iterator[tuple[str, Node, str]]:
+class Ends:
+    """Where tags end, each character looked at once: quotes that are never closed, or hide all ends, do not count."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+
+    def find(self, at: int) -> int:
+        page, i = self.page, at
+        if at > self.last[">"]:
+            return -1
+        while self.quoted:
+            i = _unquoted.match(page, i).end()
+            if i == len(page):
+                self.quoted = False
+            elif page[i] == ">":
+                return i
+            else:
+                i = i + 1 if i >= self.last[page[i]] else page.index(page[i], i + 1) + 1
+        return page.find(">", at)
+
+
+def named(tag: str, attributes: str, up: Node) -> tuple[bool, bool]:
+    """Whether an element's name says that it is noise, or content."""
+    found = {k.lower(): a or b or c or "" for k, a, b, c in _attribute.findall(attributes)} if "=" in attributes else {}
+    role = found.get("role", "").lower()
+    content = tag in CONTENT or role in CONTENT
+    if tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in attributes.lower().split() or (tag == "header" and not up.main):
+        return True, content
+    if tag in ("html", "body") or (up.main and tag in PROSE):
+        return False, content
+    words = {w.lower() for w in _words.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+    return not words.isdisjoint(NOISE_WORDS) or (not up.main and not words.isdisjoint(AT_TIMES)), content
+
+
+def styled(tag: str, attributes: str) -> str:
+    found = re.search(r"(?i)(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", attributes) if attributes else None
+    classes = sorted((found[1] or found[2] or found[3] or "").lower().split()) if found else []
+    return ".".join([tag, *classes])
+
+
+def walk(page: str, names: bool = True) -> Iterator[tuple[str, Node, str]]:
     """('open', node, ''), ('text', node, decoded text), ('break', node, '') and ('close', node, '') in page order."""
-    root = Node("", "", ROOT, 0, False, False)
-    stack = [root]
-    at = 0
-    while m := _token.match(page, at):
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                yield "text", stack[-1], entities.unescape(text) if "&" in text else text
+    root = Node("", "", ROOT, (), False, False)
+    stack, open_ = [root], Counter()
+    ends, at = Ends(page), 0
+
+    def closed() -> tuple[str, Node, str]:
+        node = stack.pop()
+        open_[node.tag] -= 1
+        return "close", node, ""
+
+    while at < len(page):
+        if page[at] != "<":
+            m = _text.match(page, at)
+            at = m.end()
+            yield "text", stack[-1], entities.unescape(m[0]) if "&" in m[0] else m[0]
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        m = _name.match(page, at)
+        if not m and page[at + 1 : at + 2] not in ("!", "?"):
+            yield "text", stack[-1], "<"
+            at += 1
             continue
-        tag = tag.lower()
+        end = ends.find(m.end()) if m else page.find(">", at) if at < ends.last[">"] else -1
+        if end < 0:
+            rest = page[at:]
+            yield "text", stack[-1], entities.unescape(rest) if "&" in rest else rest
+            break
+        attributes, at = (page[m.end() : end] if m else ""), end + 1
+        if not m:
+            continue
+        tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        yield "close", stack.pop(), ""
-                    break
-            else:
-                if tag not in INLINE:
-                    yield "break", stack[-1], ""
+            if open_[tag]:
+                while stack[-1].tag != tag:
+                    yield closed()
+                yield closed()
+            elif tag not in INLINE:
+                yield "break", stack[-1], ""
             continue
         if tag in VOID:
             yield "break", stack[-1], ""
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = _ends[tag].search(page, at)
+            at = found.end() if found else len(page)
             continue
         drop = 0
-        if tag in CLOSES_P:
-            drop = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-        elif tag in SIBLINGS:
+        if tag in CLOSES_P and open_["p"]:
+            drop = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p")
+        elif tag in SIBLINGS and any(open_[x] for x in SIBLINGS[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SIBLINGS[tag]:
                     drop = i
                 elif stack[i].tag in ("ul", "ol", "dl", "table", "select"):
                     break
         while drop and len(stack) > drop:
-            yield "close", stack.pop(), ""
-        found = {k.lower(): a or b or c or "" for k, a, b, c in _attribute.findall(m[3])} if m[3].strip() else {}
-        name = tag if not found.get("class") else f"{tag}.{'.'.join(sorted(found['class'].lower().split()))}"
-        up = stack[-1]
-        main = up.main or tag in ("article", "main") or found.get("role", "").lower() in ("main", "article")
-        noise = up.noise or tag in NOISE_TAGS or (tag == "header" and not up.main) or "hidden" in m[3].lower().split() or found.get("role", "").lower() in NOISE_ROLES
-        if not noise and found and tag not in ("html", "body"):
-            said = f"{found.get('class', '')} {found.get('id', '')}"
-            noise = any(w.lower() in NOISE_WORDS for w in _words.findall(said))
-        node = Node(tag, name, _hash(up.path, name), up.depth + 1, noise, main and not noise)
+            yield closed()
+        up, name = stack[-1], styled(tag, attributes)
+        noise, main = named(tag, attributes, up) if names else (False, False)
+        noise |= up.noise
         up.children.append(name)
-        if not m[3].rstrip().endswith("/"):
+        path, above = up.path, up.above
+        if len(above) < DEPTH:
+            number = up.numbers.get(name, 0) if tag in LAYOUT else 0
+            if tag in LAYOUT:
+                up.numbers[name] = number + 1
+            path, above = _hash(up.path, name, number), (*above, up.path)
+        node = Node(tag, name, path, above, noise, (up.main or main) and not noise)
+        if not attributes.endswith("/"):
             stack.append(node)
+            open_[tag] += 1
             yield "open", node, ""
     while len(stack) > 1:
-        yield "close", stack.pop(), ""
+        yield closed()
     yield "close", root, ""
 
 
-def observed(page: str) -> Iterator[tuple[int, int, int, str, int]]:
-    """(path, parent, depth, kind, value): the children's presentation ('p') and own content ('c') of each node outside noise."""
-    parents = {ROOT: ROOT}
-    texts: dict[int, list[str]] = {}
-    open_: list[int] = [ROOT]
-    for kind, node, text in walk(page):
+def observed(page: str, names: bool = True) -> Iterator[tuple[int, tuple[int, ...], str, int, int]]:
+    """(path, the paths above it, kind, value, words): children's presentation ('p') and own content ('c') of nodes outside noise."""
+    texts: list[list[str]] = [[]]
+    for kind, node, text in walk(page, names):
         if kind == "open":
-            parents[node.path] = open_[-1]
-            open_.append(node.path)
+            texts.append([])
         elif kind == "text" and not node.noise and not text.isspace():
-            texts.setdefault(node.path, []).append(text)
+            texts[-1].append(text)
         elif kind == "close":
-            if node.path != ROOT:
-                open_.pop()
+            own = "".join(texts.pop()).split()
             if not node.noise and node.children:
-                yield node.path, parents[node.path], node.depth, "p", _hash(*node.children)
-            if own := texts.pop(node.path, None):
-                yield node.path, parents[node.path], node.depth, "c", _hash(" ".join("".join(own).split()))
+                yield node.path, node.above, "p", _hash(*node.children), 0
+            if own:
+                yield node.path, node.above, "c", _hash(" ".join(own)), len(own)
 
 
-def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
-    """The text of the page without noise; inside article or main elements only, if there are any with text."""
+def main_text(page: str, content: frozenset[int] = frozenset(), low: frozenset[int] = frozenset(), names: bool = True) -> str:
+    """The text of the page without noise: that in content only, if there is any."""
     inside, outside = [], []
-    cut = 0
-    for kind, node, text in walk(page):
-        if kind == "open":
-            cut += node.path in low and not node.main
-            if node.tag not in INLINE:
-                inside.append(" ")
-                outside.append(" ")
-        elif kind == "close":
-            cut -= node.path in low and not node.main
-            if node.tag not in INLINE:
-                inside.append(" ")
-                outside.append(" ")
-        elif kind == "break":
+    cut = core = 0
+    for kind, node, text in walk(page, names):
+        if kind == "text":
+            if not node.noise and (node.main or core or not cut):
+                (inside if node.main or core else outside).append(text)
+            continue
+        if kind != "break":
+            step = 1 if kind == "open" else -1
+            cut += step * (node.path in low)
+            core += step * (node.path in content)
+        if node.tag not in INLINE or kind == "break":
             inside.append(" ")
             outside.append(" ")
-        elif not node.noise:
-            if node.main:
-                inside.append(text)
-            elif not cut:
-                outside.append(text)
     return " ".join("".join(inside).split()) or " ".join("".join(outside).split())
 
 
@@ -177,61 +245,68 @@ def host() -> Column:
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def low_branches(pages: DataFrame, low: float = LOW, least: int = PAGES) -> DataFrame:
-    """host, low array<long>: the paths of each host's tree that are cut."""
+def branches(pages: DataFrame, names: bool = True) -> DataFrame:
+    """host, path, above, entries, words, presentation and importance of each branch of the hosts' trees.
+
+    Counts are added up in the tasks and across them; no host's tree is brought together in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                seen = Counter()
+                seen, words = Counter(), Counter()
                 for site, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    for x in set(observed(page or "")):
-                        seen[site, *x] += 1
-                cols = list(zip(*((*k, n) for k, n in seen.items()))) or [[]] * 7
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "path", "parent", "depth", "kind", "value", "n"])
-
-    rows = pages.mapInArrow(run, "host string, path long, parent long, depth int, kind string, value long, n long")
-    counted = rows.groupBy("host", "path", "parent", "depth", "kind", "value").agg(F.sum("n").alias("n"))
+                    for key, n in {(site, *x[:4]): x[4] for x in observed(page or "", names)}.items():
+                        seen[key] += 1
+                        words[key] += n
+                cols = list(zip(*((*k, n, words[k]) for k, n in seen.items()))) or [[]] * 7
+                kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "path", "above", "kind", "value", "n", "words"])
+
+    rows = pages.mapInArrow(run, "host string, path long, above array<long>, kind string, value long, n long, words long")
+    counted = rows.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.first("above").alias("above"))
     n = F.col("n").cast("double")
-    nodes = counted.groupBy("host", "path", "parent", "depth", "kind").agg(F.sum(n).alias("pages"), F.sum(n * F.log(n)).alias("s"))
-    entropy = F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0)
-
-    def weigh(table: pa.Table) -> pa.Table:
-        tree: dict[int, dict] = {}
-        for r in table.to_pylist():
-            node = tree.setdefault(r["path"], {"parent": r["parent"], "depth": r["depth"], "pages": 0.0, "children": []})
-            node[r["kind"]] = r["entropy"]
-            node["pages"] = max(node["pages"], r["pages"])
-        cut = []
-        for path, node in sorted(tree.items(), key=lambda x: -x[1]["depth"]):
-            below = node["children"]
-            parts = [node["c"]] if "c" in node else []
-            if below:
-                share = DECAY ** len(below)
-                mean = sum(w * i for w, i in below) / sum(w for w, _ in below)
-                parts.append((1 - share) * node.get("p", 1.0) + share * mean)
-            node["importance"] = max(parts) if parts else node.get("p", 1.0)
-            if node["pages"] >= least and node["importance"] < low and path != ROOT:
-                cut.append(path)
-            if node["parent"] in tree and node["parent"] != path:
-                tree[node["parent"]]["children"].append((node["pages"], node["importance"]))
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "low": pa.array([cut], pa.list_(pa.int64()))})
-
-    return nodes.select("host", "path", "parent", "depth", "kind", "pages", entropy.alias("entropy")).groupBy("host").applyInArrow(weigh, "host string, low array<long>")
-
-
-def extract(pages: DataFrame, low: float = LOW, least: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars of each page."""
+    totals = counted.groupBy("host", "path", "kind").agg(F.sum("n").alias("entries"), F.sum(n * F.log(n)).alias("s"), F.sum("words").alias("words"), F.first("above").alias("above"))
+    entropy = F.when(F.col("entries") > 1, (F.log("entries") - F.col("s") / F.col("entries")) / F.log("entries")).otherwise(1.0)
+    own = F.struct("path", "above", "entries", F.when(F.col("kind") == "p", entropy).alias("presentation"))
+    # what a node's contents add to its own branch and to those above it
+    shares = totals.select("host", "kind", "words", (F.col("words") * entropy).alias("weighed"), own.alias("own"))
+    spread = shares.withColumn("branch", F.explode(F.when(F.col("kind") == "c", F.concat("own.above", F.array("own.path"))).otherwise(F.array("own.path"))))
+    mine = F.when(F.col("branch") == F.col("own.path"), F.col("own"))
+    found = spread.groupBy("host", F.col("branch").alias("path")).agg(
+        F.sum("words").alias("words"), F.sum("weighed").alias("weighed"), F.first(mine["above"], True).alias("above"), F.max(mine["entries"]).alias("entries"), F.max(mine["presentation"]).alias("presentation")
+    )
+    mean = F.when(F.col("words") > 0, F.col("weighed") / F.col("words"))
+    return found.select("host", "path", "above", "entries", "words", "presentation", F.greatest("presentation", mean).alias("importance"))
+
+
+def trees(pages: DataFrame, low: float = LOW, high: float = HIGH, least: int = PAGES, names: bool = True) -> DataFrame:
+    """host, pages (their number), content array<long>, low array<long>: the branches of each host that are content or cut."""
+    found = stored(branches(pages, names), "branches")
+    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).join(found.where(F.col("path") == ROOT).select("host", F.col("words").alias("all_words")), "host", "left")
+    often = found.join(stored(hosts, "hosts"), "host").where((F.col("path") != ROOT) & (F.col("entries") >= least) & (F.col("entries") >= SHARE * F.col("pages")))
+    is_content = (F.col("presentation") >= high) & (F.col("words") > MAIN * F.col("all_words"))
+    is_low = F.col("importance") < low
+    listed = often.where(is_content | is_low).groupBy("host").agg(
+        F.collect_list(F.when(is_content, F.struct("path", "above"))).alias("content"), F.collect_list(F.when(is_low, F.struct("path", "above"))).alias("low")
+    )
+    paths = lambda x: F.transform(x, lambda y: y["path"])
+    inner = F.filter("content", lambda x: ~F.exists("content", lambda y: F.array_contains(y["above"], x["path"])))
+    outer = F.filter("low", lambda x: ~F.arrays_overlap(x["above"], paths(F.col("low"))))
+    return hosts.select("host", "pages").join(listed.select("host", paths(inner).alias("content"), paths(outer).alias("low")), "host", "left")
+
+
+def extract(pages: DataFrame, low: float = LOW, high: float = HIGH, least: int = PAGES, names: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars of each page. Without ``names`` entropy alone decides."""
     sited = only(pages, "page_id", "url", "html").withColumn("host", host())
-    trees = stored(low_branches(sited.select("host", "html"), low, least).where("size(low) > 0"), "trees")
-    salted = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = sited.withColumn("salt", salt(F.xxhash64("page_id", "url"), SALTS)).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "low")
+    known = stored(trees(sited.select("host", "html"), low, high, least, names), "trees")
+    joined = join_split(sited, known, "host", "pages", "page_id", "url").select("page_id", "url", "html", "content", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                texts = [main_text(p or "", frozenset(x or ())) for p, x in zip(part.column("html").to_pylist(), part.column("low").to_pylist())]
+                columns = [part.column(k).to_pylist() for k in ("html", "content", "low")]
+                texts = [main_text(p or "", frozenset(c or ()), frozenset(x or ()), names) for p, c, x in zip(*columns)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -125,6 +126,76 @@ def test_style_tree_cuts_what_repeats(spark):
     assert style_tree.extract(table.limit(0)).count() == 0
 
 
+def plain_trees(pages, names):
+    """Content and low branches of each host: entropies over plain counts, one host after the other."""
+    out = {}
+    for site in {h for h, _ in pages}:
+        own = [p for h, p in pages if h == site]
+        counts, size, above = defaultdict(Counter), Counter(), {}
+        for page in own:
+            for path, up, kind, value, n in set(style_tree.observed(page or "", names)):
+                counts[path, kind][value] += 1
+                above[path] = up
+                size[path, value] += n if kind == "c" else 0
+        entropy = {k: 1.0 if (n := c.total()) < 2 else -sum(x / n * math.log(x / n) for x in c.values()) / math.log(n) for k, c in counts.items()}
+        words, weighed = Counter(), Counter()
+        for path, kind in counts:
+            if kind == "c":
+                n = sum(size[path, v] for v in counts[path, "c"])
+                for branch in (*above[path], path):
+                    words[branch] += n
+                    weighed[branch] += n * entropy[path, "c"]
+        often = [p for p in above if p != style_tree.ROOT and (n := max(counts[p, k].total() for k in "pc")) >= style_tree.PAGES and n >= style_tree.SHARE * len(own)]
+        content = [p for p in often if entropy.get((p, "p"), -1) >= style_tree.HIGH and words[p] > style_tree.MAIN * words[style_tree.ROOT]]
+        low = [p for p in often if max(entropy.get((p, "p"), -1), weighed[p] / words[p] if words[p] else -1) < style_tree.LOW]
+        out[site] = ({p for p in content if not any(p in above[q] for q in content)}, {p for p in low if not set(above[p]) & set(low)})
+    return out
+
+
+def site(host, n, seed, article="article", nav="nav", ad="div class=ad", footer="footer"):
+    """Pages whose menus, adverts and footers all differ; only their form repeats."""
+    rng = random.Random(seed)
+    close = lambda x: f"</{x.split()[0]}>"
+    for i in range(n):
+        menu = "".join(f"<li><a href=/x>{rng.choice('abc')}{rng.randrange(99)}</a></li>" for _ in range(6))
+        body = f"<h1>{words(8, rng.random(), 9999)}</h1>" + "".join(f"<p>{words(rng.randrange(2, 90), rng.random(), 9999)}</p>" + "<ul><li>x</ul>" * rng.randrange(2) for _ in range(rng.randrange(2, 12)))
+        legal = "<div class=legal><p>All rights of nobody</p></div>"
+        yield f"http://{host}/{i}", f"<html><body><{nav}><ul>{menu}</ul>{close(nav)}<{ad}>{words(rng.randrange(3, 12), rng.random())}{close(ad)}<{article}>{body}{close(article)}{legal}<{footer}>{words(9, rng.random())}{close(footer)}</body></html>", body
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_style_trees_against_plain_python(spark, names):
+    pages = [*site("a.example", 30, 1), *site("b.example", 12, 2, "div", "div", "div", "div"), *site("c.example", 3, 3), *site("d.example", 9, 4, "section id=x", "div class=menu", "p", "header")]
+    pages += [("http://e.example/", f"<div><div>{words(3, i % 2)}</div><div>same</div><section><p>{words(40, i)}<p>{words(i, i)}</section></div>", "") for i in range(11)] + [(None, None, ""), ("x", "", "")]
+    table = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    sited = table.select(style_tree.host().alias("host"), "html")
+    want = plain_trees([tuple(r) for r in sited.collect()], names)
+    got = {r["host"]: (set(r["content"] or []), set(r["low"] or [])) for r in style_tree.trees(sited, names=names).collect()}
+    assert got == want and sum(len(c) for c, _ in got.values()) >= 3 and sum(len(x) for _, x in got.values()) >= 2
+    of = {r["host"]: r for r in style_tree.trees(sited, names=names).collect()}
+    hosts = {r["page_id"]: r["host"] for r in table.select("page_id", style_tree.host().alias("host")).collect()}
+    for r in style_tree.extract(table, names=names).collect():
+        i = r["page_id"]
+        assert r["text"] == style_tree.main_text(pages[i][1] or "", frozenset(of[hosts[i]]["content"] or ()), frozenset(of[hosts[i]]["low"] or ()), names)
+        if pages[i][2] and (names or "c.example" not in pages[i][0]):  # three pages are too few for entropy
+            assert r["text"] == style_tree.main_text(pages[i][2])
+
+
+def test_names_in_articles():
+    page = '<article><h2 id="related-work">Related work</h2><p>Body <math>x+y</math> text.</p><section id="discussion"><p>We discuss.</p></section><svg/><div class="comments">Bad</div><object>shown</object></article><div class=related>Bad</div>'
+    assert style_tree.main_text(page) == "Related work Body x+y text. We discuss. shown"
+
+
+def test_long_pages():
+    start = time.perf_counter()
+    assert style_tree.main_text("<p>one" + "<a " * 350_000) == " ".join(("one" + "<a " * 350_000).split())
+    assert style_tree.main_text("<b a='" + "<a b='' c=\"" * 90_000 + "x") and style_tree.main_text('<a "x>"' * 150_000 + "y").endswith("y")
+    assert style_tree.main_text("<div>" * 200_000 + "deep") == "deep" == style_tree.main_text("<div>" * 100_000 + "deep" + "</div></p></li>" * 100_000)
+    assert style_tree.main_text("<li>" * 100_000 + "x<p>" * 3) == "x x x" and style_tree.main_text("<!" * 500_000)
+    assert len(list(style_tree.observed("<div>x" * 20_000))) > 20_000
+    assert time.perf_counter() - start < 20
+
+
 def test_copied_articles_stay(spark):
     table = spark.createDataFrame([(i, "http://h.example/", PAGE) for i in range(9)], "page_id long, url string, html string")
     assert {r["text"] for r in style_tree.extract(table).collect()} == {"Head & more First line Second <b> part x"}
