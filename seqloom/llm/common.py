@@ -98,11 +98,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def bit_map(keys: DataFrame, key: str, bits: int) -> np.ndarray:
-    """A bit map of fixed size (2**bits bits) over a long column, built by a distributed bit_or.
+def bit_map(keys: DataFrame, key: str, most: int) -> np.ndarray:
+    """A bit map over a long column of a stored table, built by a distributed bit_or.
 
-    The driver gets at most 2**(bits-6) words whatever the number of keys.
+    It has 16 bits or more for each key up to 2**most bits, so that is the most the driver gets whatever the number of keys;
+    with more keys it lets more rows through to the exact step after it.
     """
+    bits = int(np.clip(np.ceil(np.log2(16 * (keys.count() + 1))), 14, most))
     k = F.col(key)
     slot = k.bitwiseAND(F.lit((1 << bits) - 1))
     words = (

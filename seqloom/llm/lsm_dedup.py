@@ -33,8 +33,8 @@ from .common import bit_map, in_bit_map, join_split, maybe_in, only, slices, sto
 WHITE = b" \t\n\x0b\x0c\r"
 MEMTABLE = 200_000
 SHARD_ROWS = 250_000
-FILTER_BITS = 26
-GONE_BITS = 24
+FILTER_BITS = 30
+GONE_BITS = 26
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -236,7 +236,7 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
 def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """docs without the rows whose doc_id and tag (xxhash64 of the text) are in gone; of those in repeated one row stays.
 
-    Rows that a bit map of fixed size shows not to be in gone stay where they are; only the others are joined.
+    Rows that a bit map of bounded size shows not to be in gone (a stored table) stay where they are; only the others are joined.
     """
     tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     match = tagged["doc_id"].eqNullSafe(F.col("_id")) & (tagged["_tag"] == F.col("_of"))

@@ -35,7 +35,7 @@ SEGMENT_CHARS = 16_384
 CHUNK_CHARS = 4096
 #: Records of a file. A record has at most SEGMENT_CHARS characters and a head, so a file has some 260 MB at most before compression.
 FILE_ROWS = 4000
-MAP_BITS = 24
+MAP_BITS = 26
 #: Bytes that are inflated at a time on reading.
 READ = 1 << 20
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
