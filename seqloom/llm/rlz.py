@@ -1,22 +1,23 @@
 """Substring deduplication by relative Lempel-Ziv parsing against the whole corpus.
 
-The reference is every document. Its index holds content-chosen anchors: of the word 12-grams in a window of 35 words
-the one with the least hash, so equal windows have equal anchors wherever they stand. A document is parsed greedily: at
-each position the longest factor that the reference also holds elsewhere is taken. Factors of 35 words and more are
-duplicate spans. A greedy factor hides repeats that begin inside it and end beyond it, so every window across a factor's
-borders is looked up as well; the spans are then exactly the words of windows that start at two places or more.
-
-1. Count anchors over all documents (map-side first). Those that stand at several places go into a bit map of fixed size.
-2. Read the documents again. Consecutive windows with one anchor are a block. Blocks whose anchor may stand elsewhere are
-   candidates; documents without any are done.
-3. Count blocks by 96 bits of hash, map-side first. Blocks that occur twice or more lie inside factors: all their windows
-   repeat. The other blocks are where factors begin and end.
-4. At these borders single windows are compared: those of each border block with those of one copy of every distinct
-   block with the same anchor (counted by 96 bits of hash again).
-5. Cut the words that repeated blocks and border windows cover.
-
-No step brings the occurrences of one block or window together in a task: counts are pre-aggregated, and what is joined
-back can be split by adaptive execution.
+The reference is every document, indexed by content-chosen anchors: of the word 12-grams in a window of 35 words the one with
+the least hash, so equal windows have equal anchors wherever they stand. Consecutive windows with one anchor are a block; a
+block that stands elsewhere too has its first other place as its reference.
+
+1. Count anchors over all documents (map-side first). Those that stand at several places go into a bit map.
+2. Read the documents again. Blocks whose anchor may stand elsewhere are candidates; documents without any are done.
+3. Count blocks, map-side first, and find their references. The other blocks are where factors begin and end.
+4. At these borders single windows are looked up: those of each border block among those of one copy of every distinct block
+   with the same anchor, since a greedy factor hides repeats that begin inside it and end beyond it.
+5. Parse each document greedily from left to right: a factor goes on as long as the reference that it began in does. Factors
+   of 35 words and more, and the windows across their borders, are duplicate spans and are cut.
+
+Blocks and windows are compared by 128 bits of hash of their words, not word by word: that would bring the text of each
+reference to each of its copies, several times the corpus. Among 10**13 blocks some two differ and agree in 128 bits with a
+chance of 10**-13.
+
+No step brings the occurrences of one block or window together in a task: counts are pre-aggregated, and joins split the keys
+that many rows have.
 
 Defined cases: null text has no words; documents under 35 words keep all; repeated rows are places of their own, so
 their windows repeat; overlapping windows of one document count as different places; other columns are not read.
@@ -33,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, in_bit_map, only, slices, stored, text_bytes
+from .common import bit_map, in_bit_map, join_split, only, slices, stored, text_bytes
 from .words import BASES, mix, powers, sliding, spans, window_hashes, word_hashes
 
 WINDOW = 35
 GRAM = 12
-MAP_BITS = 27
+MAP_BITS = 30
 
 
 def range_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
@@ -86,12 +87,8 @@ def anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return only(docs, "text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
-CANDIDATES = "row long, doc_id long, n_words long, sha string, text binary, blocks array<struct<anchor long, b1 long, b2 int, at int, n int, places int>>"
-BLOCK = pa.struct([("anchor", pa.int64()), ("b1", pa.int64()), ("b2", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("places", pa.int32())])
-
-
-def _high(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+CANDIDATES = "row long, doc_id long, n_words long, sha string, text binary, blocks array<struct<anchor long, b1 long, b2 long, at int, n int, places int>>"
+BLOCK = pa.struct([("anchor", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("places", pa.int32())])
 
 
 def candidates(docs: DataFrame, held, window: int, gram: int, all_texts: bool = False) -> DataFrame:
@@ -115,7 +112,7 @@ def candidates(docs: DataFrame, held, window: int, gram: int, all_texts: bool =
         end = at + n + window - 1
         b1 = range_hashes(words, at, end, 0)
         b2 = range_hashes(word_hashes(buf, starts, ends, 1), at, end, 1)
-        return at, [least[at].view(np.int64), b1.view(np.int64), _high(b2), n.astype(np.int32), places.astype(np.int32)]
+        return at, [least[at].view(np.int64), b1.view(np.int64), b2.view(np.int64), n.astype(np.int32), places.astype(np.int32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -125,7 +122,7 @@ def candidates(docs: DataFrame, held, window: int, gram: int, all_texts: bool =
                 buf, off = text_bytes(part.column("text"))
                 starts, ends, first, valid = _windows(buf, off, window)
                 none = np.empty(0, np.int64)
-                at, cols = blocks_of(buf, starts, ends, valid) if valid.any() else (none, [none, none, none.astype(np.int32), none.astype(np.int32), none.astype(np.int32)])
+                at, cols = blocks_of(buf, starts, ends, valid) if valid.any() else (none, [none, none, none, none.astype(np.int32), none.astype(np.int32)])
                 bounds = np.searchsorted(at, first)
                 some = np.diff(bounds) > 0
                 data = buf.tobytes()
@@ -173,11 +170,11 @@ def border_windows(texts: DataFrame, parts: DataFrame, window: int) -> DataFrame
                 h1 = window_hashes(word_hashes(buf, starts, ends), window)[place]
                 h2 = window_hashes(word_hashes(buf, starts, ends, 1), window, 1)[place]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row").take(pa.array(owner[which])), pa.array(local.astype(np.int32)), pa.array(border[which]), pa.array(h1.view(np.int64)), pa.array(_high(h2))],
+                    [part.column("row").take(pa.array(owner[which])), pa.array(local.astype(np.int32)), pa.array(border[which]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
                     names=["row", "at", "border", "h1", "h2"],
                 )
 
-    return texts.select("row", "text").join(listed, "row").mapInArrow(run, "row long, at int, border boolean, h1 long, h2 int")
+    return texts.select("row", "text").join(listed, "row").mapInArrow(run, "row long, at int, border boolean, h1 long, h2 long")
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, window: int, n_words: int) -> np.ndarray:
@@ -189,58 +186,67 @@ def covered(starts: np.ndarray, counts: np.ndarray, window: int, n_words: int) -
 
 
 def matches(docs: DataFrame, window: int, gram: int, all_texts: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The table of ``candidates``, and row, at, n, source, source_at: n windows from word ``at`` also start at ``source_at`` of row ``source``."""
+    """The table of ``candidates``, and row, parts array<struct<at, n, source, source_at>>: n windows from word ``at`` also start at
+    word ``source_at`` of row ``source``."""
     repeated = stored(anchor_counts(docs, window, gram), "anchors")
     held = docs.sparkSession.sparkContext.broadcast(bit_map(repeated, "anchor", MAP_BITS))
     table = stored(candidates(docs, held, window, gram, all_texts), "candidates")
     open_ = table.where("text is not null")
-    key = ["anchor", "b1", "b2", "n"]
-    blocks = open_.select("row", F.inline("blocks"))
-    distinct = stored(blocks.groupBy(*key, "places").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("one"), F.max(F.struct("row", "at")).alias("other")), "blocks")
+    key = F.struct("anchor", "b1", "b2", "n")
+    blocks = open_.select("row", F.inline("blocks")).select("row", "at", key.alias("key"), "places")
+    distinct = stored(blocks.groupBy("key", "places").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at")).alias("one"), F.max(F.struct("row", "at")).alias("other")), "blocks")
     # anchors with a block that occurs once, and with places elsewhere too
-    shared = distinct.groupBy("anchor").agg(F.sum("places").alias("places"), F.min("times").alias("least")).where("places > 1 and least = 1").select("anchor")
-    parts = distinct.join(shared, "anchor", "left_semi").select("one.row", "one.at", "n", (F.col("times") == 1).alias("border"))
-    windows = stored(border_windows(open_, parts, window), "windows")
+    anchored = distinct.select(F.col("key.anchor").alias("anchor"), "key", "places", "times", "one")
+    shared = anchored.groupBy("anchor").agg(F.sum("places").alias("all_places"), F.min("times").alias("least"), F.count(F.lit(1)).alias("kinds")).where("all_places > 1 and least = 1").select("anchor", "kinds")
+    parts = join_split(anchored, stored(shared, "shared"), "anchor", "kinds", "key").select("one.row", "one.at", F.col("key.n").alias("n"), (F.col("times") == 1).alias("border"))
+    windows = stored(border_windows(open_, parts, window).select("row", "at", "border", F.struct("h1", "h2").alias("key")), "windows")
     places = [F.min(F.struct("row", "at")).alias("one"), F.max(F.struct("row", "at")).alias("other")]
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), *places).where("times > 1").drop("times")
+    twice = windows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.count_if("border").alias("borders"), *places).where("times > 1 and borders > 0").drop("times")
     # the source of a match is the first of the known places, or the last where it is the first itself
     own = (F.col("one.row") == F.col("row")) & (F.col("one.at") == F.col("at"))
     source = [F.when(own, F.col(f"other.{x}")).otherwise(F.col(f"one.{x}")).alias(y) for x, y in (("row", "source"), ("at", "source_at"))]
-    at_borders = windows.where("border").join(twice, ["h1", "h2"]).select("row", "at", F.lit(1).alias("n"), *source)
-    inside = blocks.join(distinct.where("times > 1").select(*key, "one", "other"), key).select("row", "at", "n", *source)
-    return table, inside.unionByName(at_borders)
+    at_borders = join_split(windows.where("border").select("row", "at", "key"), stored(twice, "twice"), "key", "borders", "row", "at").select("row", "at", F.lit(1).alias("n"), *source)
+    inside = join_split(blocks.select("row", "at", "key"), distinct.where("times > 1").select("key", "times", "one", "other"), "key", "times", "row", "at").select("row", "at", F.col("key.n").alias("n"), *source)
+    found = inside.unionByName(at_borders)
+    return table, found.groupBy("row").agg(F.collect_list(F.struct("at", "n", "source", "source_at")).alias("parts"))
+
+
+def parsed(parts: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """The greedy parse of one document by its matches: start, windows, source and source_at of each factor.
+
+    A factor goes on with the match where it ends if that stands at the same distance from the same source.
+    """
+    at, n, source, source_at = (np.asarray(parts.field(k)).astype(np.int64) for k in ("at", "n", "source", "source_at"))
+    order = np.argsort(at, kind="stable")
+    at, n, source, source_at = at[order], n[order], source[order], source_at[order]
+    goes_on = (at[1:] == at[:-1] + n[:-1]) & (source[1:] == source[:-1]) & (source_at[1:] - at[1:] == source_at[:-1] - at[:-1])
+    first = np.flatnonzero(np.r_[True, ~goes_on])
+    return at[first], np.add.reduceat(n, first), source[first], source_at[first]
 
 
 def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, start, words, source_doc_id, source_start: the long factors of each document, in words.
 
-    Matches that go on where the one before ends, at the same distance from their source, are one factor: parsing goes on
-    with a source as long as it can. Factors may overlap by less than a window, where a repeat crosses a border.
+    Factors may overlap by less than a window, where a repeat crosses a border.
     """
     table, found = matches(docs, window, gram, True)
 
-    def parse(rows: pa.Table) -> pa.Table:
-        order = sorted(rows.to_pylist(), key=lambda r: r["at"])
-        out: list[dict] = []
-        for r in order:
-            last = out[-1] if out else None
-            if last and last["source"] == r["source"] and r["at"] == last["at"] + last["n"] and r["source_at"] - r["at"] == last["source_at"] - last["at"]:
-                last["n"] += r["n"]
-            else:
-                out.append(r)
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in (("row", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_at", pa.int32()))], names=["row", "at", "n", "source", "source_at"])
-
-    parsed = found.groupBy("row").applyInArrow(parse, "row long, at int, n int, source long, source_at int")
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, parts in zip(batch.column("row"), batch.column("parts")):
+                columns = parsed(parts.values)
+                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(columns[0]), pa.int64()), *map(pa.array, columns)], names=["row", "at", "n", "source", "source_at"])
+
+    out = found.mapInArrow(parse, "row long, at long, n long, source long, source_at long")
     ids = table.select("row", "doc_id")
-    named = parsed.join(ids, "row").join(ids.select(F.col("row").alias("source"), F.col("doc_id").alias("source_doc_id")), "source")
+    named = out.join(ids, "row").join(ids.select(F.col("row").alias("source"), F.col("doc_id").alias("source_doc_id")), "source")
     return named.select("doc_id", F.col("at").alias("start"), (F.col("n") + (window - 1)).alias("words"), "source_doc_id", F.col("source_at").alias("source_start"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row (and kept, the words that stay, joined by one space)."""
-    table, spans_found = matches(docs, window, gram, with_text)
+    table, found = matches(docs, window, gram, with_text)
     open_ = table.where("text is not null")
-    found = spans_found.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,8 +254,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
             for text, parts, n in zip(batch.column("text"), batch.column("parts"), batch.column("n_words").to_pylist()):
                 words = text.as_buffer().to_pybytes().split()
                 if parts.is_valid:
-                    at, many = (np.asarray(parts.values.field(k)).astype(np.int64) for k in ("at", "n"))
-                    gone = covered(at, many, window, n)
+                    start, many, _, _ = parsed(parts.values)
+                    gone = covered(start, many, window, n)
                     words = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 left = b" ".join(words)
                 removed.append(n - len(words))
