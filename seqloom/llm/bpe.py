@@ -4,7 +4,8 @@ A text is cut in halves down to leaves; each leaf is encoded alone. Two neighbou
 window about their border. The window grows, twice as wide each time, until each end lies where a letter or digit meets
 a space or line feed, or at the node's own end. No match of the splitting pattern holds a non-space before a space, no
 match that ends there looks beyond it and none looks back, so tokens outside the window are those of the joint text.
-Joining is associative and exact. Decoding concatenates the bytes of the halves.
+Joining is associative and exact. That is proven for ``public_tokenizers.PATTERN`` only, so other patterns need ``safe``, a
+regular expression for the places where they split whatever stands around. Decoding concatenates the bytes of the halves.
 
 Defined cases: null counts as empty; an empty text has no tokens (digests of the empty string); repeated rows each give
 a row; texts of any length take memory in proportion to their own length. Other columns are not read.
@@ -25,14 +26,17 @@ from pyspark.sql import DataFrame
 
 from .common import only, slices
 
-LEAF = 2048
+LEAF = 512
 _safe = re.compile(r"(?<=[^\W_])[ \n]")
 
 
 class TreeBPE:
     """Encodes and decodes with the ranks of a file, in the format of tiktoken's, and a splitting pattern."""
 
-    def __init__(self, path: str, pattern: str, leaf: int = LEAF):
+    def __init__(self, path: str, pattern: str, leaf: int = LEAF, safe: str | None = None):
+        if safe is None and pattern != public_tokenizers.PATTERN:
+            raise ValueError("state in safe where this pattern always splits")
+        self.safe = re.compile(safe) if safe else _safe
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.leaf = max(2, leaf)
@@ -57,8 +61,8 @@ class TreeBPE:
         width = 32
         while True:
             lo, hi = max(a, m - width), min(b, m + width)
-            p = max((x.start() for x in _safe.finditer(text, lo, m)), default=None)
-            q = x.start() if (x := _safe.search(text, m, hi)) else None
+            p = max((x.start() for x in self.safe.finditer(text, lo, m)), default=None)
+            q = x.start() if (x := self.safe.search(text, m, hi)) else None
             if (p is not None or lo == a) and (q is not None or hi == b):
                 break
             width *= 2
@@ -79,20 +83,20 @@ class TreeBPE:
 
 
 @functools.lru_cache(maxsize=2)
-def coder(path: str, pattern: str, leaf: int = LEAF) -> TreeBPE:
-    return TreeBPE(path, pattern, leaf)
+def coder(path: str, pattern: str, leaf: int = LEAF, safe: str | None = None) -> TreeBPE:
+    return TreeBPE(path, pattern, leaf, safe)
 
 
 def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF, safe: str | None = None) -> DataFrame:
     """doc_id, ids array<int>, decoded string: the tokens of each text and what they decode to."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, pattern, leaf)
+        c = coder(path, pattern, leaf, safe)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [c.encode(t or "") for t in part.column("text").to_pylist()]
@@ -104,12 +108,12 @@ def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str = public_t
     return only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded string")
 
 
-def bpe_digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF) -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF, safe: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the same encoding, without moving tokens out of the worker."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, pattern, leaf)
+        c = coder(path, pattern, leaf, safe)
         names = c.names
         for batch in batches:
             for part in slices(batch, "text"):
