@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import only, slices
 
-LEAF = 512
+LEAF = 1024
 _safe = re.compile(r"(?<=[^\W_])[ \n]")
 
 
