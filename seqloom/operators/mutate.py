@@ -9,9 +9,9 @@ from math import comb, prod
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.dna import BASES, IUPAC_TO_DNA, VALID_CHARS
-from ..plans.pool import Operation, Pool, as_pool, make
-from ..plans.tags import get_nontag_positions, molecular_positions
+from ..functions.dna import IUPAC_TO_DNA, let, strip_tags_column
+from ..plans.pool import Draws, Operation, Pool, as_pool, make, replaced
+from ..plans.tags import molecular_positions
 from ..sources.sources import _within, lookup
 
 
@@ -57,8 +57,8 @@ def _masks(allowed: str, length: int | None) -> list[str]:
     return ["".join(sorted(IUPAC_TO_DNA[c.upper()])) for c in allowed]
 
 
-def _places(s: str) -> list[int]:
-    return [i for i in get_nontag_positions(s) if s[i] in VALID_CHARS]
+#: IUPAC codes for several bases, in either case.
+CODES = "".join(c + c.lower() for c in IUPAC_TO_DNA if c not in "ACGT")
 
 
 def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None, mutation_rate: float | None = None, allowed_chars: str | None = None, style: str | None = None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None, remove_tags: bool | None = None) -> Pool:
@@ -124,54 +124,62 @@ def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None,
             muts.append(mut)
         return out, {"positions": F.array(*positions), "wt_chars": F.array(*wts), "mut_chars": F.array(*muts)}
 
-    def draw(rng, seq):
-        if any(c.upper() in IUPAC_TO_DNA and c.upper() not in "ACGT" for c in (seq[i] for i in get_nontag_positions(seq))):
-            raise ValueError("the sequence holds IUPAC codes")
-        places = _places(seq)
-        usable = [i for i in (open_ if masks else range(len(places)))]
-        m = k
-        if m is None:
-            m = int(rng.binomial(len(usable), mutation_rate))
-            if not m:
-                return seq, [], [], []
-        if m > len(usable):
-            raise ValueError(f"{m} mutations in {len(usable)} positions")
-        picked = rng.choice(len(usable), size=m, replace=False)
-        share = rng.random(m)
-        chars, found = list(seq), []
-        for i, u in zip(picked, share):
-            p = usable[int(i)]
-            wt = chars[places[p]]
-            others = [b for b in (masks[p] if masks else BASES) if b != wt.upper()]
-            mut = others[int(u * len(others))]
-            found.append((p, wt, mut.lower() if wt.islower() else mut))
-        for p, _, mut in found:
-            chars[places[p]] = mut
-        found.sort()
-        return "".join(chars), [p for p, _, _ in found], [w for _, w, _ in found], [m for _, _, m in found]
-
-    op = Operation([pool], factory="mutagenize", mode=mode, num_states=total if mode == "sequential" else num_states, natural=natural, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, draw=draw, cards={"positions": "array<int>", "wt_chars": "array<string>", "mut_chars": "array<string>"})
+    def sample(run, args, draws):
+        seq, i = args[0], run.op.id
+        if plain:
+            place, count = (lambda p: p), F.length(seq)
+        else:
+            coded = strip_tags_column(seq).rlike(f"[{CODES}]")
+            places = run.add(f"_m{i}", F.when(coded, F.raise_error(F.lit("the sequence holds IUPAC codes"))).otherwise(molecular_positions(seq)))
+            place, count = (lambda p: F.get(places, p)), F.size(places)
+        usable = F.array(*map(F.lit, open_)) if masks else F.slice(F.sequence(F.lit(0), count), 1, count)
+        picked = draws.chosen(usable, k, 0) if k is not None else F.filter(usable, lambda p: draws.happens(mutation_rate, 0, p))
+        picked = run.add(f"_p{i}", picked.cast("array<int>"))
+        wts = run.add(f"_w{i}", F.transform(picked, lambda p: seq.substr(place(p) + 1, F.lit(1))))
+        allowed = F.array(*map(F.lit, masks)) if masks else None
+
+        def other(wt, p):
+            rest = F.replace(F.element_at(allowed, p + 1) if masks else F.lit("ACGT"), F.upper(wt), F.lit(""))
+            new = rest.substr(draws.below(F.length(rest), 1, p) + 1, F.lit(1))
+            return F.when(wt == F.lower(wt), F.lower(new)).otherwise(new)
+
+        muts = run.add(f"_x{i}", F.zip_with(wts, picked, other))
+        spots = picked if plain else run.add(f"_y{i}", F.transform(picked, place))
+        return replaced(seq, spots, muts), {"positions": picked, "wt_chars": wts, "mut_chars": muts}
+
+    op = Operation([pool], factory="mutagenize", mode=mode, num_states=total if mode == "sequential" else num_states, natural=natural, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, sample=sample, cards={"positions": "array<int>", "wt_chars": "array<string>", "mut_chars": "array<string>"})
     op.style = style
     out = make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
     out.plain = pool.plain
     return out
 
 
+def inverse(order: Column) -> Column:
+    """Where each place of a random order has gone."""
+    numbered = F.transform(order, lambda p, j: F.shiftleft(p.cast("long"), Draws.PLACE).bitwiseOR(j.cast("long")))
+    return F.transform(F.sort_array(numbered), lambda x: x.bitwiseAND(F.lit((1 << Draws.PLACE) - 1)).cast("int"))
+
+
 def shuffle_seq(pool: Pool | str, region=None, style: str | None = None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None, remove_tags: bool | None = None) -> Pool:
     """Permute the bases; gaps and tags keep their places."""
     if mode != "random":
         raise ValueError("shuffle_seq is random only")
     pool = as_pool(pool)
 
-    def draw(rng, seq):
-        places = _places(seq)
-        order = rng.permutation(len(places))
-        chars = list(seq)
-        for to, of in zip(places, order):
-            chars[to] = seq[places[int(of)]]
-        return "".join(chars), [int(i) for i in order.argsort()]
+    def sample(run, args, draws):
+        seq, i = args[0], run.op.id
+        chars = run.add(f"_a{i}", F.split(seq, ""))
+        if pool.plain and region is None:
+            order = run.add(f"_p{i}", draws.ordered(F.sequence(F.lit(0), F.length(seq) - 1), 0))
+            out = let(chars, lambda own: F.transform(order, lambda p: F.get(own, p)))
+        else:
+            places = run.add(f"_m{i}", molecular_positions(seq))
+            order = run.add(f"_p{i}", draws.ordered(F.transform(places, lambda p, j: j), 0))
+            out = let(chars, lambda own: let(places, lambda spots: F.transform(order, lambda p: F.get(own, F.get(spots, p)))))
+            return replaced(seq, places, out), {"permutation": inverse(order)}
+        return F.array_join(out, ""), {"permutation": inverse(order)}
 
-    op = Operation([pool], factory="shuffle_seq", mode="random", num_states=num_states, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), draw=draw, cards={"permutation": "array<int>"})
+    op = Operation([pool], factory="shuffle_seq", mode="random", num_states=num_states, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), sample=sample, cards={"permutation": "array<int>"})
     return make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
 
 
@@ -221,15 +229,14 @@ def recombine(pool: Pool | str | None = None, region=None, *, sources: Sequence[
             owners.append((d + F.when(d >= owners[-1], 1).otherwise(0)).cast("int"))
         return assembled(args, breaks, owners)
 
-    def draw(rng, *seqs):
-        seqs = seqs[-n:]
-        breaks = sorted(at[int(i)] for i in rng.choice(len(at), size=k, replace=False))
-        owners = [int(rng.integers(0, n))]
-        for _ in range(k):
-            d = int(rng.integers(0, n - 1))
-            owners.append(d + (d >= owners[-1]))
-        cuts = [0, *(b + 1 for b in breaks), length]
-        return "".join(seqs[o][a:b] for o, a, b in zip(owners, cuts, cuts[1:])), breaks, owners
-
-    op = Operation(parents, factory="recombine", mode=mode, num_states=(num_states or natural) if mode == "sequential" else num_states if mode == "random" else None, natural=natural, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, draw=draw, cards={"breakpoints": "array<int>", "pool_assignments": "array<int>"})
+    def sample(run, args, draws):
+        i = run.op.id
+        ordered = run.add(f"_p{i}", draws.chosen(F.array(*map(F.lit, at)), k, 0))
+        owners = [run.add(f"_o{i}x0", draws.below(n, 1))]
+        for j in range(1, k + 1):
+            d = draws.below(n - 1, 1, j)
+            owners.append(run.add(f"_o{i}x{j}", (d + F.when(d >= owners[-1], 1).otherwise(0)).cast("int")))
+        return assembled(args, [ordered[j] for j in range(k)], owners)
+
+    op = Operation(parents, factory="recombine", mode=mode, num_states=(num_states or natural) if mode == "sequential" else num_states if mode == "random" else None, natural=natural, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, sample=sample, cards={"breakpoints": "array<int>", "pool_assignments": "array<int>"})
     return make(op, length, name, parents[0].regions if pool is not None else (), kind=sources[0].kind)

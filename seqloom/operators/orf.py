@@ -8,11 +8,11 @@ from math import comb
 from pyspark.sql import functions as F
 
 from ..functions.codons import UNIFORM_MUTATION_TYPES, VALID_MUTATION_TYPES, CodonTable
-from ..functions.dna import reverse_complement, reverse_complement_column, strip_tags_column
-from ..plans.pool import FRAMES, Operation, OrfRegion, Pool, as_pool, get_session, make, regions_in
+from ..functions.dna import reverse_complement_column, strip_tags_column
+from ..plans.pool import FRAMES, Operation, OrfRegion, Pool, as_pool, get_session, make, regions_in, replaced
 from ..plans.tags import molecular_positions
 from .fixed import stylize
-from .mutate import _places, digits, div, unranked
+from .mutate import digits, div, unranked
 from .regions import insert_tags, validate_positions
 
 
@@ -117,28 +117,31 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
                 cards[key].append(x)
         return out, {key: F.array(*x) for key, x in cards.items()}
 
-    def draw(rng, seq):
-        places = _places(seq)
-        m = int(rng.binomial(len(eligible), mutation_rate)) if k is None else k
-        if not m:
-            return seq, [], [], [], [], []
-        chosen = sorted(eligible[int(i)] for i in rng.choice(len(eligible), size=m, replace=False))
-        chars, cards = list(seq), [chosen, [], [], [], []]
-        for c in chosen:
-            first = len(places) - skip - (c + 1) * 3 if reverse else skip + c * 3
-            spots = places[first : first + 3]
-            wt = "".join(seq[p] for p in spots).upper()
-            wt = reverse_complement(wt) if reverse else wt
-            own = table.get_mutations(wt, mutation_type)
-            mut = own[int(rng.integers(0, len(own)))] if own else wt
-            for p, x in zip(spots, reverse_complement(mut) if reverse else mut):
-                chars[p] = x
-            for out, x in zip(cards[1:], (wt, mut, table.codon_to_aa.get(wt, "?"), table.codon_to_aa.get(mut, "?"))):
-                out.append(x)
-        return "".join(chars), *cards
+    def sample(run, args, draws):
+        seq, i = args[0], run.op.id
+        places = None if plain else run.add(f"_m{i}", molecular_positions(seq))
+        options = F.create_map(*[x for c in table.all_codons for x in (F.lit(c), F.array(*map(F.lit, table.get_mutations(c, mutation_type))).cast("array<string>"))])
+        names = F.create_map(*[F.lit(x) for c, a in table.codon_to_aa.items() for x in (c, a)])
+        usable = F.array(*map(F.lit, eligible))
+        picked = draws.chosen(usable, k, 0) if k is not None else F.filter(usable, lambda c: draws.happens(mutation_rate, 0, c))
+        picked = run.add(f"_p{i}", picked.cast("array<int>"))
+        count = F.length(seq) if plain else F.size(places)
+        first = (lambda c: count - skip - (c + 1) * 3) if reverse else (lambda c: c * 3 + skip)
+        base = lambda p: seq.substr((p if plain else F.get(places, p)) + 1, F.lit(1))
+        turned = reverse_complement_column if reverse else (lambda x: x)
+        wts = run.add(f"_w{i}", F.transform(picked, lambda c: turned(F.upper(F.concat(*[base(first(c) + j) for j in range(3)])))))
+        own = lambda wt: F.coalesce(options[wt], F.array().cast("array<string>"))
+        muts = run.add(f"_x{i}", F.zip_with(wts, picked, lambda wt, c: F.when(F.size(own(wt)) > 0, F.get(own(wt), draws.below(F.greatest(F.size(own(wt)), F.lit(1)), 1, c))).otherwise(wt)))
+        ahead = F.reverse if reverse else (lambda x: x)  # in order of place
+        place = (lambda p: p) if plain else (lambda p: F.get(places, p))
+        spots = run.add(f"_y{i}", F.flatten(F.transform(ahead(picked), lambda c: F.array(*[place(first(c) + j) for j in range(3)]))))
+        letters = run.add(f"_z{i}", F.split(F.array_join(F.transform(ahead(muts), turned), ""), ""))
+
+        aas = lambda x: F.transform(x, lambda c: F.coalesce(names[c], F.lit("?")))
+        return replaced(seq, spots, letters), dict(zip(op.cards, (picked, wts, muts, aas(wts), aas(muts))))
 
     cards = {"codon_positions": "array<int>", "wt_codons": "array<string>", "mut_codons": "array<string>", "wt_aas": "array<string>", "mut_aas": "array<string>"}
-    op = Operation([pool], factory="mutagenize_orf", mode=mode, num_states=natural if mode == "sequential" else num_states, natural=natural, prefix=prefix, iter_order=iter_order, region=region, build=build, draw=draw, cards=cards)
+    op = Operation([pool], factory="mutagenize_orf", mode=mode, num_states=natural if mode == "sequential" else num_states, natural=natural, prefix=prefix, iter_order=iter_order, region=region, build=build, sample=sample, cards=cards)
     op.style = style
     return make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
 
@@ -185,10 +188,11 @@ def reverse_translate(pool: Pool | str, region=None, codon_selection: str = "fir
         known = F.filter(F.split(F.upper(args[0]), ""), lambda a: first[a].isNotNull())
         return F.array_join(F.transform(known, lambda a: first[a]), "")
 
-    def draw(rng, seq):
-        own = [codons[a] for a in seq.upper() if a in letters]
-        return ("".join(c[int(rng.integers(0, len(c)))] for c in own),)
+    def sample(run, args, draws):
+        every = F.create_map(*[x for a, c in codons.items() for x in (F.lit(a), F.array(*map(F.lit, c)))])
+        known = run.add(f"_a{run.op.id}", F.filter(F.split(F.upper(args[0]), ""), lambda a: F.instr(F.lit(letters), a) * F.length(a) > 0))
+        return F.array_join(F.transform(known, lambda a, i: F.get(every[a], draws.below(F.size(every[a]), 0, i))), "")
 
-    op = Operation([pool], factory="reverse_translate", mode="random" if codon_selection == "random" else "fixed", num_states=num_states if codon_selection == "random" else None, region=region, iter_order=iter_order, prefix=prefix, build=build, draw=draw)
+    op = Operation([pool], factory="reverse_translate", mode="random" if codon_selection == "random" else "fixed", num_states=num_states if codon_selection == "random" else None, region=region, iter_order=iter_order, prefix=prefix, build=build, sample=sample)
     n = pool.region_length(region)
     return make(op, None if n is None else 3 * n, name, kind="dna")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement_column, strip_tags_column
 from ..plans.pool import Operation, Pool, as_pool, make
-from ..plans.tags import build_region_tags, get_nontag_positions, literal_prefix, tagged
+from ..plans.tags import literal_prefix, nontag_positions, tagged
 from ..sources.sources import lookup
 from .fixed import clear_tags, extract, rc, stylize
 
@@ -163,23 +163,11 @@ def region_scan(pool: Pool | str, tag_name: str, region_length: int = 0, positio
     def build(run, args, s):
         return placed(run, args[0], s % len(sites))
 
-    class Scan(Operation):
-        def _random(self, run, args, state):
-            import pandas as pd
-
-            from ..plans.pool import row_generator
-
-            seed, op_id = run.seed, self.id
-            count = len(sites)
-
-            @F.pandas_udf("long")
-            def site_index(index: pd.Series) -> pd.Series:
-                return pd.Series([int(row_generator(seed, op_id, int(s)).integers(0, count)) for s in index])
-
-            return placed(run, args[0], run.add(f"_u{self.id}", site_index(state if self.from_state else run.row)))
+    def sample(run, args, draws):
+        return placed(run, args[0], run.add(f"_p{run.op.id}", draws.below(len(sites), 0)))
 
     keys = {"position_index": "long", "start": "long", "stop": "long", "length": "long", "region_name": "string", "region_content": "string", "region_seq": "string"}
-    op = Scan([pool], factory="region_scan", mode=mode, num_states=len(sites) if mode == "sequential" else num_states, natural=len(sites), prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, draw=lambda *_: None, cards=keys)
+    op = Operation([pool], factory="region_scan", mode=mode, num_states=len(sites) if mode == "sequential" else num_states, natural=len(sites), prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, sample=sample, cards=keys)
     return make(op, n, name, [*pool.regions, tag_name], kind=pool.kind)
 
 
@@ -206,31 +194,35 @@ def region_multiscan(pool: Pool | str, tag_names: Sequence[str] | str, num_inser
         pool.session.register_region(x, w)
     sites = validate_positions(positions, n - w + 1 if w else n + 1, unique=False)
 
-    def draw(rng, seq):
-        if w:
-            order = list(sites)
-            rng.shuffle(order)
-            chosen: list[int] = []
-            for i in order:
-                if len(chosen) < k and all(abs(i - c) >= w for c in chosen):
-                    chosen.append(i)
+    def sample(run, args, draws):
+        seq, i = args[0], run.op.id
+        if positions is None and w:  # k places among those left when each region counts as one character; none overlap
+            packed = draws.chosen(F.sequence(F.lit(0), F.lit(n - k * w + k - 1)), k, 0)
+            found = F.transform(packed, lambda p, t: p + t * (w - 1))
+        elif w:  # in random order, each that overlaps none before it
+            none = F.array().cast("array<int>")
+            fits = lambda have, p: (F.size(have) < k) & ~F.exists(have, lambda c: F.abs(p - c) < w)
+            placed = F.aggregate(draws.ordered(F.array(*map(F.lit, dict.fromkeys(sites))), 0), none, lambda have, p: F.when(fits(have, p), F.concat(have, F.array(p))).otherwise(have))
+            found = F.sort_array(placed)
         else:
-            chosen = [int(x) for x in rng.choice(sites, size=k, replace=False)]
-        if len(chosen) < k:
-            raise ValueError(f"{k} regions of {w} do not fit at the given positions")
-        chosen.sort()
-        own = names if insertion_mode == "ordered" else [names[int(i)] for i in rng.choice(len(names), size=k, replace=False)]
-        places = get_nontag_positions(seq)
-        out, labels, at = [], [], 0
-        for i, label in zip(chosen, own):
-            start = places[i] if i < len(places) else len(seq)
-            stop = start if not w else places[i + w] if i + w < len(places) else places[-1] + 1
-            labels.append(build_region_tags(label, "".join(seq[places[j]] for j in range(i, i + w))))
-            out += [seq[at:start], labels[-1]]
-            at = stop
-        return "".join(out) + seq[at:], chosen, labels
-
-    op = Operation([pool], factory="region_multiscan", mode="random", num_states=num_states, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), draw=draw, cards={"indices": "array<int>", "region_tags": "array<string>"})
+            found = draws.chosen(F.array(*map(F.lit, dict.fromkeys(sites))), k, 0)
+        found = run.add(f"_p{i}", found)
+        if positions is not None and w:
+            found = run.add(f"_p{i}", F.when(F.size(found) < k, F.raise_error(F.lit(f"{k} regions of {w} do not fit at the given positions"))).otherwise(found))
+        numbers = F.sequence(F.lit(0), F.lit(k - 1)) if insertion_mode == "ordered" else F.slice(draws.ordered(F.sequence(F.lit(0), F.lit(len(names) - 1)), 1), 1, k)
+        own = run.add(f"_o{i}", F.transform(numbers, lambda t: F.get(F.array(*map(F.lit, names)), t)))
+        bare, places = (seq, None) if not pool.regions else (strip_tags_column(seq), run.add(f"_m{i}", nontag_positions(seq)))
+        content = lambda p: bare.substr(p + 1, F.lit(w))
+        empty, full = (lambda x: F.concat(F.lit("<"), x, F.lit("/>"))), (lambda x, c: F.concat(F.lit("<"), x, F.lit(">"), c, F.lit("</"), x, F.lit(">")))
+        labels = run.add(f"_x{i}", F.zip_with(own, found, lambda x, p: F.when(content(p) == "", empty(x)).otherwise(full(x, content(p)))))
+        start = lambda p: p if places is None else F.coalesce(F.get(places, p), F.length(seq))
+        stop = lambda p: start(p) if not w else p + w if places is None else F.coalesce(F.get(places, p + w), F.element_at(places, -1) + 1)
+        before = lambda t: F.when(t > 0, stop(F.get(found, t - 1))).otherwise(0)
+        pieces = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: F.concat(seq.substr(before(t) + 1, start(F.get(found, t)) - before(t)), F.get(labels, t)))
+        rest = seq.substr(stop(F.element_at(found, -1)) + 1, F.length(seq))
+        return F.concat(F.array_join(pieces, ""), rest), {"indices": found, "region_tags": labels}
+
+    op = Operation([pool], factory="region_multiscan", mode="random", num_states=num_states, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), sample=sample, cards={"indices": "array<int>", "region_tags": "array<string>"})
     return make(op, n, name, [*pool.regions, *names], kind=pool.kind)
 
 

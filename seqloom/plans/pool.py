@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.codons import CodonTable
-from ..functions.dna import VALID_CHARS, strip_tags
+from ..functions.dna import VALID_CHARS, let, strip_tags
 from . import states as st
 from .tags import find_all_regions, tagged, validate_single_region
 
@@ -175,11 +175,66 @@ def row_generator(seed: int, op_id: int, state: int) -> np.random.Generator:
     return np.random.default_rng(np.random.SeedSequence([seed, op_id, state]))
 
 
+class Draws:
+    """Random numbers of a row as column expressions: hashes of (seed, operation, state, stream), then of an index.
+
+    The same row gives the same numbers whatever the partitioning. Numbers have 62 bits.
+    """
+
+    BITS = 62
+    #: Places that are put in random order are numbers below 2**PLACE; the higher bits of a number order them.
+    PLACE = 24
+
+    def __init__(self, run, state: Column):
+        self.run, self.state, self.keys = run, state.cast("long"), {}
+
+    def key(self, stream: int) -> Column:
+        if stream not in self.keys:
+            key = F.xxhash64(F.lit(self.run.seed).cast("long"), F.lit(self.run.op.id).cast("long"), self.state, F.lit(stream).cast("long"))
+            self.keys[stream] = self.run.add(f"_h{self.run.op.id}x{stream}", key)
+        return self.keys[stream]
+
+    def long(self, stream: int, j: Column | int = 0) -> Column:
+        number = F.xxhash64(self.key(stream), (F.lit(j) if isinstance(j, int) else j).cast("long"))
+        return F.call_function("shiftrightunsigned", number, F.lit(64 - self.BITS))
+
+    def below(self, n: Column | int, stream: int, j: Column | int = 0) -> Column:
+        return (self.long(stream, j) % n).cast("int") if not isinstance(n, int) or n < 1 << 31 else self.long(stream, j) % n
+
+    def happens(self, rate: float, stream: int, j: Column) -> Column:
+        return self.long(stream, j) < int(rate * (1 << self.BITS))
+
+    def ordered(self, places: Column, stream: int) -> Column:
+        """The distinct places of an array in random order."""
+        mask = (1 << self.PLACE) - 1
+        number = lambda key, p: F.xxhash64(key, p.cast("long")).bitwiseAND(F.lit(~mask)).bitwiseOR(p.cast("long"))
+        numbered = let(self.key(stream), lambda key: F.transform(places, lambda p: number(key, p)))
+        return F.transform(F.sort_array(numbered), lambda x: x.bitwiseAND(F.lit(mask)).cast("int"))
+
+    def chosen(self, places: Column, k: int, stream: int) -> Column:
+        """k of the distinct places of an array, in order of size."""
+        few = F.when(F.size(places) < k, F.raise_error(F.concat(F.lit(f"{k} to choose from "), F.size(places).cast("string")))).otherwise(places)
+        return F.sort_array(F.slice(self.ordered(few, stream), 1, k))
+
+
+def replaced(seq: Column, spots: Column, letters: Column) -> Column:
+    """seq with the letters at the spots (in order of size): the stretches between spots, each after a letter."""
+
+    def joined(spots: Column, letters: Column) -> Column:
+        start = lambda t: F.when(t > 0, F.get(spots, t - 1) + 1).otherwise(0)
+        stop = lambda t: F.when(t < F.size(spots), F.get(spots, t)).otherwise(F.length(seq))
+        stretch = lambda t: F.concat(F.when(t > 0, F.get(letters, t - 1)).otherwise(""), seq.substr(start(t) + 1, stop(t) - start(t)))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(spots)), stretch), "")
+
+    return let(spots, lambda p: let(letters, lambda x: joined(p, x)))
+
+
 class Operation:
     """A transformation: ``build`` gives the sequence column and the provenance columns (cards) of a row.
 
-    Subclasses or callers give ``build(run, args, state)`` for deterministic modes, or ``draw(rng, *strings)`` with the
-    Spark types of what it returns for random ones, which then runs as an Arrow UDF seeded by (seed, id, state).
+    Subclasses or callers give ``build(run, args, state)`` for deterministic modes, and ``sample(run, args, draws)`` for random
+    ones. A user's ``draw(rng, *strings)`` in Python, with the Spark types of what it returns, runs as an Arrow UDF seeded
+    by (seed, id, state) instead.
     """
 
     factory = "operation"
@@ -199,6 +254,7 @@ class Operation:
         region: str | Sequence[int] | None = None,
         remove_tags: bool = False,
         build: Callable | None = None,
+        sample: Callable | None = None,
         draw: Callable | None = None,
         cards: dict[str, str] | None = None,
         name_parts: Callable | None = None,
@@ -222,7 +278,7 @@ class Operation:
                 raise ValueError(f"no region interval: {region}")
         self.mode, self.num_states, self.natural = mode, num_states, natural or num_states or 1
         self.region, self.remove_tags, self.prefix = region, remove_tags, prefix
-        self._build, self._draw, self.cards, self._name_parts = build, draw, cards or {}, name_parts
+        self._build, self._sample, self._draw, self.cards, self._name_parts = build, sample, draw, cards or {}, name_parts
         self.name = self.session.claim("op", name or f"op[{self.id}]:{self.factory}")
         self.state = st.State(num_states or 1, f"{self.name}.state", iter_order)
 
@@ -236,7 +292,10 @@ class Operation:
         return st.synced_to(self.state)
 
     def build(self, run, args: list[Column], state: Column) -> tuple[Column, dict[str, Column]]:
-        if self._draw is not None and self.mode == "random":
+        if self.mode == "random" and self._sample is not None:
+            out = self._sample(run, args, Draws(run, state if self.from_state else run.row))
+            return out if isinstance(out, tuple) else (out, {})
+        if self.mode == "random" and self._draw is not None:
             return self._random(run, args, state)
         out = self._build(run, args, state)
         return out if isinstance(out, tuple) else (out, {})

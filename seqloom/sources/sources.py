@@ -211,11 +211,13 @@ def from_iupac(iupac_seq: str, pool: Pool | str | None = None, region=None, pref
         chars = [F.lit(o[0]) if len(o) == 1 else F.substring(F.lit("".join(o)), 1, 1) if t >= 1 << 63 else F.lit("".join(o)).substr((F.call_function("div", v, F.lit(t)) % len(o) + 1).cast("int"), F.lit(1)) for o, t in zip(options, strides)]
         return F.concat(*chars), {"iupac_state": v}
 
-    def draw(rng, *_):
-        v = int(rng.integers(0, min(total, (1 << 63) - 1)))
-        return "".join(o[v // t % len(o)] for o, t in zip(options, strides)), v
+    def sample(run, args, draws):
+        if total <= 1 << draws.BITS:
+            return build(run, args, draws.below(total, 0).cast("long"))
+        chars = [F.lit(o[0]) if len(o) == 1 else F.lit("".join(o)).substr(draws.below(len(o), 0, i) + 1, F.lit(1)) for i, o in enumerate(options)]
+        return F.concat(*chars), {"iupac_state": F.lit(None).cast("long")}  # too many states for a number
 
-    op = Operation(_within(pool, region), factory="from_iupac", mode=mode, num_states=(num_states or total) if mode == "sequential" else num_states, natural=total, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, draw=draw, cards={"iupac_state": "long"})
+    op = Operation(_within(pool, region), factory="from_iupac", mode=mode, num_states=(num_states or total) if mode == "sequential" else num_states, natural=total, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, sample=sample, cards={"iupac_state": "long"})
     return _styled(make(op, len(iupac_seq), name), style)
 
 
@@ -234,14 +236,23 @@ def from_motif(prob_df, pool: Pool | str | None = None, region=None, prefix: str
     upto = np.cumsum(p / p.sum(axis=1, keepdims=True), axis=1)
     upto[:, -1] = 1.0
 
-    def draw(rng, *_):
-        state = (rng.random(len(upto))[:, None] < upto).argmax(axis=1)
-        return "".join(BASES[i] for i in state), [int(i) for i in state]
+    def sample(run, args, draws):
+        # a base for each position: as many bounds (all but the last) as are not above the number drawn
+        bounds = F.array(*[F.array(*[F.lit(int(x * (1 << draws.BITS))).cast("long") for x in row[:-1]]) for row in upto.tolist()])
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(len(upto) - 1)), lambda i: F.struct(F.get(bounds, i).alias("bounds"), draws.long(0, i).alias("u")))
+        state = run.add(f"_p{run.op.id}", F.transform(drawn, lambda x: F.size(F.filter(x["bounds"], lambda b: b <= x["u"]))))
+        return F.array_join(F.transform(state, lambda x: F.lit("".join(BASES)).substr(x + 1, F.lit(1))), ""), {"prob_state": state}
 
-    op = Operation(_within(pool, region), factory="from_motif", mode="random", num_states=num_states, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), draw=draw, cards={"prob_state": "array<int>"})
+    op = Operation(_within(pool, region), factory="from_motif", mode="random", num_states=num_states, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), sample=sample, cards={"prob_state": "array<int>"})
     return _styled(make(op, len(p), name), style)
 
 
+def _kmer(value: Column, length: int, letters: str) -> Column:
+    """The bases of a number, two bits each, the last one fastest."""
+    digits = F.sequence(F.lit(length - 1), F.lit(0))
+    return F.array_join(F.transform(digits, lambda i: F.lit(letters).substr((F.call_function("shiftright", value, (i * 2).cast("int")).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))), "")
+
+
 def get_kmers(length: int, pool: Pool | str | None = None, region=None, style: str | None = None, case: str = "upper", prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None, remove_tags: bool | None = None) -> Pool:
     """All k-mers, the last base fastest, or one drawn base by base."""
     if length < 1:
@@ -253,15 +264,16 @@ def get_kmers(length: int, pool: Pool | str | None = None, region=None, style: s
 
     def build(run, args, s):
         v = s % total if length < 31 else s
-        digits = F.sequence(F.lit(length - 1), F.lit(0))
-        kmer = F.array_join(F.transform(digits, lambda i: F.lit(letters).substr((F.call_function("shiftright", v, (i * 2).cast("int")).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))), "")
+        kmer = _kmer(v, length, letters)
         return kmer, {"kmer_index": v, "kmer": kmer}
 
-    def draw(rng, *_):
-        kmer = "".join(letters[i] for i in rng.integers(0, 4, size=length))
-        return kmer, None, kmer
+    def sample(run, args, draws):
+        # a number of 62 bits gives 31 bases
+        pieces = [_kmer(draws.below(4 ** min(31, length - i), 0, i // 31).cast("long"), min(31, length - i), letters) for i in range(0, length, 31)]
+        kmer = F.concat(*pieces)
+        return kmer, {"kmer_index": F.lit(None).cast("long"), "kmer": kmer}
 
-    op = Operation(_within(pool, region), factory="get_kmers", mode=mode, num_states=(num_states or total) if mode == "sequential" else num_states, natural=total, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, draw=draw, cards={"kmer_index": "long", "kmer": "string"})
+    op = Operation(_within(pool, region), factory="get_kmers", mode=mode, num_states=(num_states or total) if mode == "sequential" else num_states, natural=total, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, sample=sample, cards={"kmer_index": "long", "kmer": "string"})
     out = make(op, length, name)
     out.plain = pool is None
     return _styled(out, style)
