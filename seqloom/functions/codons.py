@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 # The standard genetic code, codons by human usage, most frequent first.
 STANDARD_GENETIC_CODE = {
     "F": ["TTC", "TTT"],
@@ -37,6 +39,7 @@ class CodonTable:
         self.codon_to_aa = {c: a for a, cs in self.aa_to_codons.items() for c in cs}
         self.all_codons = [c for cs in self.aa_to_codons.values() for c in cs]
         self.stop_codons = list(self.aa_to_codons.get("*", []))
+        self.synonymous = {c: self.get_mutations(c, "synonymous") for c in self.all_codons}
 
     def get_mutations(self, codon: str, mutation_type: str) -> list[str]:
         """What a codon may become, in order."""
@@ -54,6 +57,11 @@ class CodonTable:
                 return [c for cs in others for c in (cs[:1] if first else cs)]
         raise ValueError(f"mutation_type must be one of {sorted(VALID_MUTATION_TYPES)}, got {mutation_type!r}")
 
+    @cached_property
+    def mutation_lookup(self) -> dict[str, dict[str, list[str]]]:
+        """For each mutation type: what each codon may become."""
+        return {t: {c: self.get_mutations(c, t) for c in self.all_codons} for t in sorted(VALID_MUTATION_TYPES)}
+
     def num_mutations(self, codon: str, mutation_type: str) -> int:
         return len(self.get_mutations(codon, mutation_type))
 

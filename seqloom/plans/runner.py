@@ -96,6 +96,8 @@ class Run:
 
 #: Most rows that one row of a table is expanded to in place.
 EXPAND = 1_000_000
+#: Blocks that are counted at a time to find where a number of sequences is reached; a count for each reaches the driver.
+BLOCKS = 1000
 #: From how many rows on the table is dealt out anew first, so that all cores expand it.
 DEAL = 8
 
@@ -197,8 +199,24 @@ def _first(shown, start: int, count: int, pool: Pool, most: int | None, least_ra
         size = min(limit - tried, max(every, 2 * tried))
     if valid < count:
         warnings.warn(f"only {valid} of {count} sequences after {tried} rows", stacklevel=3)
-    df = shown(start, tried).where(F.col("seq").isNotNull()).orderBy("_row").limit(count)
-    return df, tried
+    else:
+        tried = _end(shown, start, tried, count)
+    return shown(start, tried).where(F.col("seq").isNotNull()), tried
+
+
+def _end(shown, start: int, size: int, count: int) -> int:
+    """How many rows from start on hold ``count`` sequences: blocks are counted, then smaller ones within that where it happens."""
+    at = 0
+    while size > 1:
+        step = -(-size // BLOCKS)
+        block = F.floor((F.col("_row") - (start + at)) / step)
+        sizes = shown(start + at, size).where(F.col("seq").isNotNull()).groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for b, n in sorted((r["b"], r["n"]) for r in sizes):
+            if n >= count:
+                at, size = at + b * step, min(step, size - b * step)
+                break
+            count -= n
+    return at + size
 
 
 def _select(run: Run, pool: Pool, most: int, cards: bool, aux: Sequence[Pool], to_report: str | Sequence[Pool], by: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from contextvars import ContextVar
 from math import prod
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,12 @@ class ConflictingValueAssignmentError(Exception):
 
 
 _active: ContextVar[Manager | None] = ContextVar("state_manager", default=None)
-#: Tables up to this size are array literals, larger ones a broadcast join is the caller's business.
+#: Values of a table in one array literal.
 LITERAL = 10_000
+#: From how many values on seeded permutations and samples are computed for each index instead of drawn as a table.
+COMPUTED = 1000
+#: Rounds of a computed permutation.
+ROUNDS = 48
 
 
 class Manager:
@@ -48,7 +53,32 @@ class Manager:
             if s not in used:
                 print(state_tree(s))
 
-    def get_iteration_df(self, state: State, spark: SparkSession | None = None, inactive: object = None) -> DataFrame:
+    def get_ancestors(self, state: State) -> list[State]:
+        return state.get_ancestors()
+
+    def get_all_names(self) -> list[str]:
+        return [s.name for s in self.states]
+
+    def get_by_name(self, name: str) -> State:
+        found = [s for s in self.states if s.name == name]
+        if not found:
+            raise KeyError(f"no state named {name!r}")
+        return found[0]
+
+    def clear_all_values(self) -> None:
+        """Make every state inactive, without regard to what it is made of."""
+        for s in self.states:
+            s._value = None
+
+    def inactivate_all(self, states: Sequence[State] | None = None) -> None:
+        for s in self.states if states is None else states:
+            s.value = None
+
+    def reset_all(self, states: Sequence[State] | None = None) -> None:
+        for s in self.states if states is None else states:
+            s.reset()
+
+    def get_iteration_df(self, state: State, spark: SparkSession | None = None) -> DataFrame:
         """One row for each index of ``state``: the values of all its ancestors, in order of creation."""
         spark = spark or SparkSession.getActiveSession()
         cols = columns(state, F.col("id"))
@@ -129,7 +159,33 @@ class State:
         visit(self)
         return list(found)
 
-    get_states = get_ancestors
+    def get_states(self, include_inactive: bool = True, named_only: bool = True) -> dict[str, int | None]:
+        """The present values of this state and what it is made of, nearest first; names given automatically are left out."""
+        found, at = [self], 0
+        while at < len(found):
+            found += [p for p in dict.fromkeys(found[at].parents) if p not in found]
+            at += 1
+        shown = [s for s in found if not (named_only and s.name == f"State[{s.id}]") and (include_inactive or s.is_active)]
+        return {s.name: s._value for s in shown}
+
+    def print_states(self, include_inactive: bool = True, named_only: bool = True) -> None:
+        print(", ".join(f"{k}={v}" for k, v in self.get_states(include_inactive, named_only).items()))
+
+    def print_dag(self, style: str = "clean") -> None:
+        from ..sources.sinks import state_tree
+
+        print(state_tree(self, style))
+
+    def get_iteration_df(self, spark: SparkSession | None = None) -> DataFrame:
+        """One row for each of its indices: its value and those of its ancestors."""
+        return self.manager.get_iteration_df(self, spark)
+
+    def named(self, name: str) -> State:
+        self.name = name
+        return self
+
+    def synced_parent(self, name: str | None = None) -> State:
+        return synced_to(self, name=name)
 
     def sync_with(self, other: State) -> None:
         sync(self, other)
@@ -251,11 +307,53 @@ def _table(state: State, table: list[int], kind: str, name: str | None, iter_ord
     return _derived(kind, len(table), [state], lambda v: [table[v]], look, name, iter_order)
 
 
+def _hash(seed: int, *values: int) -> int:
+    """What Spark's xxhash64 gives for longs (the first one the seed of the draw)."""
+    h = 42
+    for x in (seed, *values):
+        h = xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _permuted(seed: int, n: int) -> tuple[Callable[[int], int], Callable[[Column], Column]]:
+    """A permutation of range(n) in closed form, in Python and as a column: the swap-or-not shuffle.
+
+    Each round pairs x with k - x modulo n, for a number k of the round, and swaps the pair or not by a bit of the larger one,
+    so that each round is a permutation whatever n is, and nothing of size n is made.
+    """
+    keys = [_hash(seed, r) % n for r in range(ROUNDS)]
+
+    def value(x: int) -> int:
+        for r, k in enumerate(keys):
+            y = k - x if k >= x else k - x + n
+            if _hash(seed, r, max(x, y)) & 1:
+                x = y
+        return x
+
+    def column(x: Column) -> Column:
+        rounds = F.array(*[F.struct(F.lit(r).cast("long").alias("r"), F.lit(k).cast("long").alias("k")) for r, k in enumerate(keys)])
+
+        def swap(x: Column, t: Column) -> Column:
+            y = F.when(t["k"] >= x, t["k"] - x).otherwise(t["k"] - x + n)
+            bit = F.xxhash64(F.lit(seed).cast("long"), t["r"], F.greatest(x, y)).bitwiseAND(F.lit(1))
+            return F.when(bit == 1, y).otherwise(x)
+
+        return F.aggregate(rounds, x.cast("long"), swap)
+
+    return value, column
+
+
 def shuffle(state: State, seed: int | None = None, permutation: Sequence[int] | None = None, name: str | None = None, iter_order: int | None = None) -> State:
+    """The values in another order. Up to ``COMPUTED`` values a seed gives the order of Python's generator, beyond that a
+    permutation that is computed for each index. An explicit permutation is the caller's list and becomes part of the plan."""
     n = state.num_values
     if permutation is None:
+        seed = random.randint(0, 2**32 - 1) if seed is None else seed
+        if n > COMPUTED:
+            value, column = _permuted(seed, n)
+            return _derived("shuffle", n, [state], lambda v: [value(v)], lambda v: [column(v)], name, iter_order)
         table = list(range(n))
-        random.Random(random.randint(0, 2**32 - 1) if seed is None else seed).shuffle(table)
+        random.Random(seed).shuffle(table)
     else:
         table = list(permutation)
         if sorted(table) != list(range(n)):
@@ -264,18 +362,27 @@ def shuffle(state: State, seed: int | None = None, permutation: Sequence[int] |
 
 
 def sample(state: State, num_values: int | None = None, seed: int | None = None, sampled_states: Sequence[int] | None = None, with_replacement: bool = True, name: str | None = None, iter_order: int | None = None) -> State:
+    """Values drawn at random, or an explicit list of them. Beyond ``COMPUTED`` values they are computed for each index: by a
+    hash, or without replacement as the beginning of a permutation."""
+    n = state.num_values
     if sampled_states is not None:
         if seed is not None:
             raise ValueError("seed and sampled_states exclude each other")
         table = list(sampled_states)
-        if any(not 0 <= v < state.num_values for v in table):
+        if any(not 0 <= v < n for v in table):
             raise ValueError("a sampled state is out of range")
-    else:
-        rng = random.Random(random.randint(0, 2**32 - 1) if seed is None else seed)
-        if not with_replacement and num_values > state.num_values:
-            raise ValueError("more samples than values")
-        table = rng.choices(range(state.num_values), k=num_values) if with_replacement else rng.sample(range(state.num_values), num_values)
-    return _table(state, table, "sample", name, iter_order)
+        return _table(state, table, "sample", name, iter_order)
+    seed = random.randint(0, 2**32 - 1) if seed is None else seed
+    if not with_replacement and num_values > n:
+        raise ValueError("more samples than values")
+    if num_values > COMPUTED or (not with_replacement and n > COMPUTED):
+        if with_replacement:
+            value, column = lambda v: (_hash(seed, v) >> 1) % n, lambda v: F.shiftright(F.xxhash64(F.lit(seed).cast("long"), v.cast("long")), 1)
+            return _derived("sample", num_values, [state], lambda v: [value(v)], lambda v: [F.pmod(column(v), F.lit(n).cast("long"))], name, iter_order)
+        value, column = _permuted(seed, n)
+        return _derived("sample", num_values, [state], lambda v: [value(v)], lambda v: [column(v)], name, iter_order)
+    rng = random.Random(seed)
+    return _table(state, rng.choices(range(n), k=num_values) if with_replacement else rng.sample(range(n), num_values), "sample", name, iter_order)
 
 
 def interleave(states: Sequence[State], name: str | None = None, iter_order: int | None = None) -> State:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.colors import CSS_COLORS
 from ..plans.pool import Pool
 from ..plans.runner import generate_library, stripped
 from ..plans.states import State
@@ -50,73 +52,71 @@ def fasta_lines(df: DataFrame, description: str | Callable | None = None, line_w
     return df.where(F.col("seq").isNotNull()).select(F.concat(head, F.lit("\n"), seq).alias("value"))
 
 
-def write_library(df: DataFrame, path: str, file_type: str, *, compression: str | None = None, description=None, line_width: int | None = 60, **options) -> None:
-    """Write a library DataFrame as a folder of part files."""
+def write_library(df: DataFrame, path: str, file_type: str, *, compression: str | None = None, description=None, line_width: int | None = 60, **options) -> int:
+    """Write a library DataFrame as a folder of part files; gives the number of rows, as the write itself observed it."""
     if file_type not in FORMATS:
         raise ValueError(f"file_type must be one of {FORMATS}")
     if compression is None and path.endswith(".gz"):
         compression = "gzip"
     squeeze = {"compression": compression} if compression else {}
+    seen = Observation()
+    counted = lambda x: x.observe(seen, F.count(F.lit(1)).alias("rows"))
     if file_type in ("csv", "tsv"):
         flat = df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes])
-        flat.write.options(header=True, sep="," if file_type == "csv" else "\t", **squeeze, **options).csv(path)
+        counted(flat).write.options(header=True, sep="," if file_type == "csv" else "\t", **squeeze, **options).csv(path)
     elif file_type == "fasta":
-        fasta_lines(df, description, line_width).write.options(**squeeze).text(path)
+        counted(fasta_lines(df, description, line_width)).write.options(**squeeze).text(path)
     elif file_type == "jsonl":
         rows = F.struct(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
-        df.select(F.to_json(rows, {"ignoreNullFields": "false"}).alias("value")).write.options(**squeeze).text(path)
+        counted(df.select(F.to_json(rows, {"ignoreNullFields": "false"}).alias("value"))).write.options(**squeeze).text(path)
     else:
-        df.write.options(**squeeze).parquet(path)
+        counted(df).write.options(**squeeze).parquet(path)
+    return seen.get["rows"]
 
 
 def to_file(pool: Pool, path: str, file_type: str | None = None, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, columns: list[str] | None = None, remove_tags: bool = True, compression: str | None = None, description=None, line_width: int | None = 60, csv_options: dict | None = None, **options) -> int:
-    """Write a library; gives the number of rows written (counted from what was written)."""
+    """Write a library; gives the number of rows written."""
     file_type = file_type or path.removesuffix(".gz").rpartition(".")[2].replace("fa", "fasta").replace("fastasta", "fasta")
     if file_type not in FORMATS:
         raise ValueError(f"file_type must be one of {FORMATS}")
     df = to_df(pool, num_seqs, num_cycles, seed, None if file_type == "fasta" else columns, remove_tags, **options)
-    write_library(df, path, file_type, compression=compression, description=description, line_width=line_width, **(csv_options or {}))
-    spark = df.sparkSession
-    if file_type == "fasta":
-        return spark.read.text(path).where(F.col("value").startswith(">")).count()
-    if file_type == "parquet":
-        return spark.read.parquet(path).count()
-    return spark.read.text(path).count() if file_type == "jsonl" else spark.read.options(header=True, sep="," if file_type == "csv" else "\t").csv(path).count()
+    return write_library(df, path, file_type, compression=compression, description=description, line_width=line_width, **(csv_options or {}))
 
 
 # Three-letter codes of residues.
 THREE_LETTERS = dict(zip("ARNDCQEGHILKMFPSTWYV*", "Ala Arg Asn Asp Cys Gln Glu Gly His Ile Leu Lys Met Phe Pro Ser Thr Trp Tyr Val Ter".split()))
-_colors = {"black": 30, "red": 31, "green": 32, "yellow": 33, "blue": 34, "magenta": 35, "cyan": 36, "white": 37, "gray": 90}
-_modes = {"bold": 1, "faint": 2, "italic": 3, "underline": 4, "invert": 7}
+# Escape codes of the basic colours and modes.
+_colors = {"black": 30, "red": 91, "green": 92, "yellow": 93, "blue": 94, "magenta": 95, "cyan": 96, "white": 97}
+_modes = {"bold": 1, "faint": 2, "italic": 3, "underline": 4, "blink": 5, "blinking": 5, "invert": 7, "reverse": 7}
+_cases = ("upper", "lower", "uppercase", "lowercase", "swapcase")
 
 
 def ansi(spec: str) -> str:
-    """The escape codes of a style like 'bold red on_yellow #3366ff'."""
+    """The escape codes of a style like 'bold red on_yellow #3366ff tomato 38;5;208': names, CSS names, hex colours, raw codes."""
     codes = []
     for word in spec.split():
         back, name = word.startswith("on_"), word.removeprefix("on_")
-        if name in _modes:
-            codes.append(str(_modes[name]))
-        elif name.startswith("#") and len(name) == 7:
-            codes.append(f"{48 if back else 38};2;" + ";".join(str(int(name[i : i + 2], 16)) for i in (1, 3, 5)))
-        elif name in _colors:
+        name_or_hex = name if name.startswith("#") else CSS_COLORS.get(name, "")
+        if name in _colors:
             codes.append(str(_colors[name] + 10 * back))
-        elif name in ("upper", "lower", "swapcase"):
-            continue
-        else:
+        elif name in _modes and not back:
+            codes.append(str(_modes[name]))
+        elif re.fullmatch("#[0-9a-fA-F]{6}", name_or_hex):
+            codes.append(f"{48 if back else 38};2;" + ";".join(str(int(name_or_hex[i : i + 2], 16)) for i in (1, 3, 5)))
+        elif re.fullmatch(r"[\d;]+", word):
+            codes.append(word)
+        elif word not in _cases:
             raise ValueError(f"unknown style {word!r}")
     return f"\033[{';'.join(codes)}m" if codes else ""
 
 
 def print_named_colors() -> None:
-    for name in _colors:
+    for name in dict.fromkeys([*_colors, *CSS_COLORS]):
         print(f"{ansi(name)}{name}\033[0m")
 
 
 def rendered(seq: str, styles: list[dict]) -> str:
     """A sequence with its pool's styles as escape codes; later styles win."""
-    import re
-
     from ..plans.tags import find_all_regions, get_nontag_positions
 
     marks: dict[int, str] = {}
@@ -139,8 +139,8 @@ def rendered(seq: str, styles: list[dict]) -> str:
             spec = s["style"] if not cycle else cycle[(n // 3) % len(cycle)] if s.get("codons") else cycle[n % 3 % len(cycle)]
             marks[i] = ansi(spec)
             for word in spec.split():
-                if word in ("upper", "lower", "swapcase"):
-                    chars[i] = getattr(chars[i], word)()
+                if word in _cases:
+                    chars[i] = getattr(chars[i], word.removesuffix("case") if word != "swapcase" else word)()
     return "".join(f"{marks[i]}{c}\033[0m" if marks.get(i) else c for i, c in enumerate(chars))
 
 
@@ -186,11 +186,13 @@ def plan_tree(pool: Pool, style: str = "clean") -> str:
     return "\n".join(lines)
 
 
-def state_tree(state: State) -> str:
+def state_tree(state: State, style: str = "clean") -> str:
+    if style not in ("clean", "minimal", "repr"):
+        raise ValueError(f"unknown style {style!r}")
     lines = []
 
     def visit(s: State, depth: int) -> None:
-        lines.append(f"{'    ' * depth}{s.name} [{s.kind}, n={s.num_values}]")
+        lines.append("    " * depth + {"clean": f"{s.name} [{s.kind}, n={s.num_values}]", "minimal": s.name, "repr": repr(s)}[style])
         for p in s.parents:
             visit(p, depth + 1)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dna import BASES, IUPAC_TO_DNA, reverse_complement_column, strip_tags
 from ..plans.pool import Operation, Pool, as_pool, get_session, make, regions_in
 from ..plans.states import LITERAL
+from .scratch import scratch_path
 
 
 def _within(pool: Pool | str | None, region: str | Sequence[int] | None) -> list[Pool]:
@@ -290,12 +291,7 @@ def materialize(pool: Pool, num_seqs: int | None = None, num_cycles: int | None
 
     count = num_seqs if num_seqs is not None else num_cycles * pool.num_states
     df = generate_library(pool, num_seqs=count, seed=seed, init_state=0, discard_null_seqs=discard_null_seqs, max_iterations=max_iterations, min_acceptance_rate=min_acceptance_rate, attempts_per_rate_assessment=attempts_per_rate_assessment, with_index=True)
-    if path is None:
-        import tempfile
-        import uuid
-
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        path = f"{where}/pool-{uuid.uuid4().hex}"
+    path = path or scratch_path(df.sparkSession, "pool")
     df.write.parquet(path)
     kept = df.sparkSession.read.parquet(path)
     rows = kept.count()

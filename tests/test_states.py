@@ -87,3 +87,53 @@ def test_columns_agree_with_values(spark, manager):
 def test_sizes_are_positive(bad):
     with pytest.raises(ValueError):
         st.State(bad)
+
+
+@pytest.mark.parametrize("n", [1001, 4096, 5003])
+def test_computed_permutations(spark, manager, n):
+    a = st.State(n, "a")
+    root = st.shuffle(a, seed=n, name="root")
+    want = [st.values(root, v)[a] for v in range(n)]
+    assert sorted(want) == list(range(n)) and want != sorted(want)
+    got = {r["root"]: r["a"] for r in root.get_iteration_df(spark).collect()}
+    assert [got[v] for v in range(n)] == want
+    # no pattern: neighbours are as far apart as at random (a third of n in the mean)
+    assert 0.3 < sum(abs(x - y) for x, y in zip(want, want[1:])) / n / n < 0.37
+
+
+def test_computed_samples(spark, manager):
+    a = st.State(10**12, "a")
+    for replaced in (True, False):
+        root = st.sample(a, 3000, seed=4, with_replacement=replaced, name=f"root{replaced}")
+        got = {r[f"root{replaced}"]: r["a"] for r in root.get_iteration_df(spark).collect()}
+        assert [got[v] for v in range(3000)] == [st.values(root, v)[a] for v in range(3000)]
+        assert len(set(got.values())) == 3000 and 0 <= min(got.values()) < 10**10 and 99 * 10**10 < max(got.values()) < 10**12
+
+
+def test_large_shuffles_are_planned_at_once(spark, manager):
+    import time
+
+    start = time.perf_counter()
+    root = st.shuffle(st.State(10**9, "a"), seed=1)[5:25]
+    assert len({r["a"] for r in root.get_iteration_df(spark).collect()}) == 20
+    assert time.perf_counter() - start < 10
+
+
+def test_names_and_values(manager, capsys):
+    a, b = st.State(4, "a"), st.State(3)
+    c = st.product([a, b], "c")
+    c.value = 7
+    assert manager.get_all_names() == ["a", "State[1]", "c"] and manager.get_by_name("a") is a and set(manager.get_ancestors(c)) == {a, b, c}
+    assert c.get_states() == {"c": 7, "a": 3} and c.get_states(named_only=False) == {"c": 7, "a": 3, "State[1]": 1}
+    c.print_states()
+    c.print_dag()
+    assert capsys.readouterr().out.startswith("c=7, a=3\nc [product, n=12]\n    a [leaf, n=4]")
+    manager.inactivate_all([c])
+    assert not a.is_active and c.get_states(include_inactive=False) == {}
+    manager.reset_all()
+    assert c.value == 0 == a.value
+    manager.clear_all_values()
+    assert c.value is None and b.value is None
+    assert a.synced_parent("d").named("e").num_values == 4
+    with pytest.raises(KeyError):
+        manager.get_by_name("none")
