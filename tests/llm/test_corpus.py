@@ -348,14 +348,49 @@ def test_licenses(spark):
     texts = license_scan.TEMPLATES
     rows += [(100 + i, f"{words(40, i)}\n{t}\n{words(30, i)}") for i, t in enumerate(t for ts in texts.values() for t in ts)]
     long = texts["MIT"][2].split()
-    rows += [(200, " ".join(long[:-8])), (201, " ".join(long[: len(long) // 2])), (202, "RELEASED under   the mit license!")]
+    rows += [(200, " ".join(long[:-8])), (201, " ".join(long[: len(long) // 2])), (202, "RELEASED under   the mit license!"), (203, "x " * 300_000 + texts["MPL-2.0"][0])]
     got = {(r["doc_id"], r["license"]): r["containment"] for r in license_scan.licenses(docs(spark, rows)).collect()}
     names = [n for n, ts in texts.items() for _ in ts]
     for i, n in enumerate(names):
         assert got[100 + i, n] == 1.0
-    assert (200, "MIT") in got and (201, "MIT") not in got and got[202, "MIT"] == 1.0
+    assert (200, "MIT") in got and (201, "MIT") not in got and got[202, "MIT"] == 1.0 == got[203, "MPL-2.0"]
     assert not any(d is None or d < 100 for d, _ in got)
     assert license_scan.licenses(docs(spark, rows).limit(0)).count() == 0
+    table = spark.createDataFrame([("own", "a notice of four words"), ("own", "w1"), (None, "x"), ("none", None), ("empty", "")], "license string, text string")
+    found = license_scan.licenses(docs(spark, [(1, "here is A NOTICE, of four words."), (2, "w1 w1"), (3, "notice of four words")]), table).collect()
+    assert sorted(tuple(r) for r in found) == [(1, "own", 1.0, 2), (2, "own", 1.0, 0)]
+    with pytest.raises(ValueError, match="more than 2"):
+        license_scan.listed(table, 2)
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_licenses_against_every_place(spread):
+    """All edited notices that contain 0.8 of a template or more, by trying every place of the text."""
+    index, rng = license_scan.Templates(), random.Random(3)
+    wanted = found = 0
+    for n, (name, text) in enumerate((x, t) for x, ts in license_scan.TEMPLATES.items() for t in ts):
+        own = cgk.item_words(text)
+        if len(own) < 15:
+            continue
+        for trial in range(12):
+            edited = own.copy()
+            edits = max(1, int(len(own) * 0.02 * (trial % 4 + 1) / (1 if spread else 0.3)))
+            at = rng.sample(range(len(own)), edits) if spread else range(x := rng.randrange(len(own)), min(len(own), x + edits))
+            edited[list(at)] = [rng.getrandbits(63) for _ in at]
+            around = [np.array([rng.getrandbits(63) for _ in range(rng.randrange(60))], np.uint64) for _ in range(2)]
+            s = cgk.window_hashes(np.concatenate([around[0], edited, around[1]]), license_scan.SHINGLE)
+            got = {x for x, _, _ in index.search(s)}
+            for m, (other, _) in enumerate(index.rows):
+                if other == name and max(index.contained(m, s, p)[0] for p in range(len(s))) >= license_scan.CONTAINMENT:
+                    wanted += 1
+                    found += name in got
+                    break
+            else:
+                assert name not in got
+    assert wanted > 100 and found >= 0.99 * wanted
+    # texts shorter than a template's window
+    bsd = cgk.window_hashes(cgk.item_words(license_scan.TEMPLATES["BSD"][0]), license_scan.SHINGLE)
+    assert all("BSD" in {x for x, _, _ in index.search(part)} for part in (bsd[:14], bsd[2:], bsd[1:15]))
 
 
 # --- 6 --------------------------------------------------------------------------------------------------------------
