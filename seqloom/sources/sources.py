@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from math import prod
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import BASES, IUPAC_TO_DNA, reverse_complement_column, strip_tags
@@ -67,9 +67,8 @@ def from_seqs(seqs: Sequence[str], pool: Pool | str | None = None, region=None,
         i = s % n
         return lookup(seqs, i), {"seq_name": lookup(names, i), "seq_index": i}
 
-    def draw(rng, *_):
-        i = int(rng.integers(0, n))
-        return seqs[i], names[i], i
+    def sample(run, args, draws):
+        return build(run, args, run.add(f"_p{run.op.id}", draws.below(n, 0).cast("long")))
 
     def contributes(run, state):
         shown = run.card(run.op, "seq_name") if "seq_name" in run.cards[run.op] else lookup(names, state % n)
@@ -86,7 +85,7 @@ def from_seqs(seqs: Sequence[str], pool: Pool | str | None = None, region=None,
         region=region,
         remove_tags=bool(remove_tags),
         build=build,
-        draw=draw,
+        sample=sample,
         cards={"seq_name": "string", "seq_index": "long"},
         name_parts=contributes if seq_names is not None else None,
     )
@@ -100,9 +99,9 @@ class TableOp(Operation):
     factory = "from_table"
     most_states = None
 
-    def __init__(self, table: DataFrame, rows: int, **options):
+    def __init__(self, table: DataFrame, rows: int, parents: Sequence[Pool] = (), **options):
         self.table, self.rows = table, rows
-        super().__init__([], mode="sequential", cards={"seq_index": "long", "seq_name": "string"}, **options)
+        super().__init__(parents, mode="sequential", cards={"seq_index": "long", "seq_name": "string"}, **options)
 
     def columns(self) -> DataFrame:
         return self.table.select(*[F.col(c).alias(f"_t{self.id}{c[0]}") for c in ("idx", "seq", "name")])
@@ -158,39 +157,81 @@ def from_table(df: DataFrame, seq_col: str = "seq", name_col: str | None = None,
     return out
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, seq of each record of a FASTA file (or a folder of them)."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    return records.select(
-        F.regexp_extract("value", r"^\s*(\S+)", 1).alias("chrom"),
-        F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"),
-    )
+def fasta_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, pos, seq: the lines of FASTA files (a file or a folder) with the place in its record that each begins at.
+
+    A file is read in splits. Places are counted within each split and over the splits of a file, of which there is a row each.
+    """
+    file, block = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(path).select(file, block, F.monotonically_increasing_id().alias("id"), F.trim("value").alias("line")).where("line <> ''")
+    head = F.startswith("line", F.lit(">"))
+    sized = lines.withColumn("n", F.when(head, 0).otherwise(F.length("line")).cast("long"))
+    split = Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = sized.withColumn("upto", F.sum("n").over(split))
+    start = F.when(head, F.struct(F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("chrom"), F.col("upto").alias("at")))
+    within = counted.withColumn("record", F.last(start, True).over(split))
+    # what each split begins with: the bases before it in its file, and the record that the splits before it end in
+    totals = within.groupBy("file", "block").agg(F.sum("n").alias("bases"), F.max_by("record", "id").alias("record"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("base", F.coalesce(F.sum("bases").over(before), F.lit(0)))
+    ends = F.when(F.col("record").isNotNull(), F.struct(F.col("record.chrom").alias("chrom"), (F.col("base") + F.col("record.at")).alias("at")))
+    carried = totals.select("file", "block", "base", F.last(ends, True).over(before).alias("carried"))
+    placed = within.where(~head).join(carried, ["file", "block"])
+    first = F.when(F.col("record").isNotNull(), F.col("base") + F.col("record.at")).otherwise(F.col("carried.at"))
+    return placed.select(F.coalesce("record.chrom", "carried.chrom").alias("chrom"), (F.col("base") + F.col("upto") - F.col("n") - first).alias("pos"), F.col("line").alias("seq"))
+
+
+#: Bases of a block: pieces and intervals meet by the blocks that they touch.
+FASTA_BLOCK = 10_000
 
 
 def fasta_intervals(genome: DataFrame, coordinates: DataFrame) -> DataFrame:
-    """coordinates (chrom, start, stop, strand; 0-based, half-open) with their seq; start > stop wraps about the origin."""
-    joined = coordinates.join(genome, "chrom")
-    n, a, b = F.length("seq"), F.col("start"), F.col("stop")
-    cut = F.when(a <= b, F.col("seq").substr(a + 1, b - a)).otherwise(F.concat(F.col("seq").substr(a + 1, n - a), F.col("seq").substr(F.lit(1), b)))
-    return joined.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement_column(cut)).otherwise(cut))
+    """coordinates (chrom, start, stop, strand; 0-based, half-open) with their seq; start > stop wraps about the origin.
+
+    ``genome`` has pieces (chrom, pos, seq), or whole sequences without pos. Only the pieces that an interval touches meet it.
+    """
+    pieces = genome if "pos" in genome.columns else genome.select("chrom", F.lit(0).cast("long").alias("pos"), "seq")
+    lengths = pieces.groupBy("chrom").agg(F.max(F.col("pos") + F.length("seq")).alias("_n"))
+    key = ["chrom", "start", "stop", "strand"]
+    known = coordinates.join(lengths, "chrom")
+    a, b, n = F.col("start").cast("long"), F.col("stop").cast("long"), F.col("_n")
+    part = lambda i, x, y: F.struct(F.lit(i).alias("part"), x.alias("a"), F.least(y, n).alias("b"))
+    parts = F.when(a <= b, F.array(part(0, a, b))).otherwise(F.array(part(0, a, n), part(1, F.lit(0).cast("long"), b)))
+    blocks = lambda x, y: F.sequence(F.floor(x / FASTA_BLOCK), F.floor((y - 1) / FASTA_BLOCK))
+    wanted = known.select(*key, "_n").distinct().select(*key, F.inline(parts)).where("a < b").withColumn("block", F.explode(blocks(F.col("a"), F.col("b"))))
+    size = F.length("seq")
+    dealt = pieces.where(size > 0).select("chrom", "pos", "seq", F.explode(blocks(F.col("pos"), F.col("pos") + size)).alias("block"))
+    lo, hi = F.greatest("a", "pos"), F.least(F.col("b"), F.col("pos") + size)
+    met = wanted.join(dealt, ["chrom", "block"]).where((lo < hi) & (F.col("block") == F.floor(lo / FASTA_BLOCK)))  # once, where they first meet
+    cut = F.struct("part", lo.alias("at"), F.col("seq").substr((lo - F.col("pos") + 1).cast("int"), (hi - lo).cast("int")).alias("seq"))
+    found = met.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(cut)), lambda x: x["seq"]), "").alias("seq"))
+    whole = known.drop("_n").join(found, key, "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+    return whole.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement_column(F.col("seq"))).otherwise(F.col("seq")))
 
 
 def from_fasta(fasta_path: str, coordinates, pool: Pool | str | None = None, region=None, remove_tags: bool | None = None, iter_order: int | None = None, prefix: str | None = None, style: str | None = None, name: str | None = None, spark: SparkSession | None = None) -> Pool:
-    """Intervals of a genome: one tuple gives a constant, a list sequential states named ``chrom:start-stop(strand)``."""
+    """Intervals of a genome: one tuple gives a constant, a list sequential states named ``chrom:start-stop(strand)``.
+
+    The sequences of a list stay a table in the shared folder.
+    """
     spark = spark or SparkSession.getActiveSession()
     single = isinstance(coordinates, tuple) and isinstance(coordinates[0], str)
     rows = [coordinates] if single else list(coordinates)
     if any(r[3] not in "+-" for r in rows):
         raise ValueError("strand is + or -")
-    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, chrom string, start int, stop int, strand string")
-    found = {r["i"]: r["seq"] for r in fasta_intervals(read_fasta(spark, fasta_path), frame).select("i", "seq").collect()}
-    if len(found) < len(rows):
-        raise ValueError(f"unknown chromosome in {sorted({r[0] for i, r in enumerate(rows) if i not in found})}")
-    seqs = [found[i] for i in range(len(rows))]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, chrom string, start long, stop long, strand string")
+    title = F.format_string(f"{prefix + '_' if prefix else ''}%s:%d-%d(%s)", "chrom", "start", "stop", "strand")
+    path = scratch_path(spark, "fasta")
+    fasta_intervals(fasta_pieces(spark, fasta_path), frame).select(F.col("i").alias("idx"), "seq", title.alias("name")).write.parquet(path)
+    table = spark.read.parquet(path)
+    many, least, most = table.agg(F.count(F.lit(1)), F.min(F.length("seq")), F.max(F.length("seq"))).first()
+    if many < len(rows):
+        unknown = frame.join(table.select(F.col("idx").alias("i")), "i", "left_anti").select("chrom").distinct().limit(10).collect()
+        raise ValueError(f"unknown chromosome in {sorted(r['chrom'] for r in unknown)}")
     if single:
-        return from_seq(seqs[0], pool, region, remove_tags, style, iter_order, prefix, name)
-    names = [f"{prefix + '_' if prefix else ''}{c}:{a}-{b}({s})" for c, a, b, s in rows]
-    return from_seqs(seqs, pool, region, style, names, None, "sequential", None, iter_order, name, remove_tags)
+        return from_seq(table.first()["seq"], pool, region, remove_tags, style, iter_order, prefix, name)
+    op = TableOp(table, many, _within(pool, region), num_states=many, natural=many, region=region, remove_tags=bool(remove_tags), iter_order=iter_order)
+    return _styled(make(op, most if least == most else None, name), style)
 
 
 def from_iupac(iupac_seq: str, pool: Pool | str | None = None, region=None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, style: str | None = None, name: str | None = None, remove_tags: bool | None = None) -> Pool:

@@ -1,11 +1,13 @@
 import itertools
 import math
+import random
 
 import pandas as pd
 import pytest
 import xxhash
 
 import seqloom as sl
+from seqloom.functions.dna import reverse_complement
 
 
 
@@ -200,6 +202,43 @@ def test_fasta(spark, tmp_path):
     assert rows(pool) == [("chr1:1-5(+)", "CGTA"), ("chr2:2-6(-)", "GGTT"), ("chr1:10-2(+)", "GTAC")]
 
 
+def test_fasta_in_splits(spark, tmp_path, monkeypatch):
+    """Records and lines that go over the borders of splits and blocks, several files, empty lines."""
+    from seqloom.sources import sources
+
+    rng, genome = random.Random(3), {}
+    (tmp_path / "g").mkdir()
+    for f in range(2):
+        out = ""
+        for c in range(7):
+            name, seq = f"f{f}c{c}", "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, 59, 60, 61, 900, 3000])))
+            genome[name] = seq
+            out += f">{name} words\n" + "".join(seq[i : i + 60] + "\n" + "\n" * (rng.random() < 0.1) for i in range(0, len(seq), 60))
+        (tmp_path / "g" / f"{f}.fa").write_text(out)
+    monkeypatch.setattr(sources, "FASTA_BLOCK", 100)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        pieces = sources.fasta_pieces(spark, str(tmp_path / "g"))
+        assert spark.read.text(str(tmp_path / "g")).rdd.getNumPartitions() > 3
+        got = {}
+        for r in sorted(pieces.collect()):
+            assert len(got.get(r["chrom"], "")) == r["pos"]
+            got[r["chrom"]] = got.get(r["chrom"], "") + r["seq"]
+        assert got == {k: v for k, v in genome.items() if v}
+        wanted = [(c, a, b, rng.choice("+-")) for c, v in got.items() for _ in range(6) for a, b in [(rng.randrange(len(v) + 1), rng.randrange(len(v) + 1))]]
+        pool = sl.from_fasta(str(tmp_path / "g"), wanted + wanted[:2])
+        for (c, a, b, strand), (title, seq) in zip(wanted + wanted[:2], rows(pool)):
+            want = got[c][a:b] if a <= b else got[c][a:] + got[c][:b]
+            assert title == (f"{c}:{a}-{b}({strand})" if want else None) and (seq or "") == (want if strand == "+" else reverse_complement(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(ValueError, match="none"):
+        sl.from_fasta(str(tmp_path / "g"), [("none", 1, 2, "+")])
+    inside = sl.from_fasta(str(tmp_path / "g"), [("f0c0", 0, 0, "+"), *[(c, 0, 5, "+") for c, v in got.items() if len(v) > 5]], pool="AA<r/>CC", region="r", remove_tags=True)
+    assert seqs(inside)[1].startswith("AA") and len(seqs(inside)[1]) == 9
+
+
 @pytest.mark.parametrize("kind", ["csv", "tsv", "jsonl", "parquet", "fasta"])
 def test_files(spark, tmp_path, kind):
     pool = sl.from_seq("ACGT" * 20).mutagenize(num_mutations=1, mode="sequential", prefix="m")
