@@ -7,6 +7,8 @@ rank times the operator's states plus the state, as later states vary faster.
 from __future__ import annotations
 
 import math
+import random
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import api as sl
 from .functions.codons import CodonTable
+from .operators.fixed import passthrough
 from .plans import states as st
 from .plans.pool import Pool, Session
 from .sources.sinks import fasta_lines
@@ -99,6 +102,32 @@ def _synced() -> st.State:
 
 add("state_sync", states(_synced, "a", "b", "c"), span("v % 6 AS a, CASE WHEN v % 6 < 4 THEN v % 6 END AS b, v // 6 % 2 AS c", 12))
 
+
+
+def _led() -> st.State:
+    a = st.State(6, "a")
+    st.synced_to(a, 4, "b")
+    return st.repeat(a, 2, "root")
+
+
+add("state_synced_to", states(_led, "a", "b"), span("v % 6 AS a, CASE WHEN v % 6 < 4 THEN v % 6 END AS b", 12))
+
+
+def _by_seed(how: Callable[[random.Random], list[int]]) -> str:
+    """SQL: the values that Python's generator gives for seed 5."""
+    return f"CAST({how(random.Random(5))}[v + 1] AS BIGINT) AS a"
+
+
+def _mixed(rng: random.Random) -> list[int]:
+    values = list(range(300))
+    rng.shuffle(values)
+    return values
+
+
+add("state_shuffle_seeded", states(lambda: st.shuffle(st.State(300, "a"), 5, name="root"), "a"), span(_by_seed(_mixed), 300))
+add("state_sample_seeded", states(lambda: st.sample(st.State(300, "a"), 80, 5, name="root"), "a"), span(_by_seed(lambda r: r.choices(range(300), k=80)), 80))
+add("state_sample_without", states(lambda: st.sample(st.State(300, "a"), 80, 5, with_replacement=False, name="root"), "a"), span(_by_seed(lambda r: r.sample(range(300), 80)), 80))
+
 # --- sources --------------------------------------------------------------------------------------------------------
 add("from_seq", library(lambda s, d: sl.from_seq("ACGTACGT")), "SELECT CAST(0 AS BIGINT) AS i, 'ACGTACGT' AS seq")
 add("from_seqs", library(lambda s, d: sl.from_seqs(["AC", "GT", "TTT"], mode="sequential", num_states=7)), "SELECT v AS i, ['AC', 'GT', 'TTT'][v % 3 + 1] AS seq FROM range(7) AS r(v)")
@@ -112,11 +141,15 @@ add(
 
 
 def _fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sources.sources import fasta_intervals
+    """Three intervals of every part, read from FASTA files with lines of 20 bases."""
+    from .sources.scratch import scratch_path
+    from .sources.sources import fasta_intervals, fasta_pieces
 
     table = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("chrom"), F.expr(DNA).alias("seq"))
+    path = scratch_path(spark, "genome")
+    fasta_lines(table.select(F.concat("chrom", F.lit(" a part")).alias("name"), "seq"), None, 20).write.text(path)
     wanted = table.select("chrom", F.explode(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(c).alias("strand")) for a, b, c in ((2, 9, "+"), (4, 20, "-"), (28, 6, "+"))])).alias("x")).select("chrom", "x.*")
-    return fasta_intervals(table, wanted).select("chrom", "start", "stop", "strand", "seq")
+    return fasta_intervals(fasta_pieces(spark, path), wanted).select("chrom", "start", "stop", "strand", "seq")
 
 
 add(
@@ -126,6 +159,7 @@ add(
     "SELECT chrom, 2 AS start, 9 AS stop, '+' AS strand, substr(s, 3, 7) AS seq FROM d UNION ALL SELECT chrom, 4, 20, '-', reverse(translate(substr(s, 5, 16), 'ACGT', 'TGCA')) FROM d UNION ALL SELECT chrom, 28, 6, '+', substr(s, 29, 4) || substr(s, 1, 6) FROM d",
 )
 
+
 # --- fixed operators ------------------------------------------------------------------------------------------------
 GAPS = "concat(substring(s, 1, 5), '-', lower(substring(s, 7, 10)), '.', substring(s, 18, 15))"
 GAPS_SQL = "(substr(s, 1, 5) || '-' || lower(substr(s, 7, 10)) || '.' || substr(s, 18, 15))"
@@ -145,6 +179,9 @@ add("upper", library(lambda s, d: sl.upper(parts(s, d, GAPS))), per_row(f"upper(
 add("lower", library(lambda s, d: sl.lower(parts(s, d))), per_row("lower(s)"))
 add("swapcase", library(lambda s, d: sl.swapcase(parts(s, d, GAPS))), per_row(f"translate({GAPS_SQL}, 'ACGTacgt', 'acgtACGT')"))
 add("slice_seq", library(lambda s, d: sl.slice_seq(parts(s, d), 3, 29, 4)), per_row("substr(s, 4, 1) || substr(s, 8, 1) || substr(s, 12, 1) || substr(s, 16, 1) || substr(s, 20, 1) || substr(s, 24, 1) || substr(s, 28, 1)"))
+add("slice_seq_region", library(lambda s, d: sl.slice_seq(tagged(s, d), -10, None, 3, region="cre", keep_context=True)), per_row("substr(s, 1, 8) || substr(s, 15, 1) || substr(s, 18, 1) || substr(s, 21, 1) || substr(s, 24, 1) || substr(s, 25, 8) || '<bc/>'"))
+add("slice_seq_backwards", library(lambda s, d: sl.slice_seq(parts(s, d), -3, 20, -4)), per_row("substr(s, 30, 1) || substr(s, 26, 1) || substr(s, 22, 1)"))
+add("passthrough", library(lambda s, d: passthrough(parts(s, d))), per_row("s"))
 add("clear_gaps", library(lambda s, d: sl.clear_gaps(parts(s, d, GAPS, None))), per_row(f"regexp_replace({GAPS_SQL}, '[^ACGTacgt]', '', 'g')"))
 add("clear_annotation", library(lambda s, d: sl.clear_annotation(parts(s, d, GAPS, None))), per_row(f"upper(regexp_replace({GAPS_SQL}, '[^ACGTacgt]', '', 'g'))"))
 add("fixed_operation", library(lambda s, d: sl.fixed_operation([parts(s, d), "TT"], lambda x: F.concat(x[1], F.reverse(x[0])))), per_row("'TT' || reverse(s)"))
@@ -155,6 +192,7 @@ add("clear_tags", library(lambda s, d: tagged(s, d).clear_tags()), per_row(f"reg
 add("insert_tags", library(lambda s, d: parts(s, d).insert_tags("x", 4, 10)), per_row("substr(s, 1, 4) || '<x>' || substr(s, 5, 6) || '</x>' || substr(s, 11)"))
 add("insert_tags_tagged", library(lambda s, d: tagged(s, d).insert_tags("x", 2, 6)), per_row("substr(s, 1, 2) || '<x>' || substr(s, 3, 4) || '</x>' || substr(s, 7, 2) || '<cre>' || substr(s, 9, 16) || '</cre>' || substr(s, 25, 8) || '<bc/>'"))
 add("remove_tags", library(lambda s, d: tagged(s, d).remove_tags("cre")), per_row("s || '<bc/>'"))
+add("remove_tags_content", library(lambda s, d: tagged(s, d).remove_tags("cre", keep_content=False)), per_row("substr(s, 1, 8) || substr(s, 25, 8) || '<bc/>'"))
 add("extract_region", library(lambda s, d: tagged(s, d).extract_region("cre", rc=True)), per_row("reverse(translate(substr(s, 9, 16), 'ACGT', 'TGCA'))"))
 add("replace_region", library(lambda s, d: tagged(s, d).replace_region(sl.get_kmers(2, mode="sequential"), "bc")), per_row("substr(s, 1, 8) || '<cre>' || substr(s, 9, 16) || '</cre>' || substr(s, 25, 8) || substr('ACGT', v // 4 + 1, 1) || substr('ACGT', v % 4 + 1, 1)", 16))
 add("apply_at_region", library(lambda s, d: tagged(s, d).apply_at_region("cre", lambda p: p.lower(), remove_tags=False)), per_row("substr(s, 1, 8) || '<cre>' || lower(substr(s, 9, 16)) || '</cre>' || substr(s, 25, 8) || '<bc/>'"))
@@ -249,6 +287,18 @@ def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("discard_null_seqs", _kept, f"{D}, g AS (SELECT k, s, row_number() OVER (ORDER BY k) AS j FROM d WHERE {GC_RICH}) SELECT k AS i, s AS seq FROM g WHERE j <= (SELECT count(*) // 3 FROM d)")
 
 
+def _stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Less than nine tenths of the first hundred parts pass, the rate that is asked for, so no more are tried."""
+    with Session(), warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        pool = parts(spark, sf_dir).filter_gc(0.5, 1.0)
+        df = sl.generate_library(pool, num_seqs=pool.num_states, discard_null_seqs=True, min_acceptance_rate=0.9, with_index=True, spark=spark, init_state=0)
+        return df.select(F.col("_row").alias("i"), "seq")
+
+
+add("acceptance_rate", _stopped, f"{D} SELECT k AS i, s AS seq FROM d WHERE k < 100 AND {GC_RICH}")
+
+
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.col("s")
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(DNA).alias("s"))
@@ -318,6 +368,14 @@ def _fasta_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("to_fasta", _fasta_out, f"{D}, x AS (SELECT s || (SELECT s FROM d WHERE k = 0) AS q FROM d) SELECT '>p n=p' || chr(10) || substr(q, 1, 20) || chr(10) || substr(q, 21, 20) || chr(10) || substr(q, 41, 20) || chr(10) || substr(q, 61) AS value FROM x")
 
 
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Session():
+        return fasta_lines(sl.to_df(parts(spark, sf_dir).add_prefix("p"), num_cycles=1, spark=spark), lambda row: f"{row['seq'].count('A')} of {len(row['seq'])}", None)
+
+
+add("to_fasta_described", _described, f"{D} SELECT '>p ' || CAST(32 - length(replace(s, 'A', '')) AS VARCHAR) || ' of 32' || chr(10) || s AS value FROM d")
+
+
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of file written and read back: what is in it, by kind. The files are removed at the end of the session."""
     from .sources.scratch import scratch_path
@@ -521,6 +579,20 @@ add(
 )
 
 
+add("from_seqs_random", randomly(lambda s, d: sl.from_seqs(["AC", "GT", "TTT", "A"]), (("from_seqs", "seq_index", "seq_index"),), n=ROWS), f"SELECT i, ['AC', 'GT', 'TTT', 'A'][v + 1] AS seq, v AS seq_index FROM (SELECT i, {below(4)} AS v FROM ({drawn(f'SELECT i FROM range({ROWS}) AS r(i)', 1, 0, 0)}))")
+
+# permutations and samples that are computed for each index
+N = 4**5
+_keys = [(xx64(42, 5, r), (lambda h: h - (WORD if h >> 63 else 0))(xx64(42, 5, r)) % N) for r in range(st.ROUNDS)]
+_round = _hashed("SELECT v, w.x, w.r, keys.h, CASE WHEN keys.k >= w.x THEN keys.k - w.x ELSE keys.k - w.x + %d END AS y, greatest(w.x, CASE WHEN keys.k >= w.x THEN keys.k - w.x ELSE keys.k - w.x + %d END) AS m FROM w JOIN keys ON w.r = keys.r" % (N, N), "u", "h", "m")
+PERMUTED = f"WITH RECURSIVE keys AS (SELECT * FROM (VALUES {', '.join(f'({r}, CAST({h} AS UBIGINT), {k})' for r, (h, k) in enumerate(_keys))}) AS t(r, h, k)), w AS (SELECT v, v AS x, 0 AS r FROM range({N}) AS q(v) UNION ALL SELECT v, CASE WHEN u & 1 = 1 THEN y ELSE x END, r + 1 FROM ({_round}))"
+_kmer = "list_aggregate(list_transform(range(5), lambda j: substr('ACGT', (x // CAST(pow(4, 4 - j) AS BIGINT)) % 4 + 1, 1)), 'string_agg', '')"
+add("state_shuffle_computed", library(lambda s, d: sl.get_kmers(5, mode="sequential").state_shuffle(seed=5)), f"{PERMUTED} SELECT v AS i, {_kmer} AS seq FROM w WHERE r = {st.ROUNDS}")
+_drawn = _hashed("SELECT v FROM range(3000) AS q(v)", "u", xx64(42, 5), "v")
+_signed = f"(CASE WHEN u >= CAST({1 << 63} AS UBIGINT) THEN CAST(CAST(u AS HUGEINT) - {WORD} AS BIGINT) ELSE CAST(u AS BIGINT) END)"
+add("state_sample_computed", library(lambda s, d: sl.get_kmers(5, mode="sequential").sample(3000, seed=5)), f"SELECT i, {_kmer} AS seq FROM (SELECT v AS i, (({_signed} >> 1) % {N} + {N}) % {N} AS x FROM ({_drawn}))")
+
+
 # --- a whole design -------------------------------------------------------------------------------------------------
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four kinds of variants of every part, each with four barcodes."""
