@@ -181,7 +181,6 @@ add("swapcase", library(lambda s, d: sl.swapcase(parts(s, d, GAPS))), per_row(f"
 add("slice_seq", library(lambda s, d: sl.slice_seq(parts(s, d), 3, 29, 4)), per_row("substr(s, 4, 1) || substr(s, 8, 1) || substr(s, 12, 1) || substr(s, 16, 1) || substr(s, 20, 1) || substr(s, 24, 1) || substr(s, 28, 1)"))
 add("slice_seq_region", library(lambda s, d: sl.slice_seq(tagged(s, d), -10, None, 3, region="cre", keep_context=True)), per_row("substr(s, 1, 8) || substr(s, 15, 1) || substr(s, 18, 1) || substr(s, 21, 1) || substr(s, 24, 1) || substr(s, 25, 8) || '<bc/>'"))
 add("slice_seq_backwards", library(lambda s, d: sl.slice_seq(parts(s, d), -3, 20, -4)), per_row("substr(s, 30, 1) || substr(s, 26, 1) || substr(s, 22, 1)"))
-add("passthrough", library(lambda s, d: passthrough(parts(s, d))), per_row("s"))
 add("clear_gaps", library(lambda s, d: sl.clear_gaps(parts(s, d, GAPS, None))), per_row(f"regexp_replace({GAPS_SQL}, '[^ACGTacgt]', '', 'g')"))
 add("clear_annotation", library(lambda s, d: sl.clear_annotation(parts(s, d, GAPS, None))), per_row(f"upper(regexp_replace({GAPS_SQL}, '[^ACGTacgt]', '', 'g'))"))
 add("fixed_operation", library(lambda s, d: sl.fixed_operation([parts(s, d), "TT"], lambda x: F.concat(x[1], F.reverse(x[0])))), per_row("'TT' || reverse(s)"))
@@ -359,6 +358,15 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("names", _names, "SELECT 'src_' || lpad(CAST(v // 16 AS VARCHAR), 2, '0') || '.bc_' || lpad(CAST(v % 16 AS VARCHAR), 2, '0') || '.lib' AS name, substr('ACG', v // 16 % 3 + 1, 1) || substr('ACGT', v // 4 % 4 + 1, 1) || substr('ACGT', v % 4 + 1, 1) AS seq FROM range(192) AS r(v)")
 
 
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Session():
+        pool = passthrough(parts(spark, sf_dir), lambda run, state: [F.concat(F.lit("row"), run.row.cast("string")), F.lit("x")])
+        return sl.generate_library(pool, spark=spark, init_state=0)
+
+
+add("passthrough", _titled, f"{D} SELECT 'row' || CAST(k AS VARCHAR) || '.x' AS name, s AS seq FROM d")
+
+
 def _fasta_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Session():
         pool = sl.join([parts(spark, sf_dir), parts(spark, sf_dir)[0]]).add_prefix("p")
