@@ -101,13 +101,17 @@ HOT_PARTS = 1000
 HOT_ROWS = 10_000
 
 
-def join_split(rows: DataFrame, keyed: DataFrame, key: str, size: str, *by: str, how: str = "inner") -> DataFrame:
+def join_split(rows: DataFrame, keyed: DataFrame, key: str, size: str, *by: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """rows joined (inner or left) with keyed, which has a row for each key and in ``size`` how many of rows have that key.
 
-    A key with more than 1/HOT_PARTS of the rows is split by a hash of the columns ``by`` in parts of about that size. At most
-    HOT_PARTS keys are that large, so the list of them, which is broadcast, is bounded whatever the input.
+    A key with more than 1/HOT_PARTS of the rows (``total``, counted if it is not given) is split by a hash of the columns ``by``
+    in parts of about that size. At most HOT_PARTS keys are that large, so the list of them, which is broadcast, is bounded
+    whatever the input.
     """
-    share = max((keyed.agg(F.sum(size)).first()[0] or 0) // HOT_PARTS, HOT_ROWS)
+    total = (keyed.agg(F.sum(size)).first()[0] or 0) if total is None else total
+    if total <= HOT_ROWS:
+        return rows.join(keyed.drop(size), key, how)
+    share = max(total // HOT_PARTS, HOT_ROWS)
     parts = F.ceil(F.col(size) / share).cast("int")
     hot = F.broadcast(keyed.where(F.col(size) > share).select(key, parts.alias("_parts")))
     left = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), "_parts").cast("int"), F.lit(0))).drop("_parts")

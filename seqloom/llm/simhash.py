@@ -188,13 +188,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Large-star and small-star in turn; each step's links are stored in the shared folder.
     """
 
-    def star(e: DataFrame, small: bool) -> DataFrame:
+    def star(e: DataFrame, small: bool, edges: int) -> DataFrame:
         # each node's least neighbour, itself included; its neighbours are linked to that
         both = e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         if not small:
             both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        out = join_split(both, least, "u", "degree", "v", total=edges)  # the centre of a large star is one key
         if small:
             out = out.select(F.col("v").alias("src"), F.col("m").alias("dst")).unionByName(least.select(F.col("u").alias("src"), F.col("m").alias("dst")))
         else:
@@ -202,9 +202,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         return out.where("src <> dst").distinct()
 
     e = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
-    state = None
+    state = (e.count(),)
     for _ in range(most):
-        e = stored(star(star(e, False), True), "star")
+        e = stored(star(star(e, False, 2 * state[0]), True, 2 * state[0]), "star")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if now == state:
             break
