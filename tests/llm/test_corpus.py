@@ -649,6 +649,22 @@ def test_drop_near_copies(spark):
     assert simhash.drop_near_copies(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 4, 30, 300, 5000])
+def test_parities_lose_no_pair(size):
+    """Sets at a similarity of 4/5 or more never differ in more parities than the comparison allows; most others do."""
+    rng = np.random.default_rng(size)
+    passed = Counter()
+    for trial in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        gone = int(rng.integers(0, max(1, size // 2) + 1))
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, gone + 1))).astype(np.uint64)]))
+        if len(b):
+            odd = int(np.bitwise_count(near.parity(a).view(np.uint64) ^ near.parity(b).view(np.uint64)).sum())
+            passed[near.similar(a, b), 9 * odd <= len(a) + len(b)] += 1
+    assert passed[True, True] and not passed[True, False]
+    assert size not in (30, 300) or passed[False, True] < 0.2 * passed[False, False]
+
+
 def test_near_copies_of_the_pipeline(spark):
     """Links are exactly the pairs at a Jaccard similarity of 4/5 of five-word shingles, whatever the fingerprints' distance."""
     rng = random.Random(5)
