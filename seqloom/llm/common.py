@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
@@ -117,3 +117,34 @@ def join_split(rows: DataFrame, keyed: DataFrame, key: str, size: str, *by: str,
     left = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), "_parts").cast("int"), F.lit(0))).drop("_parts")
     copies = F.when(F.col(size) > share, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
     return left.join(keyed.withColumn("_part", F.explode(copies)).drop(size), [key, "_part"], how).drop("_part")
+
+
+def in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows, stored, with their place in this order: ``_stretch`` (of a range of the order) and ``_at`` (place in the part).
+
+    A key of the order that holds many rows is cut as well, for the number of the row is the last one. Rows that are equal in
+    ``order`` may take any order among themselves, so they have to be interchangeable for the caller.
+    """
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    by = [*order, F.col("_row")]
+    ordered = numbered.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
+    place = F.col("_row")
+    parts = ordered.withColumn("_stretch", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    return stored(parts.drop("_row"), name)
+
+
+def running(rows: DataFrame, value: Column, name: str, *group: str) -> DataFrame:
+    """rows of ``in_order`` with the sum of ``value`` over all earlier rows of their group as column ``name``.
+
+    Sums of the parts are added up first, so a task handles a part of a group, and a group has a row for each part only.
+    """
+    keys = [*group, "_stretch"]
+    valued = rows.withColumn("_value", value)
+    sums = valued.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
+    upto = Window.partitionBy(*group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*[F.col(k).alias(f"_{k}_") for k in keys], F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    own = valued.withColumn("_own", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys]
+    out = own.join(base, same).withColumn(name, F.col("_base") + F.col("_own"))
+    return out.drop("_value", "_own", "_base", *[f"_{k}_" for k in keys])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cgk, chat, license_scan, lsm_dedup, rlz, simhash, style_tree, toxicity, warc
+from . import bpe, cgk, chat, importance, license_scan, lsm_dedup, merkle, mixing, rlz, simhash, style_tree, toxicity, warc
 from .common import read_table
 
 
@@ -110,6 +110,142 @@ def op2_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tree.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op11_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_words(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('=' || source, '-') AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), s AS (
+  SELECT key, source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key, source
+), w AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s
+), f AS (  -- x: the level when the first j sources, in this order, are full
+  SELECT j, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS x, cap / weight AS room
+  FROM (SELECT *, row_number() OVER (ORDER BY cap / weight, key) - 1 AS j FROM w)
+  WINDOW b AS (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT x FROM f WHERE x <= room ORDER BY j LIMIT 1
+), t AS (
+  SELECT key, source_size, least(cap, weight * (SELECT x FROM l)) AS target FROM w
+), e AS (
+  SELECT d.doc_id, d.key, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e,
+    (('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN t USING (key)
+), p AS (
+  SELECT *, CAST(floor(e) AS BIGINT) AS whole, e - floor(e) AS pi FROM e
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY (u / (1 - u)) / (pi / (1 - pi)), doc_id NULLS FIRST, size) AS i FROM p WHERE pi > 0 AND size > 0
+), walk AS (
+  SELECT key, CAST(0 AS BIGINT) AS i, target - sum(whole * size) AS room, false AS took FROM p GROUP BY key, target
+  UNION ALL
+  SELECT o.key, o.i, CASE WHEN o.size <= walk.room THEN walk.room - o.size ELSE walk.room END, o.size <= walk.room FROM walk JOIN o ON o.key = walk.key AND o.i = walk.i + 1
+), rest AS (
+  SELECT key, min(room) AS room FROM walk GROUP BY key
+), last AS (
+  SELECT key, arg_min(i, (size, i)) AS i FROM o JOIN walk USING (key, i) JOIN rest USING (key) WHERE NOT took AND size < 2 * rest.room GROUP BY key
+), hits AS (
+  SELECT key, i FROM walk WHERE took UNION ALL SELECT key, i FROM last
+)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN hits.i IS NULL THEN 0 ELSE 1 END) AS taken FROM o LEFT JOIN hits USING (key, i)
+UNION ALL SELECT doc_id, size, source_size, target, size * whole FROM p WHERE NOT (pi > 0 AND size > 0)
+"""
+
+
+def op12_head_tail_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH steps AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS step FROM range(256) AS r(i)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), b AS (
+  SELECT coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark
+), f AS (
+  SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY r, word
+), g AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM b) GROUP BY word
+), v AS (
+  SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM f UNION SELECT word FROM g)
+), k AS (
+  SELECT word, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda c, y: xor(c // 256, step[xor(c % 256, y) + 1]))) % 10000 AS bucket
+  FROM v, steps
+), s AS (
+  SELECT bucket, sum(n) AS s FROM f JOIN k USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, sum(n) AS t FROM g JOIN k USING (word) GROUP BY bucket
+), q AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket)
+), m AS (
+  SELECT r, CAST(floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE) AS BIGINT) AS weight FROM f JOIN k USING (word) JOIN q USING (bucket) GROUP BY r
+), o AS (
+  SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN m USING (r)
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM o
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM p
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_proofs(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS step FROM range(256) AS r(i)
+), d AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, y: xor(c // 256, step[xor(c % 256, y) + 1]))) % 5 = 0, false) AS hit
+  FROM documents, steps
+), l AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS digest,
+    CASE WHEN hit THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other
+  FROM d
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM l
+), up AS (
+  SELECT tree, 0 AS k, idx, digest, n FROM p
+  UNION ALL
+  SELECT tree, k + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY tree, k, idx // 16, n
+), sub AS (
+  SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1
+), high AS (
+  SELECT 0 AS k, idx, subroot AS digest, n FROM sub
+  UNION ALL
+  SELECT k + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM high WHERE n > 1 GROUP BY k, idx // 16, n
+), low AS (
+  SELECT a.tree, a.k, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM up a JOIN up b ON a.tree = b.tree AND a.k = b.k AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY a.tree, a.k, a.idx
+), tall AS (
+  SELECT a.k, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM high a JOIN high b ON a.k = b.k AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY a.k, a.idx
+), one AS (  -- from the leaf to the subroot
+  SELECT tree, idx AS leaf_idx, idx, 0 AS k, coalesce(other, digest) AS at, '' AS proof FROM p
+  UNION ALL
+  SELECT o.tree, o.leaf_idx, o.idx // 16, o.k + 1, sha256(s.l || o.at || s.r), o.proof || s.l || s.r FROM one o JOIN low s ON o.tree = s.tree AND o.k = s.k AND o.idx = s.idx
+), two AS (  -- from the subroot to the root
+  SELECT o.tree, o.leaf_idx, sub.idx, 0 AS k, o.at, o.proof FROM (SELECT *, max(k) OVER (PARTITION BY tree, leaf_idx) AS last FROM one) o JOIN sub USING (tree) WHERE o.k = o.last
+  UNION ALL
+  SELECT o.tree, o.leaf_idx, o.idx // 16, o.k + 1, sha256(s.l || o.at || s.r), o.proof || s.l || s.r FROM two o JOIN tall s ON o.k = s.k AND o.idx = s.idx
+), root AS (
+  SELECT digest AS root FROM high WHERE n = 1
+)
+SELECT p.doc_id, p.digest AS leaf, sub.subroot, root.root, sha256(w.proof) AS proof_sha256, w.at AS folded_root, w.at = root.root AS verified
+FROM (SELECT *, max(k) OVER (PARTITION BY tree, leaf_idx) AS last FROM two) w JOIN p ON p.tree = w.tree AND p.idx = w.leaf_idx JOIN sub ON sub.tree = p.tree, root WHERE w.k = w.last
+"""
+
+
 _all = [
     op1_prefix_target_chat,
     op2_style_tree_text,
@@ -121,6 +257,9 @@ _all = [
     op8_warc_segments,
     op9_simhash_components,
     op10_tree_bpe,
+    op11_pareto_mix,
+    op12_head_tail_resampling,
+    op13_merkle_manifest,
 ]
 QUERIES = {f.__name__: f for f in _all}
-SQL = {"op1_prefix_target_chat": OP1_SQL, "op3_lsm_exact_dedup": OP3_SQL, "op7_rlz_substring_dedup": OP7_SQL, "op8_warc_segments": OP8_SQL}
+SQL = {"op1_prefix_target_chat": OP1_SQL, "op3_lsm_exact_dedup": OP3_SQL, "op7_rlz_substring_dedup": OP7_SQL, "op8_warc_segments": OP8_SQL, "op11_pareto_mix": OP11_SQL, "op12_head_tail_resampling": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
