@@ -123,7 +123,8 @@ def in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """The rows, stored, with their place in this order: ``_stretch`` (of a range of the order) and ``_at`` (place in the part).
 
     A key of the order that holds many rows is cut as well, for the number of the row is the last one. Rows that are equal in
-    ``order`` may take any order among themselves, so they have to be interchangeable for the caller.
+    ``order`` may take any order among themselves, so they have to be interchangeable for the caller. ``df`` is computed twice (once
+    for the ranges), so it should be a stored table or near to one.
     """
     numbered = df.withColumn("_row", F.monotonically_increasing_id())
     by = [*order, F.col("_row")]

@@ -216,7 +216,7 @@ def resample(
     gain = gains(totals(features, buckets), totals(bucketed(target, None, known, pairs), buckets))
     scored = weighed(features, gain).withColumnRenamed("id", "doc_id")
     scored = scored.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("out", F.col("n_words") < least)
-    ordered = in_order(scored, [F.col("out"), -F.col("score"), F.col("doc_id"), F.col("n_features")], "dsir-order")
+    ordered = in_order(stored(scored, "dsir-scores"), [F.col("out"), -F.col("score"), F.col("doc_id"), F.col("n_features")], "dsir-order")
     fit = ordered.agg(F.count_if(~F.col("out"))).first()[0]
     place = running(ordered, F.lit(1), "before")
     rank = F.when(~F.col("out") & (F.col("before") < percent * fit // 100), F.col("before") + 1)
