@@ -52,6 +52,7 @@ def leaves(docs: DataFrame, changed: Column | None = None, columns: tuple[str, .
         other = F.when(changed.isNotNull(), leaf_digest(*[changed if c == "text" else v for c, v in zip(columns, values)]))
     tree = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))  # joins want keys that are not null; "-" comes before "="
     rows = docs.select(tree.alias("tree"), F.col("doc_id"), leaf_digest(*values).alias("digest"), other.alias("other"))
+    rows = stored(rows, "merkle-digests")  # the texts are read once; putting in order reads its rows twice
     placed = in_order(rows, [F.col("tree"), F.col("doc_id"), F.col("digest")], "merkle-order")
     return stored(running(placed, F.lit(1), "idx", "tree").drop("_stretch", "_at"), "merkle-leaves")
 
