@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -81,20 +82,21 @@ def state_slice(pool: Pool | str, key: int | slice | None = None, start: int | N
     return _reindexed(pool, "state_slice", lambda s: st.slice_state(s, key, iter_order=iter_order), prefix, name)
 
 
+def _drawn(seed: int | None, explicit: Sequence[int] | None) -> int | None:
+    """A seed drawn once, so that copies of the pool have the same order."""
+    return random.randint(0, 2**32 - 1) if seed is None and explicit is None else seed
+
+
 def sample(pool: Pool | str, num_seqs: int | None = None, seq_states: Sequence[int] | None = None, seed: int | None = None, with_replacement: bool = True, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
     if (num_seqs is None) == (seq_states is None):
         raise ValueError("give num_seqs or seq_states")
-    pool = as_pool(pool)
-    drawn = st.sample(st.State(pool.num_states), num_seqs, seed, seq_states, with_replacement)
-    table = [drawn.split(v)[0] for v in range(drawn.num_values)]
-    return _reindexed(pool, "sample", lambda s: st.sample(s, sampled_states=table, iter_order=iter_order), prefix, name)
+    pool, seed = as_pool(pool), _drawn(seed, seq_states)
+    return _reindexed(pool, "sample", lambda s: st.sample(s, num_seqs, seed, seq_states, with_replacement, iter_order=iter_order), prefix, name)
 
 
 def state_shuffle(pool: Pool | str, seed: int | None = None, permutation: Sequence[int] | None = None, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
-    pool = as_pool(pool)
-    drawn = st.shuffle(st.State(pool.num_states), seed, permutation)
-    table = [drawn.split(v)[0] for v in range(drawn.num_values)]
-    return _reindexed(pool, "state_shuffle", lambda s: st.shuffle(s, permutation=table, iter_order=iter_order), prefix, name)
+    pool, seed = as_pool(pool), _drawn(seed, permutation)
+    return _reindexed(pool, "state_shuffle", lambda s: st.shuffle(s, seed, permutation, iter_order=iter_order), prefix, name)
 
 
 def sync(pools: Sequence[Pool]) -> None:
