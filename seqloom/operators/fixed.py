@@ -9,12 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement_column, strip_tags_column
+from ..plans import styles
 from ..plans.pool import Operation, Pool, as_pool, make
 from ..plans.tags import outside_tags
 from ..sources.sources import _styled
 
 
-def fixed_operation(parent_pools: Sequence[Pool | str], seq_from_seqs_fn: Callable, seq_length_fn: Callable | None = None, region=None, remove_tags: bool = False, iter_order: int | None = None, prefix: str | None = None, name: str | None = None, factory: str = "fixed", native: bool | None = None) -> Pool:
+def fixed_operation(parent_pools: Sequence[Pool | str], seq_from_seqs_fn: Callable, seq_length_fn: Callable | None = None, region=None, remove_tags: bool = False, iter_order: int | None = None, prefix: str | None = None, name: str | None = None, factory: str = "fixed", native: bool | None = None, follow: Callable | None = None) -> Pool:
     """Any function of the parents' sequences: of columns (``native``), or of a list of strings (as an Arrow UDF)."""
     pools = [as_pool(p) for p in parent_pools]
     if native is None:
@@ -34,6 +35,7 @@ def fixed_operation(parent_pools: Sequence[Pool | str], seq_from_seqs_fn: Callab
         return run.add(f"_u{op.id}", apply(*args))
 
     op = Operation(pools, factory=factory, region=region, remove_tags=remove_tags, iter_order=iter_order, prefix=prefix, build=build)
+    op.follow = follow or styles.same
     lengths = [pools[0].region_length(region), *(p.seq_length for p in pools[1:])]
     length = seq_length_fn(lengths) if seq_length_fn else None
     return make(op, length, name, dict.fromkeys(r for p in pools for r in p.regions), kind=pools[0].kind)
@@ -44,13 +46,19 @@ def join(pools: Sequence[Pool | str], spacer_str: str = "", iter_order: int | No
     def glue(args: list[Column]) -> Column:
         return F.concat(*[x for i, a in enumerate(args) for x in ([F.lit(spacer_str), a] if i and spacer_str else [a])])
 
+    def spaced(run, masks, seqs, out, state):
+        return F.concat(*[x for i, m in enumerate(masks) for x in ([styles.fill(len(spacer_str)), m] if i and spacer_str else [m])])
+
     total = lambda ls: None if None in ls else sum(ls) + len(spacer_str) * (len(ls) - 1)
-    return _styled(fixed_operation(pools, glue, total, iter_order=iter_order, prefix=prefix, name=name, factory="join", native=True), style)
+    return _styled(fixed_operation(pools, glue, total, iter_order=iter_order, prefix=prefix, name=name, factory="join", native=True, follow=spaced), style)
+
 
+def _one(factory: str, f: Callable, length: Callable, drops_regions: bool = False, moved: Callable | None = None):
+    """An operator of one parent; ``moved(mask, seq)`` is what it does to masks of styles (None: nothing)."""
+    follow = (lambda run, masks, seqs, out, state: moved(masks[0], seqs[0])) if moved else None
 
-def _one(factory: str, f: Callable, length: Callable, drops_regions: bool = False):
     def operator(pool: Pool | str, region=None, remove_tags: bool | None = None, iter_order: int | None = None, prefix: str | None = None, name: str | None = None, style: str | None = None) -> Pool:
-        out = fixed_operation([pool], lambda args: f(args[0]), length, region, bool(remove_tags), iter_order, prefix, name, factory, True)
+        out = fixed_operation([pool], lambda args: f(args[0]), length, region, bool(remove_tags), iter_order, prefix, name, factory, True, follow)
         if drops_regions and region is None:
             out.regions = {}
         return _styled(out, style)
@@ -61,13 +69,13 @@ def _one(factory: str, f: Callable, length: Callable, drops_regions: bool = Fals
 
 _same = lambda ls: ls[0]
 _LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-rc = _one("rc", lambda s: reverse_complement_column(strip_tags_column(s)), _same, True)
+rc = _one("rc", lambda s: reverse_complement_column(strip_tags_column(s)), _same, True, lambda m, s: F.reverse(styles.outside(m, s)))
 upper = _one("upper", lambda s: outside_tags(s, F.upper), _same)
 lower = _one("lower", lambda s: outside_tags(s, F.lower), _same)
 swapcase = _one("swapcase", lambda s: outside_tags(s, lambda p: F.translate(p, _LOW + _UP, _UP + _LOW)), _same)
-clear_gaps = _one("clear_gaps", lambda s: outside_tags(s, lambda p: F.regexp_replace(p, "[^ACGTacgt]", "")), lambda ls: None)
-clear_annotation = _one("clear_annotation", lambda s: F.upper(F.regexp_replace(strip_tags_column(s), "[^ACGTacgt]", "")), lambda ls: None, True)
-clear_tags = _one("clear_tags", strip_tags_column, _same, True)
+clear_gaps = _one("clear_gaps", lambda s: outside_tags(s, lambda p: F.regexp_replace(p, "[^ACGTacgt]", "")), lambda ls: None, moved=lambda m, s: styles.molecular(m, s, "ACGTacgt<>#"))
+clear_annotation = _one("clear_annotation", lambda s: F.upper(F.regexp_replace(strip_tags_column(s), "[^ACGTacgt]", "")), lambda ls: None, True, styles.molecular)
+clear_tags = _one("clear_tags", strip_tags_column, _same, True, styles.outside)
 
 
 def sliced(s: Column, key: slice) -> Column:
@@ -106,6 +114,7 @@ def slice_seq(pool: Pool | str, start: int | None = None, stop: int | None = Non
         source = extract(pool, region)
         region = None
     op = Operation([source], factory="slice_seq", region=region, remove_tags=True, iter_order=iter_order, prefix=prefix, build=lambda run, args, s: sliced(strip_tags_column(args[0]), key))
+    op.follow = lambda run, masks, seqs, out, state: sliced(styles.outside(masks[0], seqs[0]), key)
     return _styled(make(op, new, name), style)
 
 
@@ -114,7 +123,13 @@ def extract(pool: Pool, region: str | Sequence[int], rc_: bool = False, **option
         inside = run.parts(run.op.parents[0], args[0], region)[1] if isinstance(region, str) else F.substring(args[0], region[0] + 1, region[1] - region[0])
         return reverse_complement_column(strip_tags_column(inside)) if rc_ else inside
 
+    def follow(run, masks, seqs, out, state):
+        start, stop = styles.within(seqs[0], region, lambda r: run.parts(pool, seqs[0], r), False)
+        mask, inside = (F.substr(x, start + 1, F.greatest(stop - start, F.lit(0))) for x in (masks[0], seqs[0]))
+        return F.reverse(styles.outside(mask, inside)) if rc_ else mask
+
     op = Operation([pool], factory="extract_region", build=build, **options)
+    op.follow = follow
     return Pool(op, pool.region_length(region), kind=pool.kind)
 
 
@@ -131,10 +146,11 @@ def passthrough(pool: Pool, names: Callable) -> Pool:
 
 
 def stylize(pool: Pool | str, region=None, *, style: str, which: str = "contents", regex: str | None = None, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
-    """A style for previews; sequences stay as they are."""
-    if which not in ("all", "upper", "lower", "gap", "tags", "contents"):
+    """Add a style to some characters; sequences stay as they are."""
+    if which not in styles.CHOICES:
         raise ValueError(f"unknown {which!r}")
     pool = as_pool(pool)
     op = Operation([pool], factory="stylize", iter_order=iter_order, prefix=prefix, build=lambda run, args, s: args[0])
-    op.style = {"style": style, "which": which, "regex": regex, "region": region}
+    op.style = style
+    op.paint = lambda run, seqs, out, state: [(style, styles.stylized(out, region, lambda r: run.parts(op.parents[0], out, r), which, regex))]
     return make(op, pool.seq_length, name, pool.regions, kind=pool.kind)

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.dna import IUPAC_TO_DNA, let, strip_tags_column
+from ..plans import styles as masks_of
 from ..plans.pool import Draws, Operation, Pool, as_pool, make, replaced
 from ..plans.tags import molecular_positions
 from ..sources.sources import _within, lookup
@@ -149,6 +150,7 @@ def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None,
 
     op = Operation([pool], factory="mutagenize", mode=mode, num_states=total if mode == "sequential" else num_states, natural=natural, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, sample=sample, cards={"positions": "array<int>", "wt_chars": "array<string>", "mut_chars": "array<string>"})
     op.style = style
+    op.paint = (lambda run, seqs, out, state: [(style, masks_of.differing(seqs[0], out))]) if style else None
     out = make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
     out.plain = pool.plain
     return out
@@ -180,11 +182,20 @@ def shuffle_seq(pool: Pool | str, region=None, style: str | None = None, prefix:
         return F.array_join(out, ""), {"permutation": inverse(order)}
 
     op = Operation([pool], factory="shuffle_seq", mode="random", num_states=num_states, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), sample=sample, cards={"permutation": "array<int>"})
+    op.style = style
+    op.paint = (lambda run, seqs, out, state: [(style, masks_of.at(molecular_positions(out), F.length(out)))]) if style else None
     return make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
 
 
-def recombine(pool: Pool | str | None = None, region=None, *, sources: Sequence[Pool | str] = (), num_breakpoints: int = 1, positions: Sequence[int] | None = None, mode: str = "random", num_states: int | None = None, prefix: str | None = None, iter_order: int | None = None, name: str | None = None, style: str | None = None, styles=None, remove_tags: bool | None = None) -> Pool:
-    """Segments of several sources of one length, neighbours from different ones. A breakpoint i is after index i."""
+def recombine(pool: Pool | str | None = None, region=None, *, sources: Sequence[Pool | str] = (), num_breakpoints: int = 1, positions: Sequence[int] | None = None, mode: str = "random", num_states: int | None = None, prefix: str | None = None, iter_order: int | None = None, name: str | None = None, styles: Sequence[str] | None = None, style_by: str = "order", remove_tags: bool | None = None) -> Pool:
+    """Segments of several sources of one length, neighbours from different ones. A breakpoint i is after index i.
+
+    ``styles`` cycle over the segments in order, or with ``style_by='source'`` over the sources.
+    """
+    if styles is not None and not len(styles):
+        raise ValueError("styles must not be empty")
+    if style_by not in ("order", "source"):
+        raise ValueError("style_by is order or source")
     sources = [as_pool(p) for p in sources]
     if len(sources) < 2:
         raise ValueError("two sources or more are needed")
@@ -200,7 +211,7 @@ def recombine(pool: Pool | str | None = None, region=None, *, sources: Sequence[
     parents = [*_within(pool, region), *sources]
     natural = comb(len(at), k) * n * (n - 1) ** k
 
-    def assembled(args, breaks, owners):
+    def segments(args, breaks, owners):
         args = args[-n:]
         out, start = [], F.lit(0)
         for j, o in enumerate(owners):
@@ -210,12 +221,16 @@ def recombine(pool: Pool | str | None = None, region=None, *, sources: Sequence[
                 picked = F.when(o == i, args[i]).otherwise(picked)
             out.append(picked.substr(start + 1, end - start))
             start = end
-        whole = F.when(sum((F.when(a.isNull(), 1).otherwise(0) for a in args), F.lit(0)) == 0, F.concat(*out))
+        return out
+
+    def assembled(args, breaks, owners):
+        whole = F.when(sum((F.when(a.isNull(), 1).otherwise(0) for a in args[-n:]), F.lit(0)) == 0, F.concat(*segments(args, breaks, owners)))
         return whole, {"breakpoints": F.array(*breaks), "pool_assignments": F.array(*owners)}
 
-    def build(run, args, s):
+    def plan(s):
+        """Breakpoints and owners of a state."""
         if mode == "fixed":
-            return assembled(args, [F.lit(p) for p in sorted(at[:k])], [F.lit(i % 2) for i in range(k + 1)])
+            return [F.lit(p) for p in sorted(at[:k])], [F.lit(i % 2) for i in range(k + 1)]
         v = s % natural
         inner = n * (n - 1) ** k
         ranks = unranked(div(v, inner), len(at), k)
@@ -227,7 +242,25 @@ def recombine(pool: Pool | str | None = None, region=None, *, sources: Sequence[
         owners = [div(rest, (n - 1) ** k).cast("int")]
         for d in digits(rest % (n - 1) ** k, n - 1, k):  # the d-th of the sources other than the one before
             owners.append((d + F.when(d >= owners[-1], 1).otherwise(0)).cast("int"))
-        return assembled(args, breaks, owners)
+        return breaks, owners
+
+    def build(run, args, s):
+        return assembled(args, *plan(s))
+
+    def chosen(run, state):
+        if mode == "random":
+            return [F.col(f"_p{run.op.id}")[j] for j in range(k)], [F.col(f"_o{run.op.id}x{j}") for j in range(k + 1)]
+        return plan(state)
+
+    def follow(run, masks, seqs, out, state):
+        return F.concat(*segments(masks, *chosen(run, state)))
+
+    def paint(run, seqs, out, state):
+        breaks, owners = chosen(run, state)
+        ends = [*(b + 1 for b in breaks), F.lit(length)]
+        sizes = [b - a for a, b in zip([F.lit(0), *ends], ends)]
+        turns = [F.lit(j) for j in range(k + 1)] if style_by == "order" else owners
+        return [(x, F.concat(*[F.repeat(F.when(t % len(styles) == q, "1").otherwise("0"), z.cast("int")) for t, z in zip(turns, sizes)])) for q, x in enumerate(styles) if x]
 
     def sample(run, args, draws):
         i = run.op.id
@@ -239,4 +272,5 @@ def recombine(pool: Pool | str | None = None, region=None, *, sources: Sequence[
         return assembled(args, [ordered[j] for j in range(k)], owners)
 
     op = Operation(parents, factory="recombine", mode=mode, num_states=(num_states or natural) if mode == "sequential" else num_states if mode == "random" else None, natural=natural, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, sample=sample, cards={"breakpoints": "array<int>", "pool_assignments": "array<int>"})
+    op.follow, op.paint = follow, paint if styles else None
     return make(op, length, name, parents[0].regions if pool is not None else (), kind=sources[0].kind)

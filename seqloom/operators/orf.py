@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codons import UNIFORM_MUTATION_TYPES, VALID_MUTATION_TYPES, CodonTable
 from ..functions.dna import reverse_complement_column, strip_tags_column
+from ..plans import styles
 from ..plans.pool import FRAMES, Operation, OrfRegion, Pool, as_pool, get_session, make, regions_in, replaced
 from ..plans.tags import molecular_positions
 from .fixed import stylize
@@ -49,9 +50,12 @@ def stylize_orf(pool: Pool | str, region=None, style_codons: Sequence[str] | Non
     """Cycle styles over codons, or over the three places in them; sequences stay."""
     if (style_codons is None) == (style_frames is None):
         raise ValueError("give style_codons or style_frames")
+    if not (style_codons or style_frames) or (style_frames and len(style_frames) % 3):
+        raise ValueError("style_codons must not be empty, and style_frames are so many times three")
     out = stylize(pool, region=region, style=(style_codons or style_frames)[0], name=name)
-    out.operation.factory = "stylize_orf"
-    out.operation.style |= {"codons": style_codons, "frames": style_frames, "frame": frame or _frame(out, region)}
+    op, frame = out.operation, frame or _frame(out, region)
+    op.factory = "stylize_orf"
+    op.paint = lambda run, seqs, seq, state: styles.framed(seq, region, lambda r: run.parts(op.parents[0], seq, r), molecular_positions, style_codons, style_frames, frame)
     return out
 
 
@@ -101,11 +105,12 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
         options = F.create_map(*[x for c in table.all_codons for x in (F.lit(c), F.array(*map(F.lit, table.get_mutations(c, mutation_type))).cast("array<string>"))])
         names = F.create_map(*[F.lit(x) for c, a in table.codon_to_aa.items() for x in (c, a)])
         where = F.array(*map(F.lit, eligible))
-        out, cards = seq, {x: [] for x in op.cards}
+        out, cards, every = seq, {x: [] for x in op.cards}, []
         for r, d in zip(ranks, picks):
             c = F.element_at(where, r + 1)
             first = F.lit(length - skip) - (c + 1) * 3 if reverse else c * 3 + skip
             spots = [((first + j).cast("int") if plain else F.get(places, (first + j).cast("int"))) + 1 for j in range(3)]
+            every += spots
             read = F.upper(F.concat(*[seq.substr(p, F.lit(1)) for p in spots]))
             wt = reverse_complement_column(read) if reverse else read
             own = options[wt]
@@ -115,6 +120,8 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
                 out = F.overlay(out, written.substr(F.lit(j + 1), F.lit(1)), p, F.lit(1))
             for key, x in zip(op.cards, (c, wt, mut, F.coalesce(names[wt], F.lit("?")), F.coalesce(names[mut], F.lit("?")))):
                 cards[key].append(x)
+        if run.styled:
+            run.add(f"_z{run.op.id}", F.array(*[p - 1 for p in every]))
         return out, {key: F.array(*x) for key, x in cards.items()}
 
     def sample(run, args, draws):
@@ -135,7 +142,7 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
         ahead = F.reverse if reverse else (lambda x: x)  # in order of place
         place = (lambda p: p) if plain else (lambda p: F.get(places, p))
         spots = run.add(f"_y{i}", F.flatten(F.transform(ahead(picked), lambda c: F.array(*[place(first(c) + j) for j in range(3)]))))
-        letters = run.add(f"_z{i}", F.split(F.array_join(F.transform(ahead(muts), turned), ""), ""))
+        letters = run.add(f"_l{i}", F.split(F.array_join(F.transform(ahead(muts), turned), ""), ""))
 
         aas = lambda x: F.transform(x, lambda c: F.coalesce(names[c], F.lit("?")))
         return replaced(seq, spots, letters), dict(zip(op.cards, (picked, wts, muts, aas(wts), aas(muts))))
@@ -143,6 +150,8 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
     cards = {"codon_positions": "array<int>", "wt_codons": "array<string>", "mut_codons": "array<string>", "wt_aas": "array<string>", "mut_aas": "array<string>"}
     op = Operation([pool], factory="mutagenize_orf", mode=mode, num_states=natural if mode == "sequential" else num_states, natural=natural, prefix=prefix, iter_order=iter_order, region=region, build=build, sample=sample, cards=cards)
     op.style = style
+    spots_of = lambda run: F.col(f"_{'y' if mode == 'random' else 'z'}{run.op.id}")
+    op.paint = (lambda run, seqs, out, state: [(style, styles.at(spots_of(run), F.length(out)))]) if style else None
     return make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
 
 
@@ -165,7 +174,21 @@ def translate(pool: Pool | str, region=None, frame: int | None = None, include_s
         out = F.array_join(F.transform(codons, lambda c: F.coalesce(names[c], F.lit("?"))), "")
         return out if include_stop else F.replace(out, F.lit("*"), F.lit(""))
 
+    def follow(run, masks, seqs, out, state):
+        """A residue has the styles that all three bases have."""
+        mask = styles.molecular(masks[0], seqs[0])
+        mask = (F.reverse(mask) if frame < 0 else mask).substr(F.lit(off + 1), F.length(mask))
+        shared = F.transform(F.regexp_extract_all(mask, F.lit("(.{3})"), 1), lambda x: F.when(x == "111", "1").otherwise("0"))
+        if not include_stop:
+            bases = F.upper(F.regexp_replace(strip_tags_column(seqs[0]), "[^ACGTacgt]", ""))
+            bases = reverse_complement_column(bases) if frame < 0 else bases
+            codons = F.regexp_extract_all(bases.substr(F.lit(off + 1), F.length(bases)), F.lit("(.{3})"), 1)
+            stops = [c for c, a in table.codon_to_aa.items() if a == "*"]
+            shared = F.zip_with(shared, codons, lambda m, c: F.when(c.isin(stops), "").otherwise(m))
+        return F.array_join(shared, "")
+
     op = Operation([source], factory="translate", iter_order=iter_order, prefix=prefix, build=build)
+    op.follow = follow if preserve_codon_styles else styles.blank
     n = max(0, (length - off) // 3) if length is not None and include_stop else None
     return Pool(op, n, name, kind="protein")
 
@@ -194,5 +217,6 @@ def reverse_translate(pool: Pool | str, region=None, codon_selection: str = "fir
         return F.array_join(F.transform(known, lambda a, i: F.get(every[a], draws.below(F.size(every[a]), 0, i))), "")
 
     op = Operation([pool], factory="reverse_translate", mode="random" if codon_selection == "random" else "fixed", num_states=num_states if codon_selection == "random" else None, region=region, iter_order=iter_order, prefix=prefix, build=build, sample=sample)
+    op.follow = lambda run, masks, seqs, out, state: F.array_join(F.zip_with(F.split(masks[0], ""), F.split(F.upper(seqs[0]), ""), lambda m, a: F.when((a != "") & (F.instr(F.lit(letters), a) > 0), F.repeat(m, F.lit(3))).otherwise("")), "")
     n = pool.region_length(region)
     return make(op, None if n is None else 3 * n, name, kind="dna")

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement_column, strip_tags_column
+from ..plans import styles
 from ..plans.pool import Operation, Pool, as_pool, make
 from ..plans.tags import literal_prefix, nontag_positions, tagged
 from ..sources.sources import lookup
@@ -46,10 +47,25 @@ def insert_tags(pool: Pool | str, region_name: str, start: int, stop: int | None
         b = F.when(F.length(b) < F.length(a), a).otherwise(b)
         return F.concat(a, tagged(region_name, seq.substr(F.length(a) + 1, F.length(b) - F.length(a))), seq.substr(F.length(b) + 1, F.length(seq)))
 
+    def follow(run, masks, seqs, out, state):
+        seq, mask = seqs[0], masks[0]
+        a, b = (F.length(literal_prefix(seq, F.lit(x), through)) if pool.regions else F.lit(x) for x, through in ((start, True), (stop, False)))
+        b = F.greatest(a, b)
+        return F.concat(F.substr(mask, F.lit(1), a), styles.wrapped(region_name, F.substr(mask, a + 1, b - a)), F.substr(mask, b + 1, F.length(seq)))
+
     op = Operation([pool], factory="insert_tags", iter_order=iter_order, prefix=prefix, build=build)
+    op.follow = follow
     return make(op, n, name, [*pool.regions, region_name], kind=pool.kind)
 
 
+def around(run, pool: Pool, seq: Column, mask: Column, region: str) -> tuple[Column, Column, Column]:
+    """A mask before, in and after a region."""
+    known = lambda r: run.parts(pool, seq, r)
+    a, d = styles.within(seq, region, known, True)
+    b, c = styles.within(seq, region, known, False)
+    return F.substr(mask, F.lit(1), a), F.substr(mask, b + 1, c - b), F.substr(mask, d + 1, F.length(seq) - d)
+
+
 def remove_tags(pool: Pool | str, region_name: str, keep_content: bool = True, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
     pool = as_pool(pool)
     length = pool.region_length(region_name)
@@ -58,7 +74,12 @@ def remove_tags(pool: Pool | str, region_name: str, keep_content: bool = True, i
         before, inside, after = run.parts(run.op.parents[0], args[0], region_name)
         return F.concat(before, inside, after) if keep_content else F.concat(before, after)
 
+    def follow(run, masks, seqs, out, state):
+        before, inside, after = around(run, pool, seqs[0], masks[0], region_name)
+        return F.concat(before, inside, after) if keep_content else F.concat(before, after)
+
     op = Operation([pool], factory="remove_tags", iter_order=iter_order, prefix=prefix, build=build)
+    op.follow = follow
     n = pool.seq_length if keep_content else None if None in (pool.seq_length, length) else pool.seq_length - length
     return make(op, n, name, [r for r in pool.regions if r != region_name], kind=pool.kind)
 
@@ -77,7 +98,17 @@ def replace_region(pool: Pool | str, content_pool: Pool | str, region_name: str,
         before, _, after = run.parts(run.op.parents[0], args[0], region_name)
         return F.concat(before, reverse_complement_column(strip_tags_column(args[1])) if rc else args[1], after)
 
+    def follow(run, masks, seqs, out, state):
+        before, _, after = around(run, run.op.parents[0], seqs[0], masks[0], region_name)
+        return F.concat(before, F.reverse(styles.outside(masks[1], seqs[1])) if rc else masks[1], after)
+
+    def paint(run, seqs, out, state):
+        before, _, after = run.parts(run.op.parents[0], seqs[0], region_name)
+        a, b = F.length(before), F.length(after)
+        return [(style, F.concat(styles.fill(a), styles.fill(F.length(out) - a - b, 1), styles.fill(b)))]
+
     op = Operation([pool, content], factory="replace_region", iter_order=iter_order, prefix=prefix, build=build)
+    op.follow, op.style, op.paint = follow, style, paint if style else None
     n = None if None in (pool.seq_length, content.seq_length, old) else pool.seq_length - old + content.seq_length
     return make(op, n, name, [*(r for r in pool.regions if r != region_name), *content.regions], kind=pool.kind)
 
@@ -90,7 +121,12 @@ def keep_region(pool: Pool, content: Pool, region_name: str, reverse: bool = Fal
         before, _, after = run.parts(run.op.parents[0], args[0], region_name)
         return F.concat(before, tagged(region_name, reverse_complement_column(args[1]) if reverse else args[1]), after)
 
+    def follow(run, masks, seqs, out, state):
+        before, _, after = around(run, run.op.parents[0], seqs[0], masks[0], region_name)
+        return F.concat(before, styles.wrapped(region_name, F.reverse(masks[1]) if reverse else masks[1]), after)
+
     op = Operation([pool, content], factory="replace_keeping_tags", build=build)
+    op.follow = follow
     n = None if None in (pool.seq_length, content.seq_length, old) else pool.seq_length - old + content.seq_length
     return make(op, n, None, pool.regions, kind=pool.kind)
 
@@ -132,20 +168,24 @@ def region_scan(pool: Pool | str, tag_name: str, region_length: int = 0, positio
     inner = pool.regions and (region is None or not isinstance(region, str) or pool.template is None or "<" in _content(pool, region))
     pool.session.register_region(tag_name, region_length)
 
-    def placed(run, seq: Column, index: Column) -> tuple[Column, dict[str, Column]]:
-        site = lookup(sites, index).cast("int") if sites != list(range(len(sites))) else index.cast("int")
+    def site_at(index: Column) -> Column:
+        return lookup(sites, index).cast("int") if sites != list(range(len(sites))) else index.cast("int")
+
+    def split(seq: Column, site: Column) -> tuple[Column, Column, Column]:
+        """What stands before, in and after the window at a site."""
         if inner:
             a = literal_prefix(seq, site, True)
             upto = literal_prefix(seq, site + region_length, True)
             b = F.when(site + region_length < n, upto).otherwise(literal_prefix(seq, site + region_length, False)) if region_length else a
             if not region_length:
                 a = b = F.when(site < n, a).otherwise(seq)
-            marked = seq.substr(F.length(a) + 1, F.length(b) - F.length(a))
-            content, after = strip_tags_column(marked), seq.substr(F.length(b) + 1, F.length(seq))
-        else:
-            a = seq.substr(F.lit(1), site)
-            marked = content = seq.substr(site + 1, F.lit(region_length))
-            after = seq.substr(site + region_length + 1, F.length(seq))
+            return a, seq.substr(F.length(a) + 1, F.length(b) - F.length(a)), seq.substr(F.length(b) + 1, F.length(seq))
+        return seq.substr(F.lit(1), site), seq.substr(site + 1, F.lit(region_length)), seq.substr(site + region_length + 1, F.length(seq))
+
+    def placed(run, seq: Column, index: Column) -> tuple[Column, dict[str, Column]]:
+        site = site_at(index)
+        a, marked, after = split(seq, site)
+        content = strip_tags_column(marked) if inner else marked
         tag = tagged(tag_name, content) if region_length else F.lit(f"<{tag_name}/>")
         cards = {
             "position_index": index.cast("long"),
@@ -166,8 +206,18 @@ def region_scan(pool: Pool | str, tag_name: str, region_length: int = 0, positio
     def sample(run, args, draws):
         return placed(run, args[0], run.add(f"_p{run.op.id}", draws.below(len(sites), 0)))
 
+    def follow(run, masks, seqs, out, state):
+        seq, mask = seqs[0], masks[0]
+        index = F.col(f"_p{run.op.id}") if mode == "random" else state % len(sites)
+        a, marked, after = split(seq, site_at(index))
+        content = F.substr(mask, F.length(a) + 1, F.length(marked))
+        if inner:
+            content = styles.outside(content, marked)
+        return F.concat(F.substr(mask, F.lit(1), F.length(a)), styles.wrapped(tag_name, content if region_length else F.lit("")), F.substr(mask, F.length(seq) - F.length(after) + 1, F.length(after)))
+
     keys = {"position_index": "long", "start": "long", "stop": "long", "length": "long", "region_name": "string", "region_content": "string", "region_seq": "string"}
     op = Operation([pool], factory="region_scan", mode=mode, num_states=len(sites) if mode == "sequential" else num_states, natural=len(sites), prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, sample=sample, cards=keys)
+    op.follow = follow
     return make(op, n, name, [*pool.regions, tag_name], kind=pool.kind)
 
 
@@ -215,14 +265,28 @@ def region_multiscan(pool: Pool | str, tag_names: Sequence[str] | str, num_inser
         content = lambda p: bare.substr(p + 1, F.lit(w))
         empty, full = (lambda x: F.concat(F.lit("<"), x, F.lit("/>"))), (lambda x, c: F.concat(F.lit("<"), x, F.lit(">"), c, F.lit("</"), x, F.lit(">")))
         labels = run.add(f"_x{i}", F.zip_with(own, found, lambda x, p: F.when(content(p) == "", empty(x)).otherwise(full(x, content(p)))))
+        return spliced(seq, seq, found, labels, places), {"indices": found, "region_tags": labels}
+
+    def spliced(seq: Column, text: Column, found: Column, labels: Column, places: Column | None) -> Column:
+        """The text (the sequence, or a mask of it) with labels in place of the windows found."""
         start = lambda p: p if places is None else F.coalesce(F.get(places, p), F.length(seq))
         stop = lambda p: start(p) if not w else p + w if places is None else F.coalesce(F.get(places, p + w), F.element_at(places, -1) + 1)
         before = lambda t: F.when(t > 0, stop(F.get(found, t - 1))).otherwise(0)
-        pieces = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: F.concat(seq.substr(before(t) + 1, start(F.get(found, t)) - before(t)), F.get(labels, t)))
-        rest = seq.substr(stop(F.element_at(found, -1)) + 1, F.length(seq))
-        return F.concat(F.array_join(pieces, ""), rest), {"indices": found, "region_tags": labels}
+        pieces = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: F.concat(text.substr(before(t) + 1, start(F.get(found, t)) - before(t)), F.get(labels, t)))
+        rest = text.substr(stop(F.element_at(found, -1)) + 1, F.length(seq))
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    def follow(run, masks, seqs, out, state):
+        seq, mask, i = seqs[0], masks[0], run.op.id
+        found, own = F.col(f"_p{i}"), F.col(f"_o{i}")
+        bare, places = (mask, None) if not pool.regions else (styles.outside(mask, seq), F.col(f"_m{i}"))
+        content = lambda p: bare.substr(p + 1, F.lit(w))
+        zeros = lambda x: F.repeat(F.lit("0"), x)
+        labels = F.zip_with(own, found, lambda x, p: F.when(content(p) == "", zeros(F.length(x) + 3)).otherwise(F.concat(zeros(F.length(x) + 2), content(p), zeros(F.length(x) + 3))))
+        return spliced(seq, mask, found, labels, places)
 
     op = Operation([pool], factory="region_multiscan", mode="random", num_states=num_states, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), sample=sample, cards={"indices": "array<int>", "region_tags": "array<string>"})
+    op.follow = follow
     return make(op, n, name, [*pool.regions, *names], kind=pool.kind)
 
 

@@ -51,6 +51,7 @@ def stack(pools: Sequence[Pool | str], iter_order: int | None = None, prefix: st
         return out, {"active_parent": which}
 
     op = _Derived(pools, derive, factory="stack", num_states=len(pools), mode="sequential", prefix=prefix, iter_order=iter_order, build=build, cards={"active_parent": "long"})
+    op.follow = lambda run, masks, seqs, out, state: F.coalesce(*[F.when(run.state(run.op.state) == i, m) for i, m in enumerate(masks)])
     lengths = {p.seq_length for p in pools}
     return make(op, lengths.pop() if len(lengths) == 1 else None, name, dict.fromkeys(r for p in pools for r in p.regions), kind=pools[0].kind)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.codons import CodonTable
 from ..functions.dna import VALID_CHARS, let, strip_tags
 from . import states as st
+from . import styles
 from .tags import find_all_regions, tagged, validate_single_region
 
 #: Most states that one sequential operation may have.
@@ -239,6 +240,10 @@ class Operation:
 
     factory = "operation"
     most_states: int | None = MAX_STATES
+    #: How styles move: follow(run, masks, seqs, out, state) gives the mask of the output from those of the parents.
+    follow: Callable = staticmethod(styles.same)
+    #: What styles are added: paint(run, seqs, out, state) gives (specification, mask) pairs.
+    paint: Callable | None = None
 
     def __init__(
         self,
@@ -320,16 +325,52 @@ class Operation:
         """``build`` on the region's content, put back in its place. NULL parents give NULL."""
         if self.region is None or not args:
             return self.build(run, args, state)
-        if isinstance(self.region, str):
-            before, inside, after = run.parts(self.parents[0], args[0], self.region)
-        else:
-            a, b = self.region
-            before, inside, after = F.substring(args[0], 1, a), F.substring(args[0], a + 1, b - a), args[0].substr(F.lit(b + 1), F.length(args[0]))
+        before, inside, after = self._cut(run, args[0])
         new, cards = self.build(run, [inside, *args[1:]], state)
         if isinstance(self.region, str) and not self.remove_tags:
             new = tagged(self.region, new)
         return F.concat(before, new, after), cards
 
+    def _cut(self, run, seq: Column) -> tuple[Column, Column, Column]:
+        """What stands before, in and after the region."""
+        if isinstance(self.region, str):
+            return run.parts(self.parents[0], seq, self.region)
+        a, b = self.region
+        return F.substring(seq, 1, a), F.substring(seq, a + 1, b - a), seq.substr(F.lit(b + 1), F.length(seq))
+
+    def layers(self, run, args: list[Column], out: Column, state: Column, parents: list[dict]) -> dict[tuple, tuple[str, Column]]:
+        """The layers of style of the output (key: specification and mask), from those of the parents and its own."""
+        keys = dict.fromkeys(k for p in parents for k in p)
+        seqs, before, after, inner, spread = args, None, None, out, lambda mask: mask
+        if self.region is not None and args:
+            before, inside, after = self._cut(run, args[0])
+            named = isinstance(self.region, str)
+            ahead, behind = F.length(before), F.length(after)
+            opening, closing = styles.tag_lengths(self.region) if named else (0, 0)
+            skip = F.when(F.length(inside) == 0, 0).otherwise(opening)
+            seqs = [inside, *args[1:]]
+            rest = F.length(out) - ahead - behind
+            kept = named and not self.remove_tags
+            size = F.greatest(rest - opening - closing, F.lit(0)) if kept else rest
+            inner = F.substr(out, ahead + 1 + (opening if kept else 0), size)
+            spread = (lambda mask: styles.wrapped(self.region, mask)) if kept else (lambda mask: mask)
+        made = {}
+        for k in keys:
+            spec = next(p[k][0] for p in parents if k in p)
+            masks = [p[k][1] if k in p else styles.fill(F.length(a)) for p, a in zip(parents, args)]
+            if before is None:
+                made[k] = spec, self.follow(run, masks, seqs, inner, state)
+                continue
+            whole = masks[0]
+            masks[0] = F.substr(whole, ahead + skip + 1, F.length(inside))
+            moved = spread(self.follow(run, masks, seqs, inner, state))
+            made[k] = spec, F.concat(F.substr(whole, F.lit(1), ahead), moved, F.substr(whole, F.length(args[0]) - behind + 1, behind))
+        for i, (spec, mask) in enumerate(self.paint(run, seqs, inner, state) if self.paint else ()):
+            if before is not None:
+                mask = F.concat(styles.fill(ahead), spread(mask), styles.fill(behind))
+            made[self.id, i] = spec, mask
+        return made
+
     def name_parts(self, run, state: Column, max_row: int) -> list[Column]:
         """What the operation adds to a row's name."""
         if self._name_parts is not None:

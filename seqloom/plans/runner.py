@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.dna import strip_tags_column
 from . import states as st
 from .pool import Operation, Pool
-from .tags import parts
+from .styles import gathered
+from .tags import nontag_positions, parts
 
 
 def sorted_operations(pools: Sequence[Pool]) -> list[Operation]:
@@ -45,9 +46,10 @@ def all_pools(pools: Sequence[Pool]) -> list[Pool]:
 class Run:
     """The DataFrame while it is put together."""
 
-    def __init__(self, base: DataFrame, pool: Pool, others: Sequence[Pool], seed: int):
-        """``base`` holds the row indices in column id, and maybe what tables have for them."""
-        self.seed, self.pool = seed, pool
+    def __init__(self, base: DataFrame, pool: Pool, others: Sequence[Pool], seed: int, styled: bool = False):
+        """``base`` holds the row indices in column id, and maybe what tables have for them. ``styled``: follow styles too."""
+        self.seed, self.pool, self.styled = seed, pool, styled
+        self.layers: dict[Operation, dict[tuple, tuple[str, Column]]] = {}
         n = pool.state.num_values
         self.row = F.col("_row")
         more = [c for c in base.columns if c.startswith("_t")]
@@ -68,6 +70,12 @@ class Run:
             shown = {k: c for k, c in cards.items() if op.session.config.cards.get(op.factory, {}).get(k, True)}
             self.df = self.df.withColumns({f"_q{op.id}": seq} | {f"_c{op.id}.{k}": F.when(self.state(op.state).isNotNull() & seq.isNotNull(), c) for k, c in shown.items()})
             self.cards[op] = list(shown)
+            if styled:
+                out = F.col(f"_q{op.id}")
+                made = op.layers(self, args, out, F.coalesce(self.state(op.state), F.lit(0).cast("long")), [self.layers[p.operation] for p in op.parents])
+                named = {f"_y{op.id}.{i}": mask for i, (_, mask) in enumerate(made.values())}
+                self.df = self.df.withColumns({k: F.when(out.isNotNull(), mask) for k, mask in named.items()})
+                self.layers[op] = {k: (spec, F.col(f"`{c}`")) for (k, (spec, _)), c in zip(made.items(), named)}
 
     def parts(self, pool: Pool, seq: Column, region: str) -> tuple[Column, Column, Column]:
         """What stands before, in and after a region: as it was put in, or by its tags."""
@@ -139,6 +147,7 @@ def generate_library(
     min_acceptance_rate: float | None = None,
     attempts_per_rate_assessment: int = 100,
     *,
+    report_styles: bool = False,
     spark: SparkSession | None = None,
     partitions: int | None = None,
     with_index: bool = False,
@@ -146,6 +155,7 @@ def generate_library(
     """One row for each index: ``name`` and ``seq``, with provenance columns if asked for.
 
     Row i depends on the plan, the seed and i alone. A later call without ``init_state`` goes on where the last ended.
+    ``report_styles`` adds ``styles``, array<struct<spec, positions>>: which characters of seq (tags included) have which style.
     """
     if discard_null_seqs and num_seqs is None:
         raise ValueError("discard_null_seqs needs num_seqs")
@@ -163,7 +173,7 @@ def generate_library(
             return found
         return spark.range(a, a + n, 1, partitions) if partitions else spark.range(a, a + n)
 
-    shown = lambda a, n: _select(Run(rows(a, n), pool, aux_pools, pool.seed), pool, start + count - 1, report_design_cards, aux_pools, pools_to_report, organize_columns_by)
+    shown = lambda a, n: _select(Run(rows(a, n), pool, aux_pools, pool.seed, report_styles and not pool.session.config.suppress_styles), pool, start + count - 1, report_design_cards, aux_pools, pools_to_report, organize_columns_by, report_styles)
     if discard_null_seqs:
         df, tried = _first(shown, start, count, pool, max_iterations, min_acceptance_rate, attempts_per_rate_assessment)
     else:
@@ -219,14 +229,16 @@ def _end(shown, start: int, size: int, count: int) -> int:
     return at + size
 
 
-def _select(run: Run, pool: Pool, most: int, cards: bool, aux: Sequence[Pool], to_report: str | Sequence[Pool], by: str) -> DataFrame:
+def _select(run: Run, pool: Pool, most: int, cards: bool, aux: Sequence[Pool], to_report: str | Sequence[Pool], by: str, styled: bool = False) -> DataFrame:
     config = pool.session.config
+    own = list(run.layers.get(pool.operation, {}).values())
+    looks = [gathered(own).alias("styles")] if styled else []
     seq = F.nullif(run.seq(pool), F.lit(""))
     name = F.when(seq.isNotNull(), run.name(most)).alias("name")
     if not cards:
-        return run.df.select("_row", name, seq.alias("seq"))
+        return run.df.select("_row", name, seq.alias("seq"), *looks)
     if config.suppress_cards:
-        return run.df.select("_row", *([name] if config.show_name else []), *([seq.alias("seq")] if config.show_seq else []))
+        return run.df.select("_row", *([name] if config.show_name else []), *([seq.alias("seq")] if config.show_seq else []), *looks)
     pools = run.pools if to_report == "all" else [pool] if to_report == "self" else list(to_report)
     pools = sorted({*pools, *aux, pool}, key=lambda p: p.id) if to_report != "all" else pools
     seqs = {p: [run.seq(p).alias(f"{p.name}.seq")] if config.show_pool_seqs else [] for p in pools}
@@ -239,8 +251,13 @@ def _select(run: Run, pool: Pool, most: int, cards: bool, aux: Sequence[Pool], t
     else:
         rest = [c for p in reversed(pools) for kind in kinds for c in kind[p]]
     head = ([name] if config.show_name else []) + ([seq.alias("seq")] if config.show_seq else [])
-    return run.df.select("_row", *head, *rest)
+    return run.df.select("_row", *head, *rest, *looks)
 
 
 def stripped(df: DataFrame) -> DataFrame:
+    """Without tags; the places of styles then count the characters left, and those of tags have none."""
+    if "styles" in df.columns:
+        places = nontag_positions(F.col("seq"))
+        moved = F.transform("styles", lambda s: F.struct(s["spec"].alias("spec"), F.filter(F.transform(s["positions"], lambda p: (F.array_position(places, p) - 1).cast("int")), lambda p: p >= 0).alias("positions")))
+        df = df.withColumn("styles", F.filter(moved, lambda s: F.size(s["positions"]) > 0))
     return df.withColumn("seq", strip_tags_column(F.col("seq")))

@@ -601,6 +601,78 @@ _signed = f"(CASE WHEN u >= CAST({1 << 63} AS UBIGINT) THEN CAST(CAST(u AS HUGEI
 add("state_sample_computed", library(lambda s, d: sl.get_kmers(5, mode="sequential").sample(3000, seed=5)), f"SELECT i, {_kmer} AS seq FROM (SELECT v AS i, (({_signed} >> 1) % {N} + {N}) % {N} AS x FROM ({_drawn}))")
 
 
+# --- styles ---------------------------------------------------------------------------------------------------------
+def styled(build: Callable[[SparkSession, str], Pool], **options) -> Callable[[SparkSession, str], DataFrame]:
+    """A query: i, seq, and in ``looks`` each style with the places of its characters: red:0,1;blue:5."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with Session():
+            df = sl.generate_library(build(spark, sf_dir), report_styles=True, with_index=True, spark=spark, init_state=0, **options)
+            looks = F.array_join(F.transform("styles", lambda x: F.concat(x["spec"], F.lit(":"), F.array_join(x["positions"].cast("array<string>"), ","))), ";")
+            return df.select(F.col("_row").alias("i"), "seq", looks.alias("looks"))
+
+    return query
+
+
+def looks(*layers: tuple[str, str]) -> str:
+    """SQL of ``looks``: each style with a list of places; empty ones are left out."""
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN len({at}) > 0 THEN '{spec}:' || array_to_string({at}, ',') END" for spec, at in layers) + "], lambda x: x IS NOT NULL), ';') AS looks"
+
+
+def styled_rows(expression: str, shown: str, n: int = 1) -> str:
+    return per_row(f"{expression} AS seq, {shown}", n).replace(" AS seq FROM d", " FROM d")
+
+
+def places(test: str, n: str = "32", of: str = "p") -> str:
+    return f"list_transform(list_filter(range({n}), lambda p: {test}), lambda p: {of})"
+
+
+CG = "substr(s, p + 1, 2) = 'CG' OR p > 0 AND substr(s, p, 2) = 'CG'"
+add(
+    "styled_mutagenize",
+    styled(lambda s, d: parts(s, d).stylize([0, 8], style="bold").mutagenize(num_mutations=1, style="red", mode="sequential")),
+    styled_rows(ONE, looks(("bold", "range(8)"), ("red", "[v // 3]")), 96),
+)
+add(
+    "styled_deletion_scan",
+    styled(lambda s, d: parts(s, d).stylize(regex="CG", style="blue").deletion_scan(5, mode="sequential", style="cyan")),
+    styled_rows("substr(s, 1, v) || '-----' || substr(s, v + 6)", looks(("blue", places(f"({CG}) AND (p < v OR p > v + 4)")), ("cyan", "range(v, v + 5)")), 28),
+)
+add(
+    "styled_insertion_scan",
+    styled(lambda s, d: parts(s, d).stylize(regex="CG", style="blue").insertion_scan(sl.from_seq("TTT", style="bold"), mode="sequential", style="red")),
+    styled_rows("substr(s, 1, v) || 'TTT' || substr(s, v + 1)", looks(("blue", places(CG, of="CASE WHEN p < v THEN p ELSE p + 3 END")), ("bold", "range(v, v + 3)"), ("red", "range(v, v + 3)")), 33),
+)
+add(
+    "styled_join",
+    styled(lambda s, d: sl.join([parts(s, d).stylize(regex="A", style="green").rc(), sl.from_seq("GG", style="on_blue")], "--")),
+    styled_rows("reverse(translate(s, 'ACGT', 'TGCA')) || '--GG'", looks(("green", places("substr(s, 32 - p, 1) = 'A'")), ("on_blue", "[34, 35]"))),
+)
+add(
+    "styled_region",
+    styled(lambda s, d: tagged(s, d).stylize("cre", style="red").stylize(which="tags", style="faint").insert_kmers(1, region="bc", mode="sequential", style="blue")),
+    styled_rows("substr(s, 1, 8) || '<cre>' || substr(s, 9, 16) || '</cre>' || substr(s, 25, 8) || '<bc>' || substr('ACGT', v + 1, 1) || '</bc>'", looks(("red", "range(13, 29)"), ("faint", "range(8, 13) || range(29, 35)"), ("blue", "[47]")), 4),
+)
+add(
+    "styled_recombine",
+    styled(lambda s, d: sl.recombine(sources=[parts(s, d).stylize(regex="T", style="bold"), "AC" * 16], num_breakpoints=1, mode="sequential", styles=["red", "blue"], style_by="source")),
+    f"{D}, o AS (SELECT a, 1 - a AS b FROM range(2) AS x(a)), e AS (SELECT k, s, p AS cut, a, b FROM d, range(31) AS q(p), o) "
+    "SELECT k * 62 + cut * 2 + a AS i, CASE WHEN a = 0 THEN substr(s, 1, cut + 1) || substr(repeat('AC', 16), cut + 2) ELSE substr(repeat('AC', 16), 1, cut + 1) || substr(s, cut + 2) END AS seq, "
+    + looks(("bold", places("substr(s, p + 1, 1) = 'T' AND (p <= cut) = (a = 0)")), ("red", places("(p <= cut) = (a = 0)")), ("blue", places("(p <= cut) = (a = 1)")))
+    + " FROM e",
+)
+add(
+    "styled_translate",
+    styled(lambda s, d: parts(s, d, ORF, 30).stylize([4, 20], style="red").stylize(regex="[AG]+", style="bold").translate()),
+    styled_rows(translated(ORF_SQL, 10), looks(("red", "range(2, 6)"), ("bold", places(f"regexp_full_match(substr({ORF_SQL}, CAST(3 * p + 1 AS BIGINT), 3), '[AG]+')", "10")))),
+)
+add(
+    "styled_orf",
+    styled(lambda s, d: parts(s, d, ORF, 30).stylize_orf(style_codons=["red", "blue"], frame=2).mutagenize_orf(num_mutations=1, mutation_type="nonsense", mode="sequential", style="bold", codon_positions=[0])),
+    styled_rows(f"['TGA', 'TAA', 'TAG'][v + 1] || substr({ORF_SQL}, 4)", looks(("red", places("(p + 1) // 3 % 2 = 0", "30")), ("blue", places("(p + 1) // 3 % 2 = 1", "30")), ("bold", "range(3)")), 3),
+)
+
+
 # --- a whole design -------------------------------------------------------------------------------------------------
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four kinds of variants of every part, each with four barcodes."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation
@@ -11,22 +11,38 @@ from pyspark.sql import functions as F
 
 from ..functions.colors import CSS_COLORS
 from ..plans.pool import Pool
-from ..plans.runner import generate_library, stripped
+from ..plans.runner import generate_library, sorted_operations, stripped
 from ..plans.states import State
 
 FORMATS = ("csv", "tsv", "fasta", "jsonl", "parquet")
 
 
-def to_df(pool: Pool, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, columns: list[str] | None = None, remove_tags: bool = True, **options) -> DataFrame:
-    """The library as a DataFrame: tags stripped, columns picked."""
+def _exported(pool: Pool, num_seqs, num_cycles, write_tags: bool, write_style: bool, seed, discard_null_seqs: bool, include_design_cards: bool, columns, options: dict) -> DataFrame:
     if (num_seqs is None) == (num_cycles is None):
         raise ValueError("give num_seqs or num_cycles")
-    df = generate_library(pool, num_seqs=num_seqs, num_cycles=num_cycles or 1, seed=seed, init_state=options.pop("init_state", 0), **options)
-    if remove_tags and "seq" in df.columns:
+    if num_seqs is not None and num_seqs < 1 or num_cycles is not None and num_cycles < 1:
+        raise ValueError("num_seqs and num_cycles must be 1 or more")
+    rejects = discard_null_seqs and num_seqs is not None and any(op.factory == "filter" for op in sorted_operations([pool]))
+    options = {"init_state": 0, "report_design_cards": include_design_cards, "report_styles": write_style, "discard_null_seqs": rejects} | options
+    df = generate_library(pool, num_seqs=num_seqs, num_cycles=num_cycles or 1, seed=seed, **options)
+    if discard_null_seqs and not rejects and "seq" in df.columns:
+        df = df.where(F.col("seq").isNotNull())
+    if not write_tags and "seq" in df.columns:
         df = stripped(df)
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 
+def to_df(
+    pool: Pool, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, columns: list[str] | None = None, remove_tags: bool = True,
+    *, write_tags: bool | None = None, write_style: bool = False, discard_null_seqs: bool = True, include_design_cards: bool = False, chunk_size: int | None = None, show_progress: bool = False, **options,
+) -> DataFrame:
+    """The library as a DataFrame: tags stripped unless ``write_tags``, rows without a sequence left out, columns picked.
+
+    With ``num_seqs`` rows are made until there are so many sequences. ``chunk_size`` and ``show_progress`` change nothing: it is one job.
+    """
+    return _exported(pool, num_seqs, num_cycles, not remove_tags if write_tags is None else write_tags, write_style, seed, discard_null_seqs, include_design_cards, columns, options)
+
+
 def fasta_lines(df: DataFrame, description: str | Callable | None = None, line_width: int | None = 60) -> DataFrame:
     """One column, value: a FASTA record for each row that has a sequence."""
     head = F.concat(F.lit(">"), F.coalesce("name", F.lit("")))
@@ -62,7 +78,7 @@ def write_library(df: DataFrame, path: str, file_type: str, *, compression: str
     seen = Observation()
     counted = lambda x: x.observe(seen, F.count(F.lit(1)).alias("rows"))
     if file_type in ("csv", "tsv"):
-        flat = df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes])
+        flat = df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(("array", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes])
         counted(flat).write.options(header=True, sep="," if file_type == "csv" else "\t", **squeeze, **options).csv(path)
     elif file_type == "fasta":
         counted(fasta_lines(df, description, line_width)).write.options(**squeeze).text(path)
@@ -74,12 +90,18 @@ def write_library(df: DataFrame, path: str, file_type: str, *, compression: str
     return seen.get["rows"]
 
 
-def to_file(pool: Pool, path: str, file_type: str | None = None, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, columns: list[str] | None = None, remove_tags: bool = True, compression: str | None = None, description=None, line_width: int | None = 60, csv_options: dict | None = None, **options) -> int:
-    """Write a library; gives the number of rows written."""
+def to_file(
+    pool: Pool, path: str, file_type: str | None = None, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, columns: list[str] | None = None, remove_tags: bool = True,
+    compression: str | None = None, description=None, line_width: int | None = 60, csv_options: dict | None = None,
+    *, write_tags: bool | None = None, write_style: bool = False, discard_null_seqs: bool = True, include_design_cards: bool = False, chunk_size: int | None = None, show_progress: bool = False, **options,
+) -> int:
+    """Write a library as a folder of part files; gives the number of rows written. Options as in ``to_df``."""
+    path = str(path)
     file_type = file_type or path.removesuffix(".gz").rpartition(".")[2].replace("fa", "fasta").replace("fastasta", "fasta")
     if file_type not in FORMATS:
         raise ValueError(f"file_type must be one of {FORMATS}")
-    df = to_df(pool, num_seqs, num_cycles, seed, None if file_type == "fasta" else columns, remove_tags, **options)
+    tags = not remove_tags if write_tags is None else write_tags
+    df = _exported(pool, num_seqs, num_cycles, tags, write_style, seed, discard_null_seqs, include_design_cards, None if file_type == "fasta" else columns, options)
     return write_library(df, path, file_type, compression=compression, description=description, line_width=line_width, **(csv_options or {}))
 
 
@@ -91,23 +113,28 @@ _modes = {"bold": 1, "faint": 2, "italic": 3, "underline": 4, "blink": 5, "blink
 _cases = ("upper", "lower", "uppercase", "lowercase", "swapcase")
 
 
-def ansi(spec: str) -> str:
+def codes(spec: str) -> list[str]:
     """The escape codes of a style like 'bold red on_yellow #3366ff tomato 38;5;208': names, CSS names, hex colours, raw codes."""
-    codes = []
+    found = []
     for word in spec.split():
         back, name = word.startswith("on_"), word.removeprefix("on_")
         name_or_hex = name if name.startswith("#") else CSS_COLORS.get(name, "")
         if name in _colors:
-            codes.append(str(_colors[name] + 10 * back))
+            found.append(str(_colors[name] + 10 * back))
         elif name in _modes and not back:
-            codes.append(str(_modes[name]))
+            found.append(str(_modes[name]))
         elif re.fullmatch("#[0-9a-fA-F]{6}", name_or_hex):
-            codes.append(f"{48 if back else 38};2;" + ";".join(str(int(name_or_hex[i : i + 2], 16)) for i in (1, 3, 5)))
+            found.append(f"{48 if back else 38};2;" + ";".join(str(int(name_or_hex[i : i + 2], 16)) for i in (1, 3, 5)))
         elif re.fullmatch(r"[\d;]+", word):
-            codes.append(word)
+            found.append(word)
         elif word not in _cases:
             raise ValueError(f"unknown style {word!r}")
-    return f"\033[{';'.join(codes)}m" if codes else ""
+    return found
+
+
+def ansi(spec: str) -> str:
+    found = codes(spec)
+    return f"\033[{';'.join(found)}m" if found else ""
 
 
 def print_named_colors() -> None:
@@ -115,56 +142,54 @@ def print_named_colors() -> None:
         print(f"{ansi(name)}{name}\033[0m")
 
 
-def rendered(seq: str, styles: list[dict]) -> str:
-    """A sequence with its pool's styles as escape codes; later styles win."""
-    from ..plans.tags import find_all_regions, get_nontag_positions
+def _is_color(code: str, base: int) -> bool:
+    """Whether a code sets the colour of letters (base 30) or of what is behind them (40)."""
+    return code.startswith((f"{base + 8};2;", f"{base + 8};5;")) or code.isdigit() and int(code) in (*range(base, base + 8), *range(base + 60, base + 68))
+
 
-    marks: dict[int, str] = {}
+def rendered(seq: str, styles: Sequence[tuple[str, Sequence[int]]]) -> str:
+    """A sequence with styles as escape codes. Of colours the last one given to a character wins, other codes add up."""
+    own: list[dict[str, str]] = [{} for _ in seq]
     chars = list(seq)
-    open_ = set(get_nontag_positions(seq))
-    for s in styles:
-        region = s["region"]
-        a, b = 0, len(seq)
-        if isinstance(region, str):
-            found = [r for r in find_all_regions(seq) if r.name == region]
-            if not found:
-                continue
-            a, b = found[0].content_start, found[0].content_end
-        elif region is not None:
-            a, b = region
-        test = {"all": lambda i: True, "tags": lambda i: i not in open_, "contents": lambda i: i in open_, "upper": lambda i: i in open_ and seq[i].isupper(), "lower": lambda i: i in open_ and seq[i].islower(), "gap": lambda i: i in open_ and not seq[i].isalpha()}[s["which"]]
-        places = {i for m in re.finditer(s["regex"], seq) for i in range(*m.span())} if s["regex"] else range(a, b)
-        cycle = s.get("codons") or s.get("frames")
-        for n, i in enumerate(i for i in places if a <= i < b and test(i)):
-            spec = s["style"] if not cycle else cycle[(n // 3) % len(cycle)] if s.get("codons") else cycle[n % 3 % len(cycle)]
-            marks[i] = ansi(spec)
-            for word in spec.split():
-                if word in _cases:
-                    chars[i] = getattr(chars[i], word.removesuffix("case") if word != "swapcase" else word)()
-    return "".join(f"{marks[i]}{c}\033[0m" if marks.get(i) else c for i, c in enumerate(chars))
-
-
-def styles_of(pool: Pool) -> list[dict]:
-    from ..plans.runner import sorted_operations
-
-    if pool.session.config.suppress_styles:
-        return []
-    return [op.style for op in sorted_operations([pool]) if isinstance(getattr(op, "style", None), dict)]
-
-
-def print_library(pool: Pool, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, show_header: bool = True, show_name: bool = True, three_letter: bool = False, separator: str = "", **options) -> Pool:
-    """Print a few rows; gives the pool."""
+    for spec, places in styles:
+        found, change = codes(spec), [w.removesuffix("case") if w != "swapcase" else w for w in spec.split() if w in _cases]
+        for i in places:
+            if not 0 <= i < len(seq):
+                raise ValueError(f"place {i} of style {spec!r} is not in [0, {len(seq)})")
+            for code in found:
+                own[i]["0" if _is_color(code, 30) else "1" if _is_color(code, 40) else f"2{code}"] = code
+            if change:
+                chars[i] = getattr(seq[i], change[-1])()
+    out, now = [], []
+    for c, mine in zip(chars, own):
+        new = [mine[k] for k in sorted(mine)]
+        if new != now:
+            out.append(("\033[0m" if now else "") + (f"\033[{';'.join(new)}m" if new else ""))
+        now = new
+        out.append(c)
+    return "".join(out) + ("\033[0m" if now else "")
+
+
+def print_library(
+    pool: Pool, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, show_header: bool = True, show_name: bool = True, three_letter: bool = False, separator: str = "",
+    show_state: bool = False, show_seq: bool = True, pad_names: bool = True, **options,
+) -> Pool:
+    """Print a few rows in their styles; gives the pool. Residues of proteins may have codes of three letters."""
     count = num_seqs if num_seqs is not None else (num_cycles or 1) * pool.num_states
-    rows = generate_library(pool, num_seqs=count, seed=seed, init_state=0, **options).collect()
+    rows = generate_library(pool, num_seqs=count, seed=seed, init_state=0, report_styles=True, with_index=True, **options).orderBy("_row").collect()
     if show_header:
         print(f"{pool.name}: seq_length={pool.seq_length}, num_states={pool.num_states}")
-    styles = styles_of(pool)
+    width = max((len(r["name"] or "") for r in rows), default=0) if pad_names else 0
     for r in rows:
-        seq = r["seq"]
+        seq, looks = r["seq"], [(s["spec"], s["positions"]) for s in r["styles"] or ()]
         if seq is not None and three_letter:
-            seq = separator.join(THREE_LETTERS.get(c.upper(), c) for c in seq)
-        text = "None" if seq is None else rendered(seq, styles) if not three_letter else seq
-        print(f"{r['name']}\t{text}" if show_name and r["name"] else text)
+            step = 3 + len(separator)
+            looks = [(spec, [p * step + j for p in places for j in range(3)]) for spec, places in looks]
+            seq = separator.join(THREE_LETTERS.get(c.upper(), c * 3) for c in seq)
+        shown = [str(r["_row"] % pool.num_states)] if show_state else []
+        shown += [r["name"].ljust(width)] if show_name and r["name"] else []
+        shown += ["None" if seq is None else rendered(seq, looks)] if show_seq else []
+        print("\t".join(shown))
     return pool
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import BASES, IUPAC_TO_DNA, reverse_complement_column, strip_tags
+from ..plans import styles
 from ..plans.pool import Operation, Pool, as_pool, get_session, make, regions_in
 from ..plans.states import LITERAL
 from .scratch import scratch_path
@@ -30,11 +31,19 @@ def _styled(pool: Pool, style: str | None) -> Pool:
     return stylize(pool, style=style)
 
 
+def _painted(op: Operation, style: str | None) -> None:
+    """All that the source makes is new, and has the style."""
+    op.follow, op.style = styles.blank, style
+    if style is not None:
+        op.paint = lambda run, seqs, out, state: [(style, styles.fill(F.length(out), 1))]
+
+
 def from_seq(seq: str, pool: Pool | str | None = None, region=None, remove_tags: bool | None = None, style: str | None = None, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
     """One constant sequence; its tags become regions."""
     parents = _within(pool, region)
     found = regions_in(seq, get_session())
     op = Operation(parents, factory="from_seq", prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=lambda run, args, s: F.lit(seq))
+    op.follow = styles.blank
     return _styled(make(op, len(strip_tags(seq)), name, found, template=None if parents else seq), style)
 
 
@@ -89,8 +98,9 @@ def from_seqs(seqs: Sequence[str], pool: Pool | str | None = None, region=None,
         cards={"seq_name": "string", "seq_index": "long"},
         name_parts=contributes if seq_names is not None else None,
     )
+    _painted(op, style)
     lengths = {len(strip_tags(s)) for s in seqs}
-    return _styled(make(op, lengths.pop() if len(lengths) == 1 else None, name, found), style)
+    return make(op, lengths.pop() if len(lengths) == 1 else None, name, found)
 
 
 class TableOp(Operation):
@@ -260,7 +270,8 @@ def from_iupac(iupac_seq: str, pool: Pool | str | None = None, region=None, pref
         return F.concat(*chars), {"iupac_state": F.lit(None).cast("long")}  # too many states for a number
 
     op = Operation(_within(pool, region), factory="from_iupac", mode=mode, num_states=(num_states or total) if mode == "sequential" else num_states, natural=total, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, sample=sample, cards={"iupac_state": "long"})
-    return _styled(make(op, len(iupac_seq), name), style)
+    _painted(op, style)
+    return make(op, len(iupac_seq), name)
 
 
 def from_motif(prob_df, pool: Pool | str | None = None, region=None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, style: str | None = None, name: str | None = None, remove_tags: bool | None = None) -> Pool:
@@ -286,7 +297,8 @@ def from_motif(prob_df, pool: Pool | str | None = None, region=None, prefix: str
         return F.array_join(F.transform(state, lambda x: F.lit("".join(BASES)).substr(x + 1, F.lit(1))), ""), {"prob_state": state}
 
     op = Operation(_within(pool, region), factory="from_motif", mode="random", num_states=num_states, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), sample=sample, cards={"prob_state": "array<int>"})
-    return _styled(make(op, len(p), name), style)
+    _painted(op, style)
+    return make(op, len(p), name)
 
 
 def _kmer(value: Column, length: int, letters: str) -> Column:
@@ -316,9 +328,10 @@ def get_kmers(length: int, pool: Pool | str | None = None, region=None, style: s
         return kmer, {"kmer_index": F.lit(None).cast("long"), "kmer": kmer}
 
     op = Operation(_within(pool, region), factory="get_kmers", mode=mode, num_states=(num_states or total) if mode == "sequential" else num_states, natural=total, prefix=prefix, iter_order=iter_order, region=region, remove_tags=bool(remove_tags), build=build, sample=sample, cards={"kmer_index": "long", "kmer": "string"})
+    _painted(op, style)
     out = make(op, length, name)
     out.plain = pool is None
-    return _styled(out, style)
+    return out
 
 
 def materialize(pool: Pool, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, discard_null_seqs: bool = True, max_iterations: int | None = None, min_acceptance_rate: float | None = None, attempts_per_rate_assessment: int = 100, name: str | None = None, prefix: str | None = None, path: str | None = None) -> Pool:
