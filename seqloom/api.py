@@ -36,10 +36,19 @@ from .sources.sources import from_fasta, from_iupac, from_motif, from_seq, from_
 
 __version__ = "0.1.0"
 Party, get_active_party = Session, get_session
-DnaPool = ProteinPool = Pool
 StateManager = Manager
 
 
+class _OfKind(type):
+    """Classes whose instances are the pools of one kind of sequences."""
+
+    def __instancecheck__(cls, x: object) -> bool:
+        return isinstance(x, Pool) and x.kind == cls.kind
+
+
+DnaPool, ProteinPool = _OfKind("DnaPool", (), {"kind": "dna"}), _OfKind("ProteinPool", (), {"kind": "protein"})
+
+
 class _OfFactory(type):
     """Classes whose instances are the operations that one factory makes."""
 

@@ -298,7 +298,7 @@ class Operation:
 
     def build(self, run, args: list[Column], state: Column) -> tuple[Column, dict[str, Column]]:
         if self.mode == "random" and self._sample is not None:
-            out = self._sample(run, args, Draws(run, state if self.from_state else run.row))
+            out = self._sample(run, args, Draws(run, state if self.from_state else run.row_key))
             return out if isinstance(out, tuple) else (out, {})
         if self.mode == "random" and self._draw is not None:
             return self._random(run, args, state)
@@ -317,7 +317,7 @@ class Operation:
                 rows.append((None,) * len(fields) if any(v is None for v in x) else draw(row_generator(seed, op_id, int(s)), *x))
             return pd.DataFrame(rows, columns=fields)
 
-        index = state if self.from_state else run.row
+        index = state if self.from_state else run.row_key
         made = run.add(f"_u{self.id}", drawn(index, *args))
         return made["seq"], {k: made[k] for k in self.cards}
 

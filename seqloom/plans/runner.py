@@ -46,19 +46,22 @@ def all_pools(pools: Sequence[Pool]) -> list[Pool]:
 class Run:
     """The DataFrame while it is put together."""
 
-    def __init__(self, base: DataFrame, pool: Pool, others: Sequence[Pool], seed: int, styled: bool = False):
-        """``base`` holds the row indices in column id, and maybe what tables have for them. ``styled``: follow styles too."""
+    def __init__(self, base: DataFrame, pool: Pool, others: Sequence[Pool], seed: int, styled: bool = False, offset: int = 0):
+        """``base`` holds the row indices, less the offset, in column id, and maybe what tables have for them. ``styled``: follow styles too."""
         self.seed, self.pool, self.styled = seed, pool, styled
         self.layers: dict[Operation, dict[tuple, tuple[str, Column]]] = {}
         n = pool.state.num_values
         self.row = F.col("_row")
         more = [c for c in base.columns if c.startswith("_t")]
-        self.df = base.select(F.col("id").alias("_row"), (F.col("id") % n if n < 1 << 63 else F.col("id")).alias("_v"), *more)
+        row = (F.col("id") + st.number(offset)).cast(st.DECIMAL) if offset else F.col("id")
+        #: row indices as a key of random draws
+        self.row_key = (self.row % st.number(1 << 62)).cast("long") if offset else self.row
+        self.df = base.select(row.alias("_row"), (row % st.number(n) if n <= st.LONG else row).cast(st.kind_of(n)).alias("_v"), *more)
         self.ops = sorted_operations([pool, *others])
         self.pools = all_pools([pool, *others])
         wanted = {o.state for o in self.ops} | {p.state for p in self.pools}
         found = st.columns(pool.state, F.col("_v"))
-        self.df = self.df.select("_row", *more, *[c.cast("long").alias(f"_s{s.id}") for s, c in found.items() if s in wanted])
+        self.df = self.df.select("_row", *more, *[c.cast(st.kind_of(s.num_values)).alias(f"_s{s.id}") for s, c in found.items() if s in wanted])
         self.known = {s for s in found if s in wanted}
         self.cards: dict[Operation, list[str]] = {}
         #: what stands before, in and after a tag that an operation has just put in
@@ -94,12 +97,13 @@ class Run:
     def card(self, op: Operation, key: str) -> Column:
         return F.col(f"`_c{op.id}.{key}`")
 
-    def name(self, most: int) -> Column:
+    def name(self, most: int) -> Column | None:
+        """The names of the rows; None if no operation adds to them."""
         pieces = []
         for op in sorted_operations([self.pool]):
             self.op = op
             pieces += op.name_parts(self, self.state(op.state), most)
-        return F.nullif(F.concat_ws(".", *pieces), F.lit("")) if pieces else F.lit(None).cast("string")
+        return F.nullif(F.concat_ws(".", *pieces), F.lit("")) if pieces else None
 
 
 #: Most rows that one row of a table is expanded to in place.
@@ -167,13 +171,17 @@ def generate_library(
         pool.seed = seed or 0
     start = pool.cursor
 
+    far = start + count > st.LONG  # beyond what a range of longs reaches
+
     def rows(a: int, n: int) -> DataFrame:
+        if far:
+            return spark.range(0, n, 1, partitions) if partitions else spark.range(0, n)
         found = table_rows(pool, a, n, partitions) if not aux_pools else None
         if found is not None:
             return found
         return spark.range(a, a + n, 1, partitions) if partitions else spark.range(a, a + n)
 
-    shown = lambda a, n: _select(Run(rows(a, n), pool, aux_pools, pool.seed, report_styles and not pool.session.config.suppress_styles), pool, start + count - 1, report_design_cards, aux_pools, pools_to_report, organize_columns_by, report_styles)
+    shown = lambda a, n: _select(Run(rows(a, n), pool, aux_pools, pool.seed, report_styles and not pool.session.config.suppress_styles, a if far else 0), pool, start + count - 1, report_design_cards, aux_pools, pools_to_report, organize_columns_by, report_styles)
     if discard_null_seqs:
         df, tried = _first(shown, start, count, pool, max_iterations, min_acceptance_rate, attempts_per_rate_assessment)
     else:
@@ -193,7 +201,7 @@ def _first(shown, start: int, count: int, pool: Pool, most: int | None, least_ra
     while True:
         ok = F.col("seq").isNotNull()
         if least_rate is not None:
-            blocks = {r["b"]: r["n"] for r in shown(start + tried, size).where(ok).groupBy(F.floor((F.col("_row") - start) / every).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            blocks = {r["b"]: r["n"] for r in shown(start + tried, size).where(ok).groupBy(F.floor((F.col("_row") - st.number(start)).cast("long") / every).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
             for b in range(tried // every, (tried + size) // every):
                 valid += blocks.get(b, 0)
                 if valid >= count:
@@ -219,7 +227,7 @@ def _end(shown, start: int, size: int, count: int) -> int:
     at = 0
     while size > 1:
         step = -(-size // BLOCKS)
-        block = F.floor((F.col("_row") - (start + at)) / step)
+        block = F.floor((F.col("_row") - st.number(start + at)).cast("long") / step)
         sizes = shown(start + at, size).where(F.col("seq").isNotNull()).groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
         for b, n in sorted((r["b"], r["n"]) for r in sizes):
             if n >= count:
@@ -234,11 +242,13 @@ def _select(run: Run, pool: Pool, most: int, cards: bool, aux: Sequence[Pool], t
     own = list(run.layers.get(pool.operation, {}).values())
     looks = [gathered(own).alias("styles")] if styled else []
     seq = F.nullif(run.seq(pool), F.lit(""))
-    name = F.when(seq.isNotNull(), run.name(most)).alias("name")
+    own_name = run.name(most)
+    name = (F.lit(None).cast("string") if own_name is None else F.when(seq.isNotNull(), own_name)).alias("name")
     if not cards:
         return run.df.select("_row", name, seq.alias("seq"), *looks)
+    shown = [name] if config.show_name and own_name is not None else []  # with cards, a name that no row has is left out
     if config.suppress_cards:
-        return run.df.select("_row", *([name] if config.show_name else []), *([seq.alias("seq")] if config.show_seq else []), *looks)
+        return run.df.select("_row", *shown, *([seq.alias("seq")] if config.show_seq else []), *looks)
     pools = run.pools if to_report == "all" else [pool] if to_report == "self" else list(to_report)
     pools = sorted({*pools, *aux, pool}, key=lambda p: p.id) if to_report != "all" else pools
     seqs = {p: [run.seq(p).alias(f"{p.name}.seq")] if config.show_pool_seqs else [] for p in pools}
@@ -250,7 +260,7 @@ def _select(run: Run, pool: Pool, most: int, cards: bool, aux: Sequence[Pool], t
         rest = [c for kind in kinds for p in pools for c in kind[p]]
     else:
         rest = [c for p in reversed(pools) for kind in kinds for c in kind[p]]
-    head = ([name] if config.show_name else []) + ([seq.alias("seq")] if config.show_seq else [])
+    head = shown + ([seq.alias("seq")] if config.show_seq else [])
     return run.df.select("_row", *head, *rest, *looks)
 
 

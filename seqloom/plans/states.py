@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Iterator, Sequence
 from contextvars import ContextVar
+from decimal import Decimal
 from math import prod
 
 import xxhash
@@ -29,6 +30,35 @@ COMPUTED = 1000
 ROUNDS = 48
 
 
+#: States of up to so many values have long columns; those of more, up to WIDEST, have columns of DECIMAL(38, 0).
+LONG = 1 << 63
+WIDEST = 10**32
+DECIMAL = "decimal(38,0)"
+
+
+def kind_of(n: int) -> str:
+    """The type of a column of values below n."""
+    if n > WIDEST:
+        raise ValueError(f"{n} states are more than a column can hold ({WIDEST})")
+    return "bigint" if n <= LONG else DECIMAL
+
+
+def number(x: int) -> Column:
+    return F.lit(x) if -LONG <= x < LONG else F.lit(Decimal(x)).cast(DECIMAL)
+
+
+def quotient(v: Column, b: int, n: int) -> Column:
+    """v div b, for values below n."""
+    if b == 1:
+        return v
+    if n <= b:
+        return F.when(v.isNotNull(), F.lit(0).cast("long"))
+    if n <= LONG:
+        return F.call_function("div", v, F.lit(b))
+    whole = (v - v % number(b)) / number(b).cast(DECIMAL)
+    return whole.cast(kind_of(-(-n // b)))
+
+
 class Manager:
     """Registry of states; a context manager."""
 
@@ -83,7 +113,7 @@ class Manager:
         spark = spark or SparkSession.getActiveSession()
         cols = columns(state, F.col("id"))
         named = sorted(cols.items(), key=lambda x: x[0].id)
-        return spark.range(state.num_values).select(*[c.cast("long").alias(s.name) for s, c in named])
+        return spark.range(state.num_values).select(*[c.cast(kind_of(s.num_values)).alias(s.name) for s, c in named])
 
 
 def manager() -> Manager:
@@ -217,22 +247,23 @@ def product(states: Sequence[State], name: str | None = None, iter_order: int |
         raise ValueError("a product's states must be distinct")
     strides = [prod(s.num_values for s in states[:i]) for i in range(len(states))]
     sizes = [s.num_values for s in states]
+    total = prod(sizes)
     return _derived(
         "product",
-        prod(sizes),
+        total,
         states,
         lambda v: [v // t % n for t, n in zip(strides, sizes)],
-        lambda v: [_digit(v, t, n) for t, n in zip(strides, sizes)],
+        lambda v: [_digit(v, t, n, total) for t, n in zip(strides, sizes)],
         name,
         iter_order,
     )
 
 
-def _digit(v: Column, stride: int, n: int) -> Column:
+def _digit(v: Column, stride: int, n: int, total: int) -> Column:
     if n == 1:
         return F.when(v.isNotNull(), F.lit(0).cast("long"))
-    x = v if stride == 1 else F.call_function("div", v, F.lit(stride)) if stride < 1 << 63 else F.lit(0).cast("long")
-    return x % F.lit(n) if n < 1 << 63 else x
+    x = quotient(v, stride, total)
+    return x if stride * n == total else (x % number(n)).cast(kind_of(n))
 
 
 def set_product_order_mode(mode: str) -> None:
@@ -271,7 +302,7 @@ def stack(states: Sequence[State], name: str | None = None, iter_order: int | No
         ends[-1],
         states,
         lambda v: [v - a if a <= v < b else None for a, b in bounds],
-        lambda v: [F.when((v >= a) & (v < b), v - a) for a, b in bounds],
+        lambda v: [F.when((v >= number(a)) & (v < number(b)), (v - number(a)).cast(kind_of(b - a))) for a, b in bounds],
         name,
         iter_order,
     )
@@ -281,16 +312,18 @@ def slice_state(state: State, key: int | slice, name: str | None = None, iter_or
     if isinstance(key, int):
         key = slice(key, key + 1 or None)
     r = range(state.num_values)[key]
-    if not len(r):
+    count = max(0, -((r.start - r.stop) // r.step))
+    if not count:
         raise ValueError("the slice is empty")
-    return _derived("slice", len(r), [state], lambda v: [r[v]], lambda v: [v * r.step + r.start], name, iter_order)
+    kind = kind_of(state.num_values) if state.num_values <= WIDEST else DECIMAL
+    return _derived("slice", count, [state], lambda v: [r[v]], lambda v: [(v.cast(kind) * number(r.step) + number(r.start)).cast(kind)], name, iter_order)
 
 
 def repeat(state: State, times: int, name: str | None = None, iter_order: int | None = None) -> State:
     if times < 1:
         raise ValueError("times must be 1 or more")
     n = state.num_values
-    return _derived("repeat", n * times, [state], lambda v: [v % n], lambda v: [v % n], name, iter_order)
+    return _derived("repeat", n * times, [state], lambda v: [v % n], lambda v: [(v % number(n)).cast(kind_of(n))], name, iter_order)
 
 
 def _table(state: State, table: list[int], kind: str, name: str | None, iter_order: int | None) -> State:
@@ -298,7 +331,7 @@ def _table(state: State, table: list[int], kind: str, name: str | None, iter_ord
 
     def look(v: Column) -> list[Column]:
         pieces = [table[i : i + LITERAL] for i in range(0, len(table), LITERAL)]
-        arrays = [F.element_at(F.array(*map(F.lit, p)).cast("array<bigint>"), (v % LITERAL + 1).cast("int")) for p in pieces]
+        arrays = [F.element_at(F.array(*map(number, p)).cast(f"array<{kind_of(state.num_values)}>"), (v % LITERAL + 1).cast("int")) for p in pieces]
         out = arrays[-1]
         for i in range(len(pieces) - 2, -1, -1):
             out = F.when(v < (i + 1) * LITERAL, arrays[i]).otherwise(out)
@@ -307,38 +340,52 @@ def _table(state: State, table: list[int], kind: str, name: str | None, iter_ord
     return _derived(kind, len(table), [state], lambda v: [table[v]], look, name, iter_order)
 
 
-def _hash(seed: int, *values: int) -> int:
-    """What Spark's xxhash64 gives for longs (the first one the seed of the draw)."""
+def _hash(seed: int, *values: int | str) -> int:
+    """What Spark's xxhash64 gives for longs and strings (the first one the seed of the draw)."""
     h = 42
     for x in (seed, *values):
-        h = xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), h)
+        h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x % (1 << 64)).to_bytes(8, "little"), h)
     return h - (1 << 64) if h >> 63 else h
 
 
+def _wide(seed: int, *values: int | str) -> int:
+    """A number of 120 bits from two hashes."""
+    high, low = (_hash(seed, half, *values) & ((1 << 60) - 1) for half in (0, 1))
+    return (high << 60) + low
+
+
+def _wide_column(seed: int, v: Column) -> Column:
+    high, low = (F.xxhash64(F.lit(seed).cast("long"), F.lit(half).cast("long"), v.cast("string")).bitwiseAND(F.lit((1 << 60) - 1)).cast(DECIMAL) for half in (0, 1))
+    return (high * number(1 << 60).cast(DECIMAL) + low).cast(DECIMAL)
+
+
 def _permuted(seed: int, n: int) -> tuple[Callable[[int], int], Callable[[Column], Column]]:
     """A permutation of range(n) in closed form, in Python and as a column: the swap-or-not shuffle.
 
     Each round pairs x with k - x modulo n, for a number k of the round, and swaps the pair or not by a bit of the larger one,
     so that each round is a permutation whatever n is, and nothing of size n is made.
     """
-    keys = [_hash(seed, r) % n for r in range(ROUNDS)]
+    wide = n > LONG
+    keys = [(_wide(seed, str(r)) if wide else _hash(seed, r)) % n for r in range(ROUNDS)]
 
     def value(x: int) -> int:
         for r, k in enumerate(keys):
             y = k - x if k >= x else k - x + n
-            if _hash(seed, r, max(x, y)) & 1:
+            if _hash(seed, r, str(max(x, y)) if wide else max(x, y)) & 1:
                 x = y
         return x
 
     def column(x: Column) -> Column:
-        rounds = F.array(*[F.struct(F.lit(r).cast("long").alias("r"), F.lit(k).cast("long").alias("k")) for r, k in enumerate(keys)])
+        kind = kind_of(n)
+        rounds = F.array(*[F.struct(F.lit(r).cast("long").alias("r"), number(k).cast(kind).alias("k")) for r, k in enumerate(keys)])
 
         def swap(x: Column, t: Column) -> Column:
-            y = F.when(t["k"] >= x, t["k"] - x).otherwise(t["k"] - x + n)
-            bit = F.xxhash64(F.lit(seed).cast("long"), t["r"], F.greatest(x, y)).bitwiseAND(F.lit(1))
+            y = F.when(t["k"] >= x, t["k"] - x).otherwise(t["k"] - x + number(n)).cast(kind)
+            larger = F.greatest(x, y)
+            bit = F.xxhash64(F.lit(seed).cast("long"), t["r"], larger.cast("string") if wide else larger).bitwiseAND(F.lit(1))
             return F.when(bit == 1, y).otherwise(x)
 
-        return F.aggregate(rounds, x.cast("long"), swap)
+        return F.aggregate(rounds, x.cast(kind), swap)
 
     return value, column
 
@@ -375,7 +422,9 @@ def sample(state: State, num_values: int | None = None, seed: int | None = None,
     seed = random.randint(0, 2**32 - 1) if seed is None else seed
     if not with_replacement and num_values > n:
         raise ValueError("more samples than values")
-    if num_values > COMPUTED or (not with_replacement and n > COMPUTED):
+    if num_values > COMPUTED or n > LONG or (not with_replacement and n > COMPUTED):
+        if with_replacement and n > LONG:
+            return _derived("sample", num_values, [state], lambda v: [_wide(seed, str(v)) % n], lambda v: [(_wide_column(seed, v) % number(n)).cast(DECIMAL)], name, iter_order)
         if with_replacement:
             value, column = lambda v: (_hash(seed, v) >> 1) % n, lambda v: F.shiftright(F.xxhash64(F.lit(seed).cast("long"), v.cast("long")), 1)
             return _derived("sample", num_values, [state], lambda v: [value(v)], lambda v: [F.pmod(column(v), F.lit(n).cast("long"))], name, iter_order)
@@ -395,7 +444,7 @@ def interleave(states: Sequence[State], name: str | None = None, iter_order: int
         k * n,
         states,
         lambda v: [v // k if v % k == i else None for i in range(k)],
-        lambda v: [F.when(v % k == i, F.call_function("div", v, F.lit(k))) for i in range(k)],
+        lambda v: [F.when(v % k == i, quotient(v, k, k * n).cast(kind_of(n))) for i in range(k)],
         name,
         iter_order,
     )
@@ -455,8 +504,17 @@ def values(root: State, value: int | None) -> dict[State, int | None]:
     return out
 
 
+def agreed(s: State, paths: Sequence[Column]) -> Column:
+    """The value that several paths give a state; an error in a row where they differ. NULL overrides nothing."""
+    value = F.coalesce(*paths)
+    differs = F.lit(False)
+    for p in paths:
+        differs = differs | (p.isNotNull() & (p != value))
+    return F.when(differs, F.raise_error(F.concat_ws(" ", F.lit(f"conflicting values of state {s.name}:"), *[p.cast("string") for p in paths]))).otherwise(value)
+
+
 def columns(root: State, index: Column) -> dict[State, Column]:
-    """A column for every ancestor of ``root`` over its index. Paths that meet in one state are coalesced."""
+    """A column for every ancestor of ``root`` over its index. Paths that meet in one state have to agree."""
     found: dict[State, list[Column]] = {}
     order: list[State] = []
     seen: set[State] = set()
@@ -478,10 +536,10 @@ def columns(root: State, index: Column) -> dict[State, Column]:
         paths = [c for m in s.group for c in found.get(m, [])]
         if not paths:
             continue
-        value = paths[0] if len(paths) == 1 else F.coalesce(*paths)
+        value = paths[0] if len(paths) == 1 else agreed(s, paths)
         most = max(m.num_values for m in s.group)
         for m in s.group:
-            own = value if m.num_values == most else F.when(value < m.num_values, value)
+            own = value if m.num_values == most else F.when(value < number(m.num_values), value).cast(kind_of(m.num_values))
             out[m] = own
             if m.split_column:
                 for p, c in zip(m.parents, m.split_column(own)):

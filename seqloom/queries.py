@@ -601,6 +601,17 @@ _signed = f"(CASE WHEN u >= CAST({1 << 63} AS UBIGINT) THEN CAST(CAST(u AS HUGEI
 add("state_sample_computed", library(lambda s, d: sl.get_kmers(5, mode="sequential").sample(3000, seed=5)), f"SELECT i, {_kmer} AS seq FROM (SELECT v AS i, (({_signed} >> 1) % {N} + {N}) % {N} AS x FROM ({_drawn}))")
 
 
+# --- more states than a long holds ----------------------------------------------------------------------------------
+FAR, STRIDE, BEHIND = 10**20, 10**21 + 7, 4**36
+_places = "[" + ", ".join(f"{4**j}::HUGEINT" for j in reversed(range(36))) + "]"
+add(
+    "state_slice_wide",
+    library(lambda s, d: sl.join([parts(s, d), *[sl.get_kmers(9, mode="sequential") for _ in range(4)]])[FAR::STRIDE]),
+    f"{D}, t AS (SELECT unnest(range(CAST(((SELECT count(*) FROM d)::HUGEINT * {BEHIND} - {FAR} + {STRIDE} - 1) // {STRIDE} AS BIGINT))) AS i), x AS (SELECT i, {FAR} + i::HUGEINT * {STRIDE} AS x FROM t) "
+    f"SELECT i, s || array_to_string(list_transform({_places}, lambda p: substr('ACGT', CAST(x % {BEHIND} // p % 4 AS BIGINT) + 1, 1)), '') AS seq FROM x JOIN d ON d.k = x // {BEHIND}",
+)
+
+
 # --- styles ---------------------------------------------------------------------------------------------------------
 def styled(build: Callable[[SparkSession, str], Pool], **options) -> Callable[[SparkSession, str], DataFrame]:
     """A query: i, seq, and in ``looks`` each style with the places of its characters: red:0,1;blue:5."""

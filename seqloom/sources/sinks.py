@@ -45,7 +45,7 @@ def to_df(
 
 def fasta_lines(df: DataFrame, description: str | Callable | None = None, line_width: int | None = 60) -> DataFrame:
     """One column, value: a FASTA record for each row that has a sequence."""
-    head = F.concat(F.lit(">"), F.coalesce("name", F.lit("")))
+    head = F.concat(F.lit(">"), F.coalesce("name", F.lit("")) if "name" in df.columns else F.lit(""))
     if isinstance(description, str):
         import string
 

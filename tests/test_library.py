@@ -275,7 +275,7 @@ def test_previews(spark, capsys):
     pool.print_library()
     pool.print_dag()
     out = capsys.readouterr().out
-    assert "\033[1;91m" in out and "stylize" in out
+    assert "\033[91;1m" in out and "stylize" in out
 
 
 def test_styles():

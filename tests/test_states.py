@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.plans import states as st
 
@@ -137,3 +138,73 @@ def test_names_and_values(manager, capsys):
     assert a.synced_parent("d").named("e").num_values == 4
     with pytest.raises(KeyError):
         manager.get_by_name("none")
+
+
+# --- more values than a long holds ----------------------------------------------------------------------------------
+def _wide_roots():
+    leaves = [st.State(n, x) for n, x in ((10**6, "a"), (999_983, "b"), (10**6, "c"), (7, "d"), (999_979, "e"))]
+    whole = st.product(leaves[:4])
+    yield whole
+    yield st.product([st.stack([whole, st.State(10**9, "f")]), leaves[4]])
+    yield whole[10**18 : 10**18 + 10**6 : 3]
+    yield whole[5 * 10**18 : 17 : -(10**13)]
+    yield st.repeat(whole, 3)
+    yield st.interleave([st.product([st.State(10**7), st.State(10**13)]), st.product([st.State(10**12), st.State(10**8)])])
+    yield st.stack([whole, st.product([st.State(10**10), st.State(10**10)])])
+    yield st.shuffle(whole, seed=3)
+    yield st.sample(whole, 5000, seed=3)
+    yield st.sample(whole, 7, seed=3)
+    yield st.sample(whole, 5000, seed=3, with_replacement=False)
+    yield st.sample(whole, sampled_states=[0, 10**18, 6 * 10**18])
+    yield st.shuffle(st.product([st.State(10**16), st.State(10**16)]), seed=1)
+
+
+@pytest.mark.parametrize("which", range(13))
+def test_wide_states_as_columns(spark, which):
+    """Columns of states beyond 2**63 values against the same in Python, at the ends, near 2**63 and at random."""
+    rng = random.Random(which)
+    with st.Manager():
+        root = list(_wide_roots())[which]
+        n = root.num_values
+        spots = {0, 1, n - 1, n // 2, *(rng.randrange(n) for _ in range(20)), *(x for x in (2**63 - 1, 2**63, 2**63 + 1) if x < n)}
+        table = spark.createDataFrame([(str(v),) for v in spots], "v string").select(F.col("v").cast(st.kind_of(n)).alias("v"))
+        cols = st.columns(root, F.col("v"))
+        for r in table.select(F.col("v"), *[c.alias(f"s{s.id}") for s, c in cols.items()]).collect():
+            want = st.values(root, int(r["v"]))
+            assert {s: None if r[f"s{s.id}"] is None else int(r[f"s{s.id}"]) for s in cols} == {s: want[s] for s in cols}
+
+
+def test_libraries_beyond_longs(spark):
+    import seqloom as sl
+
+    with sl.Session():
+        pool = sl.join([sl.get_kmers(9, mode="sequential") for _ in range(4)])
+        assert pool.num_states == 4**36
+
+        def kmer(v):
+            return "".join("ACGT"[v >> 2 * i & 3] for i in reversed(range(36)))
+
+        at = 10**21 + 12345
+        read = lambda p, start, n=3: [r["seq"] for r in sl.generate_library(p, num_seqs=n, init_state=start, spark=spark, with_index=True).orderBy("_row").collect()]
+        assert read(pool, at) == [kmer(at + i) for i in range(3)]
+        assert read(pool, 4**36 - 1, 2) == [kmer(4**36 - 1), kmer(0)], "rows wrap at the end"
+        assert read(pool[at : at + 9 : 4], 0) == [kmer(at + 4 * i) for i in range(3)]
+        few = pool.sample(num_seqs=3000, seed=1)
+        assert len(set(read(few, 0, 3000))) == 3000
+        mutants = pool.mutagenize(num_mutations=2)
+        assert read(mutants, at) == read(mutants, at) and all(sum(a != b for a, b in zip(x, y)) == 2 for x, y in zip(read(mutants, at), read(pool, at)))
+        kept = sl.generate_library(pool.filter(lambda s: s.endswith("A")), num_seqs=4, discard_null_seqs=True, init_state=at, spark=spark, max_iterations=100)
+        assert sorted(r["seq"] for r in kept.collect()) == [kmer(at + i) for i in range(16) if kmer(at + i).endswith("A")]
+
+
+def test_paths_that_differ_are_errors(spark):
+    with st.Manager() as m:
+        a = st.State(4, "a")
+        root = st.product([st.slice_state(a, slice(None)), st.slice_state(a, slice(None, None, -1))], "root")
+        with pytest.raises(st.ConflictingValueAssignmentError):
+            root.value = 0
+        with pytest.raises(Exception, match="conflicting values of state a"):
+            m.get_iteration_df(root, spark).collect()
+        b = st.State(6, "b")
+        agreeing = st.stack([b[:3], b[3:]], "agreeing")
+        assert [r["b"] for r in m.get_iteration_df(agreeing, spark).orderBy("agreeing").collect()] == [0, 1, 2, 3, 4, 5]
