@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import logging
-
 from .functions.codons import CodonTable
 from .functions.dna import (
     BASES,
@@ -28,7 +26,7 @@ from .operators.regions import annotate_region, apply_at_region, extract_region,
 from .operators.scans import deletion_multiscan, deletion_scan, insertion_multiscan, insertion_scan, mutagenize_scan, replacement_multiscan, replacement_scan, shuffle_scan, subseq_scan
 from .operators.state_ops import filter, filter_complexity, filter_dust, filter_gc, filter_homopolymer, filter_restriction_sites, filter_seq, repeat, sample, stack, state_shuffle, state_slice, sync
 from .plans import states
-from .plans.pool import Operation, OrfRegion, Pool, Region, Session, get_session, init
+from .plans.pool import Operation, OrfRegion, Pool, Region, Session, configure_logging, get_session, init
 from .plans.runner import generate_library
 from .plans.states import Manager, State
 from .sources.sinks import plan_tree, print_dag, print_library, print_named_colors, to_df, to_file
@@ -88,10 +86,6 @@ def toggle_cards(on: bool = True) -> None:
     get_session().config.suppress_cards = not on
 
 
-def configure_logging(level: int | str = "INFO") -> None:
-    logging.getLogger("seqloom").setLevel(level)
-
-
 def _insert(source):
     def method(self: Pool, *args, region, **options) -> Pool:
         return source(*args, pool=self, region=region, **options)
@@ -116,7 +110,7 @@ for _name, _f in {
     "insert_from_iupac": _insert(from_iupac),
     "insert_from_motif": _insert(from_motif),
     "insert_kmers": _insert(get_kmers),
-    "recombine": lambda self, region, **options: recombine(self, region, **options),
+    "recombine": lambda self, region, *sources, **options: recombine(self, region, *sources, **options),
     "stack_with": lambda self, other: stack([self, other]),
     "join_with": lambda self, *others, **options: join([self, *others], **options),
 }.items():

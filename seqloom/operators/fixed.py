@@ -10,22 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement_column, strip_tags_column
 from ..plans import styles
-from ..plans.pool import Operation, Pool, as_pool, make
+from ..plans.pool import Operation, Pool, as_pool, make, of_columns
 from ..plans.tags import outside_tags
 from ..sources.sources import _styled
 
 
-def fixed_operation(parent_pools: Sequence[Pool | str], seq_from_seqs_fn: Callable, seq_length_fn: Callable | None = None, region=None, remove_tags: bool = False, iter_order: int | None = None, prefix: str | None = None, name: str | None = None, factory: str = "fixed", native: bool | None = None, follow: Callable | None = None) -> Pool:
-    """Any function of the parents' sequences: of columns (``native``), or of a list of strings (as an Arrow UDF)."""
+def fixed_operation(parent_pools: Sequence[Pool | str], seq_from_seqs_fn: Callable, seq_length_from_pool_lengths_fn: Callable | None = None, region=None, remove_tags: bool = False, iter_order: int | None = None, prefix: str | None = None, name: str | None = None, factory: str = "fixed", native: bool | None = None, follow: Callable | None = None) -> Pool:
+    """Any function of the parents' sequences: of columns (``native``), or of a list of strings (as an Arrow UDF). If it is not
+    said which, a function that takes strings is one of strings."""
     pools = [as_pool(p) for p in parent_pools]
-    if native is None:
-        try:
-            native = isinstance(seq_from_seqs_fn([F.col(f"x{i}") for i in range(len(pools))]), Column)
-        except Exception:
-            native = False
 
     def build(run, args, s):
-        if native:
+        if of_columns(seq_from_seqs_fn, ["ACGT"] * len(args), args) if native is None else native:
             return seq_from_seqs_fn(args)
 
         @F.pandas_udf("string")
@@ -37,7 +33,7 @@ def fixed_operation(parent_pools: Sequence[Pool | str], seq_from_seqs_fn: Callab
     op = Operation(pools, factory=factory, region=region, remove_tags=remove_tags, iter_order=iter_order, prefix=prefix, build=build)
     op.follow = follow or styles.same
     lengths = [pools[0].region_length(region), *(p.seq_length for p in pools[1:])]
-    length = seq_length_fn(lengths) if seq_length_fn else None
+    length = seq_length_from_pool_lengths_fn(lengths) if seq_length_from_pool_lengths_fn else None
     return make(op, length, name, dict.fromkeys(r for p in pools for r in p.regions), kind=pools[0].kind)
 
 
@@ -103,10 +99,12 @@ def sliced(s: Column, key: slice) -> Column:
     return F.array_join(F.transform(picks, lambda i: F.element_at(chars, (a + i * step + 1).cast("int"))), "")
 
 
-def slice_seq(pool: Pool | str, start: int | None = None, stop: int | None = None, step: int | None = None, region: str | Sequence[int] | None = None, keep_context: bool = False, iter_order: int | None = None, prefix: str | None = None, name: str | None = None, style: str | None = None) -> Pool:
+def slice_seq(pool: Pool | str, region: str | Sequence[int] | None = None, start: int | None = None, stop: int | None = None, step: int | None = None, keep_context: bool = False, iter_order: int | None = None, prefix: str | None = None, style: str | None = None, name: str | None = None) -> Pool:
     """A slice of the sequence, or of a region's content (with its flanks if ``keep_context``)."""
     pool = as_pool(pool)
-    key = start if isinstance(start, slice) else slice(start, stop, step)
+    if keep_context and region is None:
+        raise ValueError("keep_context needs a region")
+    key = slice(start, stop, step)
     length = pool.region_length(region)
     new = None if length is None else len(range(length)[key])
     source = pool

@@ -23,36 +23,36 @@ def validate_orf_extent(extent: Sequence[int], length: int | None) -> None:
         raise ValueError(f"no interval of the sequence: {extent}")
 
 
-def annotate_orf(pool: Pool | str, orf_name: str, extent: Sequence[int] | None = None, frame: int = 1, style: str | None = None, style_codons: Sequence[str] | None = None, style_frames: Sequence[str] | None = None, name: str | None = None) -> Pool:
+def annotate_orf(pool: Pool | str, name: str, extent: Sequence[int] | None = None, frame: int = 1, style: str | None = None, style_codons: Sequence[str] | None = None, style_frames: Sequence[str] | None = None, iter_order: int | None = None, prefix: str | None = None) -> Pool:
     """Tag a reading frame and register it."""
     pool = as_pool(pool)
     if sum(x is not None for x in (style, style_codons, style_frames)) > 1:
         raise ValueError("give one of style, style_codons and style_frames")
     if frame not in FRAMES:
         raise ValueError(f"frame must be one of {FRAMES}")
-    if orf_name in pool.regions:
+    if name in pool.regions:
         if extent is not None:
-            raise ValueError(f"region {orf_name!r} exists; extent cannot be given")
-        out = pool
+            raise ValueError(f"region {name!r} exists; extent cannot be given")
+        out, last = pool, {"iter_order": iter_order, "prefix": prefix}
     else:
         extent = extent or (0, pool.seq_length)
         validate_orf_extent(extent, pool.seq_length)
-        out = insert_tags(pool, orf_name, *extent)
-    pool.session.upgrade_to_orf_region(orf_name, frame)
+        out, last = insert_tags(pool, name, *extent, iter_order=iter_order, prefix=prefix), {}
+    pool.session.upgrade_to_orf_region(name, frame)
     if style:
-        out = stylize(out, region=orf_name, style=style)
-    elif style_codons or style_frames:
-        out = stylize_orf(out, orf_name, style_codons=style_codons, style_frames=style_frames)
-    return out.named(name) if name else out
+        return stylize(out, region=name, style=style, **last)
+    if style_codons or style_frames:
+        return stylize_orf(out, name, style_codons=style_codons, style_frames=style_frames, **last)
+    return out
 
 
-def stylize_orf(pool: Pool | str, region=None, style_codons: Sequence[str] | None = None, style_frames: Sequence[str] | None = None, frame: int | None = None, name: str | None = None) -> Pool:
+def stylize_orf(pool: Pool | str, region=None, style_codons: Sequence[str] | None = None, style_frames: Sequence[str] | None = None, frame: int | None = None, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
     """Cycle styles over codons, or over the three places in them; sequences stay."""
     if (style_codons is None) == (style_frames is None):
         raise ValueError("give style_codons or style_frames")
     if not (style_codons or style_frames) or (style_frames and len(style_frames) % 3):
         raise ValueError("style_codons must not be empty, and style_frames are so many times three")
-    out = stylize(pool, region=region, style=(style_codons or style_frames)[0], name=name)
+    out = stylize(pool, region=region, style=(style_codons or style_frames)[0], iter_order=iter_order, prefix=prefix, name=name)
     op, frame = out.operation, frame or _frame(out, region)
     op.factory = "stylize_orf"
     op.paint = lambda run, seqs, seq, state: styles.framed(seq, region, lambda r: run.parts(op.parents[0], seq, r), molecular_positions, style_codons, style_frames, frame)
@@ -155,8 +155,8 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
     return make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
 
 
-def translate(pool: Pool | str, region=None, frame: int | None = None, include_stop: bool = True, preserve_codon_styles: bool = True, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
-    """DNA to protein; frame f leaves out |f| - 1 bases, unknown codons are '?'."""
+def translate(pool: Pool | str, region=None, frame: int | None = None, include_stop: bool = True, preserve_codon_styles: bool = True, genetic_code: str | dict | None = None, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
+    """DNA to protein; frame f leaves out |f| - 1 bases, unknown codons are '?'. The genetic code is the session's if none is given."""
     from .fixed import extract
 
     pool = as_pool(pool)
@@ -164,7 +164,7 @@ def translate(pool: Pool | str, region=None, frame: int | None = None, include_s
     length = pool.region_length(region)
     source = pool if region is None else extract(pool, region)
     off = abs(frame) - 1
-    table = pool.session.codon_table
+    table = pool.session.codon_table if genetic_code is None else CodonTable(genetic_code)
 
     def build(run, args, s):
         bases = F.upper(args[0] if source.plain else F.regexp_replace(strip_tags_column(args[0]), "[^ACGTacgt]", ""))
@@ -198,12 +198,12 @@ def from_protein(seq: str) -> Pool:
     return Pool(Operation([], factory="from_protein", build=lambda run, args, s: F.lit(seq)), len(seq), kind="protein", template=seq)
 
 
-def reverse_translate(pool: Pool | str, region=None, codon_selection: str = "first", num_states: int | None = None, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
+def reverse_translate(pool: Pool | str, region=None, codon_selection: str = "first", num_states: int | None = None, genetic_code: str | dict | None = None, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
     """Protein to DNA by each residue's most frequent codon, or by random ones."""
     if codon_selection not in ("first", "random"):
         raise ValueError("codon_selection is first or random")
     pool = from_protein(pool) if isinstance(pool, str) else pool
-    codons = pool.session.codon_table.aa_to_codons
+    codons = (pool.session.codon_table if genetic_code is None else CodonTable(genetic_code)).aa_to_codons
     letters = "".join(codons)
 
     def build(run, args, s):

@@ -139,24 +139,23 @@ def apply_at_region(pool: Pool | str, region_name: str, transform_fn: Callable[[
     return out.named(name) if name else out
 
 
-def annotate_region(pool: Pool | str, region_name: str, extent: Sequence[int] | None = None, style: str | None = None, name: str | None = None) -> Pool:
+def annotate_region(pool: Pool | str, name: str, extent: Sequence[int] | None = None, style: str | None = None, iter_order: int | None = None, prefix: str | None = None) -> Pool:
     """Tag an interval (all of it by default), or style a region that exists."""
     pool = as_pool(pool)
-    if region_name in pool.regions:
+    if name in pool.regions:
         if extent is not None:
-            raise ValueError(f"region {region_name!r} exists; extent cannot be given")
-        out = pool
+            raise ValueError(f"region {name!r} exists; extent cannot be given")
+        out, last = pool, {"iter_order": iter_order, "prefix": prefix}
     else:
         if extent is None and pool.seq_length is None:
             raise ValueError("extent is needed where the length varies")
-        out = insert_tags(pool, region_name, *(extent or (0, pool.seq_length)))
-    out = stylize(out, region=region_name, style=style) if style else out
-    return out.named(name) if name else out
+        out, last = insert_tags(pool, name, *(extent or (0, pool.seq_length)), iter_order=iter_order, prefix=prefix), {}
+    return stylize(out, region=name, style=style, **last) if style else out
 
 
-def region_scan(pool: Pool | str, tag_name: str, region_length: int = 0, positions: Sequence[int] | slice | None = None, region: str | Sequence[int] | None = None, remove_tags: bool | None = None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
-    """Slide a region of so many characters along the sequence (0: every place between characters)."""
-    pool = as_pool(pool)
+def region_scan(pool: Pool | str, region: str = "region", positions: Sequence[int] | slice | None = None, region_constraint: str | Sequence[int] | None = None, remove_tags: bool | None = None, region_length: int = 0, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
+    """Slide a region of so many characters along the sequence or a part of it (0: every place between characters)."""
+    pool, tag_name, region = as_pool(pool), region, region_constraint
     n = pool.region_length(region)
     if n is None:
         raise ValueError("a scan needs a sequence of known length")
@@ -227,14 +226,14 @@ def _content(pool: Pool, region: str) -> str:
     return validate_single_region(pool.template, region).content
 
 
-def region_multiscan(pool: Pool | str, tag_names: Sequence[str] | str, num_insertions: int, region_length: int = 0, positions: Sequence[int] | slice | None = None, region: str | Sequence[int] | None = None, remove_tags: bool | None = None, insertion_mode: str = "ordered", prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
+def region_multiscan(pool: Pool | str, regions: Sequence[str] | str, num_insertions: int, positions: Sequence[int] | slice | None = None, region_length: int = 0, insertion_mode: str = "ordered", prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, *, region: str | Sequence[int] | None = None, remove_tags: bool | None = None, name: str | None = None) -> Pool:
     """Several regions at once at random places that do not overlap."""
     if mode != "random":
         raise ValueError("region_multiscan is random only")
     if insertion_mode not in ("ordered", "unordered"):
         raise ValueError("insertion_mode is ordered or unordered")
     pool, k, w = as_pool(pool), num_insertions, region_length
-    names = [f"{tag_names}_{i}" for i in range(k)] if isinstance(tag_names, str) else list(tag_names)
+    names = [f"{regions}_{i}" for i in range(k)] if isinstance(regions, str) else list(regions)
     if k < 1 or len(names) < k or (insertion_mode == "ordered" and len(names) != k):
         raise ValueError(f"{len(names)} names for {k} insertions")
     n = pool.region_length(region)

@@ -31,12 +31,12 @@ def _named(pool: Pool, name: str | None) -> Pool:
     return pool.named(name) if name else pool
 
 
-def deletion_scan(pool: Pool | str, deletion_length: int, deletion_marker: str | None = "-", region=None, positions=None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None, style: str | None = None) -> Pool:
+def deletion_scan(pool: Pool | str, deletion_length: int, deletion_marker: str | None = "-", region=None, positions=None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, style: str | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
     """Replace each window by as many markers, or by nothing (marker None)."""
     pool = as_pool(pool)
     _window(pool, deletion_length, region)
     tag = _fresh(pool, "_del")
-    marked = region_scan(pool, tag, deletion_length, positions, region, None, prefix, mode, num_states, iter_order)
+    marked = region_scan(pool, tag, positions, region, None, deletion_length, prefix, mode, num_states, iter_order)
     return _named(replace_region(marked, from_seq((deletion_marker or "") * deletion_length), tag, style=style), name)
 
 
@@ -53,7 +53,7 @@ def _site_and_insert(out: Pool, scan: Pool, inserts: Pool, prefix: str | None, p
     return passthrough(out, names)
 
 
-def insertion_scan(pool: Pool | str, ins_pool: Pool | str, replace: bool = False, region=None, positions=None, prefix: str | None = None, prefix_position: str | None = None, prefix_insert: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None, style: str | None = None) -> Pool:
+def insertion_scan(pool: Pool | str, ins_pool: Pool | str, positions=None, region=None, replace: bool = False, style: str | None = None, prefix: str | None = None, prefix_position: str | None = None, prefix_insert: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
     """Put each insert at each place, between characters or over as many."""
     pool, inserts = as_pool(pool), as_pool(ins_pool)
     if inserts.seq_length is None:
@@ -62,60 +62,60 @@ def insertion_scan(pool: Pool | str, ins_pool: Pool | str, replace: bool = False
     if replace:
         _window(pool, width, region, True)
     tag = _fresh(pool, "_rep" if replace else "_ins")
-    marked = region_scan(pool, tag, width, positions, region, None, None, mode, num_states, iter_order)
+    marked = region_scan(pool, tag, positions, region, None, width, None, mode, num_states, iter_order)
     out = replace_region(marked, inserts, tag, style=style)
     if prefix is not None or prefix_position is not None or prefix_insert is not None:
         out = _site_and_insert(out, marked, inserts, prefix, prefix_position, prefix_insert)
     return _named(out, name)
 
 
-def replacement_scan(pool: Pool | str, ins_pool: Pool | str, region=None, positions=None, prefix: str | None = None, prefix_position: str | None = None, prefix_insert: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None, style: str | None = None) -> Pool:
-    return insertion_scan(pool, ins_pool, True, region, positions, prefix, prefix_position, prefix_insert, mode, num_states, iter_order, name, style)
+def replacement_scan(pool: Pool | str, ins_pool: Pool | str, positions=None, region=None, style: str | None = None, prefix: str | None = None, prefix_position: str | None = None, prefix_insert: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
+    return insertion_scan(pool, ins_pool, positions, region, True, style, prefix, prefix_position, prefix_insert, mode, num_states, iter_order, name)
 
 
 def _pair(x):
     return tuple(x) if isinstance(x, (tuple, list)) else (x, x)
 
 
-def mutagenize_scan(pool: Pool | str, mutagenize_length: int, num_mutations: int | None = None, mutation_rate: float | None = None, region=None, positions=None, prefix=None, mode="random", num_states=None, iter_order=None, name: str | None = None, style: str | None = None) -> Pool:
+def mutagenize_scan(pool: Pool | str, mutagenize_length: int, num_mutations: int | None = None, mutation_rate: float | None = None, positions=None, region=None, prefix=None, mode="random", num_states=None, iter_order=None, style: str | None = None, name: str | None = None) -> Pool:
     """Mutate within each window, whose tags stay. Options may be pairs: of the window and of the mutation."""
     pool = as_pool(pool)
     _window(pool, mutagenize_length, region, True)
     modes, counts, orders = _pair(mode), _pair(num_states), _pair(iter_order)
     prefixes = tuple(prefix) if isinstance(prefix, (tuple, list)) else (prefix, None)
     tag = _fresh(pool, "_mut")
-    marked = region_scan(pool, tag, mutagenize_length, positions, region, None, prefixes[0], modes[0], counts[0], orders[0])
+    marked = region_scan(pool, tag, positions, region, None, mutagenize_length, prefixes[0], modes[0], counts[0], orders[0])
     return mutagenize(marked, tag, num_mutations=num_mutations, mutation_rate=mutation_rate, style=style, prefix=prefixes[1], mode=modes[1], num_states=counts[1], iter_order=orders[1], name=name)
 
 
-def shuffle_scan(pool: Pool | str, shuffle_length: int, shuffles_per_position: int = 1, region=None, positions=None, prefix: str | None = None, prefix_position: str | None = None, prefix_shuffle: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None, style: str | None = None) -> Pool:
+def shuffle_scan(pool: Pool | str, shuffle_length: int, positions=None, region=None, shuffles_per_position: int = 1, prefix: str | None = None, prefix_position: str | None = None, prefix_shuffle: str | None = None, mode: str = "random", num_states: int | None = None, style: str | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
     """Shuffle each window, so many times."""
     pool = as_pool(pool)
     _window(pool, shuffle_length, region, True)
     tag = _fresh(pool, "_shuf")
-    marked = region_scan(pool, tag, shuffle_length, positions, region, None, prefix_position, mode, num_states, iter_order)
+    marked = region_scan(pool, tag, positions, region, None, shuffle_length, prefix_position, mode, num_states, iter_order)
     out = shuffle_seq(marked, tag, style=style, prefix=prefix_shuffle, num_states=shuffles_per_position, iter_order=-1, remove_tags=True)
     return _named(add_prefix(out, prefix) if prefix else out, name)
 
 
-def subseq_scan(pool: Pool | str, subseq_length: int, region=None, positions=None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
+def subseq_scan(pool: Pool | str, seq_length: int, positions=None, region=None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
     """The windows themselves."""
     pool = as_pool(pool)
-    _window(pool, subseq_length, region, True)
+    _window(pool, seq_length, region, True)
     tag = _fresh(pool, "_subseq")
-    marked = region_scan(pool, tag, subseq_length, positions, region, None, prefix, mode, num_states, iter_order)
+    marked = region_scan(pool, tag, positions, region, None, seq_length, prefix, mode, num_states, iter_order)
     return extract_region(marked, tag, name=name)
 
 
 def _multi(pool: Pool, contents: Sequence[Pool], width: int, base: str, options: dict) -> Pool:
     tags = [f"{_fresh(pool, base)}_{i}" for i in range(len(contents))]
-    out = region_multiscan(pool, tags, len(contents), width, **options)
+    out = region_multiscan(pool, tags, len(contents), region_length=width, **options)
     for tag, content in zip(tags, contents):
         out = replace_region(out, content, tag)
     return out
 
 
-def deletion_multiscan(pool: Pool | str, deletion_length: int, num_deletions: int, deletion_marker: str | None = "-", region=None, positions=None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
+def deletion_multiscan(pool: Pool | str, deletion_length: int, num_deletions: int, deletion_marker: str | None = "-", positions=None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, *, region=None, name: str | None = None) -> Pool:
     """Several deletions in each sequence."""
     pool = as_pool(pool)
     _window(pool, deletion_length, region)
@@ -123,7 +123,7 @@ def deletion_multiscan(pool: Pool | str, deletion_length: int, num_deletions: in
     return _named(_multi(pool, [from_seq((deletion_marker or "") * deletion_length) for _ in range(num_deletions)], deletion_length, "_del", options), name)
 
 
-def insertion_multiscan(pool: Pool | str, num_insertions: int, insertion_pools, replace: bool = False, region=None, positions=None, insertion_mode: str = "ordered", prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
+def insertion_multiscan(pool: Pool | str, num_insertions: int, insertion_pools, positions=None, insertion_mode: str = "ordered", prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, *, replace: bool = False, region=None, name: str | None = None) -> Pool:
     """Several inserts in each sequence; a single pool of them is drawn from anew for each place."""
     pool = as_pool(pool)
     if isinstance(insertion_pools, (Pool, str)):
@@ -140,5 +140,5 @@ def insertion_multiscan(pool: Pool | str, num_insertions: int, insertion_pools,
     return _named(_multi(pool, inserts, widths.pop() if replace else 0, "_rep" if replace else "_ins", options), name)
 
 
-def replacement_multiscan(pool: Pool | str, num_replacements: int, replacement_pools, **options) -> Pool:
-    return insertion_multiscan(pool, num_replacements, replacement_pools, True, **options)
+def replacement_multiscan(pool: Pool | str, num_replacements: int, replacement_pools, *positional, **options) -> Pool:
+    return insertion_multiscan(pool, num_replacements, replacement_pools, *positional, replace=True, **options)

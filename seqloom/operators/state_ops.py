@@ -6,12 +6,11 @@ import random
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.dna import calc_complexity, calc_dust, calc_gc, has_homopolymer, site_regex, strip_tags_column
 from ..plans import states as st
-from ..plans.pool import Operation, Pool, as_pool, make
+from ..plans.pool import Operation, Pool, as_pool, make, of_columns
 
 
 class _Derived(Operation):
@@ -28,7 +27,7 @@ class _Derived(Operation):
         return self._derive(op, [p.state for p in op.parents])
 
 
-def stack(pools: Sequence[Pool | str], iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
+def stack(pools: Sequence[Pool | str], prefix: str | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
     """One pool's sequences after the other's."""
     pools = [as_pool(p) for p in pools]
 
@@ -56,7 +55,7 @@ def stack(pools: Sequence[Pool | str], iter_order: int | None = None, prefix: st
     return make(op, lengths.pop() if len(lengths) == 1 else None, name, dict.fromkeys(r for p in pools for r in p.regions), kind=pools[0].kind)
 
 
-def repeat(pool: Pool | str, times: int, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
+def repeat(pool: Pool | str, times: int, prefix: str | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
     pool = as_pool(pool)
     if times < 1:
         raise ValueError("times must be 1 or more")
@@ -74,7 +73,7 @@ def _reindexed(pool: Pool, factory: str, derive: Callable, prefix: str | None, n
     return make(op, pool.seq_length, name, pool.regions, kind=pool.kind)
 
 
-def state_slice(pool: Pool | str, key: int | slice | None = None, start: int | None = None, stop: int | None = None, step: int | None = None, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
+def state_slice(pool: Pool | str, key: int | slice | None = None, prefix: str | None = None, iter_order: int | None = None, *, start: int | None = None, stop: int | None = None, step: int | None = None, name: str | None = None) -> Pool:
     """OFFSET, LIMIT and step over the states, by index arithmetic only."""
     key = slice(start, stop, step) if key is None else key
     pool = as_pool(pool)
@@ -88,14 +87,14 @@ def _drawn(seed: int | None, explicit: Sequence[int] | None) -> int | None:
     return random.randint(0, 2**32 - 1) if seed is None and explicit is None else seed
 
 
-def sample(pool: Pool | str, num_seqs: int | None = None, seq_states: Sequence[int] | None = None, seed: int | None = None, with_replacement: bool = True, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
+def sample(pool: Pool | str, num_seqs: int | None = None, seq_states: Sequence[int] | None = None, seed: int | None = None, with_replacement: bool = True, prefix: str | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
     if (num_seqs is None) == (seq_states is None):
         raise ValueError("give num_seqs or seq_states")
     pool, seed = as_pool(pool), _drawn(seed, seq_states)
     return _reindexed(pool, "sample", lambda s: st.sample(s, num_seqs, seed, seq_states, with_replacement, iter_order=iter_order), prefix, name)
 
 
-def state_shuffle(pool: Pool | str, seed: int | None = None, permutation: Sequence[int] | None = None, iter_order: int | None = None, prefix: str | None = None, name: str | None = None) -> Pool:
+def state_shuffle(pool: Pool | str, seed: int | None = None, permutation: Sequence[int] | None = None, prefix: str | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
     pool, seed = as_pool(pool), _drawn(seed, permutation)
     return _reindexed(pool, "state_shuffle", lambda s: st.shuffle(s, seed, permutation, iter_order=iter_order), prefix, name)
 
@@ -109,17 +108,13 @@ def sync(pools: Sequence[Pool]) -> None:
 
 
 def filter(pool: Pool | str, predicate: Callable, name: str | None = None, prefix: str | None = None, native: bool | None = None) -> Pool:  # noqa: A001
-    """NULL where the predicate does not hold. It takes a column (and gives one) or, as an Arrow UDF, a string."""
+    """NULL where the predicate does not hold. It takes a column (and gives one) or, as an Arrow UDF, a string. If it is not said
+    which (``native``), a predicate that takes strings is one of strings."""
     pool = as_pool(pool)
-    if native is None:
-        try:
-            native = isinstance(predicate(F.col("x")), Column)
-        except Exception:
-            native = False
 
     def build(run, args, s):
         clean = strip_tags_column(args[0])
-        if native:
+        if of_columns(predicate, "ACGT", clean) if native is None else native:
             passed = predicate(clean)
         else:
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Sequence
 from contextvars import ContextVar
@@ -165,9 +166,21 @@ def get_session() -> Session:
     return found
 
 
-def init(**options) -> Session:
+def configure_logging(level: str = "WARNING", format: str = "%(levelname)s - %(name)s - %(message)s", handler: logging.Handler | None = None) -> None:  # noqa: A002
+    """Show the package's messages of this level and above, by a handler of one's own or on the standard error stream."""
+    if handler is None:
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter(format))
+    logger = logging.getLogger("seqloom")
+    logger.setLevel(level.upper())
+    logger.handlers[:] = [handler]
+
+
+def init(genetic_code: str | dict = "standard", log_level: str | None = None) -> Session:
     """Start a new session and make it the active one."""
-    session = Session(**options)
+    if log_level is not None:
+        configure_logging(log_level)
+    session = Session(genetic_code)
     session.__enter__()
     return session
 
@@ -387,6 +400,17 @@ class Operation:
         return f"{type(self).__name__}(id={self.id}, name={self.name!r}, mode={self.mode!r}, num_states={self.num_states})"
 
 
+def of_columns(f: Callable, example: object, columns: object) -> bool:
+    """Whether a user's function works on columns: a function that does something with strings is one of strings, as operators like
+    +, == and slices exist for both and mean different things."""
+    for x in (example, columns):
+        try:
+            return isinstance(f(x), Column)
+        except Exception:  # not made for such arguments
+            continue
+    return False
+
+
 def numbered(prefix: str, value: Column, most: int) -> Column:
     """prefix_007: the value padded to the width of the largest (never cut)."""
     text = value.cast("string")

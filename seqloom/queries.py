@@ -178,9 +178,9 @@ add("rc", library(lambda s, d: sl.rc(parts(s, d))), per_row("reverse(translate(s
 add("upper", library(lambda s, d: sl.upper(parts(s, d, GAPS))), per_row(f"upper({GAPS_SQL})"))
 add("lower", library(lambda s, d: sl.lower(parts(s, d))), per_row("lower(s)"))
 add("swapcase", library(lambda s, d: sl.swapcase(parts(s, d, GAPS))), per_row(f"translate({GAPS_SQL}, 'ACGTacgt', 'acgtACGT')"))
-add("slice_seq", library(lambda s, d: sl.slice_seq(parts(s, d), 3, 29, 4)), per_row("substr(s, 4, 1) || substr(s, 8, 1) || substr(s, 12, 1) || substr(s, 16, 1) || substr(s, 20, 1) || substr(s, 24, 1) || substr(s, 28, 1)"))
-add("slice_seq_region", library(lambda s, d: sl.slice_seq(tagged(s, d), -10, None, 3, region="cre", keep_context=True)), per_row("substr(s, 1, 8) || substr(s, 15, 1) || substr(s, 18, 1) || substr(s, 21, 1) || substr(s, 24, 1) || substr(s, 25, 8) || '<bc/>'"))
-add("slice_seq_backwards", library(lambda s, d: sl.slice_seq(parts(s, d), -3, 20, -4)), per_row("substr(s, 30, 1) || substr(s, 26, 1) || substr(s, 22, 1)"))
+add("slice_seq", library(lambda s, d: sl.slice_seq(parts(s, d), None, 3, 29, 4)), per_row("substr(s, 4, 1) || substr(s, 8, 1) || substr(s, 12, 1) || substr(s, 16, 1) || substr(s, 20, 1) || substr(s, 24, 1) || substr(s, 28, 1)"))
+add("slice_seq_region", library(lambda s, d: sl.slice_seq(tagged(s, d), "cre", -10, None, 3, keep_context=True)), per_row("substr(s, 1, 8) || substr(s, 15, 1) || substr(s, 18, 1) || substr(s, 21, 1) || substr(s, 24, 1) || substr(s, 25, 8) || '<bc/>'"))
+add("slice_seq_backwards", library(lambda s, d: sl.slice_seq(parts(s, d), None, -3, 20, -4)), per_row("substr(s, 30, 1) || substr(s, 26, 1) || substr(s, 22, 1)"))
 add("clear_gaps", library(lambda s, d: sl.clear_gaps(parts(s, d, GAPS, None))), per_row(f"regexp_replace({GAPS_SQL}, '[^ACGTacgt]', '', 'g')"))
 add("clear_annotation", library(lambda s, d: sl.clear_annotation(parts(s, d, GAPS, None))), per_row(f"upper(regexp_replace({GAPS_SQL}, '[^ACGTacgt]', '', 'g'))"))
 add("fixed_operation", library(lambda s, d: sl.fixed_operation([parts(s, d), "TT"], lambda x: F.concat(x[1], F.reverse(x[0])))), per_row("'TT' || reverse(s)"))
@@ -199,7 +199,7 @@ add("annotate_region", library(lambda s, d: parts(s, d).annotate_region("all")),
 add("insert_kmers", library(lambda s, d: tagged(s, d).insert_kmers(1, region="bc", mode="sequential")), per_row("substr(s, 1, 8) || '<cre>' || substr(s, 9, 16) || '</cre>' || substr(s, 25, 8) || '<bc>' || substr('ACGT', v + 1, 1) || '</bc>'", 4))
 add(
     "region_scan",
-    library(lambda s, d: parts(s, d).region_scan("w", 5, mode="sequential"), extra=(("region_scan", "start", "w_start"), ("region_scan", "region_content", "w_content"))),
+    library(lambda s, d: parts(s, d).region_scan("w", region_length=5, mode="sequential"), extra=(("region_scan", "start", "w_start"), ("region_scan", "region_content", "w_content"))),
     f"{D} SELECT k * 28 + v AS i, substr(s, 1, v) || '<w>' || substr(s, v + 1, 5) || '</w>' || substr(s, v + 6) AS seq, v AS w_start, substr(s, v + 1, 5) AS w_content FROM d, range(28) AS r(v)",
 )
 
@@ -527,7 +527,7 @@ add(
     randomly(lambda s, d: parts(s, d).shuffle_scan(6, mode="sequential")),
     f"SELECT i, substr(any_value(s), 1, any_value(v)) || string_agg(substr(s, v + j + 1, 1), '' ORDER BY {ORDER}) || substr(any_value(s), any_value(v) + 7) AS seq FROM ({drawn(f'SELECT k * 27 + v AS i, s, v FROM ({D} SELECT * FROM d), range(27) AS r(v)', 6, 2, 0)}) GROUP BY i",
 )
-add("region_scan_random", randomly(lambda s, d: parts(s, d).region_scan("w", 5)), f"SELECT i, substr(s, 1, v) || '<w>' || substr(s, v + 1, 5) || '</w>' || substr(s, v + 6) AS seq FROM (SELECT i, s, {below(28)} AS v FROM ({drawn(PARTS, 1, 1, 0)}))")
+add("region_scan_random", randomly(lambda s, d: parts(s, d).region_scan("w", region_length=5)), f"SELECT i, substr(s, 1, v) || '<w>' || substr(s, v + 1, 5) || '</w>' || substr(s, v + 6) AS seq FROM (SELECT i, s, {below(28)} AS v FROM ({drawn(PARTS, 1, 1, 0)}))")
 
 
 def several(op: int, width: int, k: int, *pieces: str) -> str:
@@ -536,7 +536,7 @@ def several(op: int, width: int, k: int, *pieces: str) -> str:
     return f"SELECT i, {' || '.join(pieces)} AS seq FROM ({places})"
 
 
-add("region_multiscan", randomly(lambda s, d: parts(s, d).region_multiscan(["u", "v"], 2, 4)), several(1, 4, 2, "substr(s, 1, p[1]) || '<u>' || substr(s, p[1] + 1, 4) || '</u>'", "substr(s, p[1] + 5, p[2] - p[1] - 4) || '<v>' || substr(s, p[2] + 1, 4) || '</v>'", "substr(s, p[2] + 5)"))
+add("region_multiscan", randomly(lambda s, d: parts(s, d).region_multiscan(["u", "v"], 2, region_length=4)), several(1, 4, 2, "substr(s, 1, p[1]) || '<u>' || substr(s, p[1] + 1, 4) || '</u>'", "substr(s, p[1] + 5, p[2] - p[1] - 4) || '<v>' || substr(s, p[2] + 1, 4) || '</v>'", "substr(s, p[2] + 5)"))
 add("deletion_multiscan", randomly(lambda s, d: parts(s, d).deletion_multiscan(3, 2)), several(3, 3, 2, "substr(s, 1, p[1]) || '---'", "substr(s, p[1] + 4, p[2] - p[1] - 3) || '---'", "substr(s, p[2] + 4)"))
 add("insertion_multiscan", randomly(lambda s, d: parts(s, d).insertion_multiscan(3, ["x", "yy", "z"])), several(4, 0, 3, "substr(s, 1, p[1]) || 'x'", "substr(s, p[1] + 1, p[2] - p[1]) || 'yy'", "substr(s, p[2] + 1, p[3] - p[2]) || 'z'", "substr(s, p[3] + 1)"))
 add("replacement_multiscan", randomly(lambda s, d: parts(s, d).replacement_multiscan(2, "nnnn")), several(3, 4, 2, "substr(s, 1, p[1]) || 'nnnn'", "substr(s, p[1] + 5, p[2] - p[1] - 4) || 'nnnn'", "substr(s, p[2] + 5)"))

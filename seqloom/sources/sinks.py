@@ -97,7 +97,8 @@ def to_file(
 ) -> int:
     """Write a library as a folder of part files; gives the number of rows written. Options as in ``to_df``."""
     path = str(path)
-    file_type = file_type or path.removesuffix(".gz").rpartition(".")[2].replace("fa", "fasta").replace("fastasta", "fasta")
+    ending = path.removesuffix(".gz").rpartition(".")[2]
+    file_type = file_type or ("fasta" if ending == "fa" else ending if ending in FORMATS else "csv")
     if file_type not in FORMATS:
         raise ValueError(f"file_type must be one of {FORMATS}")
     tags = not remove_tags if write_tags is None else write_tags
@@ -171,8 +172,8 @@ def rendered(seq: str, styles: Sequence[tuple[str, Sequence[int]]]) -> str:
 
 
 def print_library(
-    pool: Pool, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, show_header: bool = True, show_name: bool = True, three_letter: bool = False, separator: str = "",
-    show_state: bool = False, show_seq: bool = True, pad_names: bool = True, **options,
+    pool: Pool, num_seqs: int | None = None, num_cycles: int | None = None, show_header: bool = True, show_state: bool = False, show_name: bool = True, show_seq: bool = True, pad_names: bool = True,
+    seed: int | None = None, *, chars_per_aa: int = 1, aa_separator: str = " ", **options,
 ) -> Pool:
     """Print a few rows in their styles; gives the pool. Residues of proteins may have codes of three letters."""
     count = num_seqs if num_seqs is not None else (num_cycles or 1) * pool.num_states
@@ -182,10 +183,10 @@ def print_library(
     width = max((len(r["name"] or "") for r in rows), default=0) if pad_names else 0
     for r in rows:
         seq, looks = r["seq"], [(s["spec"], s["positions"]) for s in r["styles"] or ()]
-        if seq is not None and three_letter:
-            step = 3 + len(separator)
+        if seq is not None and chars_per_aa == 3:
+            step = 3 + len(aa_separator)
             looks = [(spec, [p * step + j for p in places for j in range(3)]) for spec, places in looks]
-            seq = separator.join(THREE_LETTERS.get(c.upper(), c * 3) for c in seq)
+            seq = aa_separator.join(THREE_LETTERS.get(c.upper(), c * 3) for c in seq)
         shown = [str(r["_row"] % pool.num_states)] if show_state else []
         shown += [r["name"].ljust(width)] if show_name and r["name"] else []
         shown += ["None" if seq is None else rendered(seq, looks)] if show_seq else []

@@ -30,8 +30,8 @@ CASES = {
     "reversal": (lambda: sl.from_seq("AC<x>GG</x>T").stylize("x", style="red").rc(), "ACCGT", {"red": [1, 2]}),
     "join": (lambda: sl.join([sl.from_seq("AC", style="red"), sl.from_seq("G", style="blue")], "--", style="green"), "AC--G", {"red": [0, 1], "blue": [4], "green": [0, 1, 2, 3, 4]}),
     "one pool twice": (lambda: sl.join([(p := sl.from_seq("AC", style="red")), p]), "ACAC", {"red": [0, 1, 2, 3]}),
-    "slice": (lambda: sl.from_seq("ACGTACGT").stylize([2, 5], style="red").slice_seq(1, 7, 2), "CTC", {"red": [1]}),
-    "slice of a region": (lambda: sl.from_seq("AA<x>CGT</x>").stylize("x", style="red").slice_seq(1, None, region="x", keep_context=True), "AAGT", {"red": [2, 3]}),
+    "slice": (lambda: sl.from_seq("ACGTACGT").stylize([2, 5], style="red").slice_seq(start=1, stop=7, step=2), "CTC", {"red": [1]}),
+    "slice of a region": (lambda: sl.from_seq("AA<x>CGT</x>").stylize("x", style="red").slice_seq("x", 1, keep_context=True), "AAGT", {"red": [2, 3]}),
     "recombination by source": (lambda: sl.recombine(sources=[sl.from_seq("AAA", style="bold"), "CCC"], num_breakpoints=1, mode="sequential", styles=["red", "blue"], style_by="source"), "ACC", {"bold": [0], "red": [0], "blue": [1, 2]}),
     "recombination in order": (lambda: sl.recombine(sources=["AAA", "CCC"], num_breakpoints=2, mode="fixed", styles=["red", "blue"]), "ACA", {"red": [0, 2], "blue": [1]}),
     "translation": (lambda: sl.from_seq("ATGGCTTAA").stylize([0, 5], style="red").translate(), "MA*", {"red": [0]}),
@@ -67,7 +67,7 @@ def test_random_operators(spark, session):
     for seq, styles in rows(pool.mutagenize(num_mutations=3, style="red"), spark, 20):
         plain = "ACGTACGTAC<z>GT</z>AC"
         assert styles == {"green": [0, 1, 2, 3], "red": [i for i, (a, b) in enumerate(zip(plain, seq)) if a != b]} and len(styles["red"]) == 3
-    for seq, styles in rows(pool.region_multiscan(["p", "q"], 2, 2), spark, 20):
+    for seq, styles in rows(pool.region_multiscan(["p", "q"], 2, region_length=2), spark, 20):
         assert "".join(seq[i] for i in styles["green"]) == "ACGT"
     for seq, styles in rows(pool.shuffle_seq("z", style="red"), spark, 5):
         assert styles["red"] == [13, 14]
@@ -103,7 +103,7 @@ def test_previews_and_exports(spark, session, capsys, tmp_path):
     pool = sl.from_seq("AA<t>CC</t>G").mutagenize("t", num_mutations=1, style="red", mode="sequential", prefix="m")
     assert pool.print_library(num_seqs=1, show_header=False) is pool
     assert capsys.readouterr().out == "m_0\tAA<t>\033[91mA\033[0mC</t>G\n"
-    sl.from_seq("ATGGCT", style="blue").translate().print_library(num_seqs=1, show_header=False, three_letter=True, separator="-")
+    sl.from_seq("ATGGCT", style="blue").translate().print_library(num_seqs=1, show_header=False, chars_per_aa=3, aa_separator="-")
     assert capsys.readouterr().out == "\033[94mMet\033[0m-\033[94mAla\033[0m\n"
     df = pool.to_df(num_cycles=1, write_style=True).orderBy("name").collect()
     assert (df[3]["seq"], [tuple(s) for s in df[3]["styles"]]) == ("AACAG", [("red", [3])])
