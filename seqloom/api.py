@@ -26,7 +26,7 @@ from .operators.regions import annotate_region, apply_at_region, extract_region,
 from .operators.scans import deletion_multiscan, deletion_scan, insertion_multiscan, insertion_scan, mutagenize_scan, replacement_multiscan, replacement_scan, shuffle_scan, subseq_scan
 from .operators.state_ops import filter, filter_complexity, filter_dust, filter_gc, filter_homopolymer, filter_restriction_sites, filter_seq, repeat, sample, stack, state_shuffle, state_slice, sync
 from .plans import states
-from .plans.pool import Operation, OrfRegion, Pool, Region, Session, configure_logging, get_session, init
+from .plans.pool import DnaPool, Operation, OrfRegion, Pool, ProteinPool, Region, Session, configure_logging, get_session, init
 from .plans.runner import generate_library
 from .plans.states import Manager, State
 from .sources.sinks import plan_tree, print_dag, print_library, print_named_colors, to_df, to_file
@@ -37,16 +37,6 @@ Party, get_active_party = Session, get_session
 StateManager = Manager
 
 
-class _OfKind(type):
-    """Classes whose instances are the pools of one kind of sequences."""
-
-    def __instancecheck__(cls, x: object) -> bool:
-        return isinstance(x, Pool) and x.kind == cls.kind
-
-
-DnaPool, ProteinPool = _OfKind("DnaPool", (), {"kind": "dna"}), _OfKind("ProteinPool", (), {"kind": "protein"})
-
-
 class _OfFactory(type):
     """Classes whose instances are the operations that one factory makes."""
 

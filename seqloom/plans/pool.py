@@ -418,10 +418,13 @@ def numbered(prefix: str, value: Column, most: int) -> Column:
 
 
 class Pool:
-    """A lazy table of sequences: an operation with its index state."""
+    """A lazy table of sequences: an operation with its index state. A pool is a DnaPool or a ProteinPool, by its kind."""
 
     kind = "dna"
 
+    def __new__(cls, *args, kind: str = "dna", **options) -> Pool:
+        return super().__new__({"dna": DnaPool, "protein": ProteinPool}[kind] if cls is Pool else cls)
+
     def __init__(self, operation: Operation, seq_length: int | None = None, name: str | None = None, state: st.State | None = None, regions: Sequence[str] = (), kind: str = "dna", template: str | None = None):
         self.session = operation.session
         self.id = len(self.session.pools)
@@ -501,7 +504,7 @@ class Pool:
         return self.state_slice(key)
 
     def __repr__(self) -> str:
-        return f"Pool(id={self.id}, name={self.name!r}, op={self.operation.name!r}, num_states={self.num_states})"
+        return f"{type(self).__name__}(id={self.id}, name={self.name!r}, op={self.operation.name!r}, num_states={self.num_states})"
 
     def copy(self, name: str | None = None) -> Pool:
         """The same operation again on the same parents, with a new id (and so new random draws)."""
@@ -529,11 +532,19 @@ class Pool:
         op.name = self.session.claim("op", f"op[{op.id}]:{op.factory}")
         op.state = st.State(old.state.num_values, f"{op.name}.state", old.state.iter_order)
         state = old.clone_state(op, self) if hasattr(old, "clone_state") else op.make_state()
-        out = Pool(op, self.seq_length, name, state, self.regions, self.kind, self.template)
+        out = Pool(op, self.seq_length, name, state, self.regions, kind=self.kind, template=self.template)
         out.plain = self.plain
         return out
 
 
+class DnaPool(Pool):
+    kind = "dna"
+
+
+class ProteinPool(Pool):
+    kind = "protein"
+
+
 def as_pool(x: Pool | str) -> Pool:
     """A string stands for a pool of that one sequence."""
     if isinstance(x, Pool):
