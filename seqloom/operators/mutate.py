@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 from math import comb, prod
 
@@ -24,12 +24,14 @@ def _below(limit: Column):
     return lambda c: c < limit
 
 
-def unranked(rank: Column, n: int, k: int) -> list[Column]:
-    """The rank-th of the k-subsets of range(n) in lexicographic order, in closed form.
+def unranked(rank: Column, n: int, k: int, keep: Callable[[str, Column], Column] | None = None) -> list[Column]:
+    """The rank-th of the k-subsets of range(n) in lexicographic order, in closed form. ``keep`` makes a column of an intermediate
+    value, so that the expression grows with k and not with a power of it.
 
     With r elements to choose from position p on there are C(n - p, r) subsets, so the next element is n - x for the
     least x with C(x, r) >= what is left.
     """
+    keep = keep or (lambda name, value: value)
     out: list[Column] = []
     left: Column = F.lit(comb(n, k)).cast("long") - rank  # subsets from this one on
     for r in range(k, 0, -1):
@@ -41,9 +43,10 @@ def unranked(rank: Column, n: int, k: int) -> list[Column]:
             x = F.when(x * (x - 1) / 2 < left, x + 1).when((x - 1) * (x - 2) / 2 >= left, x - 1).otherwise(x)
         else:
             x = F.size(F.filter(table, _below(left)))
+        x = keep(f"x{r}", x)
         out.append((F.lit(n) - x).cast("int"))
         # those that begin with later elements are C(x - 1, r); the rest begin with this one
-        left = left - F.element_at(table, x)
+        left = keep(f"left{r}", left - F.element_at(table, x)) if r > 1 else left
     return out
 
 
@@ -96,7 +99,7 @@ def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None,
         seq = args[0]
         v = s % natural
         if masks is None:
-            positions = unranked(div(v, 3**k), n, k)
+            positions = unranked(div(v, 3**k), n, k, run.keeper() if k > 2 else None)
             alternatives = digits(v % 3**k, 3, k)
         else:
             ends, at = [], 0
@@ -112,9 +115,17 @@ def mutagenize(pool: Pool | str, region=None, num_mutations: int | None = None,
                 positions.append(chosen[j])
                 alternatives.append(left % sizes[j])
                 left = F.call_function("div", left, sizes[j].cast("long"))
-        places = None if plain else run.add(f"_m{op.id}", molecular_positions(seq))
+        places = None if plain else run.add(f"_m{run.op.id}", molecular_positions(seq))
         out, wts, muts = seq, [], []
         allowed = F.array(*map(F.lit, masks)) if masks else None
+        if k > 2:  # as arrays
+            picked, picks = (run.add(f"_{x}{run.op.id}", F.array(*y)) for x, y in (("p", positions), ("d", alternatives)))
+            spots = picked if plain else run.add(f"_y{run.op.id}", F.transform(picked, lambda p: F.get(places, p)))
+            old = run.add(f"_w{run.op.id}", F.transform(spots, lambda p: seq.substr(p + 1, F.lit(1))))
+            rest = lambda p, wt: F.replace(F.element_at(allowed, p + 1) if masks else F.lit("ACGT"), F.upper(wt), F.lit(""))
+            cased = lambda wt, c: F.when(wt == F.lower(wt), F.lower(c)).otherwise(c)
+            new = run.add(f"_x{run.op.id}", F.transform(picked, lambda p, j: cased(F.get(old, j), rest(p, F.get(old, j)).substr((F.get(picks, j) + 1).cast("int"), F.lit(1)))))
+            return replaced(seq, spots, new), {"positions": picked, "wt_chars": old, "mut_chars": new}
         for p, d in zip(positions, alternatives):
             place = (p if plain else F.get(places, p)) + 1
             wt = seq.substr(place, F.lit(1))
@@ -227,30 +238,32 @@ def recombine(pool: Pool | str | None = None, region=None, sources: Sequence[Poo
         whole = F.when(sum((F.when(a.isNull(), 1).otherwise(0) for a in args[-n:]), F.lit(0)) == 0, F.concat(*segments(args, breaks, owners)))
         return whole, {"breakpoints": F.array(*breaks), "pool_assignments": F.array(*owners)}
 
-    def plan(s):
-        """Breakpoints and owners of a state."""
+    def plan(run, s):
+        """Breakpoints and owners of a state, as columns."""
         if mode == "fixed":
             return [F.lit(p) for p in sorted(at[:k])], [F.lit(i % 2) for i in range(k + 1)]
         v = s % natural
         inner = n * (n - 1) ** k
-        ranks = unranked(div(v, inner), len(at), k)
-        breaks = [lookup(at, r.cast("long")) for r in ranks]
+        keep = run.keeper()
+        ranks = unranked(div(v, inner), len(at), k, keep)
+        breaks = [keep(f"b{j}", lookup(at, r.cast("long"))) for j, r in enumerate(ranks)]
         if at != sorted(at):
             ordered = F.array_sort(F.array(*breaks))
             breaks = [ordered[i] for i in range(k)]
         rest = v % inner
-        owners = [div(rest, (n - 1) ** k).cast("int")]
+        owners = [keep("o0", div(rest, (n - 1) ** k).cast("int"))]
         for d in digits(rest % (n - 1) ** k, n - 1, k):  # the d-th of the sources other than the one before
-            owners.append((d + F.when(d >= owners[-1], 1).otherwise(0)).cast("int"))
+            owners.append(keep(f"o{len(owners)}", (d + F.when(d >= owners[-1], 1).otherwise(0)).cast("int")))
         return breaks, owners
 
     def build(run, args, s):
-        return assembled(args, *plan(s))
+        run.plans[run.op] = plan(run, s)
+        return assembled(args, *run.plans[run.op])
 
     def chosen(run, state):
         if mode == "random":
             return [F.col(f"_p{run.op.id}")[j] for j in range(k)], [F.col(f"_o{run.op.id}x{j}") for j in range(k + 1)]
-        return plan(state)
+        return run.plans[run.op]
 
     def follow(run, masks, seqs, out, state):
         return F.concat(*segments(masks, *chosen(run, state)))

@@ -96,62 +96,54 @@ def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = No
     plain = pool.plain and region is None
     natural = comb(len(eligible), k) * alts**k if mode == "sequential" else None
 
+    # alternatives of all codons one after the other, each in ``width`` places, and how many each has
+    own = [table.get_mutations(c, mutation_type) for c in table.all_codons]
+    width = max(map(len, own))
+    known = ",".join(table.all_codons)
+    written = "".join("".join(x).ljust(3 * width) for x in own)
+    sizes, residues = "".join(chr(48 + len(x)) for x in own), "".join(table.codon_to_aa.get(c, "?") for c in table.all_codons)
+
+    def substituted(run, seq, picked, pick):
+        """The codons at these places changed; ``pick(n, codon place, j)`` says which of n alternatives the j-th one gets."""
+        i = run.op.id
+        places = None if plain else run.add(f"_m{i}", molecular_positions(seq))
+        count = F.length(seq) if plain else F.size(places)
+        first = (lambda c: count - skip - (c + 1) * 3) if reverse else (lambda c: c * 3 + skip)
+        place = (lambda p: p) if plain else (lambda p: F.get(places, p))
+        turned = reverse_complement_column if reverse else (lambda x: x)
+        wts = run.add(f"_w{i}", F.transform(picked, lambda c: turned(F.upper(F.concat(*[seq.substr(place(first(c) + j) + 1, F.lit(1)) for j in range(3)])))))
+        spot = run.add(f"_s_{i}", F.transform(wts, lambda c: F.instr(F.lit(known), c)))  # 4 for each codon before, and 1; 0: unknown
+        index = lambda at: F.call_function("div", at, F.lit(4)).cast("int")
+        many = lambda at: F.when(at > 0, F.ascii(F.lit(sizes).substr(index(at) + 1, F.lit(1))) - 48).otherwise(0)
+        choices = run.add(f"_n{i}", F.transform(spot, lambda at, j: F.struct(index(at).alias("codon"), many(at).alias("n"), pick(many(at), F.get(picked, j), j).cast("int").alias("d"))))
+        mut = lambda x, wt: F.when(x["n"] == 0, wt).when(x["d"] < x["n"], F.lit(written).substr((x["codon"] * width + x["d"]) * 3 + 1, F.lit(3)))
+        muts = run.add(f"_x{i}", F.zip_with(choices, wts, mut))
+        placed = F.array_sort(F.zip_with(picked, muts, lambda c, m: F.struct(first(c).cast("int").alias("at"), turned(m).alias("letters"))))
+        placed = run.add(f"_o{i}", placed)
+        spots = run.add(f"_y{i}", F.flatten(F.transform(placed, lambda x: F.array(*[place(x["at"] + j) for j in range(3)]))))
+        letters = run.add(f"_l{i}", F.split(F.array_join(F.transform(placed, lambda x: x["letters"]), ""), ""))
+        aas = lambda x: F.transform(x, lambda c: F.when(F.instr(F.lit(known), c) > 0, F.lit(residues).substr(index(F.instr(F.lit(known), c)) + 1, F.lit(1))).otherwise("?"))
+        out = F.when(~F.exists(muts, lambda m: m.isNull()), replaced(seq, spots, letters))
+        return out, dict(zip(run.op.cards, (picked, wts, muts, aas(wts), aas(muts))))
+
     def build(run, args, s):
-        seq = args[0]
         v = s % natural
-        ranks = unranked(div(v, alts**k), len(eligible), k)
-        picks = digits(v % alts**k, alts, k)
-        places = None if plain else run.add(f"_m{op.id}", molecular_positions(seq))
-        options = F.create_map(*[x for c in table.all_codons for x in (F.lit(c), F.array(*map(F.lit, table.get_mutations(c, mutation_type))).cast("array<string>"))])
-        names = F.create_map(*[F.lit(x) for c, a in table.codon_to_aa.items() for x in (c, a)])
+        ranks = unranked(div(v, alts**k), len(eligible), k, run.keeper() if k > 1 else None)
         where = F.array(*map(F.lit, eligible))
-        out, cards, every = seq, {x: [] for x in op.cards}, []
-        for r, d in zip(ranks, picks):
-            c = F.element_at(where, r + 1)
-            first = F.lit(length - skip) - (c + 1) * 3 if reverse else c * 3 + skip
-            spots = [((first + j).cast("int") if plain else F.get(places, (first + j).cast("int"))) + 1 for j in range(3)]
-            every += spots
-            read = F.upper(F.concat(*[seq.substr(p, F.lit(1)) for p in spots]))
-            wt = reverse_complement_column(read) if reverse else read
-            own = options[wt]
-            mut = F.when(F.size(own) > 0, F.get(own, d.cast("int"))).otherwise(wt)
-            written = reverse_complement_column(mut) if reverse else mut
-            for j, p in enumerate(spots):
-                out = F.overlay(out, written.substr(F.lit(j + 1), F.lit(1)), p, F.lit(1))
-            for key, x in zip(op.cards, (c, wt, mut, F.coalesce(names[wt], F.lit("?")), F.coalesce(names[mut], F.lit("?")))):
-                cards[key].append(x)
-        if run.styled:
-            run.add(f"_z{run.op.id}", F.array(*[p - 1 for p in every]))
-        return out, {key: F.array(*x) for key, x in cards.items()}
+        picked = run.add(f"_p{run.op.id}", F.array(*[F.element_at(where, r + 1) for r in ranks]))
+        picks = run.add(f"_d{run.op.id}", F.array(*digits(v % alts**k, alts, k)))
+        return substituted(run, args[0], picked, lambda n, c, j: F.get(picks, j))
 
     def sample(run, args, draws):
-        seq, i = args[0], run.op.id
-        places = None if plain else run.add(f"_m{i}", molecular_positions(seq))
-        options = F.create_map(*[x for c in table.all_codons for x in (F.lit(c), F.array(*map(F.lit, table.get_mutations(c, mutation_type))).cast("array<string>"))])
-        names = F.create_map(*[F.lit(x) for c, a in table.codon_to_aa.items() for x in (c, a)])
         usable = F.array(*map(F.lit, eligible))
         picked = draws.chosen(usable, k, 0) if k is not None else F.filter(usable, lambda c: draws.happens(mutation_rate, 0, c))
-        picked = run.add(f"_p{i}", picked.cast("array<int>"))
-        count = F.length(seq) if plain else F.size(places)
-        first = (lambda c: count - skip - (c + 1) * 3) if reverse else (lambda c: c * 3 + skip)
-        base = lambda p: seq.substr((p if plain else F.get(places, p)) + 1, F.lit(1))
-        turned = reverse_complement_column if reverse else (lambda x: x)
-        wts = run.add(f"_w{i}", F.transform(picked, lambda c: turned(F.upper(F.concat(*[base(first(c) + j) for j in range(3)])))))
-        own = lambda wt: F.coalesce(options[wt], F.array().cast("array<string>"))
-        muts = run.add(f"_x{i}", F.zip_with(wts, picked, lambda wt, c: F.when(F.size(own(wt)) > 0, F.get(own(wt), draws.below(F.greatest(F.size(own(wt)), F.lit(1)), 1, c))).otherwise(wt)))
-        ahead = F.reverse if reverse else (lambda x: x)  # in order of place
-        place = (lambda p: p) if plain else (lambda p: F.get(places, p))
-        spots = run.add(f"_y{i}", F.flatten(F.transform(ahead(picked), lambda c: F.array(*[place(first(c) + j) for j in range(3)]))))
-        letters = run.add(f"_l{i}", F.split(F.array_join(F.transform(ahead(muts), turned), ""), ""))
-
-        aas = lambda x: F.transform(x, lambda c: F.coalesce(names[c], F.lit("?")))
-        return replaced(seq, spots, letters), dict(zip(op.cards, (picked, wts, muts, aas(wts), aas(muts))))
+        picked = run.add(f"_p{run.op.id}", picked.cast("array<int>"))
+        return substituted(run, args[0], picked, lambda n, c, j: draws.below(F.greatest(n, F.lit(1)), 1, c))
 
     cards = {"codon_positions": "array<int>", "wt_codons": "array<string>", "mut_codons": "array<string>", "wt_aas": "array<string>", "mut_aas": "array<string>"}
     op = Operation([pool], factory="mutagenize_orf", mode=mode, num_states=natural if mode == "sequential" else num_states, natural=natural, prefix=prefix, iter_order=iter_order, region=region, build=build, sample=sample, cards=cards)
     op.style = style
-    spots_of = lambda run: F.col(f"_{'y' if mode == 'random' else 'z'}{run.op.id}")
-    op.paint = (lambda run, seqs, out, state: [(style, styles.at(spots_of(run), F.length(out)))]) if style else None
+    op.paint = (lambda run, seqs, out, state: [(style, styles.at(F.col(f"_y{run.op.id}"), F.length(out)))]) if style else None
     return make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
 
 

@@ -64,6 +64,8 @@ class Run:
         self.df = self.df.select("_row", *more, *[c.cast(st.kind_of(s.num_values)).alias(f"_s{s.id}") for s, c in found.items() if s in wanted])
         self.known = {s for s in found if s in wanted}
         self.cards: dict[Operation, list[str]] = {}
+        #: what an operation has worked out for its sequences and needs again for their styles
+        self.plans: dict[Operation, tuple] = {}
         #: what stands before, in and after a tag that an operation has just put in
         self.pieces: dict[tuple[Operation, str], tuple[Column, Column, Column]] = {}
         for op in self.ops:
@@ -88,6 +90,11 @@ class Run:
         self.df = self.df.withColumn(name, column)
         return F.col(name)
 
+    def keeper(self):
+        """For the present operation: keep(name, column) adds a column of its own and gives it back."""
+        op = self.op
+        return lambda name, value: self.add(f"_k{op.id}.{name}".replace(".", "_"), value)
+
     def state(self, s: st.State) -> Column:
         return F.col(f"_s{s.id}") if s in self.known else F.lit(None).cast("long")
 
