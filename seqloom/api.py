@@ -46,7 +46,7 @@ class _OfFactory(type):
 
 _factories = {
     "AddPrefixOp": "add_prefix", "FixedOp": "fixed", "FromSeqsOp": "from_seqs", "FromIupacOp": "from_iupac", "FromMotifOp": "from_motif", "GetKmersOp": "get_kmers",
-    "MaterializeOp": "materialize", "MutagenizeOp": "mutagenize", "MutagenizeOrfOp": "mutagenize_orf", "StylizeOrfOp": "stylize_orf", "TranslateOp": "translate",
+    "MaterializeOp": "materialize", "MutagenizeOp": "mutagenize", "MutagenizeOrfOp": "mutagenize_orf", "StylizeOrfOp": "stylize_orf", "TranslateOp": "translate", "ReverseTranslateOp": "reverse_translate",
     "RecombineOp": "recombine", "SeqShuffleOp": "shuffle_seq", "FilterOp": "filter", "StylizeOp": "stylize", "StackOp": "stack", "RepeatOp": "repeat",
     "StateSliceOp": "state_slice", "StateShuffleOp": "state_shuffle", "SampleOp": "sample",
 }
@@ -61,7 +61,8 @@ def load_config(path: str) -> None:
     get_session().load_config(path)
 
 
-load_defaults = load_config
+def load_defaults(path: str) -> None:
+    get_session().load_defaults(path)
 
 
 def set_default(key: str, value: object) -> None:

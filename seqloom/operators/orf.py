@@ -38,7 +38,11 @@ def annotate_orf(pool: Pool | str, name: str, extent: Sequence[int] | None = Non
         extent = extent or (0, pool.seq_length)
         validate_orf_extent(extent, pool.seq_length)
         out, last = insert_tags(pool, name, *extent, iter_order=iter_order, prefix=prefix), {}
-    pool.session.upgrade_to_orf_region(name, frame)
+    known = pool.session.get_region(name)
+    if not isinstance(known, OrfRegion):
+        pool.session.upgrade_to_orf_region(name, frame)
+    elif known.frame != frame:
+        raise ValueError(f"region {name!r} has frame {known.frame}, which cannot change")
     if style:
         return stylize(out, region=name, style=style, **last)
     if style_codons or style_frames:
@@ -53,13 +57,14 @@ def stylize_orf(pool: Pool | str, region=None, style_codons: Sequence[str] | Non
     if not (style_codons or style_frames) or (style_frames and len(style_frames) % 3):
         raise ValueError("style_codons must not be empty, and style_frames are so many times three")
     out = stylize(pool, region=region, style=(style_codons or style_frames)[0], iter_order=iter_order, prefix=prefix, name=name)
-    op, frame = out.operation, frame or _frame(out, region)
+    op, frame = out.operation, _frame(out, region, frame)
     op.factory = "stylize_orf"
     op.paint = lambda run, seqs, seq, state: styles.framed(seq, region, lambda r: run.parts(op.parents[0], seq, r), molecular_positions, style_codons, style_frames, frame)
     return out
 
 
 def _frame(pool: Pool, region, frame: int | None = None) -> int:
+    """The frame given, else that of the region, else 1 (for plain regions too)."""
     if frame is None:
         known = pool.session.regions.get(region) if isinstance(region, str) else None
         frame = known.frame if isinstance(known, OrfRegion) else 1

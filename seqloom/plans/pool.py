@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import copy
 import logging
 import re
+import tomllib
 from collections.abc import Callable, Sequence
 from contextvars import ContextVar
 
@@ -16,7 +18,7 @@ from ..functions.codons import CodonTable
 from ..functions.dna import VALID_CHARS, let, strip_tags
 from . import states as st
 from . import styles
-from .tags import find_all_regions, tagged, validate_single_region
+from .tags import find_all_regions, get_nontag_positions, tagged, validate_single_region
 
 #: Most states that one sequential operation may have.
 MAX_STATES = 1_000_000
@@ -32,6 +34,14 @@ class Region:
             raise ValueError("a region's length is not negative")
         self.name, self.seq_length = name, seq_length
 
+    @property
+    def is_variable_length(self) -> bool:
+        return self.seq_length is None
+
+    @property
+    def is_zero_length(self) -> bool:
+        return self.seq_length == 0
+
     def __eq__(self, other: object) -> bool:
         return isinstance(other, Region) and self.name == other.name
 
@@ -60,8 +70,6 @@ class Config:
         self.cards: dict[str, dict[str, bool]] = {}
 
     def load(self, path: str) -> None:
-        import tomllib
-
         with open(path, "rb") as f:
             data = tomllib.load(f)
         general, shown = data.get("general", {}), data.get("columns", {})
@@ -77,18 +85,27 @@ _active: ContextVar[Session | None] = ContextVar("session", default=None)
 
 
 class Session:
-    """Identifiers, names, regions, genetic code and configuration of the plans built while it is active."""
+    """Identifiers, names, regions, outputs, genetic code and configuration of the plans built while it is active.
+
+    Pools and operations are found by id or by name; the two kinds may share a name, within a kind names are unique. Regions
+    keep their id when they become reading frames. Unknown pools and operations raise IndexError (id) or KeyError (name),
+    unknown regions ValueError.
+    """
 
     def __init__(self, genetic_code: str | dict = "standard"):
-        self.ops: list[Operation] = []
-        self.pools: list[Pool] = []
-        self.names: dict[str, set[str]] = {"pool": set(), "op": set()}
-        self.regions: dict[str, Region] = {}
         self.codon_table = CodonTable(genetic_code)
         self.config = Config()
         self.manager = st.Manager()
         self.defaults: dict[str, object] = {}
         self._tokens = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ops: list[Operation] = []
+        self.pools: list[Pool] = []
+        self.names: dict[str, dict[str, Operation | Pool]] = {"pool": {}, "op": {}}
+        self.regions: dict[str, Region] = {}
+        self.outputs: dict[str, Pool] = {}
 
     def __enter__(self) -> Session:
         self._tokens.append(_active.set(self))
@@ -99,13 +116,46 @@ class Session:
         self.manager.__exit__()
         _active.reset(self._tokens.pop())
 
-    def claim(self, kind: str, name: str, old: str | None = None) -> str:
-        if name in self.names[kind] and name != old:
+    def __repr__(self) -> str:
+        return f"Session(outputs={list(self.outputs)})"
+
+    def claim(self, kind: str, name: str, owner: Operation | Pool, old: str | None = None) -> str:
+        """Give the owner this name in place of its old one."""
+        known = self.names[kind]
+        if known.get(name, owner) is not owner:
             raise ValueError(f"a {kind} named {name!r} exists")
-        self.names[kind].discard(old)
-        self.names[kind].add(name)
+        known.pop(old, None)
+        known[name] = owner
         return name
 
+    def free_name(self, kind: str, wanted: str) -> str:
+        """The name wanted, with .2, .3, ... where it is taken."""
+        return next(x for x in (wanted, *(f"{wanted}.{i}" for i in range(2, len(self.names[kind]) + 3))) if x not in self.names[kind])
+
+    @property
+    def state_manager(self) -> st.Manager:
+        return self.manager
+
+    @property
+    def suppress_styles(self) -> bool:
+        return self.config.suppress_styles
+
+    @property
+    def suppress_cards(self) -> bool:
+        return self.config.suppress_cards
+
+    def get_pool_by_id(self, number: int) -> Pool:
+        return self.pools[number]
+
+    def get_pool_by_name(self, name: str) -> Pool:
+        return self.names["pool"][name]
+
+    def get_op_by_id(self, number: int) -> Operation:
+        return self.ops[number]
+
+    def get_op_by_name(self, name: str) -> Operation:
+        return self.names["op"][name]
+
     def register_region(self, name: str, seq_length: int | None = None) -> Region:
         old = self.regions.get(name)
         if old is None:
@@ -114,28 +164,44 @@ class Session:
             raise ValueError(f"region {name!r} has length {old.seq_length}, not {seq_length}")
         return old
 
-    def register_orf_region(self, name: str, seq_length: int | None, frame: int) -> OrfRegion:
-        old = self.regions.get(name)
-        if isinstance(old, OrfRegion) and old.frame != frame:
-            raise ValueError(f"region {name!r} has frame {old.frame}, which cannot change")
-        if old is not None and seq_length is not None and old.seq_length not in (None, seq_length):
-            raise ValueError(f"region {name!r} has length {old.seq_length}, not {seq_length}")
-        self.regions[name] = OrfRegion(name, seq_length if old is None else old.seq_length, frame)
-        return self.regions[name]
+    def register_orf_region(self, name: str, seq_length: int | None, frame: int = 1) -> OrfRegion:
+        """A new reading frame, or the one that is registered with this length and frame."""
+        old, new = self.regions.get(name), OrfRegion(name, seq_length, frame)
+        if old is None:
+            self.regions[name] = old = new
+        elif not isinstance(old, OrfRegion):
+            raise ValueError(f"region {name!r} is no reading frame; upgrade_to_orf_region makes it one")
+        elif (old.seq_length, old.frame) != (seq_length, frame):
+            raise ValueError(f"region {name!r} has length {old.seq_length} and frame {old.frame}, not {seq_length} and {frame}")
+        return old
 
-    def upgrade_to_orf_region(self, name: str, frame: int) -> OrfRegion:
-        if name not in self.regions:
-            raise ValueError(f"no region {name!r}")
-        return self.register_orf_region(name, self.regions[name].seq_length, frame)
+    def upgrade_to_orf_region(self, name: str, frame: int = 1) -> OrfRegion:
+        """Make a plain region a reading frame; a frame once given does not change."""
+        old = self.get_region(name)
+        if isinstance(old, OrfRegion):
+            raise ValueError(f"region {name!r} has frame {old.frame}, which cannot change")
+        self.regions[name] = new = OrfRegion(name, old.seq_length, frame)
+        return new
 
     def get_region(self, name: str) -> Region:
         if name not in self.regions:
-            raise ValueError(f"no region {name!r}")
+            raise ValueError(f"no region {name!r}, only {list(self.regions)}")
         return self.regions[name]
 
+    get_region_by_name = get_region
+
+    def get_region_by_id(self, number: int) -> Region:
+        if not 0 <= number < len(self.regions):
+            raise ValueError(f"no region {number} among {len(self.regions)}")
+        return list(self.regions.values())[number]
+
     def has_region(self, name: str) -> bool:
         return name in self.regions
 
+    def output(self, pool: Pool, name: str | None = None) -> None:
+        """Mark a pool as an output, under its own or another name."""
+        self.outputs[name or pool.name] = pool
+
     def print_graph(self, style: str = "clean") -> None:
         """The plans of all pools that no other pool uses."""
         from ..sources.sinks import plan_tree
@@ -146,18 +212,44 @@ class Session:
                 print(plan_tree(p, style))
 
     def clear_pools(self) -> None:
-        self.__init__()
+        """Forget pools, operations, regions, outputs and states; genetic code, configuration and defaults stay."""
+        self._forget()
+        self.manager.states.clear()
+
+    def set_genetic_code(self, genetic_code: str | dict) -> None:
+        """The code of operations made from now on."""
+        self.codon_table = CodonTable(genetic_code)
 
     def load_config(self, path: str) -> None:
+        """Read the configuration from a TOML file; what the file leaves out is as in a new session."""
+        self.config = Config()
         self.config.load(path)
 
-    load_defaults = load_config
-
     def set_default(self, key: str, value: object) -> None:
         self.defaults[key] = value
         if key == "iter_order":
             self.manager.order = value
 
+    def get_default(self, key: str, fallback: object = None) -> object:
+        return self.defaults.get(key, fallback)
+
+    def load_defaults(self, path: str) -> None:
+        """Read defaults from a TOML file."""
+        with open(path, "rb") as f:
+            for key, value in tomllib.load(f).items():
+                self.set_default(key, value)
+
+    def get_length_without_tags(self, seq: str) -> int:
+        return len(strip_tags(seq))
+
+    def get_molecular_positions(self, seq: str) -> list[int]:
+        """Where the bases are, tags left out."""
+        return [i for i in get_nontag_positions(seq) if seq[i] in VALID_CHARS]
+
+    def get_effective_seq_length(self, seq: str) -> int:
+        """How many bases, without gaps and tags."""
+        return len(self.get_molecular_positions(seq))
+
 
 def get_session() -> Session:
     found = _active.get()
@@ -297,9 +389,59 @@ class Operation:
         self.mode, self.num_states, self.natural = mode, num_states, natural or num_states or 1
         self.region, self.remove_tags, self.prefix = region, remove_tags, prefix
         self._build, self._sample, self._draw, self.cards, self._name_parts = build, sample, draw, cards or {}, name_parts
-        self.name = self.session.claim("op", name or f"op[{self.id}]:{self.factory}")
+        self._name = self.session.claim("op", name or f"op[{self.id}]:{self.factory}", self)
         self.state = st.State(num_states or 1, f"{self.name}.state", iter_order)
 
+    @property
+    def name(self) -> str:
+        return self._name
+
+    @name.setter
+    def name(self, new: str) -> None:
+        self._name = self.session.claim("op", new, self, self._name)
+        self.state.name = f"{new}.state"
+
+    @property
+    def parent_pools(self) -> list[Pool]:
+        return self.parents
+
+    @property
+    def natural_num_states(self) -> int:
+        """How many states there are without ``num_states``."""
+        return self.natural
+
+    @property
+    def iter_order(self) -> int:
+        return self.state.iter_order
+
+    @iter_order.setter
+    def iter_order(self, new: int) -> None:
+        self.state.iter_order = new
+
+    def copy(self, name: str | None = None) -> Operation:
+        """The same operation on the same parents, with an id (and so random draws) and a state of its own."""
+        return self._copied(self.parents, name)
+
+    def deepcopy(self, name: str | None = None) -> Operation:
+        """The same operation on copies of all it is made from; what it is made from twice is copied once."""
+        done: dict[Pool, Pool] = {}
+        return self._copied([p._deep(done) for p in self.parents], name)
+
+    def _copied(self, parents: Sequence[Pool], name: str | None) -> Operation:
+        new = copy.copy(self)
+        new.id = len(self.session.ops)
+        self.session.ops.append(new)
+        new.parents = list(parents)
+        new._name = self.session.claim("op", name or self.session.free_name("op", f"{self.name}.copy"), new)
+        new.state = st.State(self.state.num_values, f"{new.name}.state", self.state.iter_order)
+        return new
+
+    def print_dag(self, style: str = "clean") -> None:
+        """The tree of this operation and what it is made from."""
+        from ..sources.sinks import operation_tree
+
+        print(operation_tree(self, style))
+
     @property
     def from_state(self) -> bool:
         return self.mode != "random" or (self.num_states or 1) > 1
@@ -431,7 +573,7 @@ class Pool:
         self.session.pools.append(self)
         self.operation = operation
         self.state = state or operation.make_state()
-        self._name = self.session.claim("pool", name or f"pool[{self.id}]")
+        self._name = self.session.claim("pool", name or f"pool[{self.id}]", self)
         self.state.name = f"{self._name}.state"
         self.seq_length, self.regions, self.kind, self.template = seq_length, dict.fromkeys(regions), kind, template
         #: whether the sequences are known to be of A, C, G and T alone
@@ -444,11 +586,13 @@ class Pool:
 
     @name.setter
     def name(self, new: str) -> None:
-        self._name = self.session.claim("pool", new, self._name)
+        self._name = self.session.claim("pool", new, self, self._name)
         self.state.name = f"{new}.state"
 
-    def named(self, name: str) -> Pool:
+    def named(self, name: str, op_name: str | None = None) -> Pool:
         self.name = name
+        if op_name is not None:
+            self.operation.name = op_name
         return self
 
     @property
@@ -461,7 +605,11 @@ class Pool:
 
     @property
     def iter_order(self) -> int:
-        return self.state.iter_order
+        return 0 if self.num_states == 1 else self.state.iter_order
+
+    @iter_order.setter
+    def iter_order(self, new: int) -> None:
+        self.state.iter_order = new
 
     def has_region(self, name: str) -> bool:
         return name in self.regions
@@ -511,28 +659,19 @@ class Pool:
         return self._clone(self.parents, name)
 
     def deepcopy(self, name: str | None = None) -> Pool:
-        done: dict[Pool, Pool] = {}
-
-        def clone(p: Pool) -> Pool:
-            if p not in done:
-                done[p] = p._clone([clone(q) for q in p.parents], None)
-            return done[p]
-
-        out = clone(self)
+        """A pool that shares nothing with this one; what this one is made from twice is copied once."""
+        out = self._deep({})
         return out.named(name) if name else out
 
+    def _deep(self, done: dict[Pool, Pool]) -> Pool:
+        if self not in done:
+            done[self] = self._clone([p._deep(done) for p in self.parents], None)
+        return done[self]
+
     def _clone(self, parents: Sequence[Pool], name: str | None) -> Pool:
-        import copy
-
-        old = self.operation
-        op = copy.copy(old)
-        op.id = len(self.session.ops)
-        self.session.ops.append(op)
-        op.parents = list(parents)
-        op.name = self.session.claim("op", f"op[{op.id}]:{op.factory}")
-        op.state = st.State(old.state.num_values, f"{op.name}.state", old.state.iter_order)
+        old, op = self.operation, self.operation._copied(parents, None)
         state = old.clone_state(op, self) if hasattr(old, "clone_state") else op.make_state()
-        out = Pool(op, self.seq_length, name, state, self.regions, kind=self.kind, template=self.template)
+        out = Pool(op, self.seq_length, name or self.session.free_name("pool", f"{self.name}.copy"), state, self.regions, kind=self.kind, template=self.template)
         out.plain = self.plain
         return out
 

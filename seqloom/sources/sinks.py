@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.colors import CSS_COLORS
-from ..plans.pool import Pool
+from ..plans.pool import Operation, Pool
 from ..plans.runner import generate_library, sorted_operations, stripped
 from ..plans.states import State
 
@@ -194,21 +194,35 @@ def print_library(
     return pool
 
 
-def plan_tree(pool: Pool, style: str = "clean") -> str:
-    """The plan as an indented tree of pools and operations."""
+def plan_tree(pool: Pool, style: str = "clean", show_pools: bool = True) -> str:
+    """The plan as an indented tree of pools and the operations that made them, or of operations alone."""
+    return _tree(pool.operation, style, pool if show_pools else None)
+
+
+def operation_tree(operation: Operation, style: str = "clean") -> str:
+    """The tree of an operation that need not be that of a pool."""
+    return _tree(operation, style, None, pools_below=True)
+
+
+def _tree(operation: Operation, style: str, pool: Pool | None, pools_below: bool | None = None) -> str:
     if style not in ("clean", "minimal", "repr"):
         raise ValueError(f"unknown style {style!r}")
+    with_pools = pool is not None if pools_below is None else pools_below
     lines = []
 
-    def visit(p: Pool, lead: str, last: bool, top: bool) -> None:
-        op = p.operation
-        label = {"clean": f"{p.name} [n={p.num_states}] <- {op.name} [{op.mode}, n={op.state.num_values}]", "minimal": p.name, "repr": f"{p!r} <- {op!r}"}[style]
-        lines.append(label if top else f"{lead}{'└── ' if last else '├── '}{label}")
+    def label(op: Operation, p: Pool | None) -> str:
+        made = {"clean": f"{op.name} [{op.mode}, n={op.state.num_values}]", "minimal": op.name, "repr": repr(op)}[style]
+        if p is None:
+            return made
+        return {"clean": f"{p.name} [n={p.num_states}] <- {made}", "minimal": p.name, "repr": f"{p!r} <- {made}"}[style]
+
+    def visit(op: Operation, p: Pool | None, lead: str, last: bool, top: bool) -> None:
+        lines.append(label(op, p) if top else f"{lead}{'└── ' if last else '├── '}{label(op, p)}")
         deeper = "" if top else lead + ("    " if last else "│   ")
-        for i, q in enumerate(p.parents):
-            visit(q, deeper, i == len(p.parents) - 1, False)
+        for i, q in enumerate(op.parents):
+            visit(q.operation, q if with_pools else None, deeper, i == len(op.parents) - 1, False)
 
-    visit(pool, "", True, True)
+    visit(operation, pool, "", True, True)
     return "\n".join(lines)
 
 
@@ -227,5 +241,5 @@ def state_tree(state: State, style: str = "clean") -> str:
 
 
 def print_dag(pool: Pool, style: str = "clean", show_pools: bool = True) -> Pool:
-    print(plan_tree(pool, style))
+    print(plan_tree(pool, style, show_pools))
     return pool
