@@ -6,6 +6,7 @@ column; ``values`` does the same for one index in Python. NULL (None) is an inac
 
 from __future__ import annotations
 
+import builtins
 import random
 from collections.abc import Callable, Iterator, Sequence
 from contextvars import ContextVar
@@ -108,11 +109,16 @@ class Manager:
         for s in self.states if states is None else states:
             s.reset()
 
-    def get_iteration_df(self, state: State, spark: SparkSession | None = None) -> DataFrame:
-        """One row for each index of ``state``: the values of all its ancestors, in order of creation."""
+    def get_iteration_df(self, state: State, spark: SparkSession | None = None, *, states: Sequence[State] | None = None) -> DataFrame:
+        """One row for each index of ``state``: the values of all its ancestors, in order of creation, or of ``states`` after its own.
+
+        A state that ``state`` is not made of is NULL.
+        """
         spark = spark or SparkSession.getActiveSession()
         cols = columns(state, F.col("id"))
         named = sorted(cols.items(), key=lambda x: x[0].id)
+        if states is not None:
+            named = [(s, cols.get(s, F.lit(None))) for s in dict.fromkeys([state, *states])]
         return spark.range(state.num_values).select(*[c.cast(kind_of(s.num_values)).alias(s.name) for s, c in named])
 
 
@@ -128,19 +134,25 @@ class State:
 
     def __init__(self, num_values: int | None = 1, name: str | None = None, iter_order: int | None = None, parents: Sequence[State] = (), split: Callable | None = None, split_column: Callable | None = None, kind: str = "leaf"):
         owner = manager()
-        if num_values is not None and (not isinstance(num_values, int) or num_values < 1):
+        # what is made of others may be empty, like a slice from 5 to 2
+        if num_values is not None and (not isinstance(num_values, int) or num_values < (kind == "leaf")):
             raise ValueError("num_values must be a positive integer")
         self.num_values = 1 if num_values is None else num_values
-        self.manager, self.id = owner, len(owner.states)
+        self.manager, self._id = owner, len(owner.states)
         owner.states.append(self)
         self.name = name or f"State[{self.id}]"
-        self.iter_order = 0 if iter_order is None else iter_order
         self.parents, self.split, self.split_column, self.kind = list(parents), split, split_column, kind
+        self.iter_order = min((p.iter_order for p in self.parents), default=0) if iter_order is None else iter_order
         self.group: list[State] = [self]
-        self._value: int | None = 0
+        self._value: int | None = None
+
+    @property
+    def id(self) -> int:
+        return self._id
 
     def __repr__(self) -> str:
-        return f"State(name={self.name!r}, num_values={self.num_values})"
+        op = f"op={self.kind.title()}Op, " if self.kind != "leaf" else ""
+        return f"State(name={self.name!r}, id={self.id}, {op}num_values={self.num_values}, value={self._value}, iter_order={self.iter_order})"
 
     # stepping, one value at a time
     @property
@@ -151,7 +163,10 @@ class State:
     def value(self, new: int | None) -> None:
         if new is not None and not 0 <= new < self.num_values:
             raise ValueError(f"{new} is not in [0, {self.num_values})")
-        for s, v in values(self, new).items():
+        found = values(self, new)
+        if new is not None and any(m.parents for m in self.group):
+            self.manager.clear_all_values()
+        for s, v in found.items():
             s._value = v
 
     @property
@@ -159,22 +174,27 @@ class State:
         return self._value is not None
 
     def advance(self) -> None:
-        if self._value is None:
+        """The next value, or the first after the last. What a synchronised state has counts if it is beyond this one's range."""
+        known = next((m._value for m in self.group if m._value is not None), None)
+        if known is None:
             raise RuntimeError("an inactive state cannot be advanced")
-        self.value = (self._value + 1) % self.num_values
+        self.value = (known + 1) % self.num_values
 
-    def reset(self) -> None:
-        self.value = 0
+    def reset(self, value: int = 0) -> None:
+        self.value = value
 
     def __iter__(self) -> Iterator[int]:
+        """All values in turn; in the end the first one is set again."""
         for v in range(self.num_values):
             self.value = v
             yield v
+        if self.num_values:
+            self.reset()
 
     def __len__(self) -> int:
         return self.num_values
 
-    def __getitem__(self, key: int | slice) -> State:
+    def __getitem__(self, key: int | builtins.slice) -> State:
         return slice_state(self, key)
 
     def get_ancestors(self) -> list[State]:
@@ -221,14 +241,19 @@ class State:
         sync(self, other)
 
     def copy(self, name: str | None = None) -> State:
-        return State(self.num_values, name, self.iter_order, self.parents, self.split, self.split_column, self.kind)
+        """A state of its own made of the same parents, with the present value."""
+        out = State(self.num_values, name, self.iter_order, self.parents, self.split, self.split_column, self.kind)
+        out._value = self._value
+        return out
 
     def deepcopy(self, name: str | None = None) -> State:
+        """A copy that shares no state with this one, with the present values."""
         done: dict[State, State] = {}
 
         def clone(s: State) -> State:
             if s not in done:
                 done[s] = State(s.num_values, None, s.iter_order, [clone(p) for p in s.parents], s.split, s.split_column, s.kind)
+                done[s]._value = s._value
             return done[s]
 
         out = clone(self)
@@ -299,7 +324,7 @@ def stack(states: Sequence[State], name: str | None = None, iter_order: int | No
     bounds = [(e - s.num_values, e) for e, s in zip(ends, states)]
     return _derived(
         "stack",
-        ends[-1],
+        sum(s.num_values for s in states),
         states,
         lambda v: [v - a if a <= v < b else None for a, b in bounds],
         lambda v: [F.when((v >= number(a)) & (v < number(b)), (v - number(a)).cast(kind_of(b - a))) for a, b in bounds],
@@ -308,17 +333,19 @@ def stack(states: Sequence[State], name: str | None = None, iter_order: int | No
     )
 
 
-def slice_state(state: State, key: int | slice, name: str | None = None, iter_order: int | None = None) -> State:
+def slice_state(state: State, key: int | builtins.slice, name: str | None = None, iter_order: int | None = None) -> State:
     if isinstance(key, int):
-        key = slice(key, key + 1 or None)
+        key = builtins.slice(key, key + 1 or None)
     r = range(state.num_values)[key]
     count = max(0, -((r.start - r.stop) // r.step))
-    if not count:
-        raise ValueError("the slice is empty")
     kind = kind_of(state.num_values) if state.num_values <= WIDEST else DECIMAL
     return _derived("slice", count, [state], lambda v: [r[v]], lambda v: [(v.cast(kind) * number(r.step) + number(r.start)).cast(kind)], name, iter_order)
 
 
+def slice(state: State, start: int | None = None, stop: int | None = None, step: int | None = None, name: str | None = None, iter_order: int | None = None) -> State:  # noqa: A001
+    return slice_state(state, builtins.slice(start, stop, step), name, iter_order)
+
+
 def repeat(state: State, times: int, name: str | None = None, iter_order: int | None = None) -> State:
     if times < 1:
         raise ValueError("times must be 1 or more")
@@ -391,9 +418,11 @@ def _permuted(seed: int, n: int) -> tuple[Callable[[int], int], Callable[[Column
 
 
 def shuffle(state: State, seed: int | None = None, permutation: Sequence[int] | None = None, name: str | None = None, iter_order: int | None = None) -> State:
-    """The values in another order. Up to ``COMPUTED`` values a seed gives the order of Python's generator, beyond that a
+    """The values in another order, drawn by a seed or given. Up to ``COMPUTED`` values a seed gives the order of Python's generator, beyond that a
     permutation that is computed for each index. An explicit permutation is the caller's list and becomes part of the plan."""
     n = state.num_values
+    if seed is not None and permutation is not None:
+        raise ValueError("seed and permutation exclude each other")
     if permutation is None:
         seed = random.randint(0, 2**32 - 1) if seed is None else seed
         if n > COMPUTED:
@@ -412,6 +441,8 @@ def sample(state: State, num_values: int | None = None, seed: int | None = None,
     """Values drawn at random, or an explicit list of them. Beyond ``COMPUTED`` values they are computed for each index: by a
     hash, or without replacement as the beginning of a permutation."""
     n = state.num_values
+    if (num_values is None) == (sampled_states is None):
+        raise ValueError("give num_values or sampled_states")
     if sampled_states is not None:
         if seed is not None:
             raise ValueError("seed and sampled_states exclude each other")
@@ -453,18 +484,23 @@ def interleave(states: Sequence[State], name: str | None = None, iter_order: int
 def split(state: State, parts: int | Sequence[float], names: Sequence[str] | None = None) -> list[State]:
     """Consecutive slices: so many of nearly equal size, or of given proportions (at least one value each)."""
     n = state.num_values
+    if (parts if isinstance(parts, int) else len(parts)) < 2:
+        raise ValueError("split gives 2 parts or more")
     if isinstance(parts, int):
         sizes = [n // parts + (i < n % parts) for i in range(parts)]
     else:
-        whole = sum(parts)
-        sizes = [max(1, round(n * p / whole)) for p in parts]
-        while sum(sizes) != n:  # take from or give to the largest
-            i = max(range(len(sizes)), key=lambda j: sizes[j])
-            sizes[i] += 1 if sum(sizes) < n else -1
-    if min(sizes) < 1:
+        shares = [p / sum(parts) * n for p in parts]
+        sizes = [max(1, round(x)) for x in shares]
+        # what rounding left over goes to those that lost most by it (of equals, the last), what it took too much comes from those that gained most
+        lost = sorted(range(len(sizes)), key=lambda i: (shares[i] - sizes[i], i))
+        for j in range(n - sum(sizes)):
+            sizes[lost[-1 - j % len(lost)]] += 1
+        while sum(sizes) > n >= len(sizes):
+            sizes[next(i for i in lost if sizes[i] > 1)] -= 1
+    if min(sizes) < 1 or sum(sizes) > n:
         raise ValueError("more parts than values")
     at = [sum(sizes[:i]) for i in range(len(sizes))]
-    return [slice_state(state, slice(a, a + k), names[i] if names else None) for i, (a, k) in enumerate(zip(at, sizes))]
+    return [slice_state(state, builtins.slice(a, a + k), names[i] if names else None) for i, (a, k) in enumerate(zip(at, sizes))]
 
 
 def synced_to(state: State, num_values: int | None = None, name: str | None = None) -> State:

@@ -192,3 +192,21 @@ def test_operators_of_ones_own(spark, session):
     place = next(c for c in rows.columns if c.endswith("place"))
     assert all(r["seq"][r[place]] == "acgt"[r[place]] and r["seq"].upper() == "ACGT" for _, r in rows.iterrows()) and rows[place].nunique() > 1
     assert seqs(drawn, spark, num_seqs=9, seed=1) == seqs(drawn, spark, num_seqs=9, seed=1)
+
+
+def test_empty_pools(spark, session):
+    kmers = sl.get_kmers(1, mode="sequential", prefix="k")
+    none = kmers[5:2]
+    assert none.num_states == 0 and seqs(none, spark) == []
+    assert seqs(none.mutagenize(num_mutations=1, mode="sequential", prefix="m"), spark) == []
+    assert seqs(sl.join([none, kmers]), spark) == [] and seqs(none.repeat(2), spark) == []
+    assert seqs(sl.stack([none, kmers, none]), spark) == ["A", "C", "G", "T"]
+    assert none.to_df(num_cycles=1, include_design_cards=True).count() == 0
+
+
+def test_order_of_slices_among_factors(spark, session):
+    """A slice of a pool that is to vary fastest varies fastest."""
+    fast, slow = sl.get_kmers(1, mode="sequential", iter_order=-1), sl.from_seqs(["x", "y"], mode="sequential")
+    assert seqs(sl.join([fast[1:3], slow]), spark) == ["Cx", "Gx", "Cy", "Gy"]
+    assert seqs(sl.join([sl.stack([fast[:1], fast[3:]]), slow]), spark) == ["Ax", "Tx", "Ay", "Ty"]
+    assert fast[1:3].iter_order == -1

@@ -208,3 +208,90 @@ def test_paths_that_differ_are_errors(spark):
         b = st.State(6, "b")
         agreeing = st.stack([b[:3], b[3:]], "agreeing")
         assert [r["b"] for r in m.get_iteration_df(agreeing, spark).orderBy("agreeing").collect()] == [0, 1, 2, 3, 4, 5]
+
+
+def test_order_of_what_is_made_of_others():
+    """Without an order of its own a state has the least one of its parents."""
+    a, b, c = st.State(4, "a", iter_order=-1), st.State(2, "b"), st.State(4, "c", iter_order=3)
+    made = [st.slice(a, stop=2), st.repeat(a, 2), st.shuffle(a, seed=1), st.sample(a, 2, 1), st.stack([b, a]), st.product([c, a]), st.interleave([c, a])]
+    assert [s.iter_order for s in made] == [-1] * 7 and st.slice(a, iter_order=5).iter_order == 5 and st.slice(c).iter_order == 3
+    root = st.ordered_product([st.slice(a, 1), b])
+    assert [st.values(root, v)[a] for v in range(4)] == [1, 2, 3, 1]
+
+
+def test_slices_and_empty_states(spark, manager):
+    a = st.State(8, "a")
+    assert [st.slice(a, start=3).num_values, st.slice(a, stop=3).num_values, st.slice(a, step=-3).num_values] == [5, 3, 3]
+    for empty in (a[5:2], st.slice(a, 8), st.stack([]), st.product([a[5:2], a]), st.repeat(a[5:2], 2), st.stack([a[5:2], a[6:6]])):
+        assert empty.num_values == 0 and list(empty) == [] and empty.get_iteration_df(spark).collect() == []
+    assert st.product([]).num_values == 1 and st.stack([a[5:2], a]).num_values == 8
+
+
+def test_proportional_splits():
+    def sizes(n, parts):
+        return [p.num_values for p in st.split(st.State(n), parts)]
+
+    assert sizes(10, [1.0, 1.0]) == [5, 5] and sizes(10, [1, 3]) == [2, 8]
+    assert sizes(10, [1, 1, 1, 1]) == [2, 2, 3, 3]  # 2.5 rounds to 2: the last two lost as much as the others
+    assert sizes(11, [1, 1, 1]) == [3, 4, 4] and sizes(14, [1, 1, 1, 1]) == [2, 4, 4, 4]  # too much by rounding: the first gives until one is left
+    assert sizes(3, [100, 1, 1]) == [1, 1, 1] and sizes(5, [98, 1, 1]) == [3, 1, 1]
+    for bad in (1, [1.0], 11, [1] * 11):
+        with pytest.raises(ValueError):
+            st.split(st.State(10), bad)
+
+
+def test_values_while_stepping(manager):
+    a, b = st.State(3, "a"), st.State(4, "b")
+    assert a.value is None and not a.is_active and "value=None" in repr(a)
+    c = st.product([a, b], "c")
+    assert "ProductOp" in repr(c) and "num_values=12" in repr(c)
+    assert [(v, a.value, b.value) for v in c][:4] == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 0, 1)] and c.value == 0
+    c.reset(7)
+    shared, own = c.copy(), c.deepcopy()
+    assert (shared.value, own.value, a.value) == (7, 7, 1) and shared.parents == c.parents and not set(own.parents) & {a, b}
+    own.value = 4
+    assert a.value is None and own.parents[0].value == 1  # what else the manager knows is inactive while a derived state has a value
+    shared.value = 11
+    assert (a.value, b.value) == (2, 3) and st.State(2).copy().value is None
+    with pytest.raises(AttributeError):
+        a.id = 5
+    with pytest.raises(ValueError):
+        c.reset(12)
+
+
+def test_advancing_synchronised_states(manager):
+    a = st.State(3, "a")
+    b = st.synced_to(a, 5, "b")
+    a.value = 2
+    a.advance()
+    assert (a.value, b.value) == (0, 0)
+    b.value = 4
+    assert a.value is None
+    a.advance()  # (4 + 1) modulo 3
+    assert (a.value, b.value) == (2, 2)
+    b.value = 4
+    b.advance()
+    assert (a.value, b.value) == (0, 0)
+
+
+def test_iteration_of_chosen_states(spark, manager):
+    a, b, other = st.State(2, "a"), st.State(3, "b"), st.State(3, "other")
+    c = st.stack([a, b], "c")
+    df = manager.get_iteration_df(c, states=[b, c, other], spark=spark)
+    assert df.columns == ["c", "b", "other"]
+    assert [tuple(r) for r in df.orderBy("c").collect()] == [(0, None, None), (1, None, None), (2, 0, None), (3, 1, None), (4, 2, None)]
+
+
+def test_arguments_that_exclude_each_other():
+    a = st.State(3)
+    for bad in (
+        lambda: st.shuffle(a, seed=1, permutation=[0, 1, 2]),
+        lambda: st.shuffle(a, permutation=[0, 1, 1]),
+        lambda: st.shuffle(a, permutation=[0, 1]),
+        lambda: st.sample(a),
+        lambda: st.sample(a, 2, sampled_states=[0]),
+        lambda: st.sample(a, sampled_states=[3]),
+        lambda: st.sample(a, 4, seed=1, with_replacement=False),
+    ):
+        with pytest.raises(ValueError):
+            bad()
