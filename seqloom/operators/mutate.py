@@ -173,7 +173,7 @@ def inverse(order: Column) -> Column:
     return F.transform(F.sort_array(numbered), lambda x: x.bitwiseAND(F.lit((1 << Draws.PLACE) - 1)).cast("int"))
 
 
-def shuffle_seq(pool: Pool | str, region=None, style: str | None = None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None, remove_tags: bool | None = None) -> Pool:
+def shuffle_seq(pool: Pool | str, region=None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, style: str | None = None, name: str | None = None, remove_tags: bool | None = None) -> Pool:
     """Permute the bases; gaps and tags keep their places."""
     if mode != "random":
         raise ValueError("shuffle_seq is random only")
@@ -198,7 +198,7 @@ def shuffle_seq(pool: Pool | str, region=None, style: str | None = None, prefix:
     return make(op, pool.region_length(region), name, pool.regions, kind=pool.kind)
 
 
-def recombine(pool: Pool | str | None = None, region=None, sources: Sequence[Pool | str] = (), num_breakpoints: int = 1, positions: Sequence[int] | None = None, mode: str = "random", num_states: int | None = None, prefix: str | None = None, iter_order: int | None = None, name: str | None = None, styles: Sequence[str] | None = None, style_by: str = "order", remove_tags: bool | None = None) -> Pool:
+def recombine(pool: Pool | str | None = None, region=None, sources: Sequence[Pool | str] = (), num_breakpoints: int = 1, positions: Sequence[int] | None = None, mode: str = "random", num_states: int | None = None, prefix: str | None = None, styles: Sequence[str] | None = None, style_by: str = "order", iter_order: int | None = None, name: str | None = None, remove_tags: bool | None = None) -> Pool:
     """Segments of several sources of one length, neighbours from different ones. A breakpoint i is after index i.
 
     ``styles`` cycle over the segments in order, or with ``style_by='source'`` over the sources.

@@ -73,7 +73,7 @@ def _frame(pool: Pool, region, frame: int | None = None) -> int:
     return frame
 
 
-def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = None, mutation_rate: float | None = None, mutation_type: str = "missense_only_first", codon_positions: Sequence[int] | slice | None = None, frame: int | None = None, style: str | None = None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
+def mutagenize_orf(pool: Pool | str, region=None, num_mutations: int | None = None, mutation_rate: float | None = None, mutation_type: str = "missense_only_first", codon_positions: Sequence[int] | slice | None = None, style: str | None = None, frame: int | None = None, prefix: str | None = None, mode: str = "random", num_states: int | None = None, iter_order: int | None = None, name: str | None = None) -> Pool:
     """Substitute whole codons. Frames 2 and 3 leave out the first 2 bases and the first one."""
     pool = as_pool(pool)
     if (num_mutations is None) == (mutation_rate is None):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable, Sequence
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.colors import CSS_COLORS
+from ..functions.formats import filled_in
 from ..plans.pool import Operation, Pool
 from ..plans.runner import generate_library, sorted_operations, stripped
 from ..plans.states import State
@@ -33,28 +35,21 @@ def _exported(pool: Pool, num_seqs, num_cycles, write_tags: bool, write_style: b
 
 
 def to_df(
-    pool: Pool, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, columns: list[str] | None = None, remove_tags: bool = True,
-    *, write_tags: bool | None = None, write_style: bool = False, discard_null_seqs: bool = True, include_design_cards: bool = False, chunk_size: int | None = None, show_progress: bool = False, **options,
+    pool: Pool, num_seqs: int | None = None, num_cycles: int | None = None, chunk_size: int | None = None, write_tags: bool = False, write_style: bool = False, seed: int | None = None,
+    discard_null_seqs: bool = True, include_design_cards: bool = False, columns: list[str] | None = None, show_progress: bool = False, *, remove_tags: bool = True, **options,
 ) -> DataFrame:
     """The library as a DataFrame: tags stripped unless ``write_tags``, rows without a sequence left out, columns picked.
 
     With ``num_seqs`` rows are made until there are so many sequences. ``chunk_size`` and ``show_progress`` change nothing: it is one job.
     """
-    return _exported(pool, num_seqs, num_cycles, not remove_tags if write_tags is None else write_tags, write_style, seed, discard_null_seqs, include_design_cards, columns, options)
+    return _exported(pool, num_seqs, num_cycles, write_tags or not remove_tags, write_style, seed, discard_null_seqs, include_design_cards, columns, options)
 
 
 def fasta_lines(df: DataFrame, description: str | Callable | None = None, line_width: int | None = 60) -> DataFrame:
     """One column, value: a FASTA record for each row that has a sequence."""
     head = F.concat(F.lit(">"), F.coalesce("name", F.lit("")) if "name" in df.columns else F.lit(""))
     if isinstance(description, str):
-        import string
-
-        pieces = []
-        for text, field, spec, _ in string.Formatter().parse(description):
-            pieces.append(F.lit(text))
-            if field:
-                pieces.append(F.coalesce(F.col(f"`{field}`").cast("string"), F.lit("")) if not spec else F.format_string(f"%{spec}", F.col(f"`{field}`")))
-        head = F.concat(head, F.lit(" "), *pieces)
+        head = F.concat(head, F.lit(" "), filled_in(description, df))
     elif description is not None:
 
         @F.pandas_udf("string")
@@ -79,7 +74,7 @@ def write_library(df: DataFrame, path: str, file_type: str, *, compression: str
     counted = lambda x: x.observe(seen, F.count(F.lit(1)).alias("rows"))
     if file_type in ("csv", "tsv"):
         flat = df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(("array", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes])
-        counted(flat).write.options(header=True, sep="," if file_type == "csv" else "\t", **squeeze, **options).csv(path)
+        counted(flat).write.options(**{"header": True, "sep": "," if file_type == "csv" else "\t", **squeeze, **csv_settings(options)}).csv(path)
     elif file_type == "fasta":
         counted(fasta_lines(df, description, line_width)).write.options(**squeeze).text(path)
     elif file_type == "jsonl":
@@ -90,20 +85,45 @@ def write_library(df: DataFrame, path: str, file_type: str, *, compression: str
     return seen.get["rows"]
 
 
+# What the options of other CSV writers are called here.
+CSV_NAMES = {"na_rep": "nullValue", "quotechar": "quote", "escapechar": "escape", "lineterminator": "lineSep", "date_format": "dateFormat"}
+QUOTING = {0: {}, 1: {"quoteAll": True}, 3: {"quote": ""}}
+
+
+def csv_settings(given: dict) -> dict:
+    """Options of Spark's CSV writer. Names that other writers use (``na_rep``, ``quotechar``, ``quoting``, ...) are translated."""
+    out = {}
+    for key, value in given.items():
+        if key == "index":
+            if value:
+                raise ValueError("rows have no index to write")
+        elif key == "quoting":
+            if value not in QUOTING:
+                raise ValueError(f"quoting must be one of {list(QUOTING)}")
+            out |= QUOTING[value]
+        else:
+            out[CSV_NAMES.get(key, key)] = value
+    return out
+
+
 def to_file(
-    pool: Pool, path: str, file_type: str | None = None, num_seqs: int | None = None, num_cycles: int | None = None, seed: int | None = None, columns: list[str] | None = None, remove_tags: bool = True,
-    compression: str | None = None, description=None, line_width: int | None = 60, csv_options: dict | None = None,
-    *, write_tags: bool | None = None, write_style: bool = False, discard_null_seqs: bool = True, include_design_cards: bool = False, chunk_size: int | None = None, show_progress: bool = False, **options,
+    pool: Pool, path: str, file_type: str | None = None, num_seqs: int | None = None, num_cycles: int | None = None, chunk_size: int | None = None, write_tags: bool = False, write_style: bool = False,
+    seed: int | None = None, discard_null_seqs: bool = True, include_design_cards: bool = False, columns: list[str] | None = None, line_width: int | None = 60, description: str | Callable | None = None,
+    show_progress: bool = False, *, remove_tags: bool = True, compression: str | None = None, csv_options: dict | None = None, **options,
 ) -> int:
-    """Write a library as a folder of part files; gives the number of rows written. Options as in ``to_df``."""
+    """Write a library as a folder of part files; gives the number of rows written. Options as in ``to_df``, others are those of the CSV writer."""
     path = str(path)
     ending = path.removesuffix(".gz").rpartition(".")[2]
     file_type = file_type or ("fasta" if ending == "fa" else ending if ending in FORMATS else "csv")
     if file_type not in FORMATS:
         raise ValueError(f"file_type must be one of {FORMATS}")
-    tags = not remove_tags if write_tags is None else write_tags
-    df = _exported(pool, num_seqs, num_cycles, tags, write_style, seed, discard_null_seqs, include_design_cards, None if file_type == "fasta" else columns, options)
-    return write_library(df, path, file_type, compression=compression, description=description, line_width=line_width, **(csv_options or {}))
+    known = inspect.signature(generate_library).parameters
+    settings = (csv_options or {}) | {k: v for k, v in options.items() if k not in known}
+    if settings and file_type not in ("csv", "tsv"):
+        raise TypeError(f"no options of {file_type} files: {list(settings)}")
+    options = {k: v for k, v in options.items() if k in known}
+    df = _exported(pool, num_seqs, num_cycles, write_tags or not remove_tags, write_style, seed, discard_null_seqs, include_design_cards, None if file_type == "fasta" else columns, options)
+    return write_library(df, path, file_type, compression=compression, description=description, line_width=line_width, **settings)
 
 
 # Three-letter codes of residues.
