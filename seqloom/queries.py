@@ -66,56 +66,74 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
 
 
 # --- state algebra --------------------------------------------------------------------------------------------------
-def states(build: Callable[[], st.State], *names: str) -> Callable[[SparkSession, str], DataFrame]:
+def states(build: Callable[[int], st.State], *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of the values of states, of which some have a value for each part."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         with st.Manager() as m:
-            root = build()
+            root = build(spark.read.parquet(f"{sf_dir}/part.parquet").count())
             return m.get_iteration_df(root, spark).select("root", *names)
 
     return query
 
 
-def _abc() -> list[st.State]:
-    return [st.State(n, x) for n, x in ((7, "a"), (5, "b"), (3, "c"))]
+def _abc(n: int) -> list[st.State]:
+    return [st.State(k, x) for k, x in ((n, "a"), (5, "b"), (3, "c"))]
+
 
+def span(sql: str, rows: str) -> str:
+    """SQL of the same, with n parts."""
+    return f"SELECT v AS root, {sql} FROM (SELECT count(*) AS n FROM part), range(CAST({rows} AS BIGINT)) AS r(v)"
 
-def span(sql: str, n: int) -> str:
-    return f"SELECT v AS root, {sql} FROM range({n}) AS r(v)"
 
+def for_each(state: Callable[[], st.State]) -> Callable[[int], st.State]:
+    """All values of the state for each part (p)."""
+    return lambda n: st.product([state(), st.State(n, "p")], "root")
 
-add("state_product", states(lambda: st.product(_abc(), "root"), "a", "b", "c"), span("v % 7 AS a, v // 7 % 5 AS b, v // 35 % 3 AS c", 105))
-add("state_ordered_product", states(lambda: st.ordered_product([st.product([(x := _abc())[0], x[1]]), x[2], x[0]], "root"), "a", "b", "c"), span("v // 15 % 7 AS a, v // 3 % 5 AS b, v % 3 AS c", 105))
-add("state_stack", states(lambda: st.stack(_abc(), "root"), "a", "b", "c"), span("CASE WHEN v < 7 THEN v END AS a, CASE WHEN v >= 7 AND v < 12 THEN v - 7 END AS b, CASE WHEN v >= 12 THEN v - 12 END AS c", 15))
-add("state_slice_algebra", states(lambda: st.slice_state(st.State(100, "a"), slice(90, 10, -7), "root"), "a"), span("90 - 7 * v AS a", 12))
-add("state_repeat", states(lambda: st.repeat(st.State(9, "a"), 4, "root"), "a"), span("v % 9 AS a", 36))
-add("state_interleave", states(lambda: st.interleave([st.State(8, "a"), st.State(8, "b"), st.State(8, "c")], "root"), "a", "b", "c"), span("CASE WHEN v % 3 = 0 THEN v // 3 END AS a, CASE WHEN v % 3 = 1 THEN v // 3 END AS b, CASE WHEN v % 3 = 2 THEN v // 3 END AS c", 24))
-add("state_sample_explicit", states(lambda: st.sample(st.State(50, "a"), sampled_states=[i * i % 50 for i in range(30)], name="root"), "a"), span("v * v % 50 AS a", 30))
-add("state_shuffle_explicit", states(lambda: st.shuffle(st.State(101, "a"), permutation=[i * 7 % 101 for i in range(101)], name="root"), "a"), span("v * 7 % 101 AS a", 101))
-add("state_split", states(lambda: st.stack(list(reversed(st.split(st.State(20, "a"), 3))), "root"), "a"), span("CASE WHEN v < 6 THEN v + 14 WHEN v < 13 THEN v - 6 + 7 ELSE v - 13 END AS a", 20))
 
+add("state_product", states(lambda n: st.product(_abc(n), "root"), "a", "b", "c"), span("v % n AS a, v // n % 5 AS b, v // (5 * n) AS c", "15 * n"))
+add("state_ordered_product", states(lambda n: st.ordered_product([st.product([(x := _abc(n))[0], x[1]]), x[2], x[0]], "root"), "a", "b", "c"), span("v // 15 AS a, v // 3 % 5 AS b, v % 3 AS c", "15 * n"))
+add("state_stack", states(lambda n: st.stack(_abc(n), "root"), "a", "b", "c"), span("CASE WHEN v < n THEN v END AS a, CASE WHEN v >= n AND v < n + 5 THEN v - n END AS b, CASE WHEN v >= n + 5 THEN v - n - 5 END AS c", "n + 8"))
+add("state_slice_algebra", states(lambda n: st.slice(st.State(n, "a"), n - 10, 10, -7, "root"), "a"), span("n - 10 - 7 * v AS a", "(n - 14) // 7"))
+add("state_repeat", states(lambda n: st.repeat(st.State(n, "a"), 4, "root"), "a"), span("v % n AS a", "4 * n"))
+add("state_interleave", states(lambda n: st.interleave([st.State(n, "a"), st.State(n, "b"), st.State(n, "c")], "root"), "a", "b", "c"), span("CASE WHEN v % 3 = 0 THEN v // 3 END AS a, CASE WHEN v % 3 = 1 THEN v // 3 END AS b, CASE WHEN v % 3 = 2 THEN v // 3 END AS c", "3 * n"))
+add("state_sample_explicit", states(for_each(lambda: st.sample(st.State(50, "a"), sampled_states=[i * i % 50 for i in range(30)])), "a", "p"), span("(v % 30) * (v % 30) % 50 AS a, v // 30 AS p", "30 * n"))
+add("state_shuffle_explicit", states(for_each(lambda: st.shuffle(st.State(101, "a"), permutation=[i * 7 % 101 for i in range(101)])), "a", "p"), span("v % 101 * 7 % 101 AS a, v // 101 AS p", "101 * n"))
+add(
+    "state_split",
+    states(lambda n: st.stack(list(reversed(st.split(st.State(n, "a"), 3))), "root"), "a"),
+    span("CASE WHEN v < n // 3 THEN v + n - n // 3 WHEN v < n // 3 + (n + 1) // 3 THEN v - n // 3 + (n + 2) // 3 ELSE v - n // 3 - (n + 1) // 3 END AS a", "n"),
+)
+# quarters of 4 m + 1: rounding gives m to each, the one that is left over goes to the last; a slice keeps the order of its state
+add(
+    "state_split_proportional",
+    states(lambda n: st.ordered_product([*st.split(st.State(4 * n + 1, "a", iter_order=-1), [1, 1, 1, 1])[3:], st.State(3, "b")], "root"), "a", "b"),
+    span("3 * n + v % (n + 1) AS a, v // (n + 1) AS b", "3 * (n + 1)"),
+)
 
-def _synced() -> st.State:
-    a, b, c = st.State(6, "a"), st.State(4, "b"), st.State(2, "c")
+
+def _synced(n: int) -> st.State:
+    a, b, c = st.State(n, "a"), st.State(n - 2, "b"), st.State(2, "c")
     st.sync(a, b)
     return st.product([a, c], "root")
 
 
-add("state_sync", states(_synced, "a", "b", "c"), span("v % 6 AS a, CASE WHEN v % 6 < 4 THEN v % 6 END AS b, v // 6 % 2 AS c", 12))
-
+add("state_sync", states(_synced, "a", "b", "c"), span("v % n AS a, CASE WHEN v % n < n - 2 THEN v % n END AS b, v // n AS c", "2 * n"))
 
 
-def _led() -> st.State:
-    a = st.State(6, "a")
-    st.synced_to(a, 4, "b")
+def _led(n: int) -> st.State:
+    a = st.State(n, "a")
+    st.synced_to(a, n - 2, "b")
     return st.repeat(a, 2, "root")
 
 
-add("state_synced_to", states(_led, "a", "b"), span("v % 6 AS a, CASE WHEN v % 6 < 4 THEN v % 6 END AS b", 12))
+add("state_synced_to", states(_led, "a", "b"), span("v % n AS a, CASE WHEN v % n < n - 2 THEN v % n END AS b", "2 * n"))
 
 
 def _by_seed(how: Callable[[random.Random], list[int]]) -> str:
-    """SQL: the values that Python's generator gives for seed 5."""
-    return f"CAST({how(random.Random(5))}[v + 1] AS BIGINT) AS a"
+    """SQL: the values that Python's generator gives for seed 5, for each part."""
+    values = how(random.Random(5))
+    return f"CAST({values}[v % {len(values)} + 1] AS BIGINT) AS a, v // {len(values)} AS p"
 
 
 def _mixed(rng: random.Random) -> list[int]:
@@ -124,19 +142,20 @@ def _mixed(rng: random.Random) -> list[int]:
     return values
 
 
-add("state_shuffle_seeded", states(lambda: st.shuffle(st.State(300, "a"), 5, name="root"), "a"), span(_by_seed(_mixed), 300))
-add("state_sample_seeded", states(lambda: st.sample(st.State(300, "a"), 80, 5, name="root"), "a"), span(_by_seed(lambda r: r.choices(range(300), k=80)), 80))
-add("state_sample_without", states(lambda: st.sample(st.State(300, "a"), 80, 5, with_replacement=False, name="root"), "a"), span(_by_seed(lambda r: r.sample(range(300), 80)), 80))
+add("state_shuffle_seeded", states(for_each(lambda: st.shuffle(st.State(300, "a"), 5)), "a", "p"), span(_by_seed(_mixed), "300 * n"))
+add("state_sample_seeded", states(for_each(lambda: st.sample(st.State(300, "a"), 80, 5)), "a", "p"), span(_by_seed(lambda r: r.choices(range(300), k=80)), "80 * n"))
+add("state_sample_without", states(for_each(lambda: st.sample(st.State(300, "a"), 80, 5, with_replacement=False)), "a", "p"), span(_by_seed(lambda r: r.sample(range(300), 80)), "80 * n"))
 
 # --- sources --------------------------------------------------------------------------------------------------------
-add("from_seq", library(lambda s, d: sl.from_seq("ACGTACGT")), "SELECT CAST(0 AS BIGINT) AS i, 'ACGTACGT' AS seq")
-add("from_seqs", library(lambda s, d: sl.from_seqs(["AC", "GT", "TTT"], mode="sequential", num_states=7)), "SELECT v AS i, ['AC', 'GT', 'TTT'][v % 3 + 1] AS seq FROM range(7) AS r(v)")
+add("from_seq", library(lambda s, d: sl.join([parts(s, d), sl.from_seq("ACGTACGT")])), per_row("s || 'ACGTACGT'"))
+add("from_seqs", library(lambda s, d: sl.join([parts(s, d), sl.from_seqs(["AC", "GT", "TTT"], mode="sequential", num_states=7)])), per_row("s || ['AC', 'GT', 'TTT'][v % 3 + 1]", 7))
 add("from_table", library(parts), per_row("s"))
-add("from_iupac", library(lambda s, d: sl.from_iupac("RN-YW", mode="sequential")), "SELECT v AS i, substr('AG', v // 16 + 1, 1) || substr('ACGT', v // 4 % 4 + 1, 1) || '-' || substr('CT', v // 2 % 2 + 1, 1) || substr('AT', v % 2 + 1, 1) AS seq FROM range(32) AS r(v)")
+_iupac = "substr('AG', v // 16 + 1, 1) || substr('ACGT', v // 4 % 4 + 1, 1) || '-' || substr('CT', v // 2 % 2 + 1, 1) || substr('AT', v % 2 + 1, 1)"
+add("from_iupac", library(lambda s, d: sl.join([parts(s, d), sl.from_iupac("RN-YW", mode="sequential")])), per_row(f"s || {_iupac}", 32))
 add(
     "get_kmers",
-    library(lambda s, d: sl.get_kmers(8, mode="sequential"), extra=(("get_kmers", "kmer_index", "kmer_index"),)),
-    "SELECT v AS i, list_aggregate(list_transform(range(8), lambda j: substr('ACGT', (v // CAST(pow(4, 7 - j) AS BIGINT)) % 4 + 1, 1)), 'string_agg', '') AS seq, v AS kmer_index FROM range(65536) AS r(v)",
+    library(lambda s, d: sl.join([parts(s, d), sl.get_kmers(4, mode="sequential")]), extra=(("get_kmers", "kmer_index", "kmer_index"),)),
+    f"{D} SELECT k * 256 + v AS i, s || list_aggregate(list_transform(range(4), lambda j: substr('ACGT', (v // CAST(pow(4, 3 - j) AS BIGINT)) % 4 + 1, 1)), 'string_agg', '') AS seq, v AS kmer_index FROM d, range(256) AS r(v)",
 )
 
 
@@ -237,7 +256,12 @@ add(
 )
 
 # --- states of pools ------------------------------------------------------------------------------------------------
-add("stack", library(lambda s, d: sl.stack([sl.get_kmers(3, mode="sequential"), sl.from_iupac("NN", mode="sequential")]), extra=(("stack", "active_parent", "branch"),)), "SELECT v AS i, CASE WHEN v < 64 THEN substr('ACGT', v // 16 + 1, 1) || substr('ACGT', v // 4 % 4 + 1, 1) || substr('ACGT', v % 4 + 1, 1) ELSE substr('ACGT', (v - 64) // 4 + 1, 1) || substr('ACGT', (v - 64) % 4 + 1, 1) END AS seq, CASE WHEN v < 64 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS branch FROM range(80) AS r(v)")
+_two = "substr('ACGT', v // 4 % 4 + 1, 1) || substr('ACGT', v % 4 + 1, 1)"
+add(
+    "stack",
+    library(lambda s, d: sl.stack([sl.join([parts(s, d), sl.get_kmers(3, mode="sequential")]), sl.join([sl.from_iupac("NN", mode="sequential"), parts(s, d)])]), extra=(("stack", "active_parent", "branch"),)),
+    f"{D}, n AS (SELECT count(*) AS n FROM d) SELECT k * 64 + v AS i, s || substr('ACGT', v // 16 + 1, 1) || {_two} AS seq, CAST(0 AS BIGINT) AS branch FROM d, range(64) AS r(v) UNION ALL SELECT n * 64 + v * n + k, {_two} || s, 1 FROM d, n, range(16) AS r(v)",
+)
 add("repeat", library(lambda s, d: parts(s, d).repeat(3), extra=(("repeat", "repeat_index", "copy"),)), f"{D} SELECT k * 3 + v AS i, s AS seq, v AS copy FROM d, range(3) AS r(v)")
 add("state_slice", library(lambda s, d: parts(s, d)[5:150:7]), f"{D} SELECT CAST((k - 5) // 7 AS BIGINT) AS i, s AS seq FROM d WHERE k >= 5 AND k < 150 AND (k - 5) % 7 = 0")
 add("sample", library(lambda s, d: parts(s, d).sample(seq_states=[i * 11 % 97 for i in range(200)])), f"{D} SELECT v AS i, s AS seq FROM range(200) AS r(v) JOIN d ON k = v * 11 % 97")
@@ -351,11 +375,11 @@ add("annotate_orf", library(lambda s, d: parts(s, d).annotate_orf("orf", (2, 29)
 # --- names, cards and sinks -----------------------------------------------------------------------------------------
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Session():
-        pool = sl.join([sl.from_seqs(["A", "C", "G"] * 4, mode="sequential", prefix="src"), sl.get_kmers(2, mode="sequential", prefix="bc")]).add_prefix("lib")
+        pool = sl.join([parts(spark, sf_dir), sl.from_seqs(["A", "C", "G"] * 4, mode="sequential", prefix="src"), sl.get_kmers(2, mode="sequential", prefix="bc")]).add_prefix("lib")
         return sl.generate_library(pool, spark=spark, init_state=0)
 
 
-add("names", _names, "SELECT 'src_' || lpad(CAST(v // 16 AS VARCHAR), 2, '0') || '.bc_' || lpad(CAST(v % 16 AS VARCHAR), 2, '0') || '.lib' AS name, substr('ACG', v // 16 % 3 + 1, 1) || substr('ACGT', v // 4 % 4 + 1, 1) || substr('ACGT', v % 4 + 1, 1) AS seq FROM range(192) AS r(v)")
+add("names", _names, f"{D} SELECT 'src_' || lpad(CAST(v // 16 AS VARCHAR), 2, '0') || '.bc_' || lpad(CAST(v % 16 AS VARCHAR), 2, '0') || '.lib' AS name, s || substr('ACG', v // 16 % 3 + 1, 1) || substr('ACGT', v // 4 % 4 + 1, 1) || substr('ACGT', v % 4 + 1, 1) AS seq FROM d, range(192) AS r(v)")
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,6 +408,21 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("to_fasta_described", _described, f"{D} SELECT '>p ' || CAST(32 - length(replace(s, 'A', '')) AS VARCHAR) || ' of 32' || chr(10) || s AS value FROM d")
 
 
+def _formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Session():
+        pool = parts(spark, sf_dir).repeat(3, prefix="copy")
+        made = sl.to_df(pool, num_cycles=1, include_design_cards=True, spark=spark)
+        index = next(c for c in made.columns if c.endswith("key.repeat_index"))
+        return fasta_lines(made.select("name", "seq", F.col(f"`{index}`").alias("copy")), "{copy:+04d} {copy:.1%} {seq:_^12.8} {{{name!s:>8}}}", None)
+
+
+add(
+    "to_fasta_formatted",
+    _formatted,
+    f"{D} SELECT '>copy_' || v || ' +00' || v || ' ' || CASE WHEN v = 0 THEN '' ELSE v || '0' END || '0.0% __' || substr(s, 1, 8) || '__ {{  copy_' || v || '}}' || chr(10) || s AS value FROM d, range(3) AS r(v)",
+)
+
+
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of file written and read back: what is in it, by kind. The files are removed at the end of the session."""
     from .sources.scratch import scratch_path
@@ -481,11 +520,13 @@ def chosen(rows: str, n: int | str, op: int, k: int, *streams: int) -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY i ORDER BY {ORDER}) <= {k} AS picked FROM ({drawn(rows, n, op, 0, *streams)})"
 
 
-def randomly(build: Callable[[SparkSession, str], Pool], extra: tuple = (), n: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
-    return library(build, extra, seed=SEED, **({} if n is None else {"num_seqs": n}))
+def randomly(build: Callable[[SparkSession, str], Pool], extra: tuple = (), each: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """``each``: a pool without states of its own is drawn from once for each part."""
+    if not each:
+        return library(build, extra, seed=SEED)
+    return lambda spark, sf_dir: library(build, extra, seed=SEED, num_seqs=spark.read.parquet(f"{sf_dir}/part.parquet").count())(spark, sf_dir)
 
 
-ROWS = 2000
 MUTATED = f"substr(replace('ACGT', substr(s, j + 1, 1), ''), {below(3, 1)} + 1, 1)"
 
 
@@ -502,16 +543,16 @@ add(
 )
 MOTIF = {"A": [0.5, 0.0, 1.0, 0.25, 0.25], "C": [0.0, 0.0, 0.0, 0.25, 0.0], "G": [0.5, 0.25, 0.0, 0.25, 0.75], "T": [0.0, 0.75, 0.0, 0.25, 0.0]}
 _below_bound = " + ".join(f"CAST(u0 >> 2 >= [{', '.join(str(int(sum(MOTIF[b][i] for b in 'ACGT'[: c + 1]) * (1 << 62))) for i in range(5))}][j + 1] AS INTEGER)" for c in range(3))
-add("from_motif", randomly(lambda s, d: sl.from_motif(MOTIF), n=ROWS), f"SELECT i, string_agg(substr('ACGT', {_below_bound} + 1, 1), '' ORDER BY j) AS seq FROM ({drawn(f'SELECT i FROM range({ROWS}) AS r(i)', 5, 0, 0)}) GROUP BY i")
+add("from_motif", randomly(lambda s, d: sl.from_motif(MOTIF), each=True), f"SELECT i, string_agg(substr('ACGT', {_below_bound} + 1, 1), '' ORDER BY j) AS seq FROM ({drawn(f'SELECT i FROM ({PARTS})', 5, 0, 0)}) GROUP BY i")
 add(
     "get_kmers_random",
-    randomly(lambda s, d: sl.get_kmers(40), n=ROWS),
-    f"SELECT i, string_agg(list_aggregate(list_transform(range(m), lambda x: substr('ACGT', CAST((w >> CAST(2 * (m - 1 - x) AS UBIGINT)) & 3 AS BIGINT) + 1, 1)), 'string_agg', ''), '' ORDER BY j) AS seq FROM (SELECT i, j, CASE WHEN j = 0 THEN 31 ELSE 9 END AS m, (u0 >> 2) % CAST(CASE WHEN j = 0 THEN {4**31} ELSE {4**9} END AS UBIGINT) AS w FROM ({drawn(f'SELECT i FROM range({ROWS}) AS r(i)', 2, 0, 0)})) GROUP BY i",
+    randomly(lambda s, d: sl.get_kmers(40), each=True),
+    f"SELECT i, string_agg(list_aggregate(list_transform(range(m), lambda x: substr('ACGT', CAST((w >> CAST(2 * (m - 1 - x) AS UBIGINT)) & 3 AS BIGINT) + 1, 1)), 'string_agg', ''), '' ORDER BY j) AS seq FROM (SELECT i, j, CASE WHEN j = 0 THEN 31 ELSE 9 END AS m, (u0 >> 2) % CAST(CASE WHEN j = 0 THEN {4**31} ELSE {4**9} END AS UBIGINT) AS w FROM ({drawn(f'SELECT i FROM ({PARTS})', 2, 0, 0)})) GROUP BY i",
 )
 add(
     "from_iupac_random",
-    randomly(lambda s, d: sl.from_iupac("RN-YW"), (("from_iupac", "iupac_state", "iupac_state"),), n=ROWS),
-    f"SELECT i, substr('AG', v // 16 + 1, 1) || substr('ACGT', v // 4 % 4 + 1, 1) || '-' || substr('CT', v // 2 % 2 + 1, 1) || substr('AT', v % 2 + 1, 1) AS seq, v AS iupac_state FROM (SELECT i, {below(32)} AS v FROM ({drawn(f'SELECT i FROM range({ROWS}) AS r(i)', 1, 0, 0)}))",
+    randomly(lambda s, d: sl.from_iupac("RN-YW"), (("from_iupac", "iupac_state", "iupac_state"),), each=True),
+    f"SELECT i, substr('AG', v // 16 + 1, 1) || substr('ACGT', v // 4 % 4 + 1, 1) || '-' || substr('CT', v // 2 % 2 + 1, 1) || substr('AT', v % 2 + 1, 1) AS seq, v AS iupac_state FROM (SELECT i, {below(32)} AS v FROM ({drawn(f'SELECT i FROM ({PARTS})', 1, 0, 0)}))",
 )
 # two places out of 31, then three owners, each but the first another one than the last
 _owners = f"SELECT i, any_value(s) AS s, any_value({below(3, 1)}) FILTER (j = 0) AS a, any_value({below(2, 1)}) FILTER (j = 1) AS x, any_value({below(2, 1)}) FILTER (j = 2) AS y, list(j ORDER BY j) FILTER (picked) AS p FROM ({chosen(PARTS, 31, 3, 2, 1)}) GROUP BY i"
@@ -587,18 +628,26 @@ add(
 )
 
 
-add("from_seqs_random", randomly(lambda s, d: sl.from_seqs(["AC", "GT", "TTT", "A"]), (("from_seqs", "seq_index", "seq_index"),), n=ROWS), f"SELECT i, ['AC', 'GT', 'TTT', 'A'][v + 1] AS seq, v AS seq_index FROM (SELECT i, {below(4)} AS v FROM ({drawn(f'SELECT i FROM range({ROWS}) AS r(i)', 1, 0, 0)}))")
+add("from_seqs_random", randomly(lambda s, d: sl.from_seqs(["AC", "GT", "TTT", "A"]), (("from_seqs", "seq_index", "seq_index"),), each=True), f"SELECT i, ['AC', 'GT', 'TTT', 'A'][v + 1] AS seq, v AS seq_index FROM (SELECT i, {below(4)} AS v FROM ({drawn(f'SELECT i FROM ({PARTS})', 1, 0, 0)}))")
 
 # permutations and samples that are computed for each index
-N = 4**5
-_keys = [(xx64(42, 5, r), (lambda h: h - (WORD if h >> 63 else 0))(xx64(42, 5, r)) % N) for r in range(st.ROUNDS)]
-_round = _hashed("SELECT v, w.x, w.r, keys.h, CASE WHEN keys.k >= w.x THEN keys.k - w.x ELSE keys.k - w.x + %d END AS y, greatest(w.x, CASE WHEN keys.k >= w.x THEN keys.k - w.x ELSE keys.k - w.x + %d END) AS m FROM w JOIN keys ON w.r = keys.r" % (N, N), "u", "h", "m")
-PERMUTED = f"WITH RECURSIVE keys AS (SELECT * FROM (VALUES {', '.join(f'({r}, CAST({h} AS UBIGINT), {k})' for r, (h, k) in enumerate(_keys))}) AS t(r, h, k)), w AS (SELECT v, v AS x, 0 AS r FROM range({N}) AS q(v) UNION ALL SELECT v, CASE WHEN u & 1 = 1 THEN y ELSE x END, r + 1 FROM ({_round}))"
-_kmer = "list_aggregate(list_transform(range(5), lambda j: substr('ACGT', (x // CAST(pow(4, 4 - j) AS BIGINT)) % 4 + 1, 1)), 'string_agg', '')"
-add("state_shuffle_computed", library(lambda s, d: sl.get_kmers(5, mode="sequential").state_shuffle(seed=5)), f"{PERMUTED} SELECT v AS i, {_kmer} AS seq FROM w WHERE r = {st.ROUNDS}")
-_drawn = _hashed("SELECT v FROM range(3000) AS q(v)", "u", xx64(42, 5), "v")
+_keys = [(h, h - (WORD if h >> 63 else 0)) for h in (xx64(42, 5, r) for r in range(st.ROUNDS))]
+_round = _hashed("SELECT v, w.x, w.r, keys.h, CASE WHEN keys.k >= w.x THEN keys.k - w.x ELSE keys.k - w.x + keys.n END AS y, greatest(w.x, CASE WHEN keys.k >= w.x THEN keys.k - w.x ELSE keys.k - w.x + keys.n END) AS m FROM w JOIN keys ON w.r = keys.r", "u", "h", "m")
+_n = "(SELECT count(*) * 64 AS n FROM part)"
+_values = ", ".join(f"({r}, CAST({h} AS UBIGINT), CAST({signed} AS BIGINT))" for r, (h, signed) in enumerate(_keys))
+PERMUTED = f"WITH RECURSIVE keys AS (SELECT r, h, (s % n + n) % n AS k, n FROM (VALUES {_values}) AS t(r, h, s), {_n}), w AS (SELECT v, v AS x, 0 AS r FROM {_n}, range(n) AS q(v) UNION ALL SELECT v, CASE WHEN u & 1 = 1 THEN y ELSE x END, r + 1 FROM ({_round}))"
+add(
+    "state_shuffle_computed",
+    library(lambda s, d: sl.join([parts(s, d), sl.get_kmers(3, mode="sequential")]).state_shuffle(seed=5)),
+    f"{PERMUTED} SELECT v AS i, s || substr('ACGT', x % 64 // 16 + 1, 1) || substr('ACGT', x % 16 // 4 + 1, 1) || substr('ACGT', x % 4 + 1, 1) AS seq FROM w JOIN ({D} SELECT * FROM d) ON k = x // 64 WHERE r = {st.ROUNDS}",
+)
+_drawn = _hashed(f"SELECT k * 16 + q AS v FROM ({D} SELECT * FROM d), range(16) AS q(q)", "u", xx64(42, 5), "v")
 _signed = f"(CASE WHEN u >= CAST({1 << 63} AS UBIGINT) THEN CAST(CAST(u AS HUGEINT) - {WORD} AS BIGINT) ELSE CAST(u AS BIGINT) END)"
-add("state_sample_computed", library(lambda s, d: sl.get_kmers(5, mode="sequential").sample(3000, seed=5)), f"SELECT i, {_kmer} AS seq FROM (SELECT v AS i, (({_signed} >> 1) % {N} + {N}) % {N} AS x FROM ({_drawn}))")
+add(
+    "state_sample_computed",
+    library(lambda s, d: (p := parts(s, d)).sample(16 * p.num_states, seed=5)),
+    f"{D}, x AS (SELECT v, (({_signed} >> 1) % n + n) % n AS x FROM ({_drawn}), (SELECT count(*) AS n FROM part)) SELECT v AS i, s AS seq FROM x JOIN d ON k = x",
+)
 
 
 # --- more states than a long holds ----------------------------------------------------------------------------------
