@@ -5,8 +5,10 @@ sequence; none: no shingle). Texts with equal sets of shingles become one class
 have a similarity of 4/5 or more. No link is lost: there is no sampling of pairs and no sketch.
 
 Candidates: sets at 4/5 or more share at least 4/5 of either, so in any common order of shingles the first n - ceil(4n/5) + 1
-of both have one in common. The order puts the shingles that are frequent in a sample of the documents last, which only
-bears on how many candidates there are. A shared shingle gives a pair where sizes and places still allow 4/5.
+of both have one in common. The order goes by counts of all shingles of all documents, the rarest first: shingles are
+counted in 2**20 classes of their hashes, so that the table of counts has one size whatever the input, and a rare shingle may
+be put back by others of its class. That only bears on how many candidates there are. A shared shingle gives a pair where
+sizes and places still allow 4/5.
 
 The first links come from SimHash fingerprints of the sets, by the tiles of ``simhash`` (within 2 of 64 bits, which finds the
 closest copies only), and from comparing the members of a shared shingle with a few of them, in two rounds. What these links
@@ -35,10 +37,9 @@ from .simhash import components, keep_one, placed
 from .words import LOWER, spans, window_hashes, word_hashes
 
 SHINGLE = 5
-#: Documents in expectation from which frequent shingles are counted, the least count, and the most that are listed.
-SAMPLE = 20_000
-FREQUENT = 3
-MOST_FREQUENT = 100_000
+#: Classes of shingles that are counted, as a power of two, and classes in a row of partial counts.
+CLASS_BITS = 20
+BLOCK = 1 << 10
 #: Members of a shared shingle that the others are compared with first, by rounds.
 HUBS = (range(3), range(3, 15))
 #: Words of 64 bits for the parities of a set.
@@ -78,40 +79,53 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def frequent(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that are in several documents of a sample, and in how many."""
+def class_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def class_counts(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """How many shingles of all documents each class has (a shingle counts in every document that has it).
+
+    Tasks add up their documents, then each block of classes is added up over the tasks; the driver gets 2**CLASS_BITS numbers.
+    """
+    shape = ((1 << CLASS_BITS) // BLOCK, BLOCK)
+
+    def blocks(total: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+        ends = np.arange(len(some) + 1) * BLOCK
+        counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(total[some].ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), counts], names=["block", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_sets(part.column("text"), shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+                np.add.at(total.ravel(), class_of(np.concatenate(shingle_sets(part.column("text"), shingle))), 1)
+        yield blocks(total, np.flatnonzero(total.any(1)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int64)
+        for batch in batches:
+            for block, n in zip(batch.column("block").to_pylist(), batch.column("n").flatten().to_numpy().reshape(-1, BLOCK)):
+                total[block] += n
+        yield blocks(total, np.flatnonzero(total.any(1)))
 
-    one_of = max(1, docs.count() // SAMPLE)
-    sample = only(docs, "text").where(F.pmod(F.xxhash64("text"), F.lit(one_of)) == 0)
-    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    table = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
-    h = np.asarray(table.column("h")).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.asarray(table.column("n"))[order]
+    schema = "block int, n array<long>"
+    table = only(docs, "text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    out = np.zeros(shape, np.int64)
+    out[np.asarray(table.column("block"))] = np.asarray(table.column("n").combine_chunks().flatten()).reshape(-1, BLOCK)
+    return out.ravel()
 
 
 def prefixes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, tag, fp (a key of the set), n (its size), prefix (its first shingles in the common order), sim (its SimHash) and odd (its parities) of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent(docs, shingle))
+    held = docs.sparkSession.sparkContext.broadcast(class_counts(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, counts = held.value
+        counts = held.value
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), shingle)
-                firsts = []
-                for s in sets:
-                    rank = np.zeros(len(s), np.int64)
-                    if len(listed):
-                        at = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
-                        rank = np.where(listed[at] == s, counts[at], 0)
-                    firsts.append(s[np.argsort(rank, kind="stable")[: prefix_size(len(s))]].view(np.int64))
+                firsts = [s[np.argsort(counts[class_of(s)], kind="stable")[: prefix_size(len(s))]].view(np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, firsts)])
                 raw = part.column("text").fill_null("").cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays(

@@ -698,6 +698,18 @@ def test_near_copies_of_the_pipeline(spark):
     assert near.drop_near_copies(table.limit(0)).count() == 0
 
 
+def test_common_order_counts_all_documents(spark):
+    """The first shingles of each text are of those that no other text has, however many documents there are besides: shingles
+    of as few as two documents are counted in all of them."""
+    rows = [(i, f"filler{i}") for i in range(1000, 42_000)]
+    for pair in range(20):
+        shared = words(20, pair, 10**9)
+        rows += [(2 * pair + c, f"{shared} {words(20, 100 + 2 * pair + c, 10**9)}") for c in range(2)]
+    got = near.prefixes(docs(spark, rows)).where("doc_id < 1000").select("n", "prefix").collect()
+    assert [(r["n"], len(r["prefix"])) for r in got] == [(36, 8)] * 40
+    assert set(Counter(h for r in got for h in r["prefix"]).values()) == {1}
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("leaf", [2, 7, 2048])
 def test_tree_encoding_is_the_library_s(leaf):
