@@ -184,6 +184,24 @@ def test_cards_and_columns(spark):
     assert sl.generate_library(pool, report_design_cards=True, init_state=0).columns == ["name", "seq"]
 
 
+def test_materialize_keeps_order_however_a_run_is_cut(spark, session, tmp_path):
+    """Ranges of a sampled sort differ from run to run; the places of rows must not follow from them."""
+    texts = [f"{i:05d}" for i in range(12_000)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "idx long, seq string").repartition(7).write.parquet(str(tmp_path / "texts"))
+    table = spark.read.parquet(str(tmp_path / "texts"))
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        pool = sl.from_table(table, index_col="idx", num_rows=12_000, seq_length=5)
+        kept = pool.filter(lambda s: ~s.endswith("7"), native=True).materialize(num_cycles=1)
+        df = kept.generate_library(with_index=True, init_state=0)
+        for _ in range(2):
+            assert [r["seq"] for r in df.orderBy("_row").collect()] == [t for t in texts if t[-1] != "7"]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_materialize_cuts_the_plan(spark):
     kept = sl.from_seqs(["AAAA", "GGGG", "ACGT"], mode="sequential").filter(lambda s: "A" in s).materialize(num_seqs=2)
     assert kept.parents == [] and seqs(kept) == ["AAAA", "ACGT"]
