@@ -1,6 +1,9 @@
 """Styles as data: where each character's style is after every operator, and how previews show it."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 import seqloom as sl
 from seqloom.sources.sinks import rendered
@@ -121,3 +124,30 @@ def test_exports_leave_out_rejected_rows(spark, session):
     assert pool.to_df(num_cycles=1).count() == 4 and pool.to_df(num_cycles=1, discard_null_seqs=False).count() == 16
     with pytest.raises(ValueError):
         pool.to_df(num_seqs=0)
+
+
+def test_frames_of_long_sequences(spark, session):
+    """The work for a layer grows with the length, not with its square times that of a regular expression."""
+    texts = [f"{'ACGTAC-GTa' * 150}{'C' * i}" for i in range(120)]
+    for frame, options in ((2, {"style_codons": ["red", "blue"]}), (-3, {"style_frames": ["red", "blue", "red"]})):
+        began = time.monotonic()
+        found = rows(sl.from_seqs(texts, mode="sequential").stylize_orf(frame=frame, **options), spark, len(texts))
+        assert time.monotonic() - began < 40
+        want = []
+        for text in texts:
+            spots = [p for p, c in enumerate(text) if c != "-"]
+            styles = {"red": [], "blue": []}
+            for j, p in enumerate(spots):
+                j = len(spots) - 1 - j if frame < 0 else j
+                styles[["red", "blue"][(j + 1) // 3 % 2] if frame == 2 else ["red", "blue", "red"][(j + 2) % 3]].append(p)
+            want.append((text, styles))
+        assert found == want
+
+
+def test_a_table_in_one_file_is_dealt_to_all_cores(spark, session, tmp_path):
+    spark.range(8000).select(F.col("id").alias("idx"), F.lit("ATGGCC").alias("seq")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    pool = sl.from_table(spark.read.parquet(str(tmp_path / "one")), index_col="idx", num_rows=8000, seq_length=6).stylize_orf(style_codons=["red", "blue"])
+    pool = pool.mutagenize_orf(num_mutations=1, mutation_type="nonsense", mode="sequential", style="bold", codon_positions=[0])
+    df = sl.generate_library(pool, report_styles=True, with_index=True, spark=spark, init_state=0)
+    assert df.rdd.getNumPartitions() >= 4
+    assert df.agg(F.count_distinct("_row"), F.max("_row"), F.count_distinct("styles")).first()[:] == (24_000, 23_999, 1)
