@@ -151,3 +151,12 @@ def test_a_table_in_one_file_is_dealt_to_all_cores(spark, session, tmp_path):
     df = sl.generate_library(pool, report_styles=True, with_index=True, spark=spark, init_state=0)
     assert df.rdd.getNumPartitions() >= 4
     assert df.agg(F.count_distinct("_row"), F.max("_row"), F.count_distinct("styles")).first()[:] == (24_000, 23_999, 1)
+
+
+def test_a_region_is_looked_for_once(spark, session):
+    pool = sl.from_seqs(["AC<t>GGA</t>C<bc/>", "<t>GA</t><bc/>"], mode="sequential").stylize("t", style="red").stylize("t", style="bold", which="upper").insert_kmers(1, region="bc", mode="sequential", style="blue")
+    df = sl.generate_library(pool, report_styles=True, with_index=True, spark=spark, init_state=0)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(.*?)<t") <= 12 and plan.count("(.*?)<bc") <= 6  # for each operator: is it there, and three pieces
+    found = {(r["seq"], tuple((s["spec"], tuple(s["positions"])) for s in r["styles"])) for r in df.collect()}
+    assert ("AC<t>GGA</t>C<bc>A</bc>", (("red", (5, 6, 7)), ("bold", (5, 6, 7)), ("blue", (17,)))) in found and len(found) == 8
