@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import seqloom as sl
 from seqloom.plans import states as st
 
 
@@ -295,3 +296,25 @@ def test_arguments_that_exclude_each_other():
     ):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_long_explicit_orders_are_tables(spark, manager):
+    """A long list is stored and joined, not a literal for each value in the plan; a DataFrame never comes to the driver."""
+    n = 25_000
+    order = [i * 7 % n for i in range(n)]
+    table = spark.range(n).select((F.col("id") * 7 % n).alias("value"), F.col("id").alias("idx"))
+    for permutation in (order, table):
+        a, p = st.State(n, "a"), st.State(2, "p")
+        root = st.product([st.shuffle(a, permutation=permutation), p], "root").deepcopy("root")
+        df = root.get_iteration_df(spark).select("root", root.get_ancestors()[2].name)
+        assert "Join" in df._jdf.queryExecution().optimizedPlan().toString()
+        assert [tuple(r) for r in df.orderBy("root").collect()] == [(v, order[v % n]) for v in range(2 * n)]
+        assert st.values(st.shuffle(a, permutation=permutation), 5)[a] == 35
+    with sl.Session():
+        source = sl.from_table(spark.range(n).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("seq")), index_col="idx", num_rows=n)
+        chosen = source.sample(seq_states=order[:12_000] + [3, 3]).state_shuffle(permutation=spark.range(12_002).select(F.col("id").alias("idx"), (12_001 - F.col("id")).alias("value")))
+        found = sl.generate_library(chosen, with_index=True, spark=spark, init_state=0).orderBy("_row").collect()
+        assert [r["seq"] for r in found] == [str(v) for v in reversed(order[:12_000] + [3, 3])]
+    for wrong in (spark.range(4).select(F.col("id").alias("idx"), (F.col("id") % 3).alias("value")), spark.range(3).select(F.col("id").alias("idx"), F.col("id").alias("value"))):
+        with pytest.raises(ValueError):
+            st.shuffle(st.State(4), permutation=wrong)
