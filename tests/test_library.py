@@ -410,3 +410,20 @@ def test_queries_over_whole_tables_and_texts(spark, tmp_path):
         if got != rows:
             wrong[name] = (len(got), len(rows), got[:2], rows[:2])
     assert not wrong, wrong
+
+
+def test_a_table_is_expanded_through_a_stack(spark, session, tmp_path):
+    """Variants of several kinds of each row of a table: no row of the library is moved to be joined to the table."""
+    texts = ["".join("ACGT"[i >> 2 * j & 3] for j in range(5)) for i in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "idx long, seq string").write.parquet(str(tmp_path / "texts"))
+    older = sl.get_kmers(1, mode="sequential")
+    wild = sl.from_table(spark.read.parquet(str(tmp_path / "texts")), index_col="idx", num_rows=300, seq_length=5, plain=True)
+    kinds = [wild.deletion_scan(2, mode="sequential"), wild, sl.stack([wild.subseq_scan(2, mode="sequential"), wild.rc()])]
+    df = sl.join([sl.stack(kinds), sl.get_kmers(1, mode="sequential")]).generate_library(with_index=True, init_state=0)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    back = str.maketrans("ACGT", "TGCA")
+    made = [t[:v] + "--" + t[v + 2 :] for t in texts for v in range(4)] + texts + [t[v : v + 2] for t in texts for v in range(4)] + [t[::-1].translate(back) for t in texts]
+    assert [tuple(r) for r in df.select("_row", "seq").orderBy("_row").collect()] == list(enumerate(s + c for s in made for c in "ACGT"))
+    # a branch without the table, or with a factor that is slower, is joined as before
+    assert sl.stack([wild, sl.get_kmers(2, mode="sequential")]).generate_library(init_state=0).count() == 316
+    assert seqs(sl.stack([sl.join([older, wild]), wild])[:302])[298:] == ["A" + texts[298], "A" + texts[299], "C" + texts[0], "C" + texts[1]]
