@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import seqloom as sl
+from seqloom.plans.styles import positions
 from seqloom.sources.sinks import rendered
 
 COLORS = {"red": "91", "blue": "94", "green": "92"}
@@ -160,3 +161,17 @@ def test_a_region_is_looked_for_once(spark, session):
     assert plan.count("(.*?)<t") <= 12 and plan.count("(.*?)<bc") <= 6  # for each operator: is it there, and three pieces
     found = {(r["seq"], tuple((s["spec"], tuple(s["positions"])) for s in r["styles"])) for r in df.collect()}
     assert ("AC<t>GGA</t>C<bc>A</bc>", (("red", (5, 6, 7)), ("bold", (5, 6, 7)), ("blue", (17,)))) in found and len(found) == 8
+
+
+def test_a_single_mutation_is_painted_by_its_place(spark, session):
+    """Not by comparing all characters of each row; places of a stretch are not looked for one by one."""
+    text = "aC<t>Gt</t>A"
+    for pool, many in ((sl.from_seq(text).stylize([0, 2], style="bold").mutagenize(num_mutations=1, mode="sequential", style="red"), 15), (sl.from_seq(text).mutagenize("t", num_mutations=1, mode="sequential", style="red"), 6)):
+        df = sl.generate_library(pool, report_styles=True, with_index=True, spark=spark, init_state=0)
+        assert "zip_with" not in df._jdf.queryExecution().optimizedPlan().toString()
+        found = [(r["seq"], {s["spec"]: s["positions"] for s in r["styles"]}) for r in df.collect()]
+        assert len({s for s, _ in found}) == many
+        for seq, styles in found:
+            assert styles.pop("bold", [0, 1]) == [0, 1] and styles == {"red": [i for i, (a, b) in enumerate(zip(text, seq)) if a != b]}
+    marks = spark.createDataFrame([("", []), ("000", []), ("0110", [1, 2]), ("11", [0, 1]), ("1001", [0, 3]), ("010110", [1, 3, 4]), (None, None)], "mask string, want array<int>")
+    assert all(r["got"] == r["want"] for r in marks.select(positions(F.col("mask")).alias("got"), "want").collect())
